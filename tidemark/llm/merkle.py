@@ -1,16 +1,16 @@
 """Operator 7: document fingerprints from a Merkle tree (native).
 
-A text is cut into sections (after an empty line), those into paragraphs (after a line
-end) and those into leaves (after white space that follows punctuation or one of a few
-letters, so a boundary depends on nearby text alone and an edit moves no other boundary).
-Nothing is lost in the cuts: a node's digest is the SHA-256 of its children's digests, so
+A text is cut into paragraphs (after a line end) and those into leaves (after white space that
+follows punctuation or one of a few letters); a run of paragraphs up to one whose digest is
+small makes a section. So a boundary depends on nearby text alone, and an edit moves no other
+one. Nothing is lost in the cuts: a node's digest is the SHA-256 of its children's digests, so
 equal roots mean equal texts, and differing branches say where texts differ.
 
 A fingerprint is the text `root|sections|paragraphs|leaves`: the root's digest, and the
 first eight hex digits of every other node's, level by level.
 
 Defined cases: a null text counts as empty; the empty text has one empty leaf; repeated
-rows give repeated results; where rows share a doc_id, the smallest text stands for "the
+rows give repeated results; where rows share a doc_id, the smallest start stands for "the
 next document"; rows without doc_id stand in no order and have an empty next document; other
 columns of the input are ignored.
 """
@@ -22,42 +22,41 @@ from pyspark.sql import functions as F
 
 from .common import next_ids
 
-SECTION = r"(?<=\n\n)"
 PARAGRAPH = r"(?<=\n)"
-LEAF = r"(?<=[.!?,;:dgty*$%&#]\s)"
+LEAF = r"(?<=[.!?;:#ywz]\s)"
 
 
 def _digest(children: Column) -> Column:
     return F.sha2(F.array_join(children, ""), 256)
 
 
-def merkle_tree(text: Column) -> Column:
-    """struct(root, sections, paragraphs, leaves) of a text; the lists hold short digests."""
-    paragraphs = lambda s: F.transform(
-        F.split(s, PARAGRAPH, -1), lambda p: F.transform(F.split(p, LEAF, -1), lambda x: F.sha2(x, 256))
-    )
-    sections = F.transform(
-        F.split(text, SECTION, -1),
-        lambda s: F.transform(paragraphs(s), lambda ls: F.struct(ls.alias("ls"), _digest(ls).alias("d"))),
-    )
-    return F.transform(
-        sections, lambda ps: F.struct(ps.alias("ps"), _digest(F.transform(ps, lambda p: p["d"])).alias("d"))
-    )
-
-
 def _short(digests: Column) -> Column:
     return F.transform(digests, lambda d: F.substring(d, 1, 8))
 
 
-def fingerprint(tree: Column) -> Column:
-    """The text form of a tree."""
-    paragraphs = F.flatten(F.transform(tree, lambda s: s["ps"]))
-    return F.concat_ws(
-        "|",
-        _digest(F.transform(tree, lambda s: s["d"])),
-        F.array_join(_short(F.transform(tree, lambda s: s["d"])), "."),
-        F.array_join(_short(F.transform(paragraphs, lambda p: p["d"])), "."),
-        F.array_join(_short(F.flatten(F.transform(paragraphs, lambda p: p["ls"]))), "."),
+def add_fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
+    """df with the fingerprint of a text column. Each level is a projection of its own, so none is computed twice."""
+    leaf_lists = F.transform(
+        F.split(F.coalesce(F.col(text), F.lit("")), PARAGRAPH, -1),
+        lambda p: F.transform(F.split(p, LEAF, -1), lambda x: F.sha2(x, 256)),
+    )
+    # a section ends with a paragraph whose digest falls in the lowest quarter
+    marked = F.transform("_p", lambda d: F.concat(d, F.when(d < "4", F.lit("|")).otherwise(F.lit(""))))
+    return (
+        df.withColumn("_l", leaf_lists)
+        .withColumn("_p", F.transform("_l", _digest))
+        .withColumn("_s", F.transform(F.split(F.array_join(marked, ""), r"\|"), lambda s: F.sha2(s, 256)))
+        .withColumn(
+            into,
+            F.concat_ws(
+                "|",
+                _digest(F.col("_s")),
+                F.array_join(_short(F.col("_s")), "."),
+                F.array_join(_short(F.col("_p")), "."),
+                F.array_join(_short(F.flatten("_l")), "."),
+            ),
+        )
+        .drop("_l", "_p", "_s")
     )
 
 
@@ -66,10 +65,10 @@ def _level(fp: Column, level: int) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """1 for equal roots, else the Jaccard similarity of the leaves that two fingerprints list."""
+    """1 for equal roots, else twice the leaves that both list over those that each lists (Dice)."""
     x, y = _level(a, 3), _level(b, 3)
     return F.when(a == b, F.lit(1.0)).otherwise(
-        F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)).cast("double")
+        2.0 * F.size(F.array_intersect(x, y)) / (F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)))
     )
 
 
@@ -82,41 +81,43 @@ def changed_branches(a: Column, b: Column, level: int = 2) -> Column:
     )
 
 
-def add_fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """df with the fingerprint of a text column."""
-    return df.withColumn(into, fingerprint(merkle_tree(F.coalesce(F.col(text), F.lit("")))))
-
-
 def edit_probe(documents: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of the text with its last half replaced by the next one's start, and their likeness."""
-    docs = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    nexts = next_ids(docs.select("doc_id"))
-    heads = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("next_text"))
-    heads = heads.withColumnRenamed("doc_id", "next_id").join(nexts, "next_id").select("doc_id", "next_text")
-    both = docs.join(heads, "doc_id", "left").withColumn("next_text", F.coalesce("next_text", F.lit("")))
+    """Fingerprints of each text, of the text with its last half replaced by the next one's start, and their likeness.
+
+    The texts are shuffled once, by doc_id. A second exchange takes to each document only as
+    much of the next one's start as its edit needs, and that one's fingerprint.
+    """
+    docs = add_fingerprint(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    lengths = documents.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("most"))
+    order = next_ids(documents.select("doc_id"))
+    before = order.join(lengths, "doc_id").select(
+        F.col("next_id").alias("doc_id"), F.col("doc_id").alias("owner"), F.floor(F.col("most") / 2).cast("int").alias("need")
+    )
+    heads = docs.join(before, "doc_id").select(
+        F.col("owner").alias("doc_id"),
+        F.substring("text", F.lit(1), F.col("need")).alias("head"),
+        F.col("fingerprint").alias("next_fingerprint"),
+    )
+    # one row an owner: equal but where rows share a doc_id
+    heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_fingerprint")).alias("h")).select("doc_id", "h.*")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    both = both.select(
+    both = docs.join(heads, "doc_id", "left").select(
         "doc_id",
         n.cast("long").alias("n_chars"),
-        "text",
-        "next_text",
-        F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"),
-    )
-    both = both.select(
-        "doc_id",
-        "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(merkle_tree(F.col("text"))).alias("fingerprint"),
-        fingerprint(merkle_tree(F.col("edited"))).alias("edited_fingerprint"),
-        fingerprint(merkle_tree(F.col("next_text"))).alias("next_fingerprint"),
+        F.concat(
+            F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("head", F.lit("")), F.lit(1), half)
+        ).alias("edited"),
+        "fingerprint",
+        F.coalesce("next_fingerprint", F.lit("")).alias("next_fingerprint"),
     )
+    both = add_fingerprint(both, "edited", "edited_fingerprint")
     return both.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
+        F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
     )

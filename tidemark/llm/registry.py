@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle
+from . import licenses, merkle, pii
 from .common import table
 
 
@@ -14,5 +14,13 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_probe(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_merkle": op7_merkle}
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_pii": op4_pii, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
 SQL: dict[str, str] = {}
