@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, merkle, pii
+from . import jaccard, licenses, merkle, pii
 from .common import table
 
 
@@ -22,5 +22,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op4_pii": op4_pii, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op4_pii": op4_pii, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
 SQL: dict[str, str] = {}
