@@ -20,8 +20,9 @@ if it has more large ones than that, it probes the rest.
 1. Every member of a bucket is held against the bucket's first member, which joins families
    of near copies in linear time. Components follow from large-star/small-star contraction.
 2. Candidates of small buckets that lie in different components are held against each other.
-3. While a large bucket has a probing member and members of other components, up to LEADERS of
-   its probing members are held against those. Each round retires them; all are done at the end.
+3. In large buckets with members of several components, first up to LEADERS probing members are
+   held against those of other components, then, where components still differ, the rest.
+   How many buckets a member may overlook depends on the partner's size.
 
 Candidates are pruned by the Hamming distance of compact bit sketches and verified by the exact
 intersection of their sets. No links are dropped and no bucket is cut.
@@ -49,6 +50,7 @@ SPARE = 0.07
 LEADERS = 8
 FLUSH = 2_000_000
 _FIRST_BAND = 64
+_MASK = (1 << 25) - 1
 
 
 def _band(n: int) -> int:
@@ -72,8 +74,8 @@ def _compact(u: np.ndarray) -> np.ndarray:
     return words.view(np.int64)
 
 
-def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(band, signatures of the blocks that a set offers, number of buckets it may overlook) for its bands."""
+def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(band, signatures of the blocks that a set offers) for its bands."""
     n = len(u)
     most = (n + 4 * n // 3) // 7
     want = most + 1 + int(np.ceil(SPARE * n)) + 1
@@ -88,7 +90,7 @@ def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
             block = block[first]
             block, word = block[word != 0], word[word != 0]
         block, word = block[:want], word[:want]
-        yield band, mix(block * np.uint64(0xD1342543DE82EF95) ^ word ^ np.uint64(band << 56)), len(word) - most - 1
+        yield band, mix(block * np.uint64(0xD1342543DE82EF95) ^ word ^ np.uint64(band << 56))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +135,8 @@ def _packed(parts: int):
         order = np.argsort(part, kind="stable")
         sig, owner, part = sig[order], owner[order], part[order]
         edge = np.searchsorted(part, np.arange(parts + 1))
-        key = np.array([k for k, _, _ in heads], dtype=np.int64)
-        info = np.array([(band << 24) | spare for _, band, spare in heads], dtype=np.int32)
+        key = np.array([k for k, _ in heads], dtype=np.int64)
+        info = np.array([x for _, x in heads], dtype=np.int64)
         rows = []
         for p in range(parts):
             a, b = edge[p], edge[p + 1]
@@ -156,9 +158,9 @@ def _packed(parts: int):
             for _, u in shingle_sets(batch.column(0)):
                 if len(u) and (key := _key(u)) not in seen:
                     seen.add(key)
-                    for band, sig, spare in offered(u):
+                    for band, sig in offered(u):
                         sigs.append(sig)
-                        heads.append((key, band, max(0, spare)))
+                        heads.append((key, (band << 50) | (len(sig) << 25) | min(len(u), _MASK)))
                         held += len(sig)
                 if held > FLUSH:
                     yield flush(sigs, heads)
@@ -169,7 +171,7 @@ def _packed(parts: int):
     return run
 
 
-_MEET = "kind int, a long, b long, sig long, info int, members int"
+_MEET = "kind int, a long, b long, sig long, info long, members int"
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
         member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + 1
         a, b = _unique_pairs(key[lead], key[member])
         z = np.zeros(len(a), np.int64)
-        out.append((0, a, b, z, z.astype(np.int32), z.astype(np.int32)))
+        out.append((0, a, b, z, z, z.astype(np.int32)))
     pairs = []
     for s in range(3, SMALL + 1):
         at = first[size == s]
@@ -204,7 +206,7 @@ def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
     if pairs:
         a, b = _unique_pairs(np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]))
         z = np.zeros(len(a), np.int64)
-        out.append((1, a, b, z, z.astype(np.int32), z.astype(np.int32)))
+        out.append((1, a, b, z, z, z.astype(np.int32)))
     big = size > SMALL
     if big.any():
         reps = size[big]
@@ -222,7 +224,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide[:, :6] = six
             runs = np.frombuffer(row["runs"], np.int32)
             parts.setdefault(row["part"], []).append(
-                (wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["keys"], np.int64), runs), np.repeat(np.frombuffer(row["info"], np.int32), runs))
+                (wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["keys"], np.int64), runs), np.repeat(np.frombuffer(row["info"], np.int64), runs))
             )
     for p in sorted(parts):
         found = parts.pop(p)
@@ -324,26 +326,31 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     # members of large buckets that have more of them than they may overlook probe the rest
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("v", F.expr("info >> 24")).orderBy(F.desc("members"), "sig"))
-    probes = large.withColumn("rank", rank).where("rank > (info & 16777215)").select("sig", "v")
-    probes = materialize(probes, "probes")
-    while not probes.isEmpty():
-        ends = large.select("sig", "v").join(probes.select("sig").distinct(), "sig", "left_semi")
-        ends = ends.join(roots, "v", "left").select("sig", "v", F.coalesce("root", "v").alias("root"))
+    rank = F.row_number().over(Window.partitionBy("v", F.expr("info >> 50")).orderBy(F.desc("members"), "sig"))
+    size = F.col("info").bitwiseAND(_MASK)
+    offers = F.expr(f"info >> 25 & {_MASK}")
+    probes = large.select("sig", "v", size.alias("n"), offers.alias("offers"), rank.alias("rank"))
+    probes = materialize(probes.where(F.col("rank") > F.col("offers") - F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7) - 1), "probes")
+    everyone = large.select("sig", "v", size.alias("nv"))
+    for last in (False, True):
+        if probes.isEmpty():
+            break
+        ends = everyone.join(probes.select("sig").distinct(), "sig", "left_semi")
+        ends = ends.join(roots, "v", "left").select("sig", "v", "nv", F.coalesce("root", "v").alias("root"))
         mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
         probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
-        picks = [F.min(F.struct(F.xxhash64("v", F.lit(i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
-        leaders = probes.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*(f"p{i}" for i in range(LEADERS)))).alias("a")).distinct()
-        leaders = materialize(leaders, "leaders")
-        if leaders.isEmpty():
-            break
-        lead = leaders.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
+        lead = probes.withColumnRenamed("v", "a")
+        if not last:
+            picks = [F.min(F.struct(F.xxhash64("v", F.lit(i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
+            few = probes.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*(f"p{i}" for i in range(LEADERS)))).alias("a"))
+            lead = lead.join(few.distinct(), ["sig", "a"], "left_semi")
+        lead = lead.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
+        pairs = pairs.where("4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - floor((n + nv) / 7) - 1")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         found = materialize(_verified(_near(pairs, sketches), sets), "links")
         if not found.isEmpty():
             roots = materialize(components(_contracted(roots, found)), "roots")
-        probes = materialize(probes.join(leaders.withColumnRenamed("a", "v"), ["sig", "v"], "left_anti"), "probes")
 
     named = classes.join(roots, F.col("key") == F.col("v"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
