@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, licenses, merkle, pii
+from . import jaccard, langid, licenses, merkle, pii
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op4_pii": op4_pii, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
 SQL: dict[str, str] = {}

@@ -50,8 +50,10 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word (A-Z lower-cased, cut at separators) and, by row, the number of its first word."""
+def word_spans(
+    data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word (A-Z as a-z, cut at separators) and, by row, the number of its first word."""
     n = len(data)
     space = separators[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
@@ -63,7 +65,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray, separators: np.ndarray = _SPA
     up, down = _power(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), np.searchsorted(start, off)
+    return start, end, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, off)
 
 
 def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -72,7 +74,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     A text with fewer words has its whole sequence as one shingle; without words the set is empty.
     """
     for lo, hi, data, off in chunks(texts):
-        w, at = word_hashes(data, off)
+        _, _, w, at = word_spans(data, off)
         m = len(w)
         sh = np.zeros(max(0, m - SHINGLE + 1), dtype=np.uint64)
         for j in range(SHINGLE):
