@@ -87,7 +87,9 @@ def edit_probe(documents: DataFrame) -> DataFrame:
     The texts are shuffled once, by doc_id. A second exchange takes to each document only as
     much of the next one's start as its edit needs, and that one's fingerprint.
     """
-    docs = add_fingerprint(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both uses of these rows filter alike, so that one exchange serves both
+    docs = add_fingerprint(every.where("doc_id is not null"))
     lengths = documents.groupBy("doc_id").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("most"))
     order = next_ids(documents.select("doc_id"))
     before = order.join(lengths, "doc_id").select(
@@ -102,7 +104,10 @@ def edit_probe(documents: DataFrame) -> DataFrame:
     heads = heads.groupBy("doc_id").agg(F.min(F.struct("head", "next_fingerprint")).alias("h")).select("doc_id", "h.*")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    both = docs.join(heads, "doc_id", "left").select(
+    aside = add_fingerprint(every.where("doc_id is null")).withColumns(
+        {"head": F.lit(None).cast("string"), "next_fingerprint": F.lit(None).cast("string")}
+    )
+    both = docs.join(heads, "doc_id", "left").unionByName(aside).select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.concat(
