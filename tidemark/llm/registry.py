@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, merkle, pii
+from . import jaccard, langid, licenses, merkle, packing, pii
 from .common import table
 
 
@@ -30,5 +30,16 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
+def tokenizer_path() -> str:
+    """Where the production tokenizer lies on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
 SQL: dict[str, str] = {}

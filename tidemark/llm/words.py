@@ -27,7 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse."""
     if len(_powers.get("up", ())) < n:
         size = max(n, CHUNK + 1)
         with np.errstate(over="ignore"):
@@ -62,7 +63,7 @@ def word_spans(
     before[first], after[last] = True, True
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(~space & after) + 1
-    up, down = _power(n + 1)
+    up, down = powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_BYTE[data] * up[:n], out=total[1:])
     return start, end, mix((total[end] - total[start]) * down[start]), np.searchsorted(start, off)
