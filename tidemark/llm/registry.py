@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, merkle, packing, pii
-from .common import table
+from . import jaccard, langid, licenses, merkle, packing, pii, warc
+from .common import fresh_path, table
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +41,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
-SQL: dict[str, str] = {}
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.digest(warc.assemble(warc.read(spark, path, with_payload=False)))
+
+
+SQL_WARC = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS owner FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN owner = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN owner <> page_id THEN owner END AS refers_to
+FROM m
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
+SQL: dict[str, str] = {"op2_warc": SQL_WARC}
