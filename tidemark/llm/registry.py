@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, langid, licenses, merkle, packing, pii, warc
+from . import jaccard, langid, licenses, merkle, mtree, packing, pii, warc
 from .common import fresh_path, table
 
 
@@ -57,5 +57,20 @@ FROM m
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
-SQL: dict[str, str] = {"op2_warc": SQL_WARC}
+def op6_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL_MTREE = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+             CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_mtree": op6_mtree, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
+SQL: dict[str, str] = {"op2_warc": SQL_WARC, "op6_mtree": SQL_MTREE}
