@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, merkle, mtree, packing, pii, warc
+from . import jaccard, langid, licenses, merkle, mixing, mtree, packing, pii, shards, warc
 from .common import fresh_path, table
 
 
@@ -72,5 +73,22 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_mtree": op6_mtree, "op7_merkle": op7_merkle, "op9_licenses": op9_licenses}
-SQL: dict[str, str] = {"op2_warc": SQL_WARC, "op6_mtree": SQL_MTREE}
+def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = shards.ingest(table(spark, sf_dir, "documents"), fresh_path(spark, "store"))
+    rows = store.read()
+    return rows.select(
+        "doc_id", "lang", "source", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256")
+    )
+
+
+SQL_SHARDS = """
+SELECT doc_id, lang, source, n_chars, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256 FROM documents
+"""
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_mtree": op6_mtree, "op7_merkle": op7_merkle, "op8_shards": op8_shards, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing}
+SQL: dict[str, str] = {"op2_warc": SQL_WARC, "op6_mtree": SQL_MTREE, "op8_shards": SQL_SHARDS, "op10_mixing": mixing.sql()}
