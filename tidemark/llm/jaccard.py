@@ -37,7 +37,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +45,12 @@ from .common import materialize, ship, shuffle_partitions
 from .words import mix, shingle_sets
 
 SMALL = 24
-SPARE = 0.07
+SPARE = 0.05
 LEADERS = 8
 FLUSH = 2_000_000
 _FIRST_BAND = 64
 _MASK = (1 << 25) - 1
+FILTER_BITS = 25
 
 
 def _band(n: int) -> int:
@@ -106,26 +106,60 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, rows, held = batch.column(0), [], 0
-        out = lambda: pa.RecordBatch.from_arrays(
-            [keys.take(pa.array([r for r, _ in rows])), pa.array([u for _, u in rows], pa.list_(pa.int64()))], names=["key", "members"]  # noqa: B023
-        )
-        for row, u in shingle_sets(batch.column(1)):
-            if not len(u) or _key(u) != keys[row].as_py():
-                continue
-            rows.append((row, u.view(np.int64)))
-            held += len(u)
-            if held > FLUSH:
-                yield out()
-                rows, held = [], 0
-        if rows:
-            yield out()
+def _chosen(bitmap) -> object:
+    """Sets of the rows whose doc_id is in a bitmap of hashed ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            place = batch.column(0).to_numpy(zero_copy_only=False)
+            chosen = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            rows, held = [], 0
+            for _, u in shingle_sets(batch.column(1).take(pa.array(chosen))):
+                if len(u):
+                    rows.append((_key(u), u.view(np.int64)))
+                    held += len(u)
+                if held > FLUSH:
+                    yield _set_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _set_batch(rows)
+
+    return run
 
 
-def _packed(parts: int):
+def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
+    key, members = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["key", "members"])
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(key, members) of the texts of some ids, and of a few others.
+
+    The ids' hashes go into a bitmap of 2^FILTER_BITS places (4 MB, whatever the corpus), which is
+    broadcast, so that other texts are neither shuffled nor hashed. A full bitmap only lets more through.
+    """
+    spark = docs.sparkSession
+    place = lambda c: F.pmod(F.xxhash64(F.lit(3), c), F.lit(1 << FILTER_BITS))
+    at = ids.select(place(F.col("doc_id")).alias("p")).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, cast(p % 64 as int))").alias("b"))
+    words = at.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    held = spark.sparkContext.broadcast(bitmap.tobytes())
+    rows = docs.where("doc_id is not null").select(place(F.col("doc_id")).alias("p"), "text")
+    return materialize(rows.mapInArrow(_chosen(held), "key long, members array<bigint>").withColumn("n", F.size("members")), "sets")
+
+
+def _part_labels(spark, parts: int) -> list[int]:
+    """For each partition, a number whose hash Spark deals to it."""
+    dealt = spark.range(parts * 16).select(F.col("id").cast("int").alias("i"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(parts)).alias("p"))
+    found = {r["p"]: r["i"] for r in dealt.groupBy("p").agg(F.min("i").alias("i")).collect()}
+    return [found.get(p, p) for p in range(parts)]
+
+
+def _packed(labels: list[int]):
     """Signatures as packed runs: one row per target part, with 48-bit signatures and a run per set."""
+    parts = len(labels)
 
     def flush(sigs: list, heads: list) -> pa.RecordBatch:
         sig = np.concatenate(sigs)
@@ -144,9 +178,9 @@ def _packed(parts: int):
                 continue
             own = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            runs = np.diff(np.append(first, b - a)).astype(np.int32)
+            runs = np.diff(np.append(first, b - a)).astype(np.uint16 if b - a < 65536 else np.uint32)
             six = sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            rows.append((p, six.tobytes(), runs.tobytes(), key[own[first]].tobytes(), info[own[first]].tobytes()))
+            rows.append((labels[p], six.tobytes(), runs.tobytes(), key[own[first]].tobytes(), info[own[first]].tobytes()))
         p, *blobs = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
             [pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "sigs", "runs", "keys", "info"]
@@ -222,9 +256,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             six = np.frombuffer(row["sigs"], np.uint8).reshape(-1, 6)
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
-            runs = np.frombuffer(row["runs"], np.int32)
+            keys = np.frombuffer(row["keys"], np.int64)
+            runs = np.frombuffer(row["runs"], np.uint16 if len(row["runs"]) == 2 * len(keys) else np.uint32)
             parts.setdefault(row["part"], []).append(
-                (wide.view("<u8").ravel(), np.repeat(np.frombuffer(row["keys"], np.int64), runs), np.repeat(np.frombuffer(row["info"], np.int64), runs))
+                (wide.view("<u8").ravel(), np.repeat(keys, runs), np.repeat(np.frombuffer(row["info"], np.int64), runs))
             )
     for p in sorted(parts):
         found = parts.pop(p)
@@ -237,13 +272,15 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets link; pairs is a written table."""
+    keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+    sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")))
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("ma", "mb"))
-    return both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return materialize(both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
 
 
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -290,38 +327,28 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents(doc_id, text)."""
     spark = documents.sparkSession
     ship(spark)
-    parts = shuffle_partitions(spark) * 4
+    labels = _part_labels(spark, shuffle_partitions(spark))
     docs = documents.select("doc_id", "text")
     digest = materialize(docs.mapInArrow(_digests, f"{_id(docs)}, n long, key long, sketch array<bigint>"), "digest")
-    packed = docs.select("text").mapInArrow(_packed(parts), "part int, sigs binary, runs binary, keys binary, info binary")
-    meet = materialize(packed.repartition(shuffle_partitions(spark), "part").mapInArrow(_meetings, _MEET), "meet")
+    packed = docs.select("text").mapInArrow(_packed(labels), "part int, sigs binary, runs binary, keys binary, info binary")
+    meet = materialize(packed.repartition(len(labels), "part").mapInArrow(_meetings, _MEET), "meet")
 
-    classes = digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    stars = meet.where("kind = 0").select("a", "b").distinct()
-    close = meet.where("kind = 1").select("a", "b").distinct()
+    classes = digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
     large = meet.where("kind = 2").select(F.col("a").alias("v"), "sig", "info", "members")
-
-    # what takes part in any bucket: its sketch, and its set from its representative's text
     wanted = meet.select("a").union(meet.where("kind < 2").select("b")).distinct().withColumnRenamed("a", "key")
-    wanted = classes.join(wanted, "key")
-    wanted = wanted.select(F.col("key").alias("k"), F.col("rep").alias("doc_id"))
+    wanted = classes.join(wanted, "key").select(F.col("key").alias("k"), F.col("rep").alias("doc_id"))
     sketches = digest.select("doc_id", "key", "n", "sketch").join(wanted, "doc_id").where("key = k")
     sketches = materialize(sketches.dropDuplicates(["key"]).select("key", "n", "sketch", F.col("doc_id").alias("rep")), "sketch")
 
-    near = materialize(_near(stars, sketches), "near")
-    extra = materialize(_near(close, sketches), "near")
-    used = near.select(F.col("a").alias("key")).union(near.select("b")).union(extra.select("a")).union(extra.select("b")).union(large.select("v")).distinct()
-    texts = docs.join(sketches.join(used, "key").select("key", F.col("rep").alias("doc_id")), "doc_id").select("key", "text")
-    # rows that share a doc_id may hold other texts: the set's own key decides below
-    members = texts.mapInArrow(_sets, "key long, members array<bigint>").withColumn("n", F.size("members"))
-    sets = materialize(members.dropDuplicates(["key"]), "sets")
-
-    links = materialize(_verified(near, sets), "links")
+    close = materialize(_near(meet.where("kind < 2").select("a", "b").distinct(), sketches), "near")
+    stars = close.join(meet.where("kind = 0").select("a", "b").distinct(), ["a", "b"], "left_semi")
+    links = _verified(materialize(stars, "stars"), docs, sketches)
     roots = materialize(components(links), "roots")
-    found = materialize(_verified(_across(extra, roots), sets), "links")
-    if not found.isEmpty():
-        links = links.union(found)
-        roots = materialize(components(_contracted(roots, found)), "roots")
+    apart = materialize(_across(close.join(meet.where("kind = 1").select("a", "b").distinct(), ["a", "b"], "left_semi"), roots), "apart")
+    if not apart.isEmpty():
+        found = _verified(apart, docs, sketches)
+        if not found.isEmpty():
+            roots = materialize(components(_contracted(roots, found)), "roots")
 
     # members of large buckets that have more of them than they may overlook probe the rest
     from pyspark.sql import Window
@@ -348,7 +375,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
         pairs = pairs.where("4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - floor((n + nv) / 7) - 1")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        found = materialize(_verified(_near(pairs, sketches), sets), "links")
+        pairs = materialize(_near(pairs, sketches), "near")
+        if pairs.isEmpty():
+            continue
+        found = _verified(pairs, docs, sketches)
         if not found.isEmpty():
             roots = materialize(components(_contracted(roots, found)), "roots")
 
