@@ -213,6 +213,29 @@ def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
     return [{"first": int(a), "last": int(b), "lang": languages[best[a]]} for a, b in zip(edge, last, strict=True)]
 
 
+def _label(m: Model | None, texts: pa.Array, parts: list | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; parts, if given, gets the runs of words of one language."""
+    lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    for lo, _, data, off in chunks(texts):
+        if m is None:
+            break
+        start, end, key, at = word_spans(data, off, _SEPARATOR)
+        if not len(start):
+            continue
+        prob, _, _ = forward_backward(_scores(m, data, start, end, key), at, m.transitions, m.initial)
+        full = np.flatnonzero(at[1:] > at[:-1])
+        mean = np.add.reduceat(prob, at[:-1][full], axis=0) / np.diff(at)[full][:, None]
+        plain = np.logical_or.reduceat((data[start] < 128) | (data[end - 1] < 128), at[:-1][full])
+        for r, row, has_ascii in zip(full, mean, plain, strict=True):
+            if not has_ascii and not any(c.isalpha() for c in texts[lo + r].as_py()):
+                continue
+            k = int(row.argmax())
+            lang[lo + r], score[lo + r] = m.languages[k], min(1.0, float(row[k]))
+            if parts is not None:
+                parts[lo + r] = _runs(prob[at[r] : at[r + 1]].argmax(axis=1), m.languages)
+    return lang, score
+
+
 def predict(documents: DataFrame, model: Model | None, runs: bool = False) -> DataFrame:
     """doc_id, lang_pred, score; with runs, also the runs of words of one language."""
     spark = documents.sparkSession
@@ -221,28 +244,9 @@ def predict(documents: DataFrame, model: Model | None, runs: bool = False) -> Da
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
         for batch in batches:
-            lang = [UNDETERMINED] * batch.num_rows
-            score = np.zeros(batch.num_rows)
-            parts: list[list] = [[] for _ in range(batch.num_rows)]
-            for lo, _, data, off in chunks(batch.column(1)):
-                if m is None:
-                    break
-                start, end, key, at = word_spans(data, off, _SEPARATOR)
-                if not len(start):
-                    continue
-                prob, _, _ = forward_backward(_scores(m, data, start, end, key), at, m.transitions, m.initial)
-                full = np.flatnonzero(at[1:] > at[:-1])
-                mean = np.add.reduceat(prob, at[:-1][full], axis=0) / np.diff(at)[full][:, None]
-                ascii_letters = np.add.reduceat((data[start] < 128) | (data[end - 1] < 128), at[:-1][full])
-                for r, row, plain in zip(full, mean, ascii_letters, strict=True):
-                    if not plain and not any(c.isalpha() for c in batch.column(1)[lo + r].as_py()):
-                        continue
-                    k = int(row.argmax())
-                    lang[lo + r], score[lo + r] = m.languages[k], min(1.0, float(row[k]))
-                    if runs:
-                        parts[lo + r] = _runs(prob[at[r] : at[r + 1]].argmax(axis=1), m.languages)
+            parts: list | None = [[] for _ in range(batch.num_rows)] if runs else None
+            lang, score = _label(held.value, batch.column(1), parts)
             out = [batch.column(0), pa.array(lang, pa.string()), pa.array(score)]
             if runs:
                 out.append(pa.array(parts, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))))
@@ -255,3 +259,23 @@ def predict(documents: DataFrame, model: Model | None, runs: bool = False) -> Da
 def identify(documents: DataFrame) -> DataFrame:
     """Fit, then predict every row: doc_id, held_out, lang_pred, score."""
     return predict(documents, fit(documents)).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def filter_known(documents: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows whose language is known with at least a score, with the predicted language as lang.
+
+    Rows pass whole through the Arrow tasks, so no join by doc_id and no shuffle is needed.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast(model)
+    at = documents.columns.index("text"), documents.columns.index("lang")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang, score = _label(held.value, batch.column(at[0]))
+            keep = pa.array([g != UNDETERMINED and s >= least for g, s in zip(lang, score, strict=True)])
+            columns = [pa.array(lang, pa.string()) if i == at[1] else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+
+    return documents.mapInArrow(task, documents.schema)
