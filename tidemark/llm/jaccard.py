@@ -38,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, ship, shuffle_partitions
@@ -66,7 +66,7 @@ def _key(u: np.ndarray) -> int:
 def _compact(u: np.ndarray) -> np.ndarray:
     """Bit sketch of two to four places a shingle, as 64-bit words."""
     bits = max(6, int(2 * len(u) - 1).bit_length())
-    place = u >> np.uint64(64 - bits)
+    place = u & np.uint64((1 << bits) - 1)  # low bits, so that a sketch folds in halves
     odd, times = np.unique(place, return_counts=True)
     odd = odd[times % 2 == 1]
     words = np.zeros((1 << bits) // 64, dtype=np.uint64)
@@ -208,7 +208,9 @@ def _packed(labels: list[int]):
 _MEET = "kind int, a long, b long, sig long, info long, members int"
 
 
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _unique_pairs(a: np.ndarray, b: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs whose sizes allow a link."""
+    a, b = a[fit], b[fit]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     keep = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
@@ -224,11 +226,13 @@ def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
     first, size = first[size > 1], size[size > 1]
+    n = info & _MASK
+    fit = lambda x, y: 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
     out = []
     if len(first):
         lead = np.repeat(first, size - 1)
         member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + 1
-        a, b = _unique_pairs(key[lead], key[member])
+        a, b = _unique_pairs(key[lead], key[member], fit(lead, member))
         z = np.zeros(len(a), np.int64)
         out.append((0, a, b, z, z, z.astype(np.int32)))
     pairs = []
@@ -236,9 +240,10 @@ def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
         at = first[size == s]
         if len(at):
             i, j = np.triu_indices(s - 1, 1)
-            pairs.append((key[(at[:, None] + 1 + i).ravel()], key[(at[:, None] + 1 + j).ravel()]))
+            pairs.append(((at[:, None] + 1 + i).ravel(), (at[:, None] + 1 + j).ravel()))
     if pairs:
-        a, b = _unique_pairs(np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs]))
+        x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
+        a, b = _unique_pairs(key[x], key[y], fit(x, y))
         z = np.zeros(len(a), np.int64)
         out.append((1, a, b, z, z, z.astype(np.int32)))
     big = size > SMALL
@@ -283,14 +288,23 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFra
     return materialize(both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
 
 
+def _folded(sketch: Column) -> Column:
+    """A sketch of half as many places: the parity of both halves together."""
+    half = (F.size(sketch) / 2).cast("int")
+    return F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
 def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs that sizes and the Hamming distance of compact sketches don't rule out."""
     left = classes.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
     both = both.where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    return both.where((F.size("sa") != F.size("sb")) | (7 * apart <= F.col("na") + F.col("nb"))).select("a", "b")
+    # sizes within 4/3 of each other make sketches of one length, or of one and its double
+    x = F.when(F.size("sa") > F.size("sb"), _folded(F.col("sa"))).otherwise(F.col("sa"))
+    y = F.when(F.size("sb") > F.size("sa"), _folded(F.col("sb"))).otherwise(F.col("sb"))
+    apart = F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda acc, v: acc + v)
+    return both.where(7 * apart <= F.col("na") + F.col("nb")).select(*pairs.columns)
 
 
 def components(links: DataFrame, name: str = "cc") -> DataFrame:
@@ -340,11 +354,11 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     sketches = digest.select("doc_id", "key", "n", "sketch").join(wanted, "doc_id").where("key = k")
     sketches = materialize(sketches.dropDuplicates(["key"]).select("key", "n", "sketch", F.col("doc_id").alias("rep")), "sketch")
 
-    close = materialize(_near(meet.where("kind < 2").select("a", "b").distinct(), sketches), "near")
-    stars = close.join(meet.where("kind = 0").select("a", "b").distinct(), ["a", "b"], "left_semi")
-    links = _verified(materialize(stars, "stars"), docs, sketches)
+    pairs = meet.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
+    close = materialize(_near(pairs, sketches), "near")
+    links = _verified(close.where("kind = 0").select("a", "b"), docs, sketches)
     roots = materialize(components(links), "roots")
-    apart = materialize(_across(close.join(meet.where("kind = 1").select("a", "b").distinct(), ["a", "b"], "left_semi"), roots), "apart")
+    apart = materialize(_across(close.where("kind = 1"), roots), "apart")
     if not apart.isEmpty():
         found = _verified(apart, docs, sketches)
         if not found.isEmpty():
@@ -360,10 +374,10 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     probes = materialize(probes.where(F.col("rank") > F.col("offers") - F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7) - 1), "probes")
     everyone = large.select("sig", "v", size.alias("nv"))
     for last in (False, True):
-        if probes.isEmpty():
+        everyone = materialize(everyone.join(probes.select("sig").distinct(), "sig", "left_semi"), "ends")
+        if everyone.isEmpty():
             break
-        ends = everyone.join(probes.select("sig").distinct(), "sig", "left_semi")
-        ends = ends.join(roots, "v", "left").select("sig", "v", "nv", F.coalesce("root", "v").alias("root"))
+        ends = everyone.join(roots, "v", "left").select("sig", "v", "nv", F.coalesce("root", "v").alias("root"))
         mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
         probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
         lead = probes.withColumnRenamed("v", "a")
