@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import materialize, ship
 
 MIN_REVISIT = 1000
 FILE_RECORDS = 3000
@@ -166,7 +166,8 @@ def assemble(records: DataFrame) -> DataFrame:
     owners = records.where("type = 'response' and digest is not null").select(
         F.col("record_id").alias("owner_id"), F.struct(F.col("page_id"), F.col("found_bytes").alias("bytes"), F.col("found_sha1").alias("sha1")).alias("owner")
     )
-    owners = owners.dropDuplicates(["owner_id"])
+    # written, so that the join below reads both sides alike and can split a response that many refer to
+    owners = materialize(owners.dropDuplicates(["owner_id"]), "owners")
     capture = capture.join(owners, F.col("refers_to") == F.col("owner_id"), "left")
     return capture.select(
         "page_id",
