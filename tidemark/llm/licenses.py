@@ -9,7 +9,8 @@ priority (or inside a longer one of the same priority) is suppressed.
 Three base phrases (BASE) are always counted, whatever the rules say.
 
 Defined cases: a null text counts as empty; no words give zero counts, empty labels, null
-first and last word and score 0; repeated rows give repeated results; other columns are ignored.
+first and last word and score 0; repeated rows give repeated results; other columns are
+kept, but ones called n_words, base or detections are replaced.
 """
 
 from __future__ import annotations

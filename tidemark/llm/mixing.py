@@ -14,7 +14,8 @@ they are joined by a shuffle (skewed sources are split by the adaptive join).
 
 Defined cases: a null source is a source of its own; a null doc_id hashes like an empty string;
 rows that share a doc_id get the same count; a source without target has rate 0 when targets are
-given; an empty table gives an empty result; other columns are kept.
+given; an empty table gives an empty result; other columns are kept, but ones called copy,
+repeats or shuffle_key are replaced.
 """
 
 from __future__ import annotations

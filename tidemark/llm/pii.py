@@ -189,35 +189,33 @@ def digest(df: DataFrame) -> DataFrame:
 
 def sanitise(df: DataFrame) -> DataFrame:
     """df with text replaced by its sanitised form: entities by [KIND], removed terms by [...], generalised ones by their shape."""
-    found = find_all(df)
+    found = find_all(df.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marks = F.concat(
-        F.transform(_labelled(F.col("base")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["k"]), F.lit("]")).alias("r"))),
-        F.transform(
-            "terms",
-            lambda x: F.struct(
-                x["s"].alias("s"),
-                x["e"].alias("e"),
-                F.when(x["remove"], F.lit("[...]"))
-                .otherwise(F.when(cut(text, x).rlike(r"^\p{Lu}"), F.lit("[Name]")).otherwise(F.lit("[word]")))
-                .alias("r"),
-            ),
-        ),
+    entities = F.transform(
+        _labelled(F.col("base")),
+        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["k"]), F.lit("]")).alias("r")),
+    )
+    shape = lambda x: F.when(cut(text, x).rlike(r"^\p{Lu}"), F.lit("[Name]")).otherwise(F.lit("[word]"))
+    terms = F.transform(
+        "terms",
+        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], F.lit("[...]")).otherwise(shape(x)).alias("r")),
     )
-    found = found.withColumn("_marks", F.array_sort(marks))
+    found = found.withColumn("marks", F.array_sort(F.concat(entities, terms)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     # in order of place; a mark that begins inside the one before only extends it
     folded = F.aggregate(
-        "_marks",
+        "marks",
         start,
         lambda acc, m: F.struct(
             F.greatest(acc["at"], m["e"]).alias("at"),
             F.when(
                 m["s"] >= acc["at"],
                 F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), m["r"])),
-            ).otherwise(acc["out"]).alias("out"),
+            )
+            .otherwise(acc["out"])
+            .alias("out"),
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
     )
-    clean = F.when(F.size("_marks") > 0, folded).otherwise(F.col("text"))
-    return found.withColumn("text", clean).select(*df.columns)
+    found = found.withColumn("clean", F.when(F.size("marks") > 0, folded).otherwise(F.col("text")))
+    return found.select(*(F.col("clean").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns))
