@@ -61,7 +61,7 @@ def add_fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint"
 
 
 def _level(fp: Column, level: int) -> Column:
-    return F.split(F.split(fp, r"\|")[level], r"\.")
+    return F.split(F.get(F.split(fp, r"\|"), F.lit(level)), r"\.")
 
 
 def likeness(a: Column, b: Column) -> Column:
