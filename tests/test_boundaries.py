@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 from tidemark.operators import analytics, asof, labels, markov, match, windows
 from tidemark.sources import readers, sinks
+from tidemark.streaming import queries as streams
 
 US = 1_000_000
 
@@ -144,8 +145,20 @@ def test_sinks_and_sources(spark, tmp_path):
 def test_minute_stream_equals_batch(spark, tmp_path):
     rows = spark.range(200).select((F.timestamp_seconds(F.col("id") * 7 + 1_700_000_000)).alias("ts"), (F.col("id") / 200).alias("mid_price"), (F.col("id") % 10 / 10).alias("prob"), (F.col("id") % 2).cast("int").alias("label"))
     rows.write.parquet(f"{tmp_path}/in")
-    q = analytics.minute_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+    q = streams.minute_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
     run = q.writeStream.outputMode("complete").format("memory").queryName("minutes").trigger(availableNow=True).start()
     run.awaitTermination()
     key = lambda df: sorted((str(r["window"]["start"]), round(r["mean_prob"], 9), r["n"]) for r in df.collect())
-    assert key(spark.table("minutes")) == key(analytics.minute_stream(rows))
+    assert key(spark.table("minutes")) == key(streams.minute_stream(rows))
+
+
+def test_sliding_and_session_streams_equal_batch(spark, tmp_path):
+    rows = spark.range(120).select(
+        (F.col("id") % 3).alias("fixture_id"), F.timestamp_seconds(F.col("id") * F.when(F.col("id") > 60, 40).otherwise(5) + 1_700_000_000).alias("ts"),
+        F.lit(1.5).alias("weight"), (F.col("id") / 500).alias("move"),
+    )
+    rows.write.parquet(f"{tmp_path}/in")
+    for name, of in (("density", streams.density_stream), ("sessions", streams.session_stream)):
+        q = of(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
+        q.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, of(rows).collect()))

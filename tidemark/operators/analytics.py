@@ -143,13 +143,6 @@ def yes_series(prices: DataFrame, key: str, series: str, order: str) -> DataFram
     return first.groupBy(key).agg(best.alias("b")).select(key, "b.*")
 
 
-def minute_stream(events: DataFrame, watermark: str = "10 minutes", width: str = "1 minute") -> DataFrame:
-    """The streaming twin of minute_line: events(ts, ...) as a stream or a table."""
-    return events.withWatermark("ts", watermark).groupBy(F.window("ts", width)).agg(
-        F.avg("mid_price").alias("price"), F.avg("prob").alias("mean_prob"), F.max("prob").alias("max_prob"), F.avg("label").alias("vol_rate"), F.count("*").alias("n")
-    )
-
-
 def recent(df: DataFrame, seconds: float, closed: str = "both") -> DataFrame:
     """df with the number of its fixture's rows in the last seconds."""
     return df.withColumn("density", F.count("*").over(past("fixture_id", "us", seconds, closed)))
