@@ -54,7 +54,9 @@ def test_jaccard_edges(spark, edges, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch):
+@pytest.mark.parametrize("task_links", [0, 1_000_000])
+def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, task_links):
+    monkeypatch.setattr(jaccard, "TASK_LINKS", task_links)
     monkeypatch.setattr(jaccard, "SMALL", 4)
     monkeypatch.setattr(jaccard, "LEADERS", 2)
     rng = random.Random(3)

@@ -9,8 +9,8 @@ most their sets' symmetric difference. For two sets that link, of sizes a <= b <
 is at most (a + b) / 7. k depends on the size band (powers of four); a set whose partners may
 reach into the next band is sketched for both.
 
-Pigeonhole. A set offers its first (a + 4a/3) / 7 + 1 non-zero blocks, and some more (SPARE),
-in the order of places. Whatever the partner, at least as many of these blocks equal the
+Pigeonhole. A set offers its first (a + 4a/3) / 7 + 1 non-zero blocks, and some more (SPARE; all
+of them below FULL_BELOW shingles, where a common passage is a large part), in the order of places. Whatever the partner, at least as many of these blocks equal the
 partner's as they exceed the bound, so partners meet in a bucket of equal blocks.
 
 Buckets. In a bucket of at most SMALL classes every pair is a candidate. In a larger one, a set
@@ -45,12 +45,14 @@ from .common import materialize, ship, shuffle_partitions
 from .words import mix, shingle_sets
 
 SMALL = 24
-SPARE = 0.05
+SPARE = 0.1
+FULL_BELOW = 512
 LEADERS = 8
 FLUSH = 2_000_000
 _FIRST_BAND = 64
 _MASK = (1 << 25) - 1
 FILTER_BITS = 25
+TASK_LINKS = 1_000_000
 
 
 def _band(n: int) -> int:
@@ -78,7 +80,7 @@ def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(band, signatures of the blocks that a set offers) for its bands."""
     n = len(u)
     most = (n + 4 * n // 3) // 7
-    want = most + 1 + int(np.ceil(SPARE * n)) + 1
+    want = n if n < FULL_BELOW else most + 1 + int(np.ceil(SPARE * n)) + 1
     for band in {_band(n), _band(4 * n // 3)}:
         if band == 0:  # each shingle is a block of its own
             block, word = u, u
@@ -307,10 +309,47 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(7 * apart <= F.col("na") + F.col("nb")).select(*pairs.columns)
 
 
-def components(links: DataFrame, name: str = "cc") -> DataFrame:
-    """(v, root) of every end of a link: root is the smallest key reachable. Alternates large-star and small-star."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct(), name)
-    mark = None
+def components(links: DataFrame) -> DataFrame:
+    """(v, root) of every end of a link: root is the smallest key reachable.
+
+    Up to TASK_LINKS links (16 MB) are joined in one task; more go by star contraction.
+    """
+    links = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u")
+    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        return links.coalesce(1).mapInArrow(_joined, "v long, root long")
+    return _contraction(links)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of a task, by hooking to smaller labels and pointer jumping."""
+    pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not pairs:
+        return
+    v, u = (np.concatenate(side) for side in zip(*pairs, strict=True))
+    if not len(v):
+        return
+    key, at = np.unique(np.concatenate([v, u]), return_inverse=True)
+    v, u = at[: len(v)], at[len(v) :]
+    root = np.arange(len(key))
+    while True:
+        low = np.minimum(root[v], root[u])
+        new = root.copy()
+        for end in (v, u):
+            np.minimum.at(new, root[end], low)
+            np.minimum.at(new, end, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    for lo in range(0, len(key), 500_000):
+        part = slice(lo, lo + 500_000)
+        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(key[root[part]])], names=["v", "root"])
+
+
+def _contraction(links: DataFrame) -> DataFrame:
+    """Alternates large-star and small-star on ever smaller stars until nothing changes."""
+    edges, mark = materialize(links.distinct(), "cc"), None
     while True:
         # large-star: each vertex's larger neighbours go to its smallest neighbour or itself
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -319,7 +358,7 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         # small-star: each vertex and its smaller neighbours go to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        edges = materialize(small.union(low.select("v", F.col("m").alias("u"))).distinct(), name)
+        edges = materialize(small.union(low.select("v", F.col("m").alias("u"))).distinct(), "cc")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:
             break
