@@ -9,9 +9,10 @@ most their sets' symmetric difference. For two sets that link, of sizes a <= b <
 is at most (a + b) / 7. k depends on the size band (powers of four); a set whose partners may
 reach into the next band is sketched for both.
 
-Pigeonhole. A set offers its first (a + 4a/3) / 7 + 1 non-zero blocks, and some more (SPARE; all
-of them below FULL_BELOW shingles, where a common passage is a large part), in the order of places. Whatever the partner, at least as many of these blocks equal the
-partner's as they exceed the bound, so partners meet in a bucket of equal blocks.
+Pigeonhole. A set offers its first (a + 4a/3) / 7 + 1 non-zero blocks, and some more (SPARE), in
+the order of places. Whatever the partner, at least as many of these blocks equal the partner's
+as they exceed the bound, so partners meet in a bucket of equal blocks. Sets below _FIRST_BAND
+shingles have a block for each shingle and offer all; of these at most (4a - 3b) / 7 can differ.
 
 Buckets. In a bucket of at most SMALL classes every pair is a candidate. In a larger one, a set
 may overlook as many buckets as it offered spare blocks, and overlooks the most popular ones;
@@ -20,9 +21,10 @@ if it has more large ones than that, it probes the rest.
 1. Every member of a bucket is held against the bucket's first member, which joins families
    of near copies in linear time. Components follow from large-star/small-star contraction.
 2. Candidates of small buckets that lie in different components are held against each other.
-3. In large buckets with members of several components, first up to LEADERS probing members are
-   held against those of other components, then, where components still differ, the rest.
-   How many buckets a member may overlook depends on the partner's size.
+3. In large buckets with members of several components, up to LEADERS probing members, the most
+   central ones, are held against those of other components; that once more with other members;
+   then, where components still differ, all the rest. How many buckets a member may overlook
+   depends on the partner's size.
 
 Candidates are pruned by the Hamming distance of compact bit sketches and verified by the exact
 intersection of their sets. No links are dropped and no bucket is cut.
@@ -46,17 +48,16 @@ from .words import mix, shingle_sets
 
 SMALL = 24
 SPARE = 0.1
-FULL_BELOW = 512
 LEADERS = 8
-FLUSH = 2_000_000
-_FIRST_BAND = 64
+FLUSH = 500_000
+_FIRST_BAND = 512
 _MASK = (1 << 25) - 1
 FILTER_BITS = 25
 TASK_LINKS = 1_000_000
 
 
 def _band(n: int) -> int:
-    """0 below 64 shingles, then one for each factor of four."""
+    """0 below _FIRST_BAND shingles, then one for each factor of four."""
     return 0 if n < _FIRST_BAND else ((n // _FIRST_BAND).bit_length() + 1) // 2
 
 
@@ -79,13 +80,12 @@ def _compact(u: np.ndarray) -> np.ndarray:
 def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(band, signatures of the blocks that a set offers) for its bands."""
     n = len(u)
-    most = (n + 4 * n // 3) // 7
-    want = n if n < FULL_BELOW else most + 1 + int(np.ceil(SPARE * n)) + 1
+    want = n if n < _FIRST_BAND else (n + 4 * n // 3) // 7 + 2 + int(np.ceil(SPARE * n))
     for band in {_band(n), _band(4 * n // 3)}:
-        if band == 0:  # each shingle is a block of its own
+        if band == 0:  # a block a shingle
             block, word = u, u
         else:
-            bits = 6 + 2 * band
+            bits = 9 + 2 * band
             block = u >> np.uint64(64 - bits)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             word = np.bitwise_xor.reduceat(mix(u), first)
@@ -203,6 +203,7 @@ def _packed(labels: list[int]):
                     sigs, heads, held, seen = [], [], 0, set()
         if sigs:
             yield flush(sigs, heads)
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -406,13 +407,18 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     # members of large buckets that have more of them than they may overlook probe the rest
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy("v", F.expr("info >> 50")).orderBy(F.desc("members"), "sig"))
+    own = Window.partitionBy("v", F.expr("info >> 50"))
+    rank = F.row_number().over(own.orderBy(F.desc("members"), "sig"))
+    # blocks that a set shares with no large bucket: the fewer, the more central it is in its family
+    alone = F.expr(f"info >> 25 & {_MASK}") - F.count("*").over(own)
     size = F.col("info").bitwiseAND(_MASK)
     offers = F.expr(f"info >> 25 & {_MASK}")
-    probes = large.select("sig", "v", size.alias("n"), offers.alias("offers"), rank.alias("rank"))
-    probes = materialize(probes.where(F.col("rank") > F.col("offers") - F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7) - 1), "probes")
+    probes = large.select("sig", "v", size.alias("n"), offers.alias("offers"), F.expr("info >> 50").alias("band"), rank.alias("rank"), alone.alias("alone"))
+    # blocks that may differ from any partner's; the pair's own sizes decide below
+    worst = F.when(F.col("band") == 0, F.floor(F.col("n") / 4)).otherwise(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7))
+    probes = materialize(probes.where(F.col("rank") > F.col("offers") - worst - 1), "probes")
     everyone = large.select("sig", "v", size.alias("nv"))
-    for last in (False, True):
+    for turn in range(3):
         everyone = materialize(everyone.join(probes.select("sig").distinct(), "sig", "left_semi"), "ends")
         if everyone.isEmpty():
             break
@@ -420,13 +426,14 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
         probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
         lead = probes.withColumnRenamed("v", "a")
-        if not last:
-            picks = [F.min(F.struct(F.xxhash64("v", F.lit(i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
+        if turn < 2:
+            picks = [F.min(F.struct("alone", F.xxhash64("v", F.lit(turn * LEADERS + i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
             few = probes.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*(f"p{i}" for i in range(LEADERS)))).alias("a"))
             lead = lead.join(few.distinct(), ["sig", "a"], "left_semi")
         lead = lead.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
-        pairs = pairs.where("4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - floor((n + nv) / 7) - 1")
+        differ = "case when band = 0 then greatest(0, floor((4 * n - 3 * nv) / 7)) else floor((n + nv) / 7) end"
+        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - {differ} - 1")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         pairs = materialize(_near(pairs, sketches), "near")
         if pairs.isEmpty():

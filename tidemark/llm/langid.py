@@ -37,6 +37,7 @@ MAX_DOCS = 4000
 TRAIN_SEQUENCES = 6000
 EPOCHS = 6
 TABLE = 1 << 17
+CHUNK = 4 << 20  # many texts side by side
 UNDETERMINED = "und"
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[65:91] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
@@ -216,7 +217,7 @@ def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
 def _label(m: Model | None, texts: pa.Array, parts: list | None = None) -> tuple[list[str], np.ndarray]:
     """Language and score of each text; parts, if given, gets the runs of words of one language."""
     lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-    for lo, _, data, off in chunks(texts):
+    for lo, _, data, off in chunks(texts, CHUNK):
         if m is None:
             break
         start, end, key, at = word_spans(data, off, _SEPARATOR)
@@ -277,5 +278,6 @@ def filter_known(documents: DataFrame, model: Model | None, least: float) -> Dat
             keep = pa.array([g != UNDETERMINED and s >= least for g, s in zip(lang, score, strict=True)])
             columns = [pa.array(lang, pa.string()) if i == at[1] else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
+            pa.default_memory_pool().release_unused()
 
     return documents.mapInArrow(task, documents.schema)
