@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .words import chunks, word_spans
+from .words import chunks, forget_powers, word_spans
 
 TRAIN_DOCS = 400
 MAX_DOCS = 4000
@@ -187,6 +187,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
             trans += 0.2 * gt / np.sqrt(g2t)
             g2i += gi**2
             initial += 0.2 * gi / np.sqrt(g2i)
+    forget_powers()
     return Model(languages, weights.astype(np.float32), trans, initial)
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 CHUNK = 1 << 20
+ROWS = 2048
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -39,16 +40,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows that hold about `size` bytes; a null text is empty."""
-    texts = texts.fill_null("").cast(pa.large_binary())
-    bufs = texts.buffers()
-    off = np.frombuffer(bufs[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
-    lo = 0
-    while lo < len(texts):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
-        hi = min(hi, len(texts))
-        yield lo, hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-        lo = hi
+    for base in range(0, len(texts), ROWS):  # copies are made of so many rows at a time
+        part = texts.slice(base, ROWS).fill_null("").cast(pa.large_binary())
+        bufs = part.buffers()
+        off = np.frombuffer(bufs[1], dtype=np.int64)[part.offset : part.offset + len(part) + 1]
+        data = np.frombuffer(bufs[2], dtype=np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
+        lo = 0
+        while lo < len(part):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
+            hi = min(hi, len(part))
+            yield base + lo, base + hi, data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            lo = hi
+
+
+def forget_powers() -> None:
+    """Give back the tables of powers."""
+    _powers.clear()
 
 
 def word_spans(
