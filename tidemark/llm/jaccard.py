@@ -409,20 +409,24 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
     own = Window.partitionBy("v", F.expr("info >> 50"))
     rank = F.row_number().over(own.orderBy(F.desc("members"), "sig"))
-    # blocks that a set shares with no large bucket: the fewer, the more central it is in its family
-    alone = F.expr(f"info >> 25 & {_MASK}") - F.count("*").over(own)
-    size = F.col("info").bitwiseAND(_MASK)
-    offers = F.expr(f"info >> 25 & {_MASK}")
-    probes = large.select("sig", "v", size.alias("n"), offers.alias("offers"), F.expr("info >> 50").alias("band"), rank.alias("rank"), alone.alias("alone"))
+    ranked = large.select(
+        "sig", "v", F.col("info").bitwiseAND(_MASK).alias("n"), F.expr(f"info >> 25 & {_MASK}").alias("offers"), F.expr("info >> 50").alias("band"),
+        rank.alias("rank"), F.count("*").over(own).alias("h"),
+    )
+    # of sets with a block a shingle, what two share beyond small buckets is at most h of either
+    able = F.expr("band > 0 or 7 * h >= 3 * (n + ceil(0.75 * n))")
+    ranked = materialize(ranked.where(able), "ranked")
     # blocks that may differ from any partner's; the pair's own sizes decide below
     worst = F.when(F.col("band") == 0, F.floor(F.col("n") / 4)).otherwise(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7))
-    probes = materialize(probes.where(F.col("rank") > F.col("offers") - worst - 1), "probes")
-    everyone = large.select("sig", "v", size.alias("nv"))
+    # blocks that a set shares with no large bucket: the fewer, the more central it is in its family
+    probes = ranked.withColumn("alone", F.col("offers") - F.col("h")).where(F.col("rank") > F.col("offers") - worst - 1).drop("h")
+    probes = materialize(probes, "probes")
+    everyone = ranked.select("sig", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
     for turn in range(3):
         everyone = materialize(everyone.join(probes.select("sig").distinct(), "sig", "left_semi"), "ends")
         if everyone.isEmpty():
             break
-        ends = everyone.join(roots, "v", "left").select("sig", "v", "nv", F.coalesce("root", "v").alias("root"))
+        ends = everyone.join(roots, "v", "left").select("sig", "v", "nv", "hv", F.coalesce("root", "v").alias("root"))
         mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
         probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
         lead = probes.withColumnRenamed("v", "a")
@@ -433,7 +437,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         lead = lead.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
         differ = "case when band = 0 then greatest(0, floor((4 * n - 3 * nv) / 7)) else floor((n + nv) / 7) end"
-        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - {differ} - 1")
+        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - {differ} - 1 and (band > 0 or 7 * hv >= 3 * (n + nv))")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         pairs = materialize(_near(pairs, sketches), "near")
         if pairs.isEmpty():

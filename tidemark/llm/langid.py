@@ -137,9 +137,6 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     if not usable:
         return None
     _, first, word = np.unique(key, return_index=True, return_inverse=True)
-    place, begin = features(data, start[first], end[first])
-    count = np.diff(np.append(begin, len(place)))
-    word_of = np.repeat(np.arange(len(first)), count)
     g2w, g2t, g2i = np.full_like(weights, 1e-3), np.full_like(trans, 1e-3), np.full_like(initial, 1e-3)
 
     def sequence() -> tuple[np.ndarray, np.ndarray]:
@@ -155,6 +152,14 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
         return np.concatenate(words), np.concatenate(labels)
 
     made = [sequence() for _ in range(TRAIN_SEQUENCES)]
+    # features of the words that the sequences use
+    used, local = np.unique(np.concatenate([w for w, _ in made]), return_inverse=True)
+    split = np.cumsum([len(w) for w, _ in made])[:-1]
+    made = list(zip(np.split(local.astype(np.int32), split), [y for _, y in made], strict=True))
+    first = first[used]
+    place, begin = features(data, start[first], end[first])
+    place = place.astype(np.int32)
+    word_of = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(begin, len(place))))
     for _ in range(EPOCHS):
         for lo in range(0, len(made), 500):
             part = made[lo : lo + 500]
@@ -204,8 +209,8 @@ def fit(documents: DataFrame) -> Model | None:
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, TRAIN_DOCS / n))) for k, n in counts.items()), F.lit(0.0))
     chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(chance < share).select("doc_id", "text", "lang").limit(MAX_DOCS)
-    sample = sorted((r["doc_id"], r["text"], r["lang"]) for r in picked.toLocalIterator())
-    return train([t for _, t, _ in sample], [g for _, _, g in sample])
+    sample = picked.toArrow().sort_by("doc_id")
+    return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
 
 
 def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
