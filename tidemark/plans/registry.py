@@ -186,7 +186,7 @@ def _features(spark, sf) -> DataFrame:
     return feature_row(m, _prices(spark, sf).drop("token"), w, F.col("incident").isin("purchase", "error", "signup"), F.col("incident").isin("purchase", "error"), SCALE)
 
 
-@query(f"WITH {_U} SELECT event_id, round(CASE WHEN np >= 3 THEN slope ELSE 0 END, 6) AS price_velocity, round(CASE WHEN np >= 3 THEN sd ELSE 0 END, 6) AS price_realized_vol, round(CASE WHEN np >= 3 THEN dl ELSE 0 END, 6) AS price_change_1m FROM f")
+@query(f"WITH {_U} SELECT event_id, round(CASE WHEN np >= 3 THEN slope ELSE 0 END, 6) + 0::DOUBLE AS price_velocity, round(CASE WHEN np >= 3 THEN sd ELSE 0 END, 6) AS price_realized_vol, round(CASE WHEN np >= 3 THEN dl ELSE 0 END, 6) + 0::DOUBLE AS price_change_1m FROM f")
 def price_window_features(spark, sf):
     names = ("price_velocity", "price_realized_vol", "price_change_1m")
     return _r(_features(spark, sf).select("event_id", *names), *names)
@@ -205,8 +205,8 @@ _D = ", ".join(f"count(*) OVER {_sql_past(s)} AS d{s}" for s in (30, 60, 120, 30
 SELECT f.fixture_id, f.event_id, f.us, f.incident, d30 AS event_density_30s, d60 AS event_density_60s, d120 AS event_density_120s, d300 AS event_density_300s,
   CAST(r30 AS BIGINT) AS risk_event_count_30s, CAST(r60 AS BIGINT) AS risk_event_count_60s, CAST(h60 AS BIGINT) AS high_impact_60s, CAST(h300 AS BIGINT) AS high_impact_300s,
   round(x60, 6) AS xt_sum_60s, round(x300, 6) AS xt_sum_300s, round(f.weight, 6) AS xt_weight, f.impact AS is_high_impact, round(mid_price, 6) AS mid_price,
-  round(CASE WHEN np >= 3 THEN slope ELSE 0 END, 6) AS price_velocity, round(CASE WHEN np >= 3 THEN sd ELSE 0 END, 6) AS price_realized_vol,
-  round(CASE WHEN np >= 3 THEN dl ELSE 0 END, 6) AS price_change_1m, round(move, 6) AS max_abs_move_120s, CAST(move > 0.03 AS INTEGER) AS high_volatility,
+  round(CASE WHEN np >= 3 THEN slope ELSE 0 END, 6) + 0::DOUBLE AS price_velocity, round(CASE WHEN np >= 3 THEN sd ELSE 0 END, 6) AS price_realized_vol,
+  round(CASE WHEN np >= 3 THEN dl ELSE 0 END, 6) + 0::DOUBLE AS price_change_1m, round(move, 6) AS max_abs_move_120s, CAST(move > 0.03 AS INTEGER) AS high_volatility,
   CAST(coalesce(ahead, 0) AS INTEGER) AS next_60s_high_impact, conf AS confidence_grade, round(f.weight * conf, 6) AS xt_x_conf, round(r60 / (d60 + 1), 6) AS risk_density_ratio,
   round(x60 * conf, 6) AS pressure_score, round(2 * abs(mid_price - 0.5), 6) AS price_extremeness
 FROM f JOIN e USING (event_id)""")
@@ -221,7 +221,7 @@ def forward_relative_label(spark, sf):
 
 
 @query(f"""WITH {P}, d AS (SELECT *, coalesce(price - lag(price) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.0) AS change FROM p)
-SELECT event_id, round(change, 6) AS change, CAST(max(abs(change)) OVER (PARTITION BY fixture_id ORDER BY us RANGE BETWEEN CURRENT ROW AND {120 * SCALE * 1000000} FOLLOWING) > 0.03 AS INTEGER) AS tick_label FROM d""")
+SELECT event_id, round(change, 6) + 0::DOUBLE AS change, CAST(max(abs(change)) OVER (PARTITION BY fixture_id ORDER BY us RANGE BETWEEN CURRENT ROW AND {120 * SCALE * 1000000} FOLLOWING) > 0.03 AS INTEGER) AS tick_label FROM d""")
 def tick_diff_label(spark, sf):
     p = _prices(spark, sf).withColumn("change", labels.tick_change("price", "fixture_id", "us", "event_id"))
     w = W.future("fixture_id", "us", 120 * SCALE, "both")
@@ -269,7 +269,7 @@ def state_buckets(spark, sf):
 
 @query("""SELECT l_orderkey, l_linenumber, round(l_quantity * 100 / 60, 6) AS elapsed, round(greatest(0, 5400 - l_quantity * 100) / 60, 6) AS remaining,
 round(3 * (l_quantity / 90 + 0.01), 6) AS intensity,
-round(least(greatest(0.5 + 0.12 * (l_linenumber - 3) * (1 - sqrt(l_quantity / 90) * 0.3), 0.02), 0.98), 6) AS win_prob, round((l_discount + l_tax) / 2, 6) AS mid, round(l_tax - l_discount, 6) AS spread FROM lineitem""")
+round(least(greatest(0.5 + 0.12 * (l_linenumber - 3) * (1 - sqrt(l_quantity / 90) * 0.3), 0.02), 0.98), 6) AS win_prob, round((l_discount + l_tax) / 2, 6) AS mid, round(l_tax - l_discount, 6) + 0::DOUBLE AS spread FROM lineitem""")
 def match_clock(spark, sf):
     li = readers.table(spark, sf, "lineitem")
     sec = F.col("l_quantity") * 100
@@ -542,7 +542,7 @@ def markov_summary(spark, sf):
 
 @query(f"""WITH {_S}, j AS (SELECT x.event_id, x.fixture_id, x.us, e.win_prob, e.delta, e.volatility FROM x JOIN e USING (state)),
 d AS (SELECT *, coalesce(win_prob - lag(win_prob) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.0) AS d1 FROM j)
-SELECT event_id, round(win_prob, 6) AS win_prob, round(delta, 6) AS delta, round(volatility, 6) AS volatility, round(d1, 6) AS d1, round(coalesce(d1 - lag(d1) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.0), 6) AS d2 FROM d""")
+SELECT event_id, round(win_prob, 6) AS win_prob, round(delta, 6) AS delta, round(volatility, 6) AS volatility, round(d1, 6) + 0::DOUBLE AS d1, round(coalesce(d1 - lag(d1) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.0), 6) + 0::DOUBLE AS d2 FROM d""")
 def markov_features(spark, sf):
     names = ("win_prob", "delta", "volatility", "d1", "d2")
     return _r(markov.features(*_chain(spark, sf), "fixture_id", ["us", "event_id"]).select("event_id", *names), *names)
