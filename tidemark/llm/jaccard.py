@@ -9,22 +9,22 @@ most their sets' symmetric difference. For two sets that link, of sizes a <= b <
 is at most (a + b) / 7. k depends on the size band (powers of four); a set whose partners may
 reach into the next band is sketched for both.
 
-Pigeonhole. A set offers its first (a + 4a/3) / 7 + 1 non-zero blocks, and some more (SPARE), in
-the order of places. Whatever the partner, at least as many of these blocks equal the partner's
-as they exceed the bound, so partners meet in a bucket of equal blocks. Sets below _FIRST_BAND
-shingles have a block for each shingle and offer all; of these at most (4a - 3b) / 7 can differ.
+Pigeonhole. A set offers all its non-zero blocks. At most (a + b) / 7 of them can differ from a
+partner's, so partners meet in buckets of equal blocks. Sets below _FIRST_BAND shingles have a
+block for each shingle; of these at most (4a - 3b) / 7 can differ.
 
-Buckets. In a bucket of at most SMALL classes every pair is a candidate. In a larger one, a set
-may overlook as many buckets as it offered spare blocks, and overlooks the most popular ones;
-if it has more large ones than that, it probes the rest.
+Buckets. In a bucket of at most SMALL classes every pair is a candidate. Partners that share no
+small bucket share all but so many of their blocks in larger ones. Blocks are ordered by their
+buckets' sizes; of each partner's blocks the least popular ones, one more than can differ, hold
+a common one. So a set overlooks its most popular buckets and probes the rest, if any is large.
 
 1. Every member of a bucket is held against the bucket's first member, which joins families
    of near copies in linear time. Components follow from large-star/small-star contraction.
 2. Candidates of small buckets that lie in different components are held against each other.
-3. In large buckets with members of several components, up to LEADERS probing members, the most
+3. In large buckets with probing members of several components, up to LEADERS of them, the most
    central ones, are held against those of other components; that once more with other members;
-   then, where components still differ, all the rest. How many buckets a member may overlook
-   depends on the partner's size.
+   then, where components still differ, all the rest. How many buckets either may overlook
+   depends on both sizes.
 
 Candidates are pruned by the Hamming distance of compact bit sketches and verified by the exact
 intersection of their sets. No links are dropped and no bucket is cut.
@@ -47,7 +47,6 @@ from .common import materialize, ship, shuffle_partitions
 from .words import mix, shingle_sets
 
 SMALL = 24
-SPARE = 0.1
 LEADERS = 8
 FLUSH = 500_000
 _FIRST_BAND = 512
@@ -80,18 +79,16 @@ def _compact(u: np.ndarray) -> np.ndarray:
 def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(band, signatures of the blocks that a set offers) for its bands."""
     n = len(u)
-    want = n if n < _FIRST_BAND else (n + 4 * n // 3) // 7 + 2 + int(np.ceil(SPARE * n))
     for band in {_band(n), _band(4 * n // 3)}:
         if band == 0:  # a block a shingle
             block, word = u, u
         else:
-            bits = 9 + 2 * band
+            bits = 10 + 2 * band
             block = u >> np.uint64(64 - bits)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             word = np.bitwise_xor.reduceat(mix(u), first)
             block = block[first]
             block, word = block[word != 0], word[word != 0]
-        block, word = block[:want], word[:want]
         yield band, mix(block * np.uint64(0xD1342543DE82EF95) ^ word ^ np.uint64(band << 56))
 
 
@@ -413,31 +410,32 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         "sig", "v", F.col("info").bitwiseAND(_MASK).alias("n"), F.expr(f"info >> 25 & {_MASK}").alias("offers"), F.expr("info >> 50").alias("band"),
         rank.alias("rank"), F.count("*").over(own).alias("h"),
     )
-    # of sets with a block a shingle, what two share beyond small buckets is at most h of either
-    able = F.expr("band > 0 or 7 * h >= 3 * (n + ceil(0.75 * n))")
-    ranked = materialize(ranked.where(able), "ranked")
     # blocks that may differ from any partner's; the pair's own sizes decide below
     worst = F.when(F.col("band") == 0, F.floor(F.col("n") / 4)).otherwise(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7))
-    # blocks that a set shares with no large bucket: the fewer, the more central it is in its family
-    probes = ranked.withColumn("alone", F.col("offers") - F.col("h")).where(F.col("rank") > F.col("offers") - worst - 1).drop("h")
+    # partners that share no small bucket share all but those blocks in large ones
+    ranked = ranked.where(F.col("h") >= F.col("offers") - worst).where(F.col("rank") > F.col("offers") - worst - 1)
+    # slack: a set's blocks in small buckets, the fewer, the more central it is in its family; spare: blocks that a rank leaves behind
+    probes = ranked.select("sig", "v", "n", "band", (F.col("offers") - F.col("h")).alias("slack"), (F.col("offers") - F.col("rank")).alias("spare"))
     probes = materialize(probes, "probes")
-    everyone = ranked.select("sig", "v", F.col("n").alias("nv"), F.col("h").alias("hv"))
     for turn in range(3):
-        everyone = materialize(everyone.join(probes.select("sig").distinct(), "sig", "left_semi"), "ends")
-        if everyone.isEmpty():
-            break
-        ends = everyone.join(roots, "v", "left").select("sig", "v", "nv", "hv", F.coalesce("root", "v").alias("root"))
+        ends = probes.join(roots, "v", "left").select(*probes.columns, F.coalesce("root", "v").alias("root"))
         mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
         probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
+        if probes.isEmpty():
+            break
+        ends = probes.join(roots, "v", "left").select(
+            "sig", "v", F.col("n").alias("nv"), F.col("slack").alias("slack_v"), F.col("spare").alias("spare_v"), F.coalesce("root", "v").alias("root")
+        )
         lead = probes.withColumnRenamed("v", "a")
         if turn < 2:
-            picks = [F.min(F.struct("alone", F.xxhash64("v", F.lit(turn * LEADERS + i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
+            picks = [F.min(F.struct("slack", F.xxhash64("v", F.lit(turn * LEADERS + i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
             few = probes.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*(f"p{i}" for i in range(LEADERS)))).alias("a"))
             lead = lead.join(few.distinct(), ["sig", "a"], "left_semi")
         lead = lead.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
-        differ = "case when band = 0 then greatest(0, floor((4 * n - 3 * nv) / 7)) else floor((n + nv) / 7) end"
-        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and rank > offers - {differ} - 1 and (band > 0 or 7 * hv >= 3 * (n + nv))")
+        differ = "case when band = 0 then floor((4 * {0} - 3 * {1}) / 7) else floor((n + nv) / 7) end"
+        one, other = differ.format("n", "nv"), differ.format("nv", "n")
+        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and greatest(spare, slack) <= {one} and greatest(spare_v, slack_v) <= {other}")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         pairs = materialize(_near(pairs, sketches), "near")
         if pairs.isEmpty():
