@@ -7,7 +7,7 @@ Sketch. Each shingle flips a place in a long bit sketch, cut into k blocks, so a
 parity (XOR) of the shingles in it, and the number of blocks in which two sketches differ is at
 most their sets' symmetric difference. For two sets that link, of sizes a <= b <= 4a/3, that
 is at most (a + b) / 7. k depends on the size band (powers of four); a set whose partners may
-reach into the next band is sketched for both.
+reach into the next band is a guest there too. A pair meets in the band of its larger set.
 
 Pigeonhole. A set offers all its non-zero blocks. At most (a + b) / 7 of them can differ from a
 partner's, so partners meet in buckets of equal blocks. Sets below _FIRST_BAND shingles have a
@@ -60,6 +60,11 @@ def _band(n: int) -> int:
     return 0 if n < _FIRST_BAND else ((n // _FIRST_BAND).bit_length() + 1) // 2
 
 
+def _native(n: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Whether sets of a band belong to it; the others are guests from the one below."""
+    return (band == 0) | (4 * n >= _FIRST_BAND << 2 * band)
+
+
 def _key(u: np.ndarray) -> int:
     """64-bit identity of a set."""
     return int(np.array([mix(mix(u ^ np.uint64(0x5DEECE66D)).sum(keepdims=True, dtype=np.uint64) + np.uint64(len(u)))[0]]).view(np.int64)[0])
@@ -225,9 +230,11 @@ def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
     sig, key, info = sig[keep], key[keep], info[keep]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
-    first, size = first[size > 1], size[size > 1]
     n = info & _MASK
-    fit = lambda x, y: 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+    native = _native(n, info >> 50)
+    of_use = (size > 1) & np.logical_or.reduceat(native, first)
+    first, size = first[of_use], size[of_use]
+    fit = lambda x, y: (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (native[x] | native[y])
     out = []
     if len(first):
         lead = np.repeat(first, size - 1)
@@ -435,6 +442,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
         pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
         differ = "case when band = 0 then floor((4 * {0} - 3 * {1}) / 7) else floor((n + nv) / 7) end"
         one, other = differ.format("n", "nv"), differ.format("nv", "n")
+        pairs = pairs.where(f"band = 0 or 4 * greatest(n, nv) >= {_FIRST_BAND} * power(4, band)")
         pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and greatest(spare, slack) <= {one} and greatest(spare_v, slack_v) <= {other}")
         pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
         pairs = materialize(_near(pairs, sketches), "near")
