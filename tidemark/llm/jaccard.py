@@ -161,6 +161,15 @@ def _part_labels(spark, parts: int) -> list[int]:
     return [found.get(p, p) for p in range(parts)]
 
 
+def _narrow(x: np.ndarray) -> bytes:
+    """Counts in the smallest unsigned type that holds all of them."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _wide(blob: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(blob, f"u{len(blob) // count}").astype(np.int64)
+
+
 def _packed(labels: list[int]):
     """Signatures as packed runs: one row per target part, with 48-bit signatures and a run per set."""
     parts = len(labels)
@@ -182,12 +191,14 @@ def _packed(labels: list[int]):
                 continue
             own = owner[a:b]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            runs = np.diff(np.append(first, b - a)).astype(np.uint16 if b - a < 65536 else np.uint32)
+            runs = np.diff(np.append(first, b - a))
             six = sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            rows.append((labels[p], six.tobytes(), runs.tobytes(), key[own[first]].tobytes(), info[own[first]].tobytes()))
+            head = info[own[first]]
+            n = head & _MASK
+            rows.append((labels[p], six.tobytes(), key[own[first]].tobytes(), *map(_narrow, (runs, n, n - (head >> 25 & _MASK), head >> 50))))
         p, *blobs = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "sigs", "runs", "keys", "info"]
+            [pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "sigs", "keys", "runs", "sizes", "gaps", "bands"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,9 +280,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
             keys = np.frombuffer(row["keys"], np.int64)
-            runs = np.frombuffer(row["runs"], np.uint16 if len(row["runs"]) == 2 * len(keys) else np.uint32)
+            runs, n, gap, band = (_wide(row[x], len(keys)) for x in ("runs", "sizes", "gaps", "bands"))
+            info = band << 50 | (n - gap) << 25 | n
             parts.setdefault(row["part"], []).append(
-                (wide.view("<u8").ravel(), np.repeat(keys, runs), np.repeat(np.frombuffer(row["info"], np.int64), runs))
+                (wide.view("<u8").ravel(), np.repeat(keys, runs), np.repeat(info, runs))
             )
     for p in sorted(parts):
         found = parts.pop(p)
@@ -288,8 +300,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFra
     """The pairs (a, b) whose sets link; pairs is a written table."""
     keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
     sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")))
-    left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
+    # sets that stand on one side only need not be moved for the other
+    on = lambda side: sets.join(materialize(pairs.select(F.col(side).alias("key")).distinct(), "side"), "key", "left_semi")
+    left = on("a").select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
+    right = on("b").select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("ma", "mb"))
     return materialize(both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
@@ -388,7 +402,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     labels = _part_labels(spark, shuffle_partitions(spark))
     docs = documents.select("doc_id", "text")
     digest = materialize(docs.mapInArrow(_digests, f"{_id(docs)}, n long, key long, sketch array<bigint>"), "digest")
-    packed = docs.select("text").mapInArrow(_packed(labels), "part int, sigs binary, runs binary, keys binary, info binary")
+    packed = docs.select("text").mapInArrow(_packed(labels), "part int, sigs binary, keys binary, runs binary, sizes binary, gaps binary, bands binary")
     meet = materialize(packed.repartition(len(labels), "part").mapInArrow(_meetings, _MEET), "meet")
 
     classes = digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
