@@ -222,6 +222,19 @@ def test_pii_terms_that_disclose(spark, edges):
     assert out.columns == edges.columns and out.count() == edges.count() and out.where("base = 7 and key = 7").count() == edges.count()
 
 
+def test_pii_shares_do_not_depend_on_copies(spark):
+    """A term always beside one entity is removed, however often one of its documents is copied."""
+    texts = ["zorblax beside ann@ex.org", "zorblax beside ann@ex.org again, more words"]
+    copies = [(1, texts[0])] + [(i, texts[1]) for i in range(10, 1010)]
+    rows = copies + [(i, f"filler number{i} of a text without any entity") for i in range(2000, 4000)]
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], SCHEMA)
+    found = pii.find_base(df)
+    share = {r["term"]: r["share"] for r in pii.disclosing_terms(found, pii._neighbourhoods(found)).collect()}
+    assert share["zorblax"] == pytest.approx(1.0)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).where("doc_id < 1010").collect()}
+    assert len(clean) == 1001 and not any("zorblax" in t for t in clean.values())
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 

@@ -15,8 +15,8 @@ Patterns differ from the plain ones in possessive repeats and in starting only w
 the class starts or the last match ended (\G): the matches are the same, but no input makes the
 regex engine go back over a run again and again.
 
-Defined cases: a null text counts as empty and stays null when sanitised; repeated rows give repeated results (terms are
-counted once for equal neighbourhoods); rows without doc_id are handled like others; an empty
+Defined cases: a null text counts as empty and stays null when sanitised; repeated rows give repeated results (the
+statistic counts distinct texts, so copies of a document change no share); rows without doc_id are handled like others; an empty
 table gives an empty result; other columns are kept by sanitise() and ignored by digest().
 """
 
@@ -94,7 +94,7 @@ def _labelled(base: Column) -> Column:
 
 
 def _neighbourhoods(found: DataFrame) -> DataFrame:
-    """One row per entity mention and term beside it: row id, entity, context, term and its place."""
+    """One row per entity mention and term beside it (null if there is none): row id, entity, context, term and its place."""
     rows = found.where(F.size(_labelled(F.col("base"))) > 0)
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.explode(_labelled(F.col("base"))).alias("m"))
     start = F.greatest(F.col("m.s") - CONTEXT, F.lit(0))
@@ -108,8 +108,9 @@ def _neighbourhoods(found: DataFrame) -> DataFrame:
         F.col("m.e").alias("me"),
         F.substring("text", start + 1, F.col("m.e") + CONTEXT - start).alias("around"),
     )
-    rows = rows.withColumn("t", F.explode(match_spans(F.col("around"), TERM)))
-    rows = rows.select(
+    outside = lambda t: (F.col("at") + t["e"] <= F.col("ms")) | (F.col("at") + t["s"] >= F.col("me"))
+    rows = rows.withColumn("t", F.explode_outer(F.filter(match_spans(F.col("around"), TERM), outside)))
+    return rows.select(
         "doc_id",
         "h",
         "entity",
@@ -117,20 +118,21 @@ def _neighbourhoods(found: DataFrame) -> DataFrame:
         F.lower(cut(F.col("around"), F.col("t"))).alias("term"),
         (F.col("at") + F.col("t.s")).alias("s"),
         (F.col("at") + F.col("t.e")).alias("e"),
-        "ms",
-        "me",
     )
-    return rows.where("e <= ms or s >= me").drop("ms", "me")
 
 
 def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share) of the pairs whose disclosed share of information reaches GENERALISE."""
-    pairs = mentions.select("entity", "term", "context").distinct()
-    together = pairs.groupBy("entity", "term").agg(F.count("*").alias("df_te")).where(f"df_te >= {MIN_CONTEXTS}")
-    entities = pairs.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    words = found.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    terms = words.join(together.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    total = found.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
+    """(entity, term, share) of the pairs whose disclosed share of information reaches GENERALISE.
+
+    All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all.
+    """
+    seen = mentions.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("h").alias("df_te"), F.count_distinct("context").alias("contexts"))
+    together = seen.where(f"contexts >= {MIN_CONTEXTS}").drop("contexts")
+    entities = mentions.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
+    texts = found.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    terms = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    total = texts.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     share = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
     given = F.least(F.col("df_te") / F.col("df_t"), F.lit(1.0))
     rarity = F.log(F.greatest(F.col("n") / F.col("df_e"), F.lit(1.0001)))
