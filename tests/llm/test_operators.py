@@ -397,6 +397,49 @@ def test_license_rules_rank_and_suppress(spark):
     assert "apache" in got[1]["labels"].split(",") and "gpl" in got[2]["labels"].split(",") and got[3]["labels"] == "" and got[3]["score"] == 0
 
 
+def _example(nodes, k):
+    """A string that a parsed pattern matches: the k-th alternative (in turn) of each choice."""
+    out = ""
+    for op, arg in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            chars = [c for kind, v in arg for c in ([v] if str(kind) == "LITERAL" else range(v[0], v[1] + 1))]
+            out += chr(chars[k % len(chars)])
+        elif op == "BRANCH":
+            out += _example(arg[1][k % len(arg[1])], k)
+        elif op == "SUBPATTERN":
+            out += _example(arg[3], k)
+        elif op == "MAX_REPEAT":
+            out += _example(arg[2], k) * min(arg[1], max(arg[0], (k + 1) % 2))
+        elif op not in ("ASSERT", "AT"):
+            raise ValueError(op)
+    return out
+
+
+def test_every_license_rule_fires_on_its_own_match(spark):
+    made = [(r, _example(re._parser.parse(r["rx"]), k)) for r in licenses.rules() for k in range(10)]
+    rows = [(i, x.upper() if i % 3 == 0 else x.replace(" ", ("-", "\n", " (")[i % 3])) for i, (_, x) in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["detections"] or [] for r in licenses.scan(df).select("doc_id", "detections").collect()}
+    # a rule of higher priority may hold the match as a whole
+    lost = [(r["label"], rows[i][1]) for i, (r, _) in enumerate(made) if not any(d["priority"] <= r["p"] for d in got[i])]
+    assert not lost
+
+
+def test_license_gate_lets_pass_what_the_rules_find(spark):
+    texts = {
+        "released under the GPL v3": "gpl", "distributed under the terms of the MIT": "mit", "available under BSD": "bsd", "in the public-domain": "public-domain",
+        "All rights\nreserved": "notice", "Permission\nis hereby granted, free of charge": "permission", "FreeBSD license": "bsd-2-clause",
+        "SPDX-License-Identifier: 0BSD": "bsd-0-clause", "AS IS, without warranties": "warranty",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.digest(licenses.scan(df)).collect()}
+    for i, (text, label) in enumerate(texts.items()):
+        assert label in got[i]["labels"].split(",") and got[i]["score"] > 0, text
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 

@@ -1,8 +1,8 @@
 """Operator 9: licence scans by ordered signature rules (native).
 
 A text becomes words (ASCII letters lower-cased; a word is a run of 0-9, a-z and characters
-beyond ASCII), joined by single blanks. Texts without a gate word stop there. The others meet
-the rule table: each rule has a priority, a label, a keyword that the text must hold before
+beyond ASCII), joined by single blanks. Texts without any of the words that a rule needs around
+its name (GATE, made from the rules) stop there. The others meet the rule table: each rule has a priority, a label, a keyword that the text must hold before
 its regex is tried, and a confidence. A detection that lies inside one of a rule with higher
 priority (or inside a longer one of the same priority) is suppressed.
 
@@ -35,8 +35,10 @@ FAMILIES = (
     ("apache-1.1", "apache", "apache(?: software)? (?:v|version )?1 1"),
     ("apache-2.0", "apache", "apache(?: software)? (?:v|version )?2(?: 0)?"),
     ("apache", "apache", "(?:the )?apache(?: software)?"),
-    ("bsd-0-clause", "bsd", "(?:zero clause bsd|0bsd|bsd zero clause)"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd|freebsd)"),
+    ("bsd-0-clause", "bsd", "(?:zero clause bsd|bsd zero clause)"),
+    ("bsd-0-clause", "0bsd", "0bsd"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)"),
+    ("bsd-2-clause", "freebsd", "freebsd"),
     ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd|bsd 3 clause|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("bsd", "bsd", "(?:the )?bsd(?: style)?"),
@@ -45,9 +47,9 @@ FAMILIES = (
     ("gpl-3.0", "public", "(?:gnu )?general public license (?:v|version )?3(?: 0)?"),
     ("gpl", "public", "(?:gnu )?general public"),
     ("gpl", "gpl", "(?:gnu )?gpl(?: ?v?[123])?"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?(?:lesser|library) general public license (?:v|version )?2(?: [01])?"),
+    ("lgpl-2.1", "public", "(?:gnu )?(?:lesser|library) general public license (?:v|version )?2(?: [01])?"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license (?:v|version )?3(?: 0)?"),
-    ("lgpl", "lesser", "(?:gnu )?(?:lesser|library) general public"),
+    ("lgpl", "public", "(?:gnu )?(?:lesser|library) general public"),
     ("lgpl", "lgpl", "(?:gnu )?lgpl(?: ?v?[23](?: [01])?)?"),
     ("agpl-3.0", "affero", "(?:gnu )?affero general public license (?:v|version )?3(?: 0)?"),
     ("agpl", "affero", "(?:gnu )?affero general public"),
@@ -96,9 +98,10 @@ FAMILIES = (
     ("proprietary", "proprietary", "proprietary"),
 )
 #: confidence and shape around a name; the order gives the priority within a family.
+GRANT = "(?:licen[sc]ed|released|distributed|available|provided) under"
 SHAPES = (
     (0.99, "spdx license identifier {}(?: or later| only)?"),
-    (0.95, "(?:licen[sc]ed|released|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?{}(?: licen[sc]e)?"),
+    (0.95, f"{GRANT} (?:the )?(?:terms of )?(?:the )?{{}}(?: licen[sc]e)?"),
     (0.9, "{} licen[sc]e(?: (?:v|version )?[0-9](?: [0-9])?)?"),
     (0.8, "licen[sc]e {}"),
 )
@@ -108,10 +111,11 @@ NOTICES = (
     ("notice", "copyright", 0.6, "copyright(?: c)? (?:19|20)[0-9]{2}"),
     ("permission", "permission", 0.75, "permission is hereby granted free of charge"),
     ("redistribution", "redistribution", 0.75, "redistribution and use in source and binary forms"),
-    ("warranty", "warranty", 0.7, "(?:provided )?as is without warrant(?:y|ies)"),
+    ("warranty", "warrant", 0.7, "(?:provided )?as is without warrant(?:y|ies)"),
     ("public-domain", "domain", 0.7, "(?:in|into|to) the public domain"),
 )
-GATE = r"(?i)licen[cs]|unlicense|spdx|copyright|rights reserved|permission is|redistribution|warrant|public domain"
+#: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first.
+GATE = "(?i)" + "|".join(["licen[sc]e", GRANT, *(rx for *_, rx in NOTICES)])
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -145,8 +149,8 @@ def _lower(text: Column) -> Column:
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, base (places of each base phrase) and detections (label, word_start, word_end, score, priority)."""
     words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SEPARATOR, " ")
-    gate = F.coalesce(F.col(text), F.lit("")).rlike(GATE)
     df = df.withColumn("_norm", words)
+    gate = F.col("_norm").rlike(GATE)
     df = df.withColumn("n_words", _words(F.col("_norm")).cast("long"))
     # beyond the gate only; others carry no text further
     df = df.withColumn("_norm", F.when(gate, F.concat(F.lit(" "), F.trim(_lower(F.col("_norm"))), F.lit(" "))))
