@@ -257,6 +257,16 @@ def test_language_edges(spark, edges, empty):
     assert {r["lang_pred"] for r in langid.predict(edges, None).collect()} == {"und"}
 
 
+def test_language_sample_holds_all_languages_in_any_order(spark):
+    rows = [(i, f"text {i} in language {i // 60}", f"l{i // 60:03}", None, None) for i in range(250 * 60)]
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    got = sorted(map(tuple, langid.sample(df).collect()))
+    assert len({r[2] for r in got}) == 250 and len(got) == 250 * (langid.MAX_DOCS // 250)
+    assert got == sorted(map(tuple, langid.sample(df.repartition(5, "text")).collect()))
+    long = spark.createDataFrame([(i, "word " * 100_000, "en", None, None) for i in range(4)], SCHEMA)
+    assert all(len(r["text"]) == langid.TRAIN_CHARS for r in langid.sample(long).collect())
+
+
 def test_code_switched_words():
     rng = random.Random(1)
     a, b = ["the", "with", "house", "thing"], ["éva", "çon", "même", "août"]

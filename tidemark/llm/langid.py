@@ -9,8 +9,10 @@ the score.
 
 Training maximises the likelihood of labelled sequences (AdaGrad). They are spliced from
 segments of labelled texts, a third of them from several languages, so that transitions are
-learned from code-switched sequences. The sample is bounded: about TRAIN_DOCS texts a language
-(chosen by a hash of doc_id), at most MAX_DOCS in all, and TRAIN_SEQUENCES sequences.
+learned from code-switched sequences. The sample is bounded: of every language the TRAIN_DOCS
+texts (MAX_DOCS over the number of languages, if that is less) of the lowest hashes of doc_id and
+text, of a longer text the TRAIN_CHARS characters from a place by hash, and TRAIN_SEQUENCES
+sequences. More than MAX_DOCS languages are an error.
 
 Prediction is one pass over the texts in Arrow tasks, many texts side by side, with no shuffle.
 
@@ -34,10 +36,12 @@ from .words import chunks, forget_powers, word_spans
 
 TRAIN_DOCS = 400
 MAX_DOCS = 4000
+TRAIN_CHARS = 1 << 14
 TRAIN_SEQUENCES = 6000
 EPOCHS = 6
 TABLE = 1 << 17
 CHUNK = 4 << 20  # many texts side by side
+_HASHES = 1 << 53
 UNDETERMINED = "und"
 _SEPARATOR = np.ones(256, dtype=bool)
 _SEPARATOR[65:91] = _SEPARATOR[97:123] = _SEPARATOR[128:] = False
@@ -200,17 +204,47 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(documents: DataFrame) -> Model | None:
-    """Learn from a bounded sample of the rows that aren't held out."""
+def _cutoffs(rows: DataFrame, counts: dict[str, int], quota: int) -> dict[str, int]:
+    """By language, the hash of its quota-th row by hash (of its last row if it has fewer).
+
+    Rows below a share that should hold enough of them are listed; languages with too few get a larger share.
+    """
+    cutoffs, share = {}, {k: (2 * quota + 50) / n for k, n in counts.items()}
+    while share:
+        bounds = [(k, min(_HASHES, int(x * _HASHES))) for k, x in share.items()]
+        near = rows.join(F.broadcast(rows.sparkSession.createDataFrame(bounds, "lang string, bound long")), "lang")
+        listed: dict[str, list[int]] = {k: [] for k in share}
+        for r in near.where("h < bound").select("lang", "h").distinct().collect():
+            listed[r["lang"]].append(r["h"])
+        done = [k for k, x in share.items() if x >= 1 or len(listed[k]) >= quota]
+        cutoffs |= {k: sorted(listed[k])[:quota][-1] for k in done}
+        share = {k: 8 * x for k, x in share.items() if k not in cutoffs}
+    return cutoffs
+
+
+def sample(documents: DataFrame) -> DataFrame | None:
+    """doc_id, text, lang of the rows to learn from: of each language the same number (or all), those of the lowest hashes."""
     rows = documents.where("doc_id is not null and text is not null and lang is not null").where(~is_held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, TRAIN_DOCS / n))) for k, n in counts.items()), F.lit(0.0))
-    chance = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.where(chance < share).select("doc_id", "text", "lang").limit(MAX_DOCS)
-    sample = picked.toArrow().sort_by("doc_id")
-    return train(sample["text"].to_pylist(), sample["lang"].to_pylist())
+    if len(counts) > MAX_DOCS:
+        raise ValueError(f"{len(counts)} languages, more than the {MAX_DOCS} texts to learn from")
+    rows = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(_HASHES)))
+    cutoffs = _cutoffs(rows, counts, min(TRAIN_DOCS, MAX_DOCS // len(counts)))
+    last = F.broadcast(documents.sparkSession.createDataFrame(list(cutoffs.items()), "lang string, cutoff long"))
+    start = F.pmod("h", F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1).cast("int") + 1
+    picked = rows.join(last, "lang").where("h <= cutoff").select("doc_id", F.substring("text", start, F.lit(TRAIN_CHARS)).alias("text"), "lang")
+    return picked.distinct()
+
+
+def fit(documents: DataFrame) -> Model | None:
+    """Learn from a bounded sample of the rows that aren't held out."""
+    picked = sample(documents)
+    if picked is None:
+        return None
+    rows = picked.toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("text", "ascending")])
+    return train(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 
 def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
