@@ -235,6 +235,16 @@ def test_pii_shares_do_not_depend_on_copies(spark):
     assert len(clean) == 1001 and not any("zorblax" in t for t in clean.values())
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    """Short names, names in CJK and ids are removed wherever they stand in a text that holds the entity."""
+    texts = [f"kim@ex.org {words(30, f'p{i}')} Kim and 金子 with A7B9 {words(30, f'q{i}')} once more Kim" for i in range(3)]
+    texts += [f"lone@ex.org beside Vexing {words(40, 'r')} lone@ex.org then Vexing"]
+    rows = list(enumerate(texts + [f"filler number{i} of a text and with more once" for i in range(200)]))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(x in clean[i] for i in range(3) for x in ("Kim", "金子", "A7B9")) and " and " in clean[0]
+    assert "Vexing" not in clean[3] and all(clean[i] == t for i, t in rows[4:])
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 

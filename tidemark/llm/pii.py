@@ -1,15 +1,16 @@
 r"""Operator 4: information-theoretic sanitisation of personal data (native).
 
 Base entities are leftmost non-overlapping matches per kind (e-mail, IP, card, phone) that pass
-their checks. Terms beside an entity may give it away although they aren't personal data
-themselves. So each entity's neighbourhood (CONTEXT characters on both sides) gives pairs of an
-entity and a term; over the corpus, the share of an entity's information that a term discloses is
+their checks. Terms in a text that holds an entity may give it away although they aren't personal
+data themselves. A term is a run of two or more letters or digits outside the text's entities.
+Over the corpus, the share of an entity's information that a term discloses is
 
     PMI(term; entity) / IC(entity) = 1 + log P(entity | term) / log (N / df(entity))
 
-Pairs seen in MIN_CONTEXTS different neighbourhoods (copies of one text count once) whose share
+Pairs that MIN_CONTEXTS texts hold (copies of one text count once), or that stand together in so many
+neighbourhoods of one entity (CONTEXT characters on both sides), and whose share
 reaches REMOVE are removed, those that reach GENERALISE are replaced by their shape, wherever
-the term stands in that entity's neighbourhood. Entities' own matches always go.
+the term stands in a text that holds the entity. Entities' own matches always go.
 
 Patterns differ from the plain ones in possessive repeats and in starting only where a run of
 the class starts or the last match ended (\G): the matches are the same, but no input makes the
@@ -37,7 +38,7 @@ KINDS = ("email", "ip", "card", "phone")
 CONTEXT = 80
 MIN_CONTEXTS = 2
 REMOVE, GENERALISE = 0.95, 0.85
-TERM = r"\p{L}{4,}+"
+TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
 SPANS = "array<struct<s:int,e:int>>"
 
 
@@ -93,32 +94,28 @@ def _labelled(base: Column) -> Column:
     return F.concat(*(_of_kind(base, k) for k in KINDS))
 
 
+def _outside(text: Column, base: Column) -> Column:
+    """Spans of the terms of a text that lie in no base entity."""
+    return F.filter(match_spans(text, F.lit(TERM)), lambda t: ~F.exists(base, lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"])))
+
+
+def _held(found: DataFrame) -> DataFrame:
+    """The rows with entities: doc_id, text, its hash h, mentions m (struct(k, s, e)) and distinct entities."""
+    rows = found.withColumn("m", _labelled(F.col("base"))).where(F.size("m") > 0)
+    value = lambda x: cut(F.col("text"), x)
+    rows = rows.withColumn("names", F.transform("m", lambda x: F.concat_ws(":", x["k"], F.when(x["k"].isin("card", "phone"), _digits(value(x))).otherwise(F.lower(value(x))))))
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("h"), "m", "names", F.array_distinct("names").alias("entities"))
+
+
 def _neighbourhoods(found: DataFrame) -> DataFrame:
-    """One row per entity mention and term beside it (null if there is none): row id, entity, context, term and its place."""
-    rows = found.where(F.size(_labelled(F.col("base"))) > 0)
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.explode(_labelled(F.col("base"))).alias("m"))
-    start = F.greatest(F.col("m.s") - CONTEXT, F.lit(0))
-    value = cut(F.col("text"), F.col("m"))
-    rows = rows.select(
-        "doc_id",
-        "h",
-        F.concat_ws(":", "m.k", F.when(F.col("m.k").isin("card", "phone"), _digits(value)).otherwise(F.lower(value))).alias("entity"),
-        start.alias("at"),
-        F.col("m.s").alias("ms"),
-        F.col("m.e").alias("me"),
-        F.substring("text", start + 1, F.col("m.e") + CONTEXT - start).alias("around"),
-    )
-    outside = lambda t: (F.col("at") + t["e"] <= F.col("ms")) | (F.col("at") + t["s"] >= F.col("me"))
-    rows = rows.withColumn("t", F.explode_outer(F.filter(match_spans(F.col("around"), TERM), outside)))
-    return rows.select(
-        "doc_id",
-        "h",
-        "entity",
-        F.xxhash64("around").alias("context"),
-        F.lower(cut(F.col("around"), F.col("t"))).alias("term"),
-        (F.col("at") + F.col("t.s")).alias("s"),
-        (F.col("at") + F.col("t.e")).alias("e"),
-    )
+    """(entity, context, term) of terms beside the entities that a text holds more than once."""
+    rows = _held(found).where(F.size("entities") < F.size("names")).select("text", "m", "names").distinct()
+    rows = rows.withColumn("outside", _outside(F.col("text"), F.col("m")))
+    rows = rows.select("text", "outside", F.explode(F.arrays_zip("names", "m")).alias("x"))
+    start, end = F.greatest(F.col("x.m.s") - CONTEXT, F.lit(0)), F.col("x.m.e") + CONTEXT
+    beside = F.filter("outside", lambda t: (t["e"] > start) & (t["s"] < end))
+    terms = F.array_distinct(F.transform(beside, lambda t: F.lower(cut(F.col("text"), t))))
+    return rows.select(F.col("x.names").alias("entity"), F.xxhash64(F.substring("text", start + 1, end - start)).alias("context"), F.explode(terms).alias("term"))
 
 
 def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -126,11 +123,17 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
 
     All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all.
     """
-    seen = mentions.where("term is not null").groupBy("entity", "term").agg(F.count_distinct("h").alias("df_te"), F.count_distinct("context").alias("contexts"))
-    together = seen.where(f"contexts >= {MIN_CONTEXTS}").drop("contexts")
-    entities = mentions.select("entity", "h").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
     texts = found.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    held = _held(find_base(texts.withColumn("doc_id", F.lit(0))))
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
+    near = mentions.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
+    # an entity of fewer texts and no such neighbourhoods has no pair to count
+    live = entities.join(near.select("entity").distinct().withColumn("near", F.lit(True)), "entity", "left").where(f"df_e >= {MIN_CONTEXTS} or near").select("entity")
+    terms_of = F.array_distinct(F.transform(_outside(F.col("text"), F.col("m")), lambda t: F.lower(cut(F.col("text"), t))))
+    pairs = held.select("entities", terms_of.alias("terms")).select(F.explode("entities").alias("entity"), "terms").join(live, "entity")
+    seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
+    together = seen.join(near, ["entity", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or contexts is not null").drop("contexts")
+    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
     terms = words.groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     share = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
@@ -141,25 +144,22 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
 
 def term_spans(found: DataFrame) -> DataFrame:
     """(doc_id, h, terms): spans of disclosing terms by document; h is the text's hash, as rows may share a doc_id."""
-    mentions = _neighbourhoods(found)
-    risky = disclosing_terms(found, mentions)
-    place = F.struct("s", "e", (F.col("share") >= REMOVE).alias("remove"))
-    return mentions.join(risky, ["entity", "term"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(place)).alias("terms"))
-
-
-def _merged(terms: Column) -> Column:
-    """One entry per place; removal outranks generalisation."""
-    return F.filter(
-        terms,
-        lambda x: ~F.exists(terms, lambda y: (y["s"] == x["s"]) & (y["e"] == x["e"]) & y["remove"] & ~x["remove"]),
-    )
+    risky = disclosing_terms(found, _neighbourhoods(found))
+    held = _held(found)
+    named = held.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode("entities").alias("entity")).join(risky, "entity")
+    named = named.groupBy("_id", "_h").agg(F.collect_set("term").alias("risky"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
+    rows = held.select("doc_id", "h", "text", "m").distinct().join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    term = lambda t: F.lower(cut(F.col("text"), t))
+    hits = F.filter(_outside(F.col("text"), F.col("m")), lambda t: F.array_contains("risky", term(t)))
+    places = F.transform(hits, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.array_contains("gone", term(t)).alias("remove")))
+    return rows.select("doc_id", "h", places.alias("terms"))
 
 
 def find_all(df: DataFrame) -> DataFrame:
     """df with `base` and `terms` (array of struct(s, e, remove))."""
     found = find_base(df)
     key = term_spans(found).select(
-        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), _merged(F.col("terms")).alias("terms")
+        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms"
     )
     joined = found.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
     return joined.drop("_id", "_h").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")))
@@ -175,7 +175,7 @@ def digest(df: DataFrame) -> DataFrame:
         *(F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS),
         listed.alias("listed"),
     )
-    key = term_spans(found).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), _merged(F.col("terms")).alias("terms"))
+    key = term_spans(found).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms")
     joined = lean.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     extra = F.transform(
         F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")),
