@@ -54,12 +54,12 @@ def test_jaccard_edges(spark, edges, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize("task_links", [0, 1_000_000])
-def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, task_links):
-    monkeypatch.setattr(jaccard, "TASK_LINKS", task_links)
-    monkeypatch.setattr(jaccard, "SMALL", 4)
-    monkeypatch.setattr(jaccard, "LEADERS", 2)
-    rng = random.Random(3)
+@pytest.mark.parametrize(("seed", "counters"), [(3, 1 << 21), (5, 1 << 16)])
+def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, seed, counters):
+    monkeypatch.setattr(jaccard, "COUNTERS", counters)
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "LEADERS", 1)
+    rng = random.Random(seed)
     passage = words(40, "common")
     base = [f"f{i}" for i in range(120)]
     docs = [" ".join(rng.sample(base, 0) + [w if rng.random() > 0.01 else f"e{n}" for w in base]) for n in range(60)]
@@ -69,6 +69,11 @@ def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, ta
         docs.append(" ".join(chain))
         chain = chain[3:] + [f"c{n}n{j}" for j in range(3)]
     docs += [passage] * 5 + [passage + f" end{n}" for n in range(20)]
+    for noise in (0.02, 0.03, 0.04):  # families around the threshold, with noise that copies of copies share
+        tree = [[f"t{noise}x{i}" for i in range(150)]]
+        for n in range(30):
+            tree.append([w if rng.random() > noise else f"t{noise}n{n}w{j}" for j, w in enumerate(rng.choice(tree))])
+        docs += [" ".join(t) for t in tree]
     rng.shuffle(docs)
     got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)).collect()
     want = components(list(enumerate(docs)))

@@ -13,18 +13,20 @@ Pigeonhole. A set offers all its non-zero blocks. At most (a + b) / 7 of them ca
 partner's, so partners meet in buckets of equal blocks. Sets below _FIRST_BAND shingles have a
 block for each shingle; of these at most (4a - 3b) / 7 can differ.
 
-Buckets. In a bucket of at most SMALL classes every pair is a candidate. Partners that share no
-small bucket share all but so many of their blocks in larger ones. Blocks are ordered by their
-buckets' sizes; of each partner's blocks the least popular ones, one more than can differ, hold
-a common one. So a set overlooks its most popular buckets and probes the rest, if any is large.
-
-1. Every member of a bucket is held against the bucket's first member, which joins families
-   of near copies in linear time. Components follow from large-star/small-star contraction.
-2. Candidates of small buckets that lie in different components are held against each other.
-3. In large buckets with probing members of several components, up to LEADERS of them, the most
-   central ones, are held against those of other components; that once more with other members;
-   then, where components still differ, all the rest. How many buckets either may overlook
-   depends on both sizes.
+Prefixes. Blocks stand in one order for all sets: by popularity, rarest first, then by hash. The
+popularity comes from counters of hashed blocks (COUNTERS of them, whatever the corpus), so it is
+an estimate; any common order gives right results. If at most d of a set's blocks can differ from
+a partner's, the first block common to both is among its first d + 1, so a set offers no more
+than those, and a pair is a candidate only where both ranks allow for that first common block,
+given both sizes. Passages that many texts share and the noise of single copies keep apart.
+
+Buckets. 1. Every member of a bucket is held against the bucket's first member, which joins
+families of near copies in linear time; components follow from large-star/small-star contraction.
+2. In buckets of at most SMALL sets, the other pairs are candidates if their components differ. In
+larger ones, members of several components are held against the LEADERS most central ones; once
+more with other leaders. 3. What is left meets under the most central member of each bucket: sets
+with the same one are held against each other, a pair only under the first such member that both
+have in common, so that it is made once however many blocks it shares.
 
 Candidates are pruned by the Hamming distance of compact bit sketches and verified by the exact
 intersection of their sets. No links are dropped and no bucket is cut.
@@ -43,16 +45,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship, shuffle_partitions
+from .common import Scratch, ship, shuffle_partitions
 from .words import mix, shingle_sets
 
-SMALL = 24
-LEADERS = 8
+SMALL = 6
+LEADERS = 4
 FLUSH = 500_000
 _FIRST_BAND = 512
-_MASK = (1 << 25) - 1
 FILTER_BITS = 25
-TASK_LINKS = 1_000_000
+COUNTERS = 1 << 21
+_PIECE = 1 << 16  # counters a row
 
 
 def _band(n: int) -> int:
@@ -97,17 +99,72 @@ def offered(u: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield band, mix(block * np.uint64(0xD1342543DE82EF95) ^ word ^ np.uint64(band << 56))
 
 
+def _differ(n: np.ndarray, m: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """How many of the blocks of sets of n shingles can differ from those of a linked set of m."""
+    return np.where(band == 0, (4 * n - 3 * m) // 7, (n + m) // 7)
+
+
+def _prefix(n: int, band: int) -> int:
+    """How many blocks a set of n shingles offers: one more than can differ from any partner's."""
+    most = n // 4 if band == 0 else (n + 4 * n // 3) // 7
+    return most + 1
+
+
+def _counter(sig: np.ndarray) -> np.ndarray:
+    return (sig % np.uint64(COUNTERS)).astype(np.int64)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a text; after them the task's block counters (up to 255 each) in pieces."""
+    counts, kind = None, None
+
+    def batch_of(ids: pa.Array, n: list, key: list, sketch: list, piece: list, held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(piece, pa.int32()), pa.array(held, pa.binary())],
+            names=["doc_id", "n", "key", "sketch", "piece", "counts"],
+        )
+
     for batch in batches:
-        ids, rows = batch.column(0), []
+        ids, rows, kind = batch.column(0), [], batch.schema.field(0).type
+        if counts is None:
+            counts = np.zeros(COUNTERS, np.uint32)
+        sigs, waiting = [], 0
         for row, u in shingle_sets(batch.column(1)):
             rows.append((row, len(u), _key(u) if len(u) else None, _compact(u) if len(u) else None))
+            for _, sig in offered(u) if len(u) else ():
+                sigs.append(_counter(sig))
+                waiting += len(sig)
+            if waiting > FLUSH:
+                counts += np.bincount(np.concatenate(sigs), minlength=COUNTERS).astype(np.uint32)
+                sigs, waiting = [], 0
+        if sigs:
+            counts += np.bincount(np.concatenate(sigs), minlength=COUNTERS).astype(np.uint32)
         if rows:
             at, n, key, sketch = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(at)), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "key", "sketch"],
-            )
+            yield batch_of(ids.take(pa.array(at)), n, key, sketch, [None] * len(rows), [None] * len(rows))
+    if counts is not None:
+        few = np.minimum(counts, 255).astype(np.uint8)
+        for piece in range(COUNTERS // _PIECE):
+            yield batch_of(pa.nulls(1, kind), [None], [None], [None], [piece], [few[piece * _PIECE : (piece + 1) * _PIECE].tobytes()])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces of counters, as levels: eight to an octave."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            now = np.frombuffer(counts.as_buffer(), np.uint8).astype(np.int64)
+            held[piece] = held[piece] + now if piece in held else now
+    for piece, total in held.items():
+        level = np.minimum(np.round(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["piece", "levels"])
+
+
+def _levels(digest: DataFrame) -> bytes:
+    """The popularity level of every counter: COUNTERS bytes, whatever the corpus."""
+    pieces = digest.where("piece is not null").select("piece", "counts").repartition("piece")
+    found = {r["piece"]: bytes(r["levels"]) for r in pieces.mapInArrow(_added, "piece int, levels binary").collect()}
+    return b"".join(found.get(i, bytes(_PIECE)) for i in range(COUNTERS // _PIECE))
 
 
 def _chosen(bitmap) -> object:
@@ -137,7 +194,7 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["key", "members"])
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, members) of the texts of some ids, and of a few others.
 
     The ids' hashes go into a bitmap of 2^FILTER_BITS places (4 MB, whatever the corpus), which is
@@ -151,7 +208,9 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     held = spark.sparkContext.broadcast(bitmap.tobytes())
     rows = docs.where("doc_id is not null").select(place(F.col("doc_id")).alias("p"), "text")
-    return materialize(rows.mapInArrow(_chosen(held), "key long, members array<bigint>").withColumn("n", F.size("members")), "sets")
+    sets = scratch(rows.mapInArrow(_chosen(held), "key long, members array<bigint>").withColumn("n", F.size("members")), "sets")
+    held.unpersist()
+    return sets
 
 
 def _part_labels(spark, parts: int) -> list[int]:
@@ -170,62 +229,59 @@ def _wide(blob: bytes, count: int) -> np.ndarray:
     return np.frombuffer(blob, f"u{len(blob) // count}").astype(np.int64)
 
 
-def _packed(labels: list[int]):
-    """Signatures as packed runs: one row per target part, with 48-bit signatures and a run per set."""
+_PACKED = "part int, sigs binary, keys binary, sizes binary, ranks binary, bands binary"
+
+
+def _packed(labels: list[int], levels):
+    """The blocks that sets offer, one row per target part, with signatures of 48 bits."""
     parts = len(labels)
 
-    def flush(sigs: list, heads: list) -> pa.RecordBatch:
-        sig = np.concatenate(sigs)
-        count = np.array([len(x) for x in sigs])
-        owner = np.repeat(np.arange(len(sigs), dtype=np.int64), count)
+    def flush(found: list[tuple]) -> pa.RecordBatch:
+        sig = np.concatenate([x[0] for x in found])
+        count = np.array([len(x[0]) for x in found])
+        key, n, band = (np.repeat(np.array(x, dtype=np.int64), count) for x in zip(*(x[1:] for x in found), strict=True))
+        rank = np.arange(len(sig)) - np.repeat(np.cumsum(count) - count, count)
         part = ((sig >> np.uint64(16)) % np.uint64(parts)).astype(np.uint32)
         order = np.argsort(part, kind="stable")
-        sig, owner, part = sig[order], owner[order], part[order]
+        sig, key, n, band, rank, part = (x[order] for x in (sig, key, n, band, rank, part))
         edge = np.searchsorted(part, np.arange(parts + 1))
-        key = np.array([k for k, _ in heads], dtype=np.int64)
-        info = np.array([x for _, x in heads], dtype=np.int64)
         rows = []
         for p in range(parts):
-            a, b = edge[p], edge[p + 1]
-            if a == b:
-                continue
-            own = owner[a:b]
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            runs = np.diff(np.append(first, b - a))
-            six = sig[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-            head = info[own[first]]
-            n = head & _MASK
-            rows.append((labels[p], six.tobytes(), key[own[first]].tobytes(), *map(_narrow, (runs, n, n - (head >> 25 & _MASK), head >> 50))))
+            cut = slice(edge[p], edge[p + 1])
+            if edge[p] < edge[p + 1]:
+                six = sig[cut].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+                rows.append((labels[p], six.tobytes(), key[cut].tobytes(), *(_narrow(x[cut]) for x in (n, rank, band))))
         p, *blobs = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(
-            [pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "sigs", "keys", "runs", "sizes", "gaps", "bands"]
+            [pa.array(p, pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], names=["part", "sigs", "keys", "sizes", "ranks", "bands"]
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, heads, held, seen = [], [], 0, set()
+        level = np.frombuffer(levels.value, np.uint8)
+        found, held, seen = [], 0, set()
         for batch in batches:
             for _, u in shingle_sets(batch.column(0)):
                 if len(u) and (key := _key(u)) not in seen:
                     seen.add(key)
                     for band, sig in offered(u):
-                        sigs.append(sig)
-                        heads.append((key, (band << 50) | (len(sig) << 25) | min(len(u), _MASK)))
+                        sig = sig[np.lexsort((sig, level[_counter(sig)]))][: _prefix(len(u), band)]
+                        found.append((sig, key, len(u), band))
                         held += len(sig)
                 if held > FLUSH:
-                    yield flush(sigs, heads)
-                    sigs, heads, held, seen = [], [], 0, set()
-        if sigs:
-            yield flush(sigs, heads)
+                    yield flush(found)
+                    found, held, seen = [], 0, set()
+        if found:
+            yield flush(found)
         pa.default_memory_pool().release_unused()
 
     return run
 
 
-_MEET = "kind int, a long, b long, sig long, info long, members int"
+_MEET = "kind int, a long, b long, sig long, n long, rank long, band int"
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray, fit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs whose sizes allow a link."""
+    """The distinct pairs whose sizes and ranks allow a link."""
     a, b = a[fit], b[fit]
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -233,43 +289,43 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray, fit: np.ndarray) -> tuple[np.nda
     return a[keep], b[keep]
 
 
-def _bucket(sig: np.ndarray, key: np.ndarray, info: np.ndarray) -> list[tuple]:
-    """(kind, a, b, sig, info, members) arrays of one part: 0 member and leader, 1 pair of a small bucket, 2 member of a large one."""
+def _bucket(sig: np.ndarray, key: np.ndarray, n: np.ndarray, rank: np.ndarray, band: np.ndarray) -> Iterator[tuple]:
+    """(kind, a, b, sig, n, rank, band) arrays of one part: 0 leader and member, 1 pair of a small bucket, 2 member of a large one."""
     order = np.lexsort((key, sig))
-    sig, key, info = sig[order], key[order], info[order]
+    sig, key = sig[order], key[order]
     keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
-    sig, key, info = sig[keep], key[keep], info[keep]
+    order, sig, key = order[keep], sig[keep], key[keep]
+    n, rank, band = n[order], rank[order], band[order]
     first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
     size = np.diff(np.append(first, len(sig)))
-    n = info & _MASK
-    native = _native(n, info >> 50)
+    native = _native(n, band)
     of_use = (size > 1) & np.logical_or.reduceat(native, first)
     first, size = first[of_use], size[of_use]
-    fit = lambda x, y: (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (native[x] | native[y])
-    out = []
+
+    def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        sizes = 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])
+        ranks = (rank[x] <= _differ(n[x], n[y], band[x])) & (rank[y] <= _differ(n[y], n[x], band[x]))
+        return sizes & ranks & (native[x] | native[y])
+
+    def pairs(kind: int, x: np.ndarray, y: np.ndarray) -> tuple:
+        a, b = _unique_pairs(key[x], key[y], fit(x, y))
+        z = np.zeros(len(a), np.int64)
+        return kind, a, b, z, z, z, z
+
     if len(first):
         lead = np.repeat(first, size - 1)
         member = lead + np.arange(len(lead)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1) + 1
-        a, b = _unique_pairs(key[lead], key[member], fit(lead, member))
-        z = np.zeros(len(a), np.int64)
-        out.append((0, a, b, z, z, z.astype(np.int32)))
-    pairs = []
+        yield pairs(0, lead, member)
     for s in range(3, SMALL + 1):
         at = first[size == s]
         if len(at):
             i, j = np.triu_indices(s - 1, 1)
-            pairs.append(((at[:, None] + 1 + i).ravel(), (at[:, None] + 1 + j).ravel()))
-    if pairs:
-        x, y = (np.concatenate(side) for side in zip(*pairs, strict=True))
-        a, b = _unique_pairs(key[x], key[y], fit(x, y))
-        z = np.zeros(len(a), np.int64)
-        out.append((1, a, b, z, z, z.astype(np.int32)))
+            yield pairs(1, (at[:, None] + 1 + i).ravel(), (at[:, None] + 1 + j).ravel())
     big = size > SMALL
     if big.any():
         reps = size[big]
         at = np.repeat(first[big], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-        out.append((2, key[at], np.zeros(len(at), np.int64), sig[at].view(np.int64), info[at], np.repeat(reps, reps).astype(np.int32)))
-    return out
+        yield 2, key[at], np.zeros(len(at), np.int64), sig[at].view(np.int64), n[at], rank[at], band[at]
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,34 +335,32 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             six = np.frombuffer(row["sigs"], np.uint8).reshape(-1, 6)
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
-            keys = np.frombuffer(row["keys"], np.int64)
-            runs, n, gap, band = (_wide(row[x], len(keys)) for x in ("runs", "sizes", "gaps", "bands"))
-            info = band << 50 | (n - gap) << 25 | n
-            parts.setdefault(row["part"], []).append(
-                (wide.view("<u8").ravel(), np.repeat(keys, runs), np.repeat(info, runs))
-            )
+            counts = (_wide(row[x], len(six)) for x in ("sizes", "ranks", "bands"))
+            parts.setdefault(row["part"], []).append((wide.view("<u8").ravel(), np.frombuffer(row["keys"], np.int64), *counts))
     for p in sorted(parts):
         found = parts.pop(p)
-        for kind, a, b, sig, info, members in _bucket(*(np.concatenate(x) for x in zip(*found, strict=True))):
-            for lo in range(0, len(a), 100_000):
-                cut = slice(lo, lo + 100_000)
+        for kind, *columns in _bucket(*(np.concatenate(x) for x in zip(*found, strict=True))):
+            for lo in range(0, len(columns[0]), 100_000):
+                a, b, sig, n, rank, band = (x[lo : lo + 100_000] for x in columns)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(a[cut]), kind, np.int32)), *(pa.array(x[cut]) for x in (a, b, sig, info, members))],
-                    names=["kind", "a", "b", "sig", "info", "members"],
+                    [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x) for x in (a, b, sig, n, rank)), pa.array(band.astype(np.int32))],
+                    names=["kind", "a", "b", "sig", "n", "rank", "band"],
                 )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets link; pairs is a written table."""
-    keys = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")))
+    keys = scratch(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
+    sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")), scratch)
     # sets that stand on one side only need not be moved for the other
-    on = lambda side: sets.join(materialize(pairs.select(F.col(side).alias("key")).distinct(), "side"), "key", "left_semi")
+    on = lambda side: sets.join(scratch(pairs.select(F.col(side).alias("key")).distinct(), "keys"), "key", "left_semi")
     left = on("a").select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
     right = on("b").select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("members").alias("mb"))
     both = pairs.join(right, "b").join(left, "a")
     common = F.size(F.array_intersect("ma", "mb"))
-    return materialize(both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
+    links = scratch(both.where(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
+    scratch.drop("keys", "sets")
+    return links
 
 
 def _folded(sketch: Column) -> Column:
@@ -328,19 +382,18 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.where(7 * apart <= F.col("na") + F.col("nb")).select(*pairs.columns)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root) of every end of a link: root is the smallest key reachable.
 
-    Up to TASK_LINKS links (16 MB) are joined in one task; more go by star contraction.
+    Each partition first joins its own links to stars; star contraction joins those.
     """
     links = links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u")
-    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
-        return links.coalesce(1).mapInArrow(_joined, "v long, root long")
-    return _contraction(links)
+    stars = links.mapInArrow(_joined, "v long, u long").where("v <> u")
+    return scratch(_contraction(stars, scratch), "roots")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of all links of a task, by hooking to smaller labels and pointer jumping."""
+    """Components of one partition's links, by hooking to smaller labels and pointer jumping."""
     pairs = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not pairs:
         return
@@ -363,12 +416,12 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root = new
     for lo in range(0, len(key), 500_000):
         part = slice(lo, lo + 500_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(key[root[part]])], names=["v", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(key[root[part]])], names=["v", "u"])
 
 
-def _contraction(links: DataFrame) -> DataFrame:
+def _contraction(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Alternates large-star and small-star on ever smaller stars until nothing changes."""
-    edges, mark = materialize(links.distinct(), "cc"), None
+    edges, mark = scratch(links.distinct(), "cc"), None
     while True:
         # large-star: each vertex's larger neighbours go to its smallest neighbour or itself
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -377,7 +430,7 @@ def _contraction(links: DataFrame) -> DataFrame:
         # small-star: each vertex and its smaller neighbours go to the smallest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u")
-        edges = materialize(small.union(low.select("v", F.col("m").alias("u"))).distinct(), "cc")
+        edges = scratch(small.union(low.select("v", F.col("m").alias("u"))).distinct(), "cc")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -385,86 +438,95 @@ def _contraction(links: DataFrame) -> DataFrame:
     return edges.groupBy("v").agg(F.min("u").alias("root")).union(edges.select(F.col("u").alias("v"), F.col("u").alias("root")).distinct()).groupBy("v").agg(F.min("root").alias("root"))
 
 
-def _across(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends lie in different components."""
-    if roots is None:
-        return pairs
     a = roots.select(F.col("v").alias("a"), F.col("root").alias("ra"))
     b = roots.select(F.col("v").alias("b"), F.col("root").alias("rb"))
     out = pairs.join(a, "a", "left").join(b, "b", "left")
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+_SIZES = "4 * least(n, nw) >= 3 * greatest(n, nw)"
+_LIMIT = "case when {band} = 0 then floor((4 * {n} - 3 * {m}) / 7) else floor(({n} + {m}) / 7) end"
+
+
+def _mixed(probes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of large buckets, with their roots, where a bucket holds several components."""
+    ends = probes.join(roots, "v", "left").select(*probes.columns, F.coalesce("root", "v").alias("root"))
+    mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
+    return ends.join(mixed, "sig", "left_semi")
+
+
+def _to_leaders(ends: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket and its most central members; other ones each turn."""
+    few = [F.min(F.struct("slack", F.xxhash64("v", F.lit(turn * LEADERS + i)), "v", "n", "rank", "root")).alias(f"p{i}") for i in range(LEADERS)]
+    lead = ends.groupBy("sig").agg(*few).select("sig", F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(LEADERS))))).alias("p"))
+    lead = lead.select("sig", F.col("p.v").alias("w"), F.col("p.n").alias("nw"), F.col("p.rank").alias("rank_w"), F.col("p.root").alias("root_w"))
+    fit = f"root <> root_w and {_SIZES} and rank <= {_LIMIT.format(band='band', n='n', m='nw')} and rank_w <= {_LIMIT.format(band='band', n='nw', m='n')}"
+    return ends.join(lead, "sig").where(fit).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
+
+
+def _met_once(ends: DataFrame) -> DataFrame:
+    """Every pair (a, b) of members of a bucket in different components that sizes and ranks allow, made once.
+
+    A bucket goes by its most central member (a spot: that member and the band). A set keeps its
+    lowest rank at each of its spots; a pair is made at the smallest spot where both ranks allow it.
+    """
+    lead = ends.groupBy("sig", "band").agg(F.min(F.struct("slack", F.xxhash64("v"), "v"))["v"].alias("w"))
+    at = ends.join(lead, ["sig", "band"]).select("v", "n", "root", "rank", "band", F.xxhash64("w", "band").alias("spot"))
+    at = at.groupBy("v", "spot").agg(F.min("rank").alias("rank"), F.first("n").alias("n"), F.first("root").alias("root"), F.first("band").alias("band"))
+    held = at.groupBy("v").agg(F.collect_list(F.struct("spot", "rank", "band")).alias("held"))
+    left = at.join(held, "v").select("spot", "v", "n", "root", "held")
+    right = left.select("spot", *(F.col(c).alias(f"{c}w" if c == "n" else f"{c}_w") for c in ("v", "n", "root", "held")))
+    able = lambda held, n, m: f"transform(filter({held}, h -> h.rank <= {_LIMIT.format(band='h.band', n=n, m=m)}), h -> h.spot)"
+    once = f"spot = array_min(array_intersect({able('held', 'n', 'nw')}, {able('held_w', 'nw', 'n')}))"
+    pairs = left.join(right, "spot").where(f"v < v_w and root <> root_w and {_SIZES} and {once}")
+    return pairs.select(F.col("v").alias("a"), F.col("v_w").alias("b"))
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of documents(doc_id, text)."""
     spark = documents.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     labels = _part_labels(spark, shuffle_partitions(spark))
     docs = documents.select("doc_id", "text")
-    digest = materialize(docs.mapInArrow(_digests, f"{_id(docs)}, n long, key long, sketch array<bigint>"), "digest")
-    packed = docs.select("text").mapInArrow(_packed(labels), "part int, sigs binary, keys binary, runs binary, sizes binary, gaps binary, bands binary")
-    meet = materialize(packed.repartition(len(labels), "part").mapInArrow(_meetings, _MEET), "meet")
+    made = scratch(docs.mapInArrow(_digests, f"{_id(docs)}, n long, key long, sketch array<bigint>, piece int, counts binary"), "digest")
+    digest = made.where("piece is null").select("doc_id", "n", "key", "sketch")
+    levels = spark.sparkContext.broadcast(_levels(made))
+    packed = docs.select("text").mapInArrow(_packed(labels, levels), _PACKED)
+    meet = scratch(packed.repartition(len(labels), "part").mapInArrow(_meetings, _MEET), "meet")
+    levels.unpersist()
 
     classes = digest.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    large = meet.where("kind = 2").select(F.col("a").alias("v"), "sig", "info", "members")
     wanted = meet.select("a").union(meet.where("kind < 2").select("b")).distinct().withColumnRenamed("a", "key")
     wanted = classes.join(wanted, "key").select(F.col("key").alias("k"), F.col("rep").alias("doc_id"))
-    sketches = digest.select("doc_id", "key", "n", "sketch").join(wanted, "doc_id").where("key = k")
-    sketches = materialize(sketches.dropDuplicates(["key"]).select("key", "n", "sketch", F.col("doc_id").alias("rep")), "sketch")
+    sketches = digest.join(wanted, "doc_id").where("key = k")
+    sketches = scratch(sketches.dropDuplicates(["key"]).select("key", "n", "sketch", F.col("doc_id").alias("rep")), "sketch")
 
     pairs = meet.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
-    close = materialize(_near(pairs, sketches), "near")
-    links = _verified(close.where("kind = 0").select("a", "b"), docs, sketches)
-    roots = materialize(components(links), "roots")
-    apart = materialize(_across(close.where("kind = 1"), roots), "apart")
-    if not apart.isEmpty():
-        found = _verified(apart, docs, sketches)
-        if not found.isEmpty():
-            roots = materialize(components(_contracted(roots, found)), "roots")
-
-    # members of large buckets that have more of them than they may overlook probe the rest
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("v", F.expr("info >> 50"))
-    rank = F.row_number().over(own.orderBy(F.desc("members"), "sig"))
-    ranked = large.select(
-        "sig", "v", F.col("info").bitwiseAND(_MASK).alias("n"), F.expr(f"info >> 25 & {_MASK}").alias("offers"), F.expr("info >> 50").alias("band"),
-        rank.alias("rank"), F.count("*").over(own).alias("h"),
-    )
-    # blocks that may differ from any partner's; the pair's own sizes decide below
-    worst = F.when(F.col("band") == 0, F.floor(F.col("n") / 4)).otherwise(F.floor((F.col("n") + F.floor(4 * F.col("n") / 3)) / 7))
-    # partners that share no small bucket share all but those blocks in large ones
-    ranked = ranked.where(F.col("h") >= F.col("offers") - worst).where(F.col("rank") > F.col("offers") - worst - 1)
-    # slack: a set's blocks in small buckets, the fewer, the more central it is in its family; spare: blocks that a rank leaves behind
-    probes = ranked.select("sig", "v", "n", "band", (F.col("offers") - F.col("h")).alias("slack"), (F.col("offers") - F.col("rank")).alias("spare"))
-    probes = materialize(probes, "probes")
-    for turn in range(3):
-        ends = probes.join(roots, "v", "left").select(*probes.columns, F.coalesce("root", "v").alias("root"))
-        mixed = ends.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("sig")
-        probes = materialize(probes.join(mixed, "sig", "left_semi"), "probes")
-        if probes.isEmpty():
-            break
-        ends = probes.join(roots, "v", "left").select(
-            "sig", "v", F.col("n").alias("nv"), F.col("slack").alias("slack_v"), F.col("spare").alias("spare_v"), F.coalesce("root", "v").alias("root")
-        )
-        lead = probes.withColumnRenamed("v", "a")
-        if turn < 2:
-            picks = [F.min(F.struct("slack", F.xxhash64("v", F.lit(turn * LEADERS + i)), "v"))["v"].alias(f"p{i}") for i in range(LEADERS)]
-            few = probes.groupBy("sig").agg(*picks).select("sig", F.explode(F.array(*(f"p{i}" for i in range(LEADERS)))).alias("a"))
-            lead = lead.join(few.distinct(), ["sig", "a"], "left_semi")
-        lead = lead.join(roots.select(F.col("v").alias("a"), F.col("root").alias("ra")), "a", "left")
-        pairs = ends.join(lead, "sig").where(F.col("root") != F.coalesce("ra", "a"))
-        differ = "case when band = 0 then floor((4 * {0} - 3 * {1}) / 7) else floor((n + nv) / 7) end"
-        one, other = differ.format("n", "nv"), differ.format("nv", "n")
-        pairs = pairs.where(f"band = 0 or 4 * greatest(n, nv) >= {_FIRST_BAND} * power(4, band)")
-        pairs = pairs.where(f"4 * least(n, nv) >= 3 * greatest(n, nv) and greatest(spare, slack) <= {one} and greatest(spare_v, slack_v) <= {other}")
-        pairs = pairs.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")).distinct()
-        pairs = materialize(_near(pairs, sketches), "near")
-        if pairs.isEmpty():
-            continue
-        found = _verified(pairs, docs, sketches)
-        if not found.isEmpty():
-            roots = materialize(components(_contracted(roots, found)), "roots")
+    close = scratch(_near(pairs, sketches), "near")
+    roots = components(_verified(close.where("kind = 0").select("a", "b"), docs, sketches, scratch), scratch)
+
+    def joined(candidates: DataFrame) -> DataFrame:
+        """The components after the links among some written candidates."""
+        if candidates.isEmpty():
+            return roots
+        found = _verified(candidates, docs, sketches, scratch)
+        return roots if found.isEmpty() else components(_contracted(roots, found), scratch)
+
+    # the fewer blocks of its own stand before the first shared one, the more central a set is in its family
+    large = meet.where("kind = 2").select("sig", F.col("a").alias("v"), "n", "rank", "band")
+    first = large.groupBy("v").agg((F.min("rank") / F.max("n")).alias("slack"))
+    probes = scratch(_mixed(large.join(first, "v"), roots).drop("root"), "probes")
+    small = _across(close.where("kind = 1"), roots)
+    for turn in range(2):
+        leaders = _near(_to_leaders(_mixed(probes, roots), turn), sketches)
+        roots = joined(scratch(small.union(leaders).distinct() if turn == 0 else leaders, "apart"))
+    ends = scratch(_mixed(probes, roots), "ends")
+    if not ends.isEmpty():
+        roots = joined(scratch(_near(_met_once(ends), sketches), "apart"))
+    scratch.drop("meet", "near", "apart", "probes", "ends", "links", "cc", "sketch")
 
     named = classes.join(roots, F.col("key") == F.col("v"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
