@@ -1,6 +1,7 @@
 """Each training-data operator against a brute-force form, SQL or a round trip, and on edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import sys
@@ -54,10 +55,8 @@ def test_jaccard_edges(spark, edges, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "counters"), [(3, 1 << 21), (5, 1 << 16)])
-def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, seed, counters):
-    monkeypatch.setattr(jaccard, "COUNTERS", counters)
-    monkeypatch.setattr(jaccard, "SMALL", 2)
+@pytest.mark.parametrize("seed", [3, 5])
+def test_jaccard_large_buckets_chains_and_common_passages(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "LEADERS", 1)
     rng = random.Random(seed)
     passage = words(40, "common")
@@ -250,6 +249,42 @@ def test_pii_terms_anywhere_in_the_document(spark):
     assert "Vexing" not in clean[3] and all(clean[i] == t for i, t in rows[4:])
 
 
+def test_pii_long_texts_take_linear_time(spark):
+    """Thousands of matches in one text: positions, counts and the sanitised text are right."""
+    hosts = [f"10.{i % 200}.{i % 199}.{i % 250}" for i in range(40_000)]
+    text = " ".join(hosts)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.digest(df).first()
+    want, at = [], 0
+    for h in hosts:
+        want.append(f"ip:{at}:{at + len(h)}")
+        at += len(h) + 1
+    assert r["n_ip"] == len(hosts) and r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+    assert pii.sanitise(df).first()["text"] == " ".join(["[IP]"] * len(hosts))
+
+
+def test_pii_shares_equal_brute_force(spark):
+    """The share of every pair is 1 + log P(entity | term) / log(N / df(entity)) over distinct texts."""
+    rng = random.Random(8)
+    names = [f"user{i}@ex.org" for i in range(6)]
+    texts = [" ".join([*rng.sample(names, rng.randint(0, 2)), *(f"term{rng.randint(0, 60)}" for _ in range(6))]) for _ in range(150)]
+    texts += rng.sample(texts, 40)
+    found = pii.find_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    nothing = spark.createDataFrame([], "entity string, context long, term string")
+    got = {(r["entity"], r["term"]): r["share"] for r in pii.disclosing_terms(found, nothing).collect()}
+    sets = [({f"email:{w}" for w in t.split() if "@" in w}, {w for w in t.split() if "@" not in w}) for t in sorted(set(texts))]
+    want = {}
+    for e in {e for s, _ in sets for e in s}:
+        df_e = sum(e in s for s, _ in sets)
+        for t in {t for _, s in sets for t in s}:
+            both, df_t = sum(e in a and t in b for a, b in sets), sum(t in b for _, b in sets)
+            if both >= pii.MIN_CONTEXTS:
+                share = 1 + math.log(both / df_t) / math.log(len(sets) / df_e)
+                if share >= pii.GENERALISE:
+                    want[e, t] = pytest.approx(share)
+    assert want and got == want
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 

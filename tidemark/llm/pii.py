@@ -8,9 +8,13 @@ Over the corpus, the share of an entity's information that a term discloses is
     PMI(term; entity) / IC(entity) = 1 + log P(entity | term) / log (N / df(entity))
 
 Pairs that MIN_CONTEXTS texts hold (copies of one text count once), or that stand together in so many
-neighbourhoods of one entity (CONTEXT characters on both sides), and whose share
-reaches REMOVE are removed, those that reach GENERALISE are replaced by their shape, wherever
-the term stands in a text that holds the entity. Entities' own matches always go.
+neighbourhoods of one entity (CONTEXT characters on both sides, up to the next entity of its kind), and
+whose share reaches REMOVE are removed, those that reach GENERALISE give way to their class (name,
+number, id or word), wherever the term stands in a text that holds the entity. Entities' own matches always go.
+
+Base entities are looked for once; the rows, with what was found, are written to the shared
+folder. Texts are shuffled once, to count terms over distinct ones; all later steps touch only
+the rows that hold entities.
 
 Patterns differ from the plain ones in possessive repeats and in starting only where a run of
 the class starts or the last match ended (\G): the matches are the same, but no input makes the
@@ -26,7 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import cut, match_spans
+from .common import Scratch
+from .spans import blanked, bound, match_spans, replaced
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -39,7 +44,8 @@ CONTEXT = 80
 MIN_CONTEXTS = 2
 REMOVE, GENERALISE = 0.95, 0.85
 TERM = r"[\p{L}\p{M}\p{N}]{2,}+"
-SPANS = "array<struct<s:int,e:int>>"
+SPANS = "array<struct<s:int,e:int,v:string>>"
+MARKS = "array<struct<s:int,e:int,v:string,remove:boolean>>"
 
 
 def _digits(hit: Column) -> Column:
@@ -61,80 +67,109 @@ def _luhn(hit: Column) -> Column:
     return F.when(n.between(13, 19), total % 10 == 0).otherwise(F.lit(False))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """By kind, array<struct<s, e>> of the base entities of a text that isn't null."""
-    none = F.array().cast(SPANS)
+def _phone(hit: Column) -> Column:
+    return F.length(_digits(hit)).between(9, 15)
 
-    def of(gate: Column, pattern: str, keep) -> Column:
-        hits = match_spans(text, pattern)
-        return F.when(gate, F.filter(hits, lambda x: keep(cut(text, x))) if keep else hits).otherwise(none)
 
-    long_digits = text.rlike(r"[0-9](?:[ -]?[0-9]){12}")
+def _gates(text: Column) -> dict[str, Column]:
+    """By kind, what a text must hold for its pattern to be tried."""
     return {
-        "email": of(F.instr(text, "@") > 0, EMAIL, None),
-        "ip": of(text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), IP, _octets),
-        "card": of(long_digits, CARD, _luhn),
-        "phone": of(F.instr(text, "+") > 0, PHONE, lambda h: F.length(_digits(h)).between(9, 15)),
+        "email": F.instr(text, "@") > 0,
+        "ip": text.rlike(r"[0-9]\.[0-9]++\.[0-9]"),
+        "card": text.rlike(r"[0-9](?:[ -]?[0-9]){12}"),
+        "phone": F.instr(text, "+") > 0,
     }
 
 
+_PATTERNS = {"email": (EMAIL, None), "ip": (IP, _octets), "card": (CARD, _luhn), "phone": (PHONE, _phone)}
+
+
+def base_spans(text: Column, context: int = 0) -> dict[str, Column]:
+    """By kind, array<struct<s, e, v>> of the base entities of a text that isn't null."""
+    none = F.array().cast(SPANS.replace("v:string", "v:string,b:string,a:string") if context else SPANS)
+    gates = _gates(text)
+
+    def of(kind: str) -> Column:
+        pattern, keep = _PATTERNS[kind]
+        hits = match_spans(text, pattern, context)
+        return F.when(gates[kind], F.filter(hits, lambda x: keep(x["v"])) if keep else hits).otherwise(none)
+
+    return {k: of(k) for k in KINDS}
+
+
 def find_base(df: DataFrame) -> DataFrame:
     """df with a column `base`: struct of the four kinds' spans."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = base_spans(text)
+    found = base_spans(F.coalesce(F.col("text"), F.lit("")))
     return df.withColumn("base", F.struct(*(found[k].alias(k) for k in KINDS)))
 
 
-def _of_kind(base: Column, kind: str) -> Column:
-    return F.transform(base[kind], lambda x: F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+def _labelled(base: Column) -> Column:
+    """All base spans as one array of struct(k, s, e, v)."""
+    of = lambda k: F.transform(base[k], lambda x: F.struct(F.lit(k).alias("k"), *(x[c].alias(c) for c in "sev")))
+    return F.concat(*(of(k) for k in KINDS))
 
 
-def _labelled(base: Column) -> Column:
-    """All base spans as one array of struct(k, s, e)."""
-    return F.concat(*(_of_kind(base, k) for k in KINDS))
+def _name(kind: Column, value: Column) -> Column:
+    """What tells one entity from another: its digits (cards and phones) or its text in lower case."""
+    return F.concat_ws(":", kind, F.when(kind.isin("card", "phone"), _digits(value)).otherwise(F.lower(value)))
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _outside(text: Column, base: Column) -> Column:
-    """Spans of the terms of a text that lie in no base entity."""
-    return F.filter(match_spans(text, F.lit(TERM)), lambda t: ~F.exists(base, lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"])))
+def _terms_outside(text: Column) -> Column:
+    """The distinct terms of a text without its entities."""
+    for kind in ("email", "phone", "card", "ip"):
+        text = bound(text, lambda t, k=kind: F.when(_gates(t)[k], blanked(t, *_PATTERNS[k])).otherwise(t))
+    return _terms(text)
 
 
 def _held(found: DataFrame) -> DataFrame:
-    """The rows with entities: doc_id, text, its hash h, mentions m (struct(k, s, e)) and distinct entities."""
+    """The rows with entities: doc_id, text, its hash h, mentions m (struct(k, s, e, v)), their names, the distinct ones, and terms."""
     rows = found.withColumn("m", _labelled(F.col("base"))).where(F.size("m") > 0)
-    value = lambda x: cut(F.col("text"), x)
-    rows = rows.withColumn("names", F.transform("m", lambda x: F.concat_ws(":", x["k"], F.when(x["k"].isin("card", "phone"), _digits(value(x))).otherwise(F.lower(value(x))))))
-    return rows.select("doc_id", "text", F.xxhash64("text").alias("h"), "m", "names", F.array_distinct("names").alias("entities"))
+    names = F.transform("m", lambda x: _name(x["k"], x["v"]))
+    terms = F.col("terms") if "terms" in found.columns else _terms_outside(F.col("text"))
+    return rows.select("doc_id", "text", F.xxhash64("text").alias("h"), "m", names.alias("names"), F.array_distinct(names).alias("entities"), terms.alias("terms"))
 
 
-def _neighbourhoods(found: DataFrame) -> DataFrame:
-    """(entity, context, term) of terms beside the entities that a text holds more than once."""
-    rows = _held(found).where(F.size("entities") < F.size("names")).select("text", "m", "names").distinct()
-    rows = rows.withColumn("outside", _outside(F.col("text"), F.col("m")))
-    rows = rows.select("text", "outside", F.explode(F.arrays_zip("names", "m")).alias("x"))
-    start, end = F.greatest(F.col("x.m.s") - CONTEXT, F.lit(0)), F.col("x.m.e") + CONTEXT
-    beside = F.filter("outside", lambda t: (t["e"] > start) & (t["s"] < end))
-    terms = F.array_distinct(F.transform(beside, lambda t: F.lower(cut(F.col("text"), t))))
-    return rows.select(F.col("x.names").alias("entity"), F.xxhash64(F.substring("text", start + 1, end - start)).alias("context"), F.explode(terms).alias("term"))
+def _with_terms(found: DataFrame) -> DataFrame:
+    """found with the distinct terms outside entities, and with the text only where there are entities."""
+    holds = F.exists(F.array(*(F.size(F.col("base")[k]) for k in KINDS)), lambda n: n > 0)
+    found = found.withColumn("h", F.xxhash64("text")).withColumn("text", F.when(holds, F.col("text")))
+    return found.withColumn("terms", F.when(holds, _terms_outside(F.col("text"))))
 
 
-def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
+def _neighbourhoods(found: DataFrame) -> DataFrame:
+    """(entity, context, term) of terms beside the entities that a text holds more than once."""
+    rows = _held(found).where(F.size("entities") < F.size("names")).select("text").distinct()
+    around = base_spans(F.col("text"), CONTEXT + 1)
+    beside = lambda k: F.transform(around[k], lambda x: F.struct(_name(F.lit(k), x["v"]).alias("entity"), x["b"].alias("b"), x["a"].alias("a")))
+    rows = rows.select(F.explode(F.concat(*(beside(k) for k in KINDS))).alias("x")).select("x.*")
+    # a term cut by the edge of the neighbourhood is left out
+    before = F.when(F.length("b") > CONTEXT, F.regexp_replace("b", r"^[\p{L}\p{M}\p{N}]+", "")).otherwise(F.col("b"))
+    after = F.when(F.length("a") > CONTEXT, F.regexp_replace("a", r"[\p{L}\p{M}\p{N}]+$", "")).otherwise(F.col("a"))
+    near = F.concat_ws(" ", before, after)
+    return rows.select("entity", F.xxhash64("b", "a").alias("context"), F.explode(_terms_outside(near)).alias("term"))
+
+
+def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(entity, term, share) of the pairs whose disclosed share of information reaches GENERALISE.
 
-    All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all.
+    All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all
+    (those of `texts`, if `found` holds only some).
     """
-    texts = found.select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    held = _held(find_base(texts.withColumn("doc_id", F.lit(0))))
+    texts = (found if texts is None else texts).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
+    held = _held(found).select("text", "entities", "terms").distinct()
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     near = mentions.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
     # an entity of fewer texts and no such neighbourhoods has no pair to count
     live = entities.join(near.select("entity").distinct().withColumn("near", F.lit(True)), "entity", "left").where(f"df_e >= {MIN_CONTEXTS} or near").select("entity")
-    terms_of = F.array_distinct(F.transform(_outside(F.col("text"), F.col("m")), lambda t: F.lower(cut(F.col("text"), t))))
-    pairs = held.select("entities", terms_of.alias("terms")).select(F.explode("entities").alias("entity"), "terms").join(live, "entity")
+    pairs = held.select(F.explode("entities").alias("entity"), "terms").join(live, "entity")
     seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
     together = seen.join(near, ["entity", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or contexts is not null").drop("contexts")
-    words = texts.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     share = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
     given = F.least(F.col("df_te") / F.col("df_t"), F.lit(1.0))
@@ -142,45 +177,31 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame) -> DataFrame:
     return share.select("entity", "term", (1 + F.log(given) / rarity).alias("share")).where(f"share >= {GENERALISE}")
 
 
-def term_spans(found: DataFrame) -> DataFrame:
+def term_spans(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, terms): spans of disclosing terms by document; h is the text's hash, as rows may share a doc_id."""
-    risky = disclosing_terms(found, _neighbourhoods(found))
+    risky = disclosing_terms(found, _neighbourhoods(found), texts)
     held = _held(found)
-    named = held.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode("entities").alias("entity")).join(risky, "entity")
+    # a document's own pairs meet the disclosing ones, so that an entity of many documents isn't paired with all its terms in each
+    named = held.select("doc_id", "h", F.explode("entities").alias("entity"), "terms").join(risky.select("entity").distinct(), "entity", "left_semi")
+    named = named.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entity", F.explode("terms").alias("term")).join(risky, ["entity", "term"])
     named = named.groupBy("_id", "_h").agg(F.collect_set("term").alias("risky"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
     rows = held.select("doc_id", "h", "text", "m").distinct().join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    term = lambda t: F.lower(cut(F.col("text"), t))
-    hits = F.filter(_outside(F.col("text"), F.col("m")), lambda t: F.array_contains("risky", term(t)))
-    places = F.transform(hits, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.array_contains("gone", term(t)).alias("remove")))
-    return rows.select("doc_id", "h", places.alias("terms"))
-
-
-def find_all(df: DataFrame) -> DataFrame:
-    """df with `base` and `terms` (array of struct(s, e, remove))."""
-    found = find_base(df)
-    key = term_spans(found).select(
-        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms"
-    )
-    joined = found.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    return joined.drop("_id", "_h").withColumn("terms", F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")))
+    hits = F.filter(match_spans(F.col("text"), F.lit(TERM)), lambda t: F.array_contains("risky", F.lower(t["v"])))
+    hits = F.filter(hits, lambda t: ~F.exists("m", lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"])))
+    places = F.transform(hits, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v"), F.array_contains("gone", F.lower(t["v"])).alias("remove")))
+    return rows.select("doc_id", "h", places.alias("places"))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """One row per document: counts, base_sha256 and all spans as text."""
     found = find_base(df.select("doc_id", "text"))
     listed = F.array_join(F.transform(_labelled(F.col("base")), lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
-    lean = found.select(
-        "doc_id",
-        F.xxhash64("text").alias("h"),
-        *(F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS),
-        listed.alias("listed"),
-    )
-    key = term_spans(found).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms")
+    counts = [F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
+    found = Scratch(df.sparkSession)(_with_terms(found).select("*", *counts, listed.alias("listed")), "pii")
+    key = term_spans(found, df).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "places")
+    lean = found.select("doc_id", "h", *(f"n_{k}" for k in KINDS), "listed")
     joined = lean.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
-    extra = F.transform(
-        F.coalesce("terms", F.array().cast("array<struct<s:int,e:int,remove:boolean>>")),
-        lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"]),
-    )
+    extra = F.transform(F.coalesce("places", F.array().cast(MARKS)), lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"]))
     return joined.select(
         "doc_id",
         *(f"n_{k}" for k in KINDS),
@@ -189,35 +210,26 @@ def digest(df: DataFrame) -> DataFrame:
     )
 
 
-def sanitise(df: DataFrame) -> DataFrame:
-    """df with text replaced by its sanitised form: entities by [KIND], removed terms by [...], generalised ones by their shape."""
-    found = find_all(df.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    entities = F.transform(
-        _labelled(F.col("base")),
-        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["k"]), F.lit("]")).alias("r")),
-    )
-    shape = lambda x: F.when(cut(text, x).rlike(r"^\p{Lu}"), F.lit("[Name]")).otherwise(F.lit("[word]"))
-    terms = F.transform(
-        "terms",
-        lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.when(x["remove"], F.lit("[...]")).otherwise(shape(x)).alias("r")),
-    )
-    found = found.withColumn("marks", F.array_sort(F.concat(entities, terms)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    # in order of place; a mark that begins inside the one before only extends it
-    folded = F.aggregate(
-        "marks",
-        start,
-        lambda acc, m: F.struct(
-            F.greatest(acc["at"], m["e"]).alias("at"),
-            F.when(
-                m["s"] >= acc["at"],
-                F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, m["s"] - acc["at"]), m["r"])),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))),
+def _class(term: Column) -> Column:
+    """What a generalised term gives way to."""
+    digits = term.rlike("[0-9]")
+    return (
+        F.when(digits & ~term.rlike(r"\p{L}"), F.lit("[number]")).when(digits, F.lit("[id]")).when(term.rlike(r"^\p{Lu}"), F.lit("[Name]")).otherwise(F.lit("[word]"))
     )
-    found = found.withColumn("clean", F.when(F.size("marks") > 0, folded).otherwise(F.col("text")))
-    return found.select(*(F.col("clean").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns))
+
+
+def sanitise(df: DataFrame) -> DataFrame:
+    """df with text replaced by its sanitised form: entities by [KIND], removed terms by [...], generalised ones by their class."""
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    found = Scratch(df.sparkSession)(_with_terms(find_base(df.select("doc_id", "text", row))), "pii")
+    key = term_spans(found, df.select("text")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "places")
+    # rows without entities stay as they are and aren't moved
+    holds = F.coalesce(F.size("terms") >= 0, F.lit(False))
+    rest = found.where(~holds).select(*(F.col("row").getField(c).alias(c) for c in df.columns))
+    held = found.where(holds).join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    mark = lambda x, r: F.struct(x["s"].alias("s"), x["e"].alias("e"), r.alias("r"))
+    entities = F.transform(_labelled(F.col("base")), lambda x: mark(x, F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))))
+    terms = F.transform(F.coalesce("places", F.array().cast(MARKS)), lambda x: mark(x, F.when(x["remove"], F.lit("[...]")).otherwise(_class(x["v"]))))
+    held = held.withColumn("marks", F.concat(entities, terms)).withColumn("clean", replaced(F.col("text"), F.col("marks")))
+    clean = held.select(*(F.col("clean").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in df.columns))
+    return rest.unionByName(clean) if len(set(df.columns)) == len(df.columns) else rest.union(clean)
