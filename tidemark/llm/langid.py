@@ -40,7 +40,8 @@ TRAIN_CHARS = 1 << 14
 TRAIN_SEQUENCES = 6000
 EPOCHS = 6
 TABLE = 1 << 17
-CHUNK = 4 << 20  # many texts side by side
+CHUNK = 2 << 20  # many texts side by side
+WORDS = 1 << 15  # words whose features are held at once
 _HASHES = 1 << 53
 UNDETERMINED = "und"
 _SEPARATOR = np.ones(256, dtype=bool)
@@ -90,8 +91,12 @@ def features(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 def _scores(model: Model, data: np.ndarray, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Words x languages: scores of each word, computed once for equal words."""
     _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    place, at = features(data, start[first], end[first])
-    return np.add.reduceat(model.weights[place], at, axis=0)[inverse]
+    out = np.empty((len(first), model.weights.shape[1]), model.weights.dtype)
+    for lo in range(0, len(first), WORDS):
+        part = first[lo : lo + WORDS]
+        place, at = features(data, start[part], end[part])
+        out[lo : lo + len(part)] = np.add.reduceat(model.weights[place], at, axis=0)
+    return out[inverse]
 
 
 def forward_backward(
@@ -122,6 +127,19 @@ def forward_backward(
     return p / p.sum(axis=1, keepdims=True), alpha, beta * e
 
 
+def _all_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+    """word_spans of many texts, a few of them at a time."""
+    found, words, lo = [], 0, 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK // 2, "right")) - 1)
+        base = off[lo]
+        start, end, key, at = word_spans(data[base : off[hi]], off[lo : hi + 1] - base, _SEPARATOR)
+        found.append((start + base, end + base, key, at[:-1] + words))
+        words, lo = words + len(start), hi
+    start, end, key, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    return start, end, key, np.append(at, words)
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     """Fit a model to labelled texts."""
     languages = sorted(set(langs))
@@ -132,7 +150,7 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
     data = np.frombuffer(b" ".join(blob), dtype=np.uint8)
     off = np.concatenate([[0], np.cumsum([len(x) + 1 for x in blob])])
     off[-1] -= 1
-    start, end, key, at = word_spans(data, off, _SEPARATOR)
+    start, end, key, at = _all_words(data, off)
     n = len(languages)
     weights = np.zeros((TABLE, n), dtype=np.float64)
     trans, initial = np.zeros((n, n)), np.zeros(n)
