@@ -8,7 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship as ship
+from .. import shipping
+
+ARROW_ROWS = 1000
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors; rows hold whole texts, so Arrow tasks take ARROW_ROWS of them at a time unless the session says otherwise."""
+    shipping.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

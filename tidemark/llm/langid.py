@@ -40,7 +40,7 @@ TRAIN_CHARS = 1 << 14
 TRAIN_SEQUENCES = 6000
 EPOCHS = 6
 TABLE = 1 << 17
-CHUNK = 2 << 20  # many texts side by side
+CHUNK = 1 << 20  # many texts side by side
 WORDS = 1 << 15  # words whose features are held at once
 _HASHES = 1 << 53
 UNDETERMINED = "und"
@@ -108,11 +108,11 @@ def forward_backward(
     order = order[size[order] > 0]
     start, size = at[:-1][order], size[order]
     e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    t = np.exp(transitions)
+    t = np.exp(transitions).astype(e.dtype)
     alpha, beta = np.empty_like(e), np.ones_like(e)
     steps = int(size[0]) if len(size) else 0
     live = len(size) - np.searchsorted(size[::-1], np.arange(steps), "right")
-    a = np.exp(initial)[None, :] * e[start]
+    a = np.exp(initial).astype(e.dtype)[None, :] * e[start]
     for i in range(steps):
         now = start[: live[i]] + i
         if i:
@@ -131,7 +131,7 @@ def _all_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     """word_spans of many texts, a few of them at a time."""
     found, words, lo = [], 0, 0
     while lo < len(off) - 1:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK // 2, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, "right")) - 1)
         base = off[lo]
         start, end, key, at = word_spans(data[base : off[hi]], off[lo : hi + 1] - base, _SEPARATOR)
         found.append((start + base, end + base, key, at[:-1] + words))
