@@ -8,7 +8,7 @@ from tidemark.plans import registry
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_equals_sql(spark, sf, name):
-    check(registry.QUERIES[name](spark, sf).toPandas(), registry.SQL[name], sf)
+    check(registry.QUERIES[name](spark, sf).toArrow(), registry.SQL[name], sf)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))

@@ -72,3 +72,14 @@ MAJOR_LEAGUES = (
     "UEFA Champions League", "UEFA Europa League", "UEFA Conference League", "Premier League", "La Liga", "Serie A", "Bundesliga",
     "Ligue 1", "Copa Libertadores", "Copa Sudamericana", "MLS", "Liga MX", "Champions League", "Europa League",
 )
+# patterns of a market's question: other sports, general football terms, a club's win on a date
+OTHER_SPORTS = (
+    r"\bLoL\b", r"\bCS2\b", r"\bDota\b", r"\bValorant\b", r"\bEsport", r"Map \d+ Winner", r"Game \d+ Winner", r"\bBO3\b", r"\bBO5\b",
+    r"\bMLB\b", r"\bNBA\b", r"\bITF\b", r"\bATP\b", r"\bWTA\b", r"Set \d+ Winner", r"\bNFL\b", r"\bUFC\b", r"\bMMA\b", r"\bNHL\b",
+    r"O/U \d{3}\.", r"presidential", r"gubernatorial", r"senatorial",
+)
+FOOTBALL_TERMS = (
+    "soccer", "football", "Both Teams to Score", "BTTS", "Clean Sheet", "Half[- ]Time", "Full[- ]Time", "HT/FT", "Exact Score", "Correct Score",
+    "First Goalscorer", "Last Goalscorer", "Anytime Goalscorer", "Total Goals",
+)
+WIN_ON_DATE = r"Will .+(?:FC|SC|CF|AC|AS|CD|CA|SD|UD|SSC|BFC|AFC|SV|VfB|VfL|TSG|FSV).+win on \d{4}-\d{2}-\d{2}"

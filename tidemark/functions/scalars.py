@@ -172,8 +172,50 @@ def word_in_text(name: Column, text: Column) -> Column:
 
 
 def include_exclude(text: Column, exclude: str, include: str) -> Column:
-    """Two-stage classifier: not excluded, and included."""
-    return ~text.rlike(exclude) & text.rlike(include)
+    """Two-stage classifier: not excluded, and included; null: false."""
+    return F.coalesce(~text.rlike(exclude) & text.rlike(include), F.lit(False))
+
+
+def strict_market(question: Column, clubs=(), excluded=C.OTHER_SPORTS) -> Column:
+    """Whether a question is about a football match: no other sport's words, and a club, a general term, a win on a date, a low total or a draw."""
+    include = "|".join([*(rf"\b(?:{c})" for c in clubs), *(rf"\b(?:{t})\b" for t in C.FOOTBALL_TERMS), C.WIN_ON_DATE, r"O/U [0-5]\.[05]", r"end in a draw|win or draw|draw\?|draw\b"])
+    return include_exclude(question, "(?i)" + "|".join(excluded), "(?i)" + include)
+
+
+def major_league(name: Column, leagues=C.MAJOR_LEAGUES) -> Column:
+    """Whether a league's name holds one of the leagues, in any case."""
+    return contains_any(name, [x.lower() for x in leagues])
+
+
+def date_part(x: Column) -> Column:
+    """The date of yyyy-MM-ddTHH."""
+    return F.substring(x, 1, 10)
+
+
+def hour_part(x: Column, default: str = "18") -> Column:
+    """The hour of yyyy-MM-ddTHH, or a default if there is none."""
+    return F.when(F.length(x) > 10, F.substring(x, 12, 2)).otherwise(F.lit(default))
+
+
+def days_apart(a: Column, b: Column) -> Column:
+    """Days between two dates, in either order."""
+    return F.abs(F.date_diff(a, b))
+
+
+def renamed(df: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """df with column names in lower case, and an alias renamed where its target is missing."""
+    df = df.toDF(*(c.lower() for c in df.columns))
+    for old, new in aliases.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
+def first_timestamp(df: DataFrame, names=("timestamp", "createdat", "updatedat", "time"), default: str = "2024-01-01") -> DataFrame:
+    """df with timestamp parsed from the first of the columns that it has, or a default; rows where that fails go."""
+    name = next((n for n in names if n in df.columns), None)
+    parsed = timestamp(F.col(name)) if name else F.lit(default).cast("timestamp")
+    return df.withColumn("timestamp", parsed).where("timestamp is not null")
 
 
 def binned(df: DataFrame, column: str, bins: int = 10, into: str = "bin") -> DataFrame:

@@ -98,7 +98,11 @@ def threshold_sweep(df: DataFrame, low: float = 0.1, step: float = 0.02, n: int
     Rows are first counted by the last threshold that they reach; running sums over those n rows
     give all thresholds, so rows aren't multiplied by n.
     """
-    at = F.least(F.floor((F.col("prob") - low) / step + 1e-9), F.lit(n - 1)).cast("int")
+    # thresholds are numbers of two digits; a score counts for those that it reaches as they are
+    grid_at = lambda i: F.round(low + i * step, 2)
+    near = F.floor((F.col("prob") - low) / step)
+    at = F.coalesce(*(F.when(F.col("prob") >= grid_at(near + d), near + d) for d in (1, 0)), near - 1)
+    at = F.least(at, F.lit(n - 1)).cast("int")
     counts = df.groupBy(at.alias("i")).agg(F.sum("label").alias("pos"), F.count("*").alias("n"))
     grid = df.sparkSession.range(n).select(F.col("id").cast("int").alias("i"))
     all_rows = counts.agg(F.sum("pos").alias("all_pos"))
@@ -116,19 +120,42 @@ def threshold_sweep(df: DataFrame, low: float = 0.1, step: float = 0.02, n: int
 def ranking_metrics(df: DataFrame) -> DataFrame:
     """roc_auc (average ranks for ties) and average_precision, from counts by distinct score.
 
-    The running sums go over distinct scores; scores of a model take as many values as there are
-    rows, so they are rounded to six places first, which bounds the ordered rows to a million.
+    Scores are dealt out by ranges; running sums go inside each range, and one row a range
+    (a count set by configuration) carries on the sums between them.
     """
-    by = df.groupBy(F.round("prob", 6).alias("s")).agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by.withColumns({"below": F.coalesce(F.sum("q").over(up), F.lit(0.0)), "tp": F.sum("p").over(down), "fp": F.sum("q").over(down)})
+    by = df.groupBy(F.col("prob").alias("s")).agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = by.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id())
+    rest = by.groupBy("part").agg(F.min("s").alias("at"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
+    before, beyond = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    rest = rest.select("part", zero(F.sum("all_q").over(before)).alias("q0"), zero(F.sum("all_p").over(beyond)).alias("p1"), zero(F.sum("all_q").over(beyond)).alias("q1"))
+    up = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("part").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    t = by.withColumns({"below": zero(F.sum("q").over(up)), "tp": F.sum("p").over(down), "fp": F.sum("q").over(down)}).join(F.broadcast(rest), "part")
+    below, tp, fp = F.col("below") + F.col("q0"), F.col("tp") + F.col("p1"), F.col("fp") + F.col("q1")
     return t.agg(
-        (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("roc_auc"),
-        (F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("p")).alias("average_precision"),
+        (F.sum(F.col("p") * (below + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("roc_auc"),
+        (F.sum(F.col("p") * tp / (tp + fp)) / F.sum("p")).alias("average_precision"),
     )
 
 
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """Rows and share by value, nulls included."""
+    total = df.agg(F.count("*").alias("_all"))
+    by = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    return by.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("_all")).alias("share"))
+
+
+def described(df: DataFrame, column: str) -> DataFrame:
+    """count, mean, std (of a sample), min, quartiles and max of a column, as one row."""
+    q = lambda x: F.percentile(column, F.lit(x))
+    return df.agg(
+        F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"),
+        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("max"),
+    )
+
+
 def series_quality(prices: DataFrame, keys: list[str], series: str) -> DataFrame:
     """The best series by key: n (1 - 2 |mean - .5|) with .05 < mean < .95; the first wins ties."""
     by = prices.groupBy(*keys, series).agg(F.count("*").alias("n"), F.avg("price").alias("mean_price"))
@@ -136,6 +163,30 @@ def series_quality(prices: DataFrame, keys: list[str], series: str) -> DataFrame
     return by.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("quality"), series))).where("_r = 1").drop("_r")
 
 
+def longest_series(prices: DataFrame, key: str, series: str) -> DataFrame:
+    """By key the series of the most prices among those with .05 < mean < .95; the first wins ties."""
+    by = prices.groupBy(key, series).agg(F.count("*").alias("n"), F.avg("price").alias("mean_price")).where("mean_price > 0.05 and mean_price < 0.95")
+    return by.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), series))).where("_r = 1").drop("_r")
+
+
+def first_usable(candidates: DataFrame, prices: DataFrame, key: str, ordinal: str, source: str, least: int = 5) -> DataFrame:
+    """By key the first source, by ordinal, that has more than `least` prices: key, source, n."""
+    n = prices.groupBy(source).agg(F.count("*").alias("n")).where(F.col("n") > least)
+    fit = candidates.join(n, source)
+    return fit.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(ordinal, source))).where("_r = 1").select(key, source, "n")
+
+
+def within_prices(events: DataFrame, prices: DataFrame, key: str, order: str, before: int = 0, after: int = 0) -> DataFrame:
+    """The events from `before` ahead of their key's first price to `after` past its last."""
+    span = prices.groupBy(key).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    return events.join(span, key).where((F.col(order) >= F.col("_lo") - before) & (F.col(order) <= F.col("_hi") + after)).drop("_lo", "_hi")
+
+
+def preferred(df: DataFrame, last: Column, order: list, n: int) -> DataFrame:
+    """The first n rows by order, with those where `last` holds (null: it doesn't) after all others."""
+    return df.orderBy(F.coalesce(last, F.lit(False)), *order).limit(n)
+
+
 def yes_series(prices: DataFrame, key: str, series: str, order: str) -> DataFrame:
     """By key the series with the highest first price; the smaller name wins ties."""
     first = prices.groupBy(key, series).agg(F.min_by("price", order).alias("first_price"))

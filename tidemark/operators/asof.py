@@ -27,7 +27,7 @@ def nearest(left: DataFrame, right: DataFrame, key: str, order: str, value: str,
     """left with the value of right nearest in time within a tolerance; the earlier wins a tie."""
     both = _both(left, right, key, order, value, tie)
     both = both.withColumn("_a", F.last("_p", ignorenulls=True).over(until(key, order)))
-    both = both.withColumn("_b", F.first("_p", ignorenulls=True).over(onward(key, order)))
+    both = both.withColumn("_b", F.last("_p", ignorenulls=True).over(onward(key, order)))
     da, db = F.col(order) - F.col("_a.at"), F.col("_b.at") - F.col(order)
     pick = F.when(F.col("_b").isNull() | (da <= db), F.col("_a")).otherwise(F.col("_b"))
     both = both.where("_event").withColumn("_hit", pick)

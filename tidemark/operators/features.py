@@ -6,17 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import absolute_label, causal_label, max_move
-from .windows import future, past, trend, until
+from ..functions import scalars as S
+from ..functions.constants import TIMER_KINDS
+from .windows import future, past, until, with_trend
 
 DENSITY = (30, 60, 120, 300)
 
 
+def game_state(messages: DataFrame, timers: tuple[str, ...] = TIMER_KINDS) -> DataFrame:
+    """messages(home_value, away_value, seconds, period_id, incident) with the game's state as features; what can't be parsed is 0 (period: 10)."""
+    home, away = S.number(F.col("home_value")), S.number(F.col("away_value"))
+    seconds = S.number(F.col("seconds"))
+    df = messages.withColumns({
+        "score_diff": (home - away).cast("int"), "total_goals": (home + away).cast("int"), "minutes_elapsed": S.minutes_elapsed(seconds),
+        "minutes_remaining": S.minutes_remaining(seconds), "period_id": S.number(F.col("period_id"), 10.0),
+    })
+    df = df.withColumns({
+        "is_leading": (F.col("score_diff") > 0).cast("int"), "is_drawing": (F.col("score_diff") == 0).cast("int"), "is_trailing": (F.col("score_diff") < 0).cast("int"),
+        "game_intensity": S.game_intensity(F.col("total_goals"), F.col("minutes_elapsed")),
+        "is_timer_period": F.coalesce(F.col("incident").isin(*timers), F.lit(False)).cast("int"),
+    })
+    return df.drop("home_value", "away_value", "seconds")
+
+
 def feature_row(
     events: DataFrame, prices: DataFrame, weight: Column, high_risk: Column, high_impact: Column, scale: float = 1.0, low: float = 0.02, high: float = 0.98
 ) -> DataFrame:
     """One row for each event that has a price in (low, high) at or before it.
 
-    events(fixture_id, event_id, us, incident, conf) and prices(fixture_id, event_id, us, price) become
+    events(fixture_id, event_id, us, incident, conf), with the state columns of game_state() if wanted, and prices(fixture_id, event_id, us, price) become
     one stream; all frames share its partitioning and order. Window lengths are seconds times scale.
     A price at t counts for the as-of price and not for the price windows before t or after it.
     """
@@ -40,7 +58,6 @@ def feature_row(
         | {f"high_impact_{s}s": F.coalesce(F.sum("is_high_impact").over(w[s]), F.lit(0)) for s in (60, 300)}
         | {f"xt_sum_{s}s": F.coalesce(F.sum("xt_weight").over(w[s]), F.lit(0.0)) for s in (60, 300)}
         | {
-            "conf_trend": trend(us, "event_id", "conf", w[60]),
             "price_velocity": gated(F.regr_slope("price", "ordinal").over(before)),
             "price_realized_vol": gated(F.stddev_pop("price").over(before)),
             "price_change_1m": gated(F.last("delta", ignorenulls=True).over(before)),
@@ -48,6 +65,7 @@ def feature_row(
             "next_60s_high_impact": causal_label("is_high_impact", future(key, us, 60 * scale)),
         }
     )
+    both = with_trend(both, key, us, "event_id", "conf", 60 * scale, "conf_trend")
     kept = both.where("is_event = 1").where((F.col("mid_price") > low) & (F.col("mid_price") < high))
     conf = F.coalesce("conf", F.lit(0.5))
     kept = kept.withColumns(

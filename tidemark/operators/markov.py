@@ -55,3 +55,23 @@ def analytic_table(spark) -> DataFrame:
     grid = spark.range(7).select(F.col("id").cast("int").alias("score"))
     grid = grid.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("time", F.explode(F.sequence(F.lit(0), F.lit(5))))
     return grid.withColumn("win_prob", 0.5 + (F.col("score") - 2) * 0.12)
+
+
+def simulated_prices(rows: DataFrame, key: str, order: list[str], seed: int = 42) -> DataFrame:
+    """rows(win_prob) with simulated_price: 0.7 of the probability three events before (.5 at first), 0.3 of the present one, and normal noise of .02 by hash."""
+    w = Window.partitionBy(key).orderBy(*order)
+    u = lambda what: (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), key, *order), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    noise = 0.02 * F.sqrt(-2 * F.log(u("a"))) * F.cos(6.283185307179586 * u("b"))
+    lagged = F.coalesce(F.lag("win_prob", 3).over(w), F.lit(0.5))
+    return rows.withColumns({"market_base": 0.7 * lagged + 0.3 * F.col("win_prob"), "simulated_price": F.least(F.greatest(0.7 * lagged + 0.3 * F.col("win_prob") + noise, F.lit(0.01)), F.lit(0.99))})
+
+
+def save(values: DataFrame, moves: DataFrame, path: str) -> None:
+    """Keep a chain as two Parquet tables."""
+    values.write.mode("overwrite").parquet(f"{path}/values")
+    moves.write.mode("overwrite").parquet(f"{path}/moves")
+
+
+def load(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """(values, moves) of a chain that save() kept."""
+    return spark.read.parquet(f"{path}/values"), spark.read.parquet(f"{path}/moves")

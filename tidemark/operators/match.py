@@ -64,3 +64,54 @@ def best_match(names: DataFrame, candidates: DataFrame, block: str, least: float
     rows = rows.withColumn("score", similarity(F.col("name"), F.col("cand_name"))).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "cand_id"))
     return rows.withColumn("_r", best).where("_r = 1").select("id", "cand_id", F.round("score", 4).alias("score"))
+
+
+def matchups(markets: DataFrame) -> DataFrame:
+    """One row a pair of teams and date: matchup_id, team_a, team_b, date, and its markets' ids and questions in order of id."""
+    group = markets.groupBy("team_a", "team_b", "date").agg(F.array_sort(F.collect_list(F.struct("market_id", "question"))).alias("held"))
+    key = F.xxhash64("team_a", "team_b", "date")
+    return group.select(key.alias("matchup_id"), "team_a", "team_b", "date", F.transform("held", lambda x: x["market_id"]).alias("market_ids"), F.transform("held", lambda x: x["question"]).alias("questions"))
+
+
+def match_matchups(markets: DataFrame, fixtures: DataFrame, floor: float = 0.35, least: float = 0.5) -> DataFrame:
+    """match_by_date for each matchup once, fanned out to all its markets: market_id, question, fixture_id, score."""
+    groups = matchups(markets)
+    found = match_by_date(groups.withColumnRenamed("matchup_id", "market_id"), fixtures, floor, least)
+    held = groups.select("matchup_id", F.explode(F.arrays_zip("market_ids", "questions")).alias("m"))
+    return held.join(found.withColumnRenamed("market_id", "matchup_id"), "matchup_id").select(F.col("m.market_ids").alias("market_id"), F.col("m.questions").alias("question"), "fixture_id", "score")
+
+
+def _scored_pairs(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
+    """pairs with the similarity of two columns, computed once for equal pairs."""
+    once = pairs.select(a, b).distinct().withColumn(into, similarity(F.col(a), F.col(b)))
+    return pairs.join(once, [a, b])
+
+
+def fixture_matchups(fixtures: DataFrame, groups: DataFrame, block: str, least: float = 0.65) -> DataFrame:
+    """Each fixture's best matchup of its block: both sides at least `least`, the highest mean, then the smaller matchup_id; with ids and questions.
+
+    The length bound goes before similarity, and similarity is computed once for each pair of names.
+    """
+    able = lambda x, y: ratio_bound(F.col(x), F.col(y)) >= least
+    rows = fixtures.join(groups.drop("date"), block).where(able("home", "team_a") & able("away", "team_b"))
+    rows = _scored_pairs(rows, "home", "team_a", "_h").where(F.col("_h") >= least)
+    rows = _scored_pairs(rows, "away", "team_b", "_a").where(F.col("_a") >= least).withColumn("score", (F.col("_h") + F.col("_a")) / 2)
+    best = F.row_number().over(Window.partitionBy("fixture_id").orderBy(F.desc("score"), "matchup_id"))
+    return rows.withColumn("_r", best).where("_r = 1").select("fixture_id", "home", "away", "team_a", "team_b", F.round("score", 3).alias("match_score"), "market_ids", "questions")
+
+
+def best_question(fixtures: DataFrame, markets: DataFrame, days: int = 2, least: float = 0.4) -> DataFrame:
+    """Each fixture's best market within some days: mean over both teams of the larger of similarity to the question and 0.6 for a word in it.
+
+    fixtures(fixture_id, home, away, date), markets(market_id, question, date); a null date meets nothing. A
+    fixture is taken to each day of its window, so that the join is on dates.
+    """
+    from ..functions.scalars import word_in_text
+
+    near = fixtures.withColumn("_d", F.explode(F.expr(f"sequence(date_sub(date, {days}), date_add(date, {days}))"))).drop("date")
+    rows = near.join(markets.withColumnRenamed("date", "_d"), "_d").drop("_d")
+    side = lambda x: F.greatest(similarity(F.col(x), F.col("question")), F.when(word_in_text(F.col(x), F.col("question")), 0.6).otherwise(0.0))
+    bound = lambda x: F.greatest(ratio_bound(F.col(x), F.col("question")), F.when(word_in_text(F.col(x), F.col("question")), 0.6).otherwise(0.0))
+    rows = rows.where((bound("home") + bound("away")) / 2 > least).withColumn("score", (side("home") + side("away")) / 2).where(F.col("score") > least)
+    best = F.row_number().over(Window.partitionBy("fixture_id").orderBy(F.desc("score"), "market_id"))
+    return rows.withColumn("_r", best).where("_r = 1").select("fixture_id", "market_id", "question", F.round("score", 3).alias("match_score"))

@@ -59,9 +59,16 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], t
     for name, pipe in models(features, trees).items():
         row = evaluate(score(pipe.fit(weighted), test, 0.5)).withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
+    weighted.unpersist()
     return out
 
 
+def best_model(metrics: DataFrame, by: str = "f1") -> DataFrame:
+    """metrics with is_best: the model of the highest value; the smaller name wins ties."""
+    top = metrics.orderBy(F.desc(by), "model").limit(1).select(F.col("model").alias("_best"))
+    return metrics.crossJoin(F.broadcast(top)).withColumn("is_best", F.col("model") == F.col("_best")).drop("_best")
+
+
 def importance(model: PipelineModel, features: list[str]) -> DataFrame:
     """feature, importance: absolute weights over the largest."""
     last = model.stages[-1]

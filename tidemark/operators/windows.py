@@ -27,7 +27,8 @@ def until(key, order: str) -> WindowSpec:
 
 
 def onward(key, order: str) -> WindowSpec:
-    return Window.partitionBy(key).orderBy(order).rangeBetween(0, Window.unboundedFollowing)
+    """All rows from t on, ties included, latest first: last() over it is the earliest of them. Grows by a row at a time."""
+    return Window.partitionBy(key).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, 0)
 
 
 def slope(values: Column) -> Column:
@@ -51,6 +52,21 @@ def trend(order: str, tie: str, value: str, frame: WindowSpec, k: int = 5) -> Co
     return slope(last_values(order, tie, value, frame, k))
 
 
+def with_trend(df, key: str, order: str, tie: str, value: str, seconds: float, into: str, closed: str = "both", k: int = 5):
+    """df with the slope of the last k values (that aren't null) of the last seconds up to t; closed: both or left.
+
+    Each row with a value takes the k - 1 before it along; the latest such list as of t is then cut
+    to the frame. Both windows only grow, so long frames cost no more than short ones.
+    """
+    own = Window.partitionBy(key, "_has").orderBy(order, tie).rowsBetween(1 - k, 0)
+    seen = Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if closed == "both" else -1)
+    df = df.withColumn("_has", F.col(value).isNotNull())
+    df = df.withColumn("_five", F.collect_list(F.struct(F.col(order).alias("o"), F.col(tie).alias("t"), F.col(value).cast("double").alias("v"))).over(own))
+    df = df.withColumn("_five", F.max(F.when(F.col("_has"), F.struct(order, tie, "_five"))).over(seen)["_five"])
+    inside = F.filter("_five", lambda x: x["o"] >= F.col(order) - int(seconds * SECOND))
+    return df.withColumn(into, F.coalesce(slope(F.transform(inside, lambda x: x["v"])), F.lit(0.0))).drop("_has", "_five")
+
+
 def sessions(df, key: str, order: str, gap: int, tie: str | None = None):
     """df with session: a row starts a new one if it comes more than gap (in the order's unit) after the row before."""
     w = Window.partitionBy(key).orderBy(order, *([tie] if tie else []))

@@ -17,7 +17,7 @@ from ..functions import scalars as S
 from ..operators import analytics as A
 from ..operators import asof, labels, markov, match, ml
 from ..operators import windows as W
-from ..operators.features import feature_row
+from ..operators.features import feature_row, game_state
 from ..sources import readers, sinks, synthetic
 
 SCALE = 720
@@ -140,7 +140,8 @@ n AS (SELECT event_id, y, len(y)::DOUBLE AS n FROM k)
 SELECT event_id, round(CASE WHEN n >= 2 THEN (n * list_sum(list_transform(y, lambda v, i: v * (i - 1))) - n * (n - 1) / 2 * list_sum(y))
   / (n * ((n - 1) * n * (2 * n - 1) / 6) - (n * (n - 1) / 2) * (n * (n - 1) / 2)) ELSE 0 END, 6) + 0::DOUBLE AS conf_trend FROM n""")
 def conf_trend_last5(spark, sf):
-    return _r(_messages(spark, sf).select("event_id", W.trend("us", "event_id", "conf", _past(60)).alias("conf_trend")), "conf_trend")
+    df = W.with_trend(_messages(spark, sf), "fixture_id", "us", "event_id", "conf", 60 * SCALE, "conf_trend")
+    return _r(df.select("event_id", "conf_trend"), "conf_trend")
 
 
 @query(f"WITH {M} SELECT event_id, round(conf - coalesce(avg(conf) OVER (PARTITION BY fixture_id ORDER BY us, event_id ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), conf), 6) + 0::DOUBLE AS conf_step FROM m")
@@ -180,8 +181,30 @@ a AS (SELECT m.event_id, p.price AS mid_price FROM m ASOF LEFT JOIN p ON m.fixtu
 f AS (SELECT w.*, a.mid_price, coalesce(greatest(abs(hi - a.mid_price), abs(lo - a.mid_price)), 0.0) AS move FROM w JOIN a USING (event_id) WHERE is_event = 1 AND a.mid_price > 0.02 AND a.mid_price < 0.98)"""
 
 
+#: stand-ins of the game's values: texts that follow from event_id, some of which can't be parsed
+STATE = {
+    "home_value": "cast(event_id % 4 as string)", "away_value": "case when event_id % 11 = 0 then 'x' else cast(event_id % 3 as string) end",
+    "seconds": "cast(event_id % 6000 as string)", "period_id": "case when event_id % 7 = 0 then null else '20' end",
+}
+GS = """gs AS (SELECT event_id, CAST(event_id % 4 AS DOUBLE) AS h, CASE WHEN event_id % 11 = 0 THEN 0 ELSE CAST(event_id % 3 AS DOUBLE) END AS w, CAST(event_id % 6000 AS DOUBLE) AS s,
+  CASE WHEN event_id % 7 = 0 THEN 10.0 ELSE 20.0 END::DOUBLE AS period_id, event_type = 'click' AS timer FROM events),
+st AS (SELECT event_id, CAST(h - w AS INTEGER) AS score_diff, CAST(h + w AS INTEGER) AS total_goals, round(s / 60, 6) AS minutes_elapsed, round(greatest(0, 5400 - s) / 60, 6) AS minutes_remaining,
+  period_id, CAST(h > w AS INTEGER) AS is_leading, CAST(h = w AS INTEGER) AS is_drawing, CAST(h < w AS INTEGER) AS is_trailing, round((h + w) * (s / 60 / 90 + 0.01), 6) AS game_intensity, CAST(timer AS INTEGER) AS is_timer_period FROM gs)"""
+STATE_FEATURES = ("score_diff", "total_goals", "minutes_elapsed", "minutes_remaining", "period_id", "is_leading", "is_drawing", "is_trailing", "game_intensity", "is_timer_period")
+#: the 30 features of the classifiers
+FEATURES = (
+    "confidence_grade", "conf_trend", "xt_weight", "event_density_30s", "event_density_60s", "event_density_120s", "risk_event_count_30s", "risk_event_count_60s", "score_diff", "minutes_remaining",
+    "period_id", "mid_price", "xt_x_conf", "is_high_impact", "is_timer_period", "risk_density_ratio", "price_extremeness", "total_goals", "is_leading", "is_drawing", "game_intensity",
+    "event_density_300s", "high_impact_60s", "high_impact_300s", "xt_sum_60s", "xt_sum_300s", "price_velocity", "price_realized_vol", "price_change_1m", "pressure_score",
+)
+
+
+def _stated(df: DataFrame) -> DataFrame:
+    return game_state(df.withColumns({k: F.expr(v) for k, v in STATE.items()}), ("click",))
+
+
 def _features(spark, sf) -> DataFrame:
-    m = _messages(spark, sf).drop("weight", "risk", "impact", "ts", "value")
+    m = _stated(_messages(spark, sf).drop("weight", "risk", "impact", "ts", "value"))
     w = S.threat_weight(F.col("incident"), WEIGHT)
     return feature_row(m, _prices(spark, sf).drop("token"), w, F.col("incident").isin("purchase", "error", "signup"), F.col("incident").isin("purchase", "error"), SCALE)
 
@@ -200,7 +223,7 @@ def forward_labels(spark, sf):
 _D = ", ".join(f"count(*) OVER {_sql_past(s)} AS d{s}" for s in (30, 60, 120, 300))
 
 
-@query(f"""WITH {_U}, e AS (SELECT event_id, {_D}, sum(risk) OVER {_sql_past(30)} AS r30, sum(risk) OVER {_sql_past(60)} AS r60, sum(impact) OVER {_sql_past(60)} AS h60,
+@query(f"""WITH {_U}, {GS}, ct AS ({SQL["conf_trend_last5"].replace(f"WITH {M}, l AS", "WITH l AS")}), e AS (SELECT event_id, {_D}, sum(risk) OVER {_sql_past(30)} AS r30, sum(risk) OVER {_sql_past(60)} AS r60, sum(impact) OVER {_sql_past(60)} AS h60,
   sum(impact) OVER {_sql_past(300)} AS h300, sum(weight) OVER {_sql_past(60)} AS x60, sum(weight) OVER {_sql_past(300)} AS x300 FROM m)
 SELECT f.fixture_id, f.event_id, f.us, f.incident, d30 AS event_density_30s, d60 AS event_density_60s, d120 AS event_density_120s, d300 AS event_density_300s,
   CAST(r30 AS BIGINT) AS risk_event_count_30s, CAST(r60 AS BIGINT) AS risk_event_count_60s, CAST(h60 AS BIGINT) AS high_impact_60s, CAST(h300 AS BIGINT) AS high_impact_300s,
@@ -209,9 +232,10 @@ SELECT f.fixture_id, f.event_id, f.us, f.incident, d30 AS event_density_30s, d60
   round(CASE WHEN np >= 3 THEN dl ELSE 0 END, 6) + 0::DOUBLE AS price_change_1m, round(move, 6) AS max_abs_move_120s, CAST(move > 0.03 AS INTEGER) AS high_volatility,
   CAST(coalesce(ahead, 0) AS INTEGER) AS next_60s_high_impact, conf AS confidence_grade, round(f.weight * conf, 6) AS xt_x_conf, round(r60 / (d60 + 1), 6) AS risk_density_ratio,
   round(x60 * conf, 6) AS pressure_score, round(2 * abs(mid_price - 0.5), 6) AS price_extremeness
-FROM f JOIN e USING (event_id)""")
+  , ct.conf_trend, st.* EXCLUDE (event_id)
+FROM f JOIN e USING (event_id) JOIN ct USING (event_id) JOIN st USING (event_id)""")
 def feature_row_v4(spark, sf):
-    df = _features(spark, sf).drop("conf_trend")
+    df = _features(spark, sf)
     return _r(df, *(c for c, t in df.dtypes if t == "double" and c != "confidence_grade"))
 
 
@@ -346,10 +370,10 @@ def word_containment(spark, sf):
     return readers.table(spark, sf, "part").select("p_partkey", S.word_in_text(F.col("p_name"), F.concat("p_type", F.lit(" large brushed"))).alias("hit"))
 
 
-@query("""WITH h AS (SELECT o_orderkey, unnest(generate_series(o_orderdate - INTERVAL 1 HOUR, o_orderdate + INTERVAL 2 HOUR, INTERVAL 1 HOUR)) AS h FROM orders WHERE o_orderpriority = '1-URGENT')
+@query("""WITH h AS (SELECT o_orderkey, unnest(generate_series(o_orderdate - INTERVAL 1 HOUR, o_orderdate + INTERVAL 2 HOUR, INTERVAL 1 HOUR)) AS h FROM orders)
 SELECT strftime(h, '%Y-%m-%dT%H') AS hour, count(*) AS n, min(o_orderkey) AS first_order FROM h GROUP BY 1""")
 def hour_fanout(spark, sf):
-    o = readers.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    o = readers.table(spark, sf, "orders")
     h = o.select("o_orderkey", F.explode(S.hour_range(F.col("o_orderdate").cast("timestamp"))).alias("hour"))
     return h.groupBy("hour").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
 
@@ -392,9 +416,9 @@ def semi_join_split(spark, sf):
     return readers.table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_join_unmatched(spark, sf):
-    o = readers.table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    o = readers.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
     return readers.table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
@@ -556,8 +580,8 @@ def markov_analytic(spark, sf):
 # ---- ML and splits -----------------------------------------------------------------------------
 
 
-@query(f"""WITH {G}, h AS (SELECT i, round(0.1 + i * 0.02, 2) AS threshold FROM range(40) r(i)), q AS (SELECT least(floor((prob - 0.1) / 0.02 + 1e-9), 39) AS k, label FROM g),
-c AS (SELECT threshold, CAST(sum(CASE WHEN k >= i THEN label ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN k >= i THEN 1 - label ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN k < i THEN label ELSE 0 END) AS BIGINT) AS fn FROM h, q GROUP BY 1),
+@query(f"""WITH {G}, h AS (SELECT round(0.1 + i * 0.02, 2) AS threshold FROM range(40) r(i)),
+c AS (SELECT threshold, CAST(sum(CASE WHEN prob >= threshold THEN label ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN prob >= threshold THEN 1 - label ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN prob < threshold THEN label ELSE 0 END) AS BIGINT) AS fn FROM h, g GROUP BY 1),
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall FROM c)
 SELECT threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END, 6) AS f1 FROM p""")
 def threshold_sweep(spark, sf):
@@ -592,8 +616,8 @@ def class_balance(spark, sf):
 @query()
 def model_comparison(spark, sf):
     rows = ml.hash_split(_features(spark, sf).withColumn("label", F.col("high_volatility")), "fixture_id").persist()
-    names = ["confidence_grade", "conf_trend", "xt_weight", "event_density_60s", "event_density_300s", "risk_event_count_60s", "mid_price", "price_extremeness", "price_velocity", "price_realized_vol", "pressure_score"]
-    return ml.train_and_evaluate(rows.where("is_train"), rows.where("not is_train"), names, trees=10)
+    out = ml.train_and_evaluate(rows.where("is_train"), rows.where("not is_train"), list(FEATURES), trees=100)
+    return ml.best_model(out)
 
 
 @query()
@@ -605,13 +629,147 @@ def fuzzy_match_best(spark, sf):
 
 @query()
 def fuzzy_match_markets(spark, sf):
-    o = readers.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    both = readers.table(spark, sf, "orders")  # orders of even key stand for markets, of odd key for fixtures
+    o = both.where("o_orderkey % 2 = 0")
     day = F.to_date("o_orderdate")
     m = o.select(F.col("o_orderkey").alias("market_id"), F.concat(F.lit("team "), (F.col("o_custkey") % 97).cast("string")).alias("team_a"), F.concat(F.lit("side "), (F.col("o_custkey") % 89).cast("string")).alias("team_b"), day.alias("date"))
-    f = readers.table(spark, sf, "orders").where("o_orderpriority = '2-HIGH'").select(F.col("o_orderkey").alias("fixture_id"), F.concat(F.lit("team "), (F.col("o_custkey") % 91).cast("string")).alias("home"), F.concat(F.lit("side "), (F.col("o_custkey") % 83).cast("string")).alias("away"), day.alias("date"))
+    f = both.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").alias("fixture_id"), F.concat(F.lit("team "), (F.col("o_custkey") % 91).cast("string")).alias("home"), F.concat(F.lit("side "), (F.col("o_custkey") % 83).cast("string")).alias("away"), day.alias("date"))
     return match.match_by_date(m, f)
 
 
 @query()
 def synthetic_matches(spark, sf):
-    return synthetic.matches(spark, 20, 100)
+    return synthetic.matches(spark)
+
+
+# ---- state, scalars and filters ------------------------------------------------------------------
+
+
+@query(f"WITH {GS} SELECT * FROM st")
+def game_state_columns(spark, sf):
+    return _r(_stated(_events(spark, sf)).select("event_id", *STATE_FEATURES), "minutes_elapsed", "minutes_remaining", "game_intensity")
+
+
+@query("SELECT event_id, CASE upper(event_type) WHEN 'GOAL' THEN 5.0 ELSE 0.1 END::DOUBLE AS weight, CASE WHEN event_id % 2 = 0 THEN round_even(greatest(0, 90 - (event_id % 6000) / 60), 2) ELSE round_even(greatest(0, 45 - (event_id % 6000) / 60), 2) END AS minutes_left FROM events")
+def period_minutes(spark, sf):
+    e = readers.table(spark, sf, "events")
+    left = S.minutes_by_period((F.col("event_id") % 6000).cast("double"), F.when(F.col("event_id") % 2 == 0, 10).otherwise(20))
+    return e.select("event_id", S.event_weight(F.col("event_type")).alias("weight"), left.alias("minutes_left"))
+
+
+@query("SELECT event_id, epoch_us(ts) AS us FROM events WHERE event_id % 5 <> 0")
+def lenient_timestamps(spark, sf):
+    e = readers.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("CreatedAt"))
+    return S.first_timestamp(S.renamed(e, {})).select("event_id", S.micros(F.col("timestamp")).alias("us"))
+
+
+@query("SELECT c_custkey AS match_id, c_nationkey AS sport_id, 0.5::DOUBLE AS confidence, substr(md5(c_name), 1, 32) AS market FROM customer")
+def renamed_and_defaulted(spark, sf):
+    c = readers.table(spark, sf, "customer").select(F.col("c_custkey").alias("MatchId"), F.col("c_nationkey").alias("SportId"), F.concat(F.lit("0x"), F.upper(F.md5("c_name")), F.lit("ff")).alias("market"))
+    df = S.with_defaults(S.renamed(c, {"matchid": "match_id", "sportid": "sport_id"}), confidence=F.lit(0.5))
+    return df.withColumn("market", S.market_key(F.col("market")))
+
+
+@query(f"WITH {M}, {P}, s AS (SELECT fixture_id, min(us) AS lo, max(us) AS hi FROM p GROUP BY 1) SELECT event_id, us BETWEEN lo AND hi AS in_play FROM m JOIN s USING (fixture_id) WHERE us BETWEEN lo - 3600000000 AND hi + 7200000000")
+def price_window_filters(spark, sf):
+    m, p = _messages(spark, sf), _prices(spark, sf)
+    inside = A.within_prices(m, p, "fixture_id", "us").select("event_id", F.lit(True).alias("in_play"))
+    return A.within_prices(m, p, "fixture_id", "us", 3_600_000_000, 7_200_000_000).select("event_id").join(inside, "event_id", "left").na.fill(False, ["in_play"])
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE contains(CAST(o_orderdate AS VARCHAR), '1995') AND abs(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) <= 2")
+def date_filters(spark, sf):
+    rows = readers.table(spark, sf, "lineitem").join(readers.table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    near = S.days_apart(F.to_date("o_orderdate"), F.to_date("l_shipdate")) <= 2
+    return rows.where(F.contains(F.col("o_orderdate").cast("string"), F.lit("1995")) & near).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, coalesce(contains(lower(p_type), 'steel') OR contains(lower(p_type), 'brass'), FALSE) AS major, substr(o, 1, 10) AS day, CASE WHEN length(o) > 10 THEN substr(o, 12, 2) ELSE '18' END AS hour FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN '2026-05-01' ELSE '2026-05-01T0' || (p_partkey % 10) END AS o FROM part)")
+def league_and_slices(spark, sf):
+    p = readers.table(spark, sf, "part").withColumn("o", F.expr("case when p_partkey % 3 = 0 then '2026-05-01' else concat('2026-05-01T0', p_partkey % 10) end"))
+    return p.select("p_partkey", S.major_league(F.col("p_type"), ("Steel", "BRASS")).alias("major"), S.date_part(F.col("o")).alias("day"), S.hour_part(F.col("o")).alias("hour"))
+
+
+@query("SELECT p_partkey FROM part ORDER BY contains(p_type, 'STEEL'), p_partkey LIMIT 50")
+def preferred_first(spark, sf):
+    return A.preferred(readers.table(spark, sf, "part"), F.contains("p_type", F.lit("STEEL")), ["p_partkey"], 50).select("p_partkey")
+
+
+_Q = """q AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Will Ajax FC win on 2026-05-01?' WHEN 1 THEN 'A vs. B: O/U 2.5' WHEN 2 THEN 'A vs. B: O/U 210.5' WHEN 3 THEN 'NBA: soccer draw?'
+  WHEN 4 THEN 'Both teams to score in A vs. B' WHEN 5 THEN 'Who wins the election' WHEN 6 THEN 'Blue Rovers title' ELSE 'Will A end in a draw' END AS question FROM customer)"""
+
+
+@query(f"WITH {_Q} SELECT c_custkey, c_custkey % 8 IN (0, 1, 4, 6, 7) AS football FROM q")
+def market_classifier(spark, sf):
+    kinds = ["Will Ajax FC win on 2026-05-01?", "A vs. B: O/U 2.5", "A vs. B: O/U 210.5", "NBA: soccer draw?", "Both teams to score in A vs. B", "Who wins the election", "Blue Rovers title", "Will A end in a draw"]
+    q = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("c_custkey") % 8 + 1).cast("int"))
+    return readers.table(spark, sf, "customer").select("c_custkey", S.strict_market(q, ["Blue Rovers"]).alias("football"))
+
+
+@query("SELECT event_type AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
+def value_counts(spark, sf):
+    return _r(A.value_counts(readers.table(spark, sf, "events"), "event_type"), "share")
+
+
+@query("SELECT count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, min(value) AS min, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS max FROM events")
+def described(spark, sf):
+    return _r(A.described(readers.table(spark, sf, "events"), "value"), "mean", "std", "q1", "median", "q3")
+
+
+@query(f"WITH {P}, t AS (SELECT fixture_id, token, count(*) AS n, avg(price) AS mean_price FROM p GROUP BY 1, 2 HAVING avg(price) > 0.05 AND avg(price) < 0.95), r AS (SELECT *, row_number() OVER (PARTITION BY fixture_id ORDER BY n DESC, token) AS r FROM t) SELECT fixture_id, token, n, round(mean_price, 6) AS mean_price FROM r WHERE r = 1")
+def longest_series(spark, sf):
+    return _r(A.longest_series(_prices(spark, sf), "fixture_id", "token"), "mean_price")
+
+
+@query(f"WITH {P}, n AS (SELECT token, count(*) AS n FROM p GROUP BY 1 HAVING count(*) > 5), r AS (SELECT fixture_id, token, n, row_number() OVER (PARTITION BY fixture_id ORDER BY token DESC) AS r FROM (SELECT DISTINCT fixture_id, token FROM p) JOIN n USING (token)) SELECT fixture_id, token, n FROM r WHERE r = 1")
+def first_usable_source(spark, sf):
+    p = _prices(spark, sf)
+    return A.first_usable(p.select("fixture_id", "token").distinct().withColumn("ordinal", -F.col("token")), p, "fixture_id", "ordinal", "token")
+
+
+@query("SELECT event_id, round(0.7 * coalesce(lag(k, 3) OVER w, 0.5) + 0.3 * k, 6) AS market_base FROM (SELECT *, CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS k FROM events) WINDOW w AS (PARTITION BY user_id % 50 ORDER BY epoch_us(ts), event_id)")
+def simulated_market(spark, sf):
+    e = _events(spark, sf).withColumnRenamed("conf", "win_prob")
+    return _r(markov.simulated_prices(e, "fixture_id", ["us", "event_id"]).select("event_id", "market_base"), "market_base")
+
+
+# ---- matchups ------------------------------------------------------------------------------------
+
+
+def _markets(spark, sf) -> DataFrame:
+    o = readers.table(spark, sf, "orders").where("o_orderkey % 2 = 0")
+    team = lambda word, n: F.concat(F.lit(word), (F.col("o_custkey") % n).cast("string"))
+    return o.select(
+        F.col("o_orderkey").alias("market_id"), team("team ", 31).alias("team_a"), team("side ", 29).alias("team_b"), F.to_date("o_orderdate").alias("date"),
+        F.concat(team("Team ", 31), F.lit(" vs. "), team("Side ", 29), F.lit(": O/U 2.5")).alias("question"),
+    )
+
+
+def _fixtures(spark, sf) -> DataFrame:
+    o = readers.table(spark, sf, "orders").where("o_orderkey % 2 = 1")
+    team = lambda word, n: F.concat(F.lit(word), (F.col("o_custkey") % n).cast("string"))
+    return o.select(F.col("o_orderkey").alias("fixture_id"), team("team ", 37).alias("home"), team("side ", 23).alias("away"), F.to_date("o_orderdate").alias("date"))
+
+
+@query("""WITH k AS (SELECT o_orderkey AS id, 'team ' || (o_custkey % 31) AS team_a, 'side ' || (o_custkey % 29) AS team_b, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 2 = 0)
+SELECT team_a, team_b, date, count(*) AS n, array_to_string(list(id ORDER BY id), ',') AS ids FROM k GROUP BY 1, 2, 3""")
+def market_matchups(spark, sf):
+    g = match.matchups(_markets(spark, sf))
+    return g.select("team_a", "team_b", "date", F.size("market_ids").cast("long").alias("n"), F.array_join(F.transform("market_ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query()
+def fuzzy_match_matchups(spark, sf):
+    return match.match_matchups(_markets(spark, sf), _fixtures(spark, sf))
+
+
+@query()
+def fuzzy_fixture_matchups(spark, sf):
+    day = F.date_trunc("month", "date").alias("month")
+    groups = match.matchups(_markets(spark, sf)).select("*", day)
+    return match.fixture_matchups(_fixtures(spark, sf).select("*", day), groups, "month")
+
+
+@query()
+def fuzzy_best_question(spark, sf):
+    return match.best_question(_fixtures(spark, sf), _markets(spark, sf))

@@ -22,7 +22,7 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     """All message files under path, with event_date and fixture_id taken from the path where files lack them."""
     df = spark.read.option("recursiveFileLookup", "true").parquet(path)
     file = F.input_file_name()
-    found = {"event_date": F.regexp_extract(file, r"(\d{4}-\d{2}-\d{2})", 1), "fixture_id": F.regexp_extract(file, r"fixture_id=(\d+)|/(\d+)/[^/]*$", 1).try_cast("long")}
+    found = {"event_date": F.regexp_extract(file, r"(\d{4}-\d{2}-\d{2})", 1), "fixture_id": F.regexp_extract(file, r"/(?:fixture_id=)?(\d+)/[^/]*$", 1).try_cast("long")}
     return df.withColumns({k: v for k, v in found.items() if k not in df.columns})
 
 
@@ -32,6 +32,29 @@ def candles(spark: SparkSession, path: str) -> DataFrame:
     return df.select("file", F.timestamp_seconds("t").alias("timestamp"), F.col("p").alias("mid"))
 
 
+def fixture(spark: SparkSession, root: str, date: str, fixture_id: int, least: int = 20) -> DataFrame | None:
+    """One fixture's messages under root/date/fixture_id, or None if there are fewer than `least`."""
+    path = f"{root}/{date}/{fixture_id}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    df = messages(spark, path)
+    return df if df.limit(least).count() >= least else None
+
+
+def first_files(spark: SparkSession, root: str, n: int, sport: int | None = None) -> DataFrame:
+    """Messages of the first n Parquet files by name under root; of one sport only, if given (sport_id or sportId)."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place, found = jvm.org.apache.hadoop.fs.Path(root), []
+    files = place.getFileSystem(conf).listFiles(place, True)
+    while files.hasNext():
+        name = files.next().getPath().toString()
+        found += [name] if name.endswith(".parquet") else []
+    df = spark.read.parquet(*sorted(found)[:n])
+    at = next((c for c in df.columns if c.lower().replace("_", "") == "sportid"), None)
+    return df if sport is None or at is None else df.where(F.col(at) == sport)
+
+
 def markets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", "true").json(path)
 

@@ -16,6 +16,11 @@ def _u(seed: int, what: str) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), F.lit(what), "match_id", "step"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
 
+def _second(seed: int) -> Column:
+    """beta(2, 8): the second smallest of nine uniform numbers."""
+    return F.array_sort(F.array(*(_u(seed, f"conf{i}") for i in range(9))))[1]
+
+
 def matches(spark: SparkSession, n_matches: int = 500, n_events: int = 300, seed: int = 42) -> DataFrame:
     """match_id, step, elapsed_time, event_type, score_home, score_away, confidence, true_win_prob, price."""
     rows = spark.range(n_matches).withColumnRenamed("id", "match_id").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_events - 1))))
@@ -31,4 +36,4 @@ def matches(spark: SparkSession, n_matches: int = 500, n_events: int = 300, seed
     left = F.greatest(F.lit(0.0), 90 - F.col("elapsed_time") / 60)
     rows = rows.withColumn("true_win_prob", win_probability(F.col("score_home") - F.col("score_away"), left))
     normal = F.sqrt(-2 * F.log(_u(seed, "n1"))) * F.cos(6.283185307179586 * _u(seed, "n2"))
-    return rows.withColumns({"confidence": F.pow(_u(seed, "conf"), 0.125), "price": clip(F.col("true_win_prob") + 0.015 * normal, 0.01, 0.99)}).drop("gap", "home_goal")
+    return rows.withColumns({"confidence": 1 - _second(seed), "price": clip(F.col("true_win_prob") + 0.015 * normal, 0.01, 0.99)}).drop("gap", "home_goal")
