@@ -5,7 +5,8 @@ gives the pieces of the packed sequences.
 
 1. language: texts whose language can't be told (no letters, or a mean probability below
    MIN_SCORE) go; the others carry the predicted language.
-2. near_duplicates: of each group of linked texts the row of the smallest doc_id stays, whole.
+2. near_duplicates: of each group of linked texts the row of the smallest doc_id stays, whole. Of rows that share
+   that id, the one of the smallest text stays; of linked rows without any id, one for each set of shingles.
 3. personal_data: texts are sanitised; n_chars follows.
 4. mixture: sources are brought to their target weights by Poisson replication.
 5. packing: BM25 retrieval packing into windows.
@@ -41,14 +42,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = materialize(jaccard.jaccard_components(docs), "components")
     dropped = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
     kept = docs.join(_small_side(dropped), "doc_id", "left_anti").select(*COLUMNS)
-    # rows that repeat a kept doc_id are copies too; texts are shuffled only where there are such rows
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    # an id that several rows share, or none, doesn't tell which row is meant; only such rows are told apart by their sets
+    twice = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id")
     twice = materialize(twice, "repeated")
     if twice.isEmpty():
         return kept
-    side = _small_side(twice)
-    once = kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(side, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    repeated = _small_side(twice.where("doc_id is not null"))
+    rest = kept.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*COLUMNS)
+    unclear = docs.join(repeated, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    of_set = found.where("set_key is not null").groupBy("set_key").agg(F.first("component_key").alias("component_key"), F.min("component_id").alias("component_id"))
+    unclear = jaccard.with_key(unclear).join(of_set, "set_key", "left")
+    # of a component the row of the smallest id stays, of equal ids that of the smallest text; without any id, one row a set
+    first = unclear.where("set_key is not null and (doc_id = component_id or component_id is null)")
+    first = first.groupBy("component_key")
+    first = first.agg(F.min(F.struct("text", *(c for c in COLUMNS if c != "text"))).alias("r")).select(*(F.col(f"r.{c}").alias(c) for c in COLUMNS))
+    # texts without words are linked with nothing
+    return rest.unionByName(unclear.where("set_key is null").select(*COLUMNS)).unionByName(first)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,34 @@ def test_packing_edges(spark, edges, empty):
     assert packing.pack(empty, registry.tokenizer_path()).count() == 0
 
 
+def test_packing_beats_reading_order(spark, sf):
+    """Documents of one window have more words in common than those of windows filled in order of reading."""
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    docs = [np.append(x, np.uint32(2)).astype(np.uint16) for _, x in Encoder(registry.tokenizer_path()).encode(pa.array(texts))]
+    docs = [d for d in docs if len(d) < 2000]
+    rng = np.random.default_rng(1)
+    docs = [docs[i] for i in rng.permutation(len(docs))]
+    sets = [set(d.tolist()) for d in docs]
+
+    def overlap(windows):
+        shares = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for w in windows for i, a in enumerate(w) for b in w[i + 1 :]]
+        return sum(shares) / len(shares)
+
+    packer = packing.Packer(0)
+    packer.shard(list(range(len(docs))), docs)
+    packer.finish()
+    packed, plain, room = {}, [[]], 4096
+    for d, *_, seq, _off in packer.take():
+        packed.setdefault(seq, set()).add(d)
+    for i, d in enumerate(docs):
+        plain[-1].append(i)
+        room -= len(d)
+        if room <= 0:
+            plain.append([])
+            room += 4096
+    assert overlap([sorted(w) for w in packed.values()]) > 1.1 * overlap(plain)
+
+
 def test_packing_puts_related_documents_together():
     packer = packing.Packer(0)
     rng = np.random.default_rng(2)
@@ -427,6 +455,21 @@ def test_shards_keep_all_rows_through_compaction(spark, edges, tmp_path):
         shards.ShardStore(spark, f"{tmp_path}/none").read()
 
 
+def test_shards_older_versions_stay_readable(spark, edges, tmp_path):
+    store = shards.ShardStore(spark, f"{tmp_path}/s", target=1 << 20)
+    for _ in range(2):
+        store.append(edges.repartition(4))
+    first, reader = store.version(), store.read()
+    other = shards.ShardStore(spark, store.path, target=1 << 20)
+    assert store.compact() > first
+    assert reader.count() == store.read(first).count() == 2 * edges.count()  # readers at work and old versions aren't disturbed
+    base = store.version()
+    won = [s._commit(base, store.manifest()["schema"], store.manifest()["shards"]) for s in (store, other)]
+    assert won == [True, False] and store.version() == base + 1
+    assert store.vacuum(keep=2) > 0 and store.read().count() == 2 * edges.count()
+    assert store.read(base).count() == 2 * edges.count()
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 
@@ -523,6 +566,25 @@ def test_poisson_counts_follow_the_quantile(spark):
     assert abs(share - 0.75) < 0.03
 
 
+def test_mixing_counts_at_high_rates(spark):
+    """Counts are Poisson quantiles at rates where exp(-rate) is 0."""
+    small = spark.createDataFrame([(i, "a") for i in range(400)], "doc_id long, source string")
+    for rate in (3.5, 180.0, 900.0, 4000.0):
+        cdf = small.limit(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c"), mixing._first_count(F.lit(rate)).alias("f")).first()
+        at = [math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(rate + 12 * rate**0.5 + 26))]
+        want = np.cumsum(at)[cdf["f"] :]
+        assert np.allclose(cdf["c"][: len(want)], want[: len(cdf["c"])], atol=1e-9) and cdf["c"][-1] > 1 - 1e-9
+    rows = spark.createDataFrame([(i, "a") for i in range(20_000)] + [(-i - 1, "b") for i in range(20)], "doc_id long, source string")
+    counts = mixing.with_counts(rows, {"a": 0.1, "b": 0.9}).where("source = 'b'").agg(F.avg("repeats"), F.count_distinct("repeats")).first()
+    rate = 0.9 * 20_020 / 20
+    assert abs(counts[0] - rate) < 4 * (rate / 20) ** 0.5 and counts[1] > 10
+
+
+def test_helper_columns_keep_names_that_are_taken(spark):
+    df = spark.createDataFrame([(1, "a", "mit license", "x", "y")], "doc_id long, source string, text string, _source string, _norm string")
+    assert mixing.with_counts(df).first()["_source"] == "x" and licenses.scan(df).first()["_norm"] == "y"
+
+
 def test_mixing_edges(edges, empty):
     out = mixing.mix(edges)
     assert set(edges.columns) <= set(out.columns)

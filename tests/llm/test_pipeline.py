@@ -35,6 +35,15 @@ def test_each_stage_takes_effect(spark, sf, docs):
     assert mixed.columns == docs.columns and 0.7 * docs.count() < mixed.count() < 1.3 * docs.count()
 
 
+def test_near_duplicates_without_or_with_repeated_ids(spark, sf):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (None, a), (2, a + " end"), (3, b), (3, c), (None, c), (4, None), (4, ""), (None, ""), (None, " ".join(f"d{i}" for i in range(40))), (None, " ".join(f"d{i}" for i in range(40)))]
+    df = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r["doc_id"] or 0, r["text"] or "") for r in P.near_duplicates(spark, df, sf).collect()))
+    d = " ".join(f"d{i}" for i in range(40))
+    assert got == sorted([(1, a), (3, b), (3, c), (4, ""), (4, ""), (0, ""), (0, d)])
+
+
 def test_edges_pass_all_stages(spark, sf):
     df = spark.createDataFrame(edge_rows(), SCHEMA)
     for _, stage in P.STAGES[:-1]:

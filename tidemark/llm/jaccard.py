@@ -44,6 +44,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, ship, shuffle_partitions
 from .words import mix, shingle_sets
@@ -484,8 +485,21 @@ def _met_once(ends: DataFrame) -> DataFrame:
     return pairs.select(F.col("v").alias("a"), F.col("v_w").alias("b"))
 
 
+def with_key(documents: DataFrame) -> DataFrame:
+    """documents with set_key, the 64-bit identity of the text's set (null without words)."""
+    ship(documents.sparkSession)
+    at = documents.columns.index("text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_key(u) if len(u) else None for _, u in shingle_sets(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "set_key"])
+
+    return documents.mapInArrow(task, T.StructType([*documents.schema.fields, T.StructField("set_key", T.LongType())]))
+
+
 def jaccard_components(documents: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of documents(doc_id, text)."""
+    """doc_id, n_shingles, component_id, set_key (equal for equal sets) and component_key (equal within a component) of every row of documents(doc_id, text)."""
     spark = documents.sparkSession
     ship(spark)
     scratch = Scratch(spark)
@@ -530,9 +544,9 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
     named = classes.join(roots, F.col("key") == F.col("v"), "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("key", "component_id")
+    named = named.join(least, "root").select("key", "component_id", F.col("root").alias("component_key"))
     return digest.drop("sketch").join(named, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("set_key"), "component_key"
     )
 
 

@@ -20,6 +20,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
 from .spans import match_spans
 
 # Phrases and their labels.
@@ -148,13 +149,14 @@ def _lower(text: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, base (places of each base phrase) and detections (label, word_start, word_end, score, priority)."""
+    norm_name, found_name = fresh_name(df, "_norm"), fresh_name(df, "_found")
     words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SEPARATOR, " ")
-    df = df.withColumn("_norm", words)
-    gate = F.col("_norm").rlike(GATE)
-    df = df.withColumn("n_words", _words(F.col("_norm")).cast("long"))
+    df = df.withColumn(norm_name, words)
+    gate = F.col(norm_name).rlike(GATE)
+    df = df.withColumn("n_words", _words(F.col(norm_name)).cast("long"))
     # beyond the gate only; others carry no text further
-    df = df.withColumn("_norm", F.when(gate, F.concat(F.lit(" "), F.trim(_lower(F.col("_norm"))), F.lit(" "))))
-    norm = F.col("_norm")
+    df = df.withColumn(norm_name, F.when(gate, F.concat(F.lit(" "), F.trim(_lower(F.col(norm_name))), F.lit(" "))))
+    norm = F.col(norm_name)
     at = lambda upto: F.size(F.split(F.substring(norm, F.lit(1), upto), " ")) - 2
 
     places = []
@@ -185,12 +187,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             ),
         )
     )
-    df = df.withColumn("_found", F.when(norm.isNotNull(), found))
+    df = df.withColumn(found_name, F.when(norm.isNotNull(), found))
     inside = lambda x, y: (
         (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & ((y["p"] < x["p"]) | ((y["p"] == x["p"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
     )
     # a longer span of a later rule wins over a shorter one inside it only where the rule ranks higher
-    kept = F.filter("_found", lambda x: ~F.exists("_found", lambda y: inside(x, y)))
+    kept = F.filter(found_name, lambda x: ~F.exists(found_name, lambda y: inside(x, y)))
     df = df.withColumn(
         "detections",
         F.transform(
@@ -204,7 +206,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             ),
         ),
     )
-    return df.drop("_norm", "_found")
+    return df.drop(norm_name, found_name)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_name
+
 TEMPERATURE = 0.7
 SEED = 17
 BROADCAST_SOURCES = 50_000
@@ -35,13 +37,23 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _first_count(rate: Column) -> Column:
+    """The least count that a document can have: what lies below is rarer than any number that uniform() gives."""
+    return F.greatest(F.floor(rate - 12 * F.sqrt(rate) - 25), F.lit(0)).cast("int")
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """Array of P(X <= k) for k = 0, 1, ... until what is left is below any number that uniform() gives."""
+    """Array of P(X <= k) for k from _first_count() on, until what is left is below any number that uniform() gives.
+
+    The first probability is taken from its logarithm, so that high rates don't underflow.
+    """
+    first = _first_count(rate)
     last = F.ceil(rate + 12 * F.sqrt(rate) + 25).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("cdf"))
+    faculty = F.when(first < 1, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(first, F.lit(1))), F.lit(0.0), lambda acc, k: acc + F.log(k.cast("double"))))
+    p = F.exp(F.when(first < 1, -rate).otherwise(first * F.log(rate) - rate - faculty))
     return F.aggregate(
-        F.sequence(F.lit(1), last),
-        start,
+        F.sequence(first + 1, last),
+        F.struct(p.alias("p"), F.array(p).alias("cdf")),
         lambda acc, k: F.struct(
             (acc["p"] * rate / k).alias("p"),
             F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + acc["p"] * rate / k).alias("cdf"),
@@ -65,14 +77,15 @@ def rates(documents: DataFrame, targets: dict[str, float] | None = None, tempera
 
 def with_counts(documents: DataFrame, targets: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
     """documents with `repeats`, the number of copies of each row."""
+    source, cdf, first, u = (fresh_name(documents, x) for x in ("_source", "_cdf", "_first", "_u"))
     table = rates(documents, targets)
-    table = table.select("_source", poisson_cdf(F.col("rate")).alias("_cdf"))
+    table = table.select(F.col("_source").alias(source), poisson_cdf(F.col("rate")).alias(cdf), _first_count(F.col("rate")).alias(first))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    rows = documents.withColumn("_source", F.coalesce("source", F.lit(NO_SOURCE))).join(table, "_source", "left")
-    rows = rows.withColumn("_u", uniform(F.lit(seed), F.col("doc_id")))
-    count = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    return rows.withColumn("repeats", F.greatest(F.coalesce(count, F.lit(0)), F.lit(0))).drop("_source", "_cdf", "_u")
+    rows = documents.withColumn(source, F.coalesce("source", F.lit(NO_SOURCE))).join(table, source, "left")
+    rows = rows.withColumn(u, uniform(F.lit(seed), F.col("doc_id")))
+    count = F.col(first) + F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    return rows.withColumn("repeats", F.greatest(F.coalesce(count, F.lit(0)), F.lit(0))).drop(source, cdf, first, u)
 
 
 def mix(documents: DataFrame, targets: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
@@ -86,10 +99,10 @@ def mix(documents: DataFrame, targets: dict[str, float] | None = None, seed: int
 def sql(temperature: float = TEMPERATURE, seed: int = SEED) -> str:
     """The same mixture of documents in SQL, without the order."""
     return f"""
-WITH RECURSIVE n AS (SELECT source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY source),
+WITH n AS (SELECT source, CAST(count(*) AS DOUBLE) AS n FROM documents GROUP BY source),
 r AS (SELECT source, pow(n, {temperature}) / (SELECT sum(pow(n, {temperature})) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
-c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS cdf FROM r
-      UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), cdf + p * rate / (k + 1) FROM c WHERE k < rate + 12 * sqrt(rate) + 25),
+k AS (SELECT source, rate, unnest(range(CAST(ceil(rate + 12 * sqrt(rate) + 26) AS BIGINT))) AS k FROM r),
+c AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM k),
 u AS (SELECT d.*, CAST(('0x' || substr(md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM documents d),
 t AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars,
              (SELECT count(*) FROM c WHERE c.source IS NOT DISTINCT FROM u.source AND c.cdf <= u.u) AS repeats FROM u),

@@ -4,7 +4,7 @@ Documents become token ids (closed by END) and fill windows of WINDOW tokens. Th
 indexed in shards: each task reads its split of the table and indexes up to SHARD_DOCS documents
 or SHARD_TOKENS tokens at a time in a BM25 inverted index over token ids, so an index is bounded
 whatever the corpus, and texts are never shuffled. A window opens with a seed (what is left of
-the last document cut, or the first unused one); BM25 with the seed's rarest QUERY_TERMS terms
+the last document cut, or the first unused one); BM25 with all of the seed's terms
 ranks the shard's unused documents, which follow greedily until the window is full. The last one
 is cut where the window ends, and its rest seeds the next.
 
@@ -34,7 +34,6 @@ WINDOW = 4096
 END = 2
 SHARD_DOCS = 1024
 SHARD_TOKENS = 1 << 20
-QUERY_TERMS = 64
 K1, B = 1.2, 0.75
 
 
@@ -58,8 +57,6 @@ class Index:
         at = np.searchsorted(self.terms, query)
         at = at[at < len(self.terms)]
         at = at[np.isin(self.terms[at], query)]
-        if len(at) > QUERY_TERMS:
-            at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
         if not len(at):
             return np.zeros(self.n)
         size = self.end[at] - self.begin[at]

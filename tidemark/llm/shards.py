@@ -9,7 +9,9 @@ shuffled and memory holds a batch of rows.
 
 A version is committed by creating its manifest file, which the file system does for one writer
 only; the loser finds the version taken, and merges again from the new one. Readers see a whole
-version or none. vacuum() removes files that the live version doesn't name.
+version or none, and can go on with it while others are made: compaction removes nothing. vacuum()
+removes the files that none of the newest KEEP versions names. A loser's merged files go at once.
+Commits need a file system whose rename refuses an existing target (HDFS, local disks).
 
 Manifests list files, not rows: a few hundred bytes for each TARGET bytes of data.
 
@@ -20,6 +22,7 @@ arrival commits a version without new shards; a store without versions can't be
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +31,7 @@ TARGET = 64 << 20
 FAN_IN = 4
 SMALLEST = 1 << 20
 WAVE = 64
+KEEP = 10
 
 
 class ShardStore:
@@ -58,7 +62,7 @@ class ShardStore:
         """Create version base + 1; False if another writer has."""
         version = base + 1
         place = self._path(f"{self.path}/manifest/v{version:010d}.json")
-        draft = self._path(f"{self.path}/manifest/.draft-{id(self)}-{version}")
+        draft = self._path(f"{self.path}/manifest/.draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, True)
         out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
         out.close()
@@ -79,8 +83,6 @@ class ShardStore:
         return [{"file": f"{folder}/{f.getPath().getName()}", "bytes": f.getLen()} for f in files if f.getPath().getName().startswith("part-")]
 
     def _run_name(self, kind: str) -> str:
-        import uuid
-
         return f"{kind}-{uuid.uuid4().hex}"
 
     def append(self, arrivals: DataFrame) -> int:
@@ -129,16 +131,27 @@ class ShardStore:
                 return at["version"]
             schema = StructType.fromJson(json.loads(at["schema"]))
             read = lambda run: self.spark.read.schema(schema).parquet(*(f"{self.path}/{s['file']}" for s in run)).coalesce(1)  # noqa: B023, E731
-            new = self._write(reduce(DataFrame.unionAll, [read(r) for r in runs]), self._run_name("merge"))
-            gone = {s["file"] for run in runs for s in run}
-            if self._commit(at["version"], at["schema"], [s for s in at["shards"] if s["file"] not in gone] + new):
-                self.vacuum(gone)
-
-    def vacuum(self, files: set[str]) -> None:
-        """Remove files that no version from now on names."""
-        live = {s["file"] for s in self.manifest()["shards"]}
-        for f in files - live:
+            run = self._run_name("merge")
+            new = self._write(reduce(DataFrame.unionAll, [read(r) for r in runs]), run)
+            gone = {s["file"] for r in runs for s in r}
+            if not self._commit(at["version"], at["schema"], [s for s in at["shards"] if s["file"] not in gone] + new):
+                self._fs.delete(self._path(f"{self.path}/data/{run}"), True)
+
+    def vacuum(self, keep: int = KEEP) -> int:
+        """Remove what the newest versions don't name, but shards younger than the oldest of them stay; how many files went."""
+        last = self.version()
+        oldest = max(1, last - keep + 1)
+        live = {s["file"] for v in range(oldest, last + 1) for s in self.manifest(v)["shards"]}
+        # files named by older versions only: those of writers at work are in no version yet and stay
+        old = {s["file"] for v in range(1, oldest) if self._fs.exists(self._path(self._place(v))) for s in self.manifest(v)["shards"]} - live
+        for f in old:
             self._fs.delete(self._path(f"{self.path}/{f}"), False)
+        for v in range(1, oldest):
+            self._fs.delete(self._path(self._place(v)), False)
+        return len(old)
+
+    def _place(self, version: int) -> str:
+        return f"{self.path}/manifest/v{version:010d}.json"
 
     def read(self, version: int | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
