@@ -160,8 +160,10 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | N
     All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all
     (those of `texts`, if `found` holds only some).
     """
-    texts = (found if texts is None else texts).select(F.coalesce("text", F.lit("")).alias("text")).distinct()
-    held = _held(found).select("text", "entities", "terms").distinct()
+    # texts are told apart by 64-bit hashes, and only their terms are moved
+    text = F.coalesce("text", F.lit(""))
+    texts = (found if texts is None else texts).select(F.xxhash64(text).alias("h"), F.array_join(_terms(text), " ").alias("terms")).distinct()
+    held = _held(found).select("h", "entities", "terms").distinct()
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
     near = mentions.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
     # an entity of fewer texts and no such neighbourhoods has no pair to count
@@ -169,7 +171,7 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | N
     pairs = held.select(F.explode("entities").alias("entity"), "terms").join(live, "entity")
     seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
     together = seen.join(near, ["entity", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or contexts is not null").drop("contexts")
-    terms = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    terms = texts.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
     share = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
     given = F.least(F.col("df_te") / F.col("df_t"), F.lit(1.0))
@@ -185,11 +187,11 @@ def term_spans(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     named = held.select("doc_id", "h", F.explode("entities").alias("entity"), "terms").join(risky.select("entity").distinct(), "entity", "left_semi")
     named = named.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entity", F.explode("terms").alias("term")).join(risky, ["entity", "term"])
     named = named.groupBy("_id", "_h").agg(F.collect_set("term").alias("risky"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
-    rows = held.select("doc_id", "h", "text", "m").distinct().join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    rows = held.select("doc_id", "h", "text", "m").join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
     hits = F.filter(match_spans(F.col("text"), F.lit(TERM)), lambda t: F.array_contains("risky", F.lower(t["v"])))
     hits = F.filter(hits, lambda t: ~F.exists("m", lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"])))
     places = F.transform(hits, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v"), F.array_contains("gone", F.lower(t["v"])).alias("remove")))
-    return rows.select("doc_id", "h", places.alias("places"))
+    return rows.select("doc_id", "h", places.alias("places")).dropDuplicates(["doc_id", "h"])
 
 
 def digest(df: DataFrame) -> DataFrame:
