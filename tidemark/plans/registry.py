@@ -616,7 +616,7 @@ def class_balance(spark, sf):
 @query()
 def model_comparison(spark, sf):
     rows = ml.hash_split(_features(spark, sf).withColumn("label", F.col("high_volatility")), "fixture_id").persist()
-    out = ml.train_and_evaluate(rows.where("is_train"), rows.where("not is_train"), list(FEATURES), trees=100)
+    out = ml.train_and_evaluate(rows.where("is_train"), rows.where("not is_train"), list(FEATURES), trees=40)
     return ml.best_model(out)
 
 
