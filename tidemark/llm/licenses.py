@@ -106,6 +106,88 @@ SHAPES = (
     (0.9, "{} licen[sc]e(?: (?:v|version )?[0-9](?: [0-9])?)?"),
     (0.8, "licen[sc]e {}"),
 )
+#: a word of a holder's or product's name.
+NAME = r"[0-9a-z\x80-\uffff]+"
+GNU = "you can redistribute it and or modify it under the terms of the gnu"
+LATER = "of the license or (?:at your option )?any later version"
+#: passages of notices and full licences: label, words that every match holds, confidence, regex. They rank before names.
+HEADERS = (
+    ("mit", "permission is hereby granted", 0.98, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "this permission notice", 0.95, "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("boost", "permission is hereby granted", 0.97, "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("isc", "with or without fee", 0.95, "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("bsd-0-clause", "with or without fee", 0.9, "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("hpnd", "without fee is hereby granted", 0.85, "permission to use copy modify and distribute this software and its documentation for any purpose (?:and )?without fee is hereby granted"),
+    ("postgresql", "without a written agreement", 0.9, "without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistributions of source code must retain", 0.9, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce", 0.9, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "to endorse or promote products", 0.95, f"neither the names? of (?:{NAME} ){{1,12}}(?:nor the names of (?:its|the|their) contributors )?may be used to endorse or promote products derived from this software"),
+    ("bsd-3-clause", "may not be used to endorse or promote", 0.93, f"the names? of (?:{NAME} ){{1,12}}may not be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "all advertising materials mentioning features", 0.97, "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("apache-1.1", "must include the following acknowledgment", 0.9, "the end user documentation included with the redistribution if any must include the following acknowledgment"),
+    ("apache-2.0", "except in compliance with the license", 0.85, "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "unless required by applicable law or agreed", 0.85, "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "apache license version 2 0", 0.97, "licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", "licensed to the apache software foundation", 0.97, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("gpl-2.0", "either version 2 of the license", 0.97, f"{GNU} general public license as published by the free software foundation either version 2 {LATER}"),
+    ("gpl-3.0", "either version 3 of the license", 0.97, f"{GNU} general public license as published by the free software foundation either version 3 {LATER}"),
+    ("gpl-2.0", "version 2 as published by", 0.95, f"{GNU} general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl-3.0", "version 3 as published by", 0.95, f"{GNU} general public license version 3 (?:only )?as published by the free software foundation"),
+    ("gpl", "general public license along with this program", 0.85, "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl-2.0", "either version 2 of the license", 0.97, f"{GNU} (?:lesser|library) general public license as published by the free software foundation either version 2 {LATER}"),
+    ("lgpl-2.1", "either version 2 1 of the license", 0.97, f"{GNU} lesser general public license as published by the free software foundation either version 2 1 {LATER}"),
+    ("lgpl-3.0", "either version 3 of the license", 0.97, f"{GNU} lesser general public license as published by the free software foundation either version 3 {LATER}"),
+    ("lgpl", "you should have received a copy of the gnu", 0.85, "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("agpl-3.0", "either version 3 of the license", 0.97, f"{GNU} affero general public license as published by the free software foundation either version 3 {LATER}"),
+    ("agpl", "you should have received a copy of the gnu", 0.85, "you should have received a copy of the gnu affero general public license"),
+    ("gfdl", "copy distribute and or modify this document", 0.95, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl", "this is free software and you are welcome", 0.6, "this is free software and you are welcome to redistribute it under certain conditions"),
+    ("gpl-2.0", "gnu general public license version 2 june 1991", 0.99, "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007", 0.99, "gnu general public license version 3 29 june 2007"),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999", 0.99, "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", "gnu lesser general public license version 3 29 june 2007", 0.99, "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", "gnu affero general public license version 3 19 november 2007", 0.99, "gnu affero general public license version 3 19 november 2007"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla", 0.97, "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", "this source code form is subject to the terms", 0.97, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed", 0.95, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("npl", "the contents of this file are subject to the netscape", 0.97, "the contents of this file are subject to the netscape public license"),
+    ("epl-1.0", "this program and the accompanying materials", 0.95, "this program and the accompanying materials are made available under the terms of the eclipse public license v(?:ersion)? ?1 0"),
+    ("epl-2.0", "this program and the accompanying materials", 0.95, "this program and the accompanying materials are made available under the terms of the eclipse public license (?:v(?:ersion)? ?)?2 0"),
+    ("edl", "this program and the accompanying materials", 0.95, "this program and the accompanying materials are made available under the terms of the eclipse distribution license"),
+    ("cddl", "the contents of this file are subject to the terms of the common", 0.97, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "in no event will the authors be held liable", 0.9, "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "altered source versions must be plainly marked", 0.97, "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", "free and unencumbered software", 0.98, "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", "do what the fuck you want to", 0.97, "do what the fuck you want to(?: public license)?"),
+    ("beerware", "you can buy me a beer", 0.95, "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("cc0", "waived all copyright and related", 0.95, "waived all copyright and related or neighboring rights"),
+    ("cc-by", "this work is licensed under a creative commons", 0.95, "this work is licensed under a creative commons attribution(?: [1-4] 0)? (?:international|unported|generic) license"),
+    ("cc-by-sa", "this work is licensed under a creative commons", 0.95, "this work is licensed under a creative commons attribution share ?alike(?: [1-4] 0)? (?:international|unported|generic) license"),
+    ("artistic", "under the same terms as perl itself", 0.9, "(?:it|redistribute it) (?:and or modify it )?under the same terms as perl itself"),
+    ("ofl", "this font software is licensed under", 0.97, "this font software is licensed under the sil open font license version 1 1"),
+    ("openssl", "developed by the openssl project", 0.9, "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("php", "this source file is subject to version 3", 0.95, "this source file is subject to version 3 0?1? ?of the php license"),
+    ("python", "psf is making python", 0.95, "psf is making python available to licensee on an as is basis"),
+    ("ms-pl", "if you use the software you accept this license", 0.8, "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("public-domain", "dedicate any and all copyright interest", 0.9, "dedicate any and all copyright interest in the software to the public domain"),
+    ("public-domain", "the author disclaims copyright", 0.9, "the authors? disclaims? copyright to this source code"),
+    ("public-domain", "has been put in the public domain", 0.85, "has been put in the public domain"),
+    ("proprietary", "unauthorized copying of this file", 0.9, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "proprietary and confidential", 0.8, "proprietary and confidential"),
+    ("proprietary", "may not be reproduced", 0.7, "may not be reproduced (?:or )?(?:distributed )?(?:or transmitted )?in any form"),
+    ("proprietary", "trade secret", 0.6, "contains (?:confidential information and )?trade secrets?"),
+    ("classpath-exception", "classpath", 0.9, "classpath exception(?: 2 0)?"),
+    ("classpath-exception", "linking this library statically or dynamically", 0.95, "linking this library statically or dynamically with other modules is making a combined work based on this library"),
+    ("gcc-exception", "gcc runtime library exception", 0.95, "gcc runtime library exception(?: version 3 1)?"),
+    ("llvm-exception", "llvm exception", 0.95, "(?:with )?llvm exceptions?"),
+    ("font-exception", "font exception", 0.9, "(?:with )?font exception(?: 2 0)?"),
+    ("autoconf-exception", "autoconf", 0.9, "autoconf (?:configure script )?exception"),
+    ("bison-exception", "bison", 0.9, "bison (?:parser )?exception"),
+    ("openssl-exception", "openssl", 0.9, "openssl (?:linking )?exception"),
+    ("linking-exception", "linking exception", 0.85, "(?:static )?linking exception"),
+    ("gpl-exception", "as a special exception", 0.8, "as a special exception (?:to the gnu general public license|the copyright holders|the free software foundation|if you)"),
+    ("commons-clause", "commons clause", 0.9, "commons clause(?: license)? condition"),
+)
 #: further signatures: label, keyword, confidence, regex.
 NOTICES = (
     ("notice", "reserved", 0.7, "all rights reserved"),
@@ -116,12 +198,12 @@ NOTICES = (
     ("public-domain", "domain", 0.7, "(?:in|into|to) the public domain"),
 )
 #: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first.
-GATE = "(?i)" + "|".join(["licen[sc]e", GRANT, *(rx for *_, rx in NOTICES)])
+GATE = "(?i)" + "|".join(["licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES)])
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def rules() -> list[dict]:
-    """The rule table: every family in every shape, then the notices; the smaller p, the higher the priority."""
+    """The rule table: headers, every family in every shape, then the notices; the smaller p, the higher the priority."""
     named = [
         (label, word, weight, shape.format(f"(?:{name})"))
         for label, word, name in FAMILIES
@@ -129,7 +211,7 @@ def rules() -> list[dict]:
     ]
     return [
         {"p": p, "label": label, "kw": f" {word}" if word != "unlicense" else word, "w": weight, "rx": f"(?<= ){rx}(?= )"}
-        for p, (label, word, weight, rx) in enumerate([*named, *NOTICES])
+        for p, (label, word, weight, rx) in enumerate([*HEADERS, *named, *NOTICES])
     ]
 
 
@@ -140,7 +222,11 @@ def _rule_table() -> Column:
 def _words(padded: Column) -> Column:
     """Number of words in a piece of normalised text."""
     bare = F.trim(padded)
-    return F.when(bare == "", F.lit(0)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1)
+    return F.when(bare == "", F.lit(0)).otherwise(_blanks(bare) + 1)
+
+
+def _blanks(part: Column) -> Column:
+    return F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
 
 
 def _lower(text: Column) -> Column:
@@ -157,7 +243,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     # beyond the gate only; others carry no text further
     df = df.withColumn(norm_name, F.when(gate, F.concat(F.lit(" "), F.trim(_lower(F.col(norm_name))), F.lit(" "))))
     norm = F.col(norm_name)
-    at = lambda upto: F.size(F.split(F.substring(norm, F.lit(1), upto), " ")) - 2
+    at = lambda upto: _blanks(F.substring(norm, F.lit(1), upto)) - 1
 
     places = []
     for phrase, label in BASE:
