@@ -8,8 +8,9 @@ record as its line end, so archives go to whatever file system Spark reaches.
 Equal payloads of at least MIN_REVISIT bytes are kept once: the one of the largest page_id is
 the response, the others are revisits that name it in WARC-Refers-To and carry no payload.
 
-read() takes archives back by Content-Length, one task a file, so files are kept to FILE_RECORDS
-records. assemble() joins request, response and metadata through their concurrent-to ids to one
+read() takes archives back by Content-Length, record by record, one task a file; so a file holds
+FILE_RECORDS records of payloads up to SMALL bytes, and fewer of larger ones (size classes of a
+sixteenth each), which keeps its payloads to 64 MB or one capture. assemble() joins request, response and metadata through their concurrent-to ids to one
 nested row a capture; revisits get payload size and digest from the response that they refer to.
 
 Defined cases: null html is an empty payload; null url is an empty target; rows that share
@@ -23,7 +24,9 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +36,8 @@ from .common import materialize, ship
 
 MIN_REVISIT = 1000
 FILE_RECORDS = 3000
+SMALL = 1 << 16
+BATCH_BYTES = 1 << 23
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
@@ -71,8 +76,30 @@ def plan_records(pages: DataFrame) -> DataFrame:
     return rows.withColumn("refers", F.when(F.col("kind") == "revisit", response_id(F.col("owner"))))
 
 
+def size_classes(largest: int) -> list[tuple[int, int, int]]:
+    """(bytes above, bytes up to, records a file) of each class of payload sizes, until the largest."""
+    classes, lo, hi, n = [], -1, SMALL, FILE_RECORDS
+    while lo < max(largest, 0):
+        classes.append((lo, hi, n))
+        lo, hi, n = hi, hi * 16, max(3, n // 16)
+    return classes
+
+
 def write(pages: DataFrame, path: str) -> None:
-    """Write the archives of pages(page_id, url, html) under path."""
+    """Write the archives of pages(page_id, url, html) under path, which must not exist.
+
+    Each size class is written by itself: equal payloads are of one class, so the choice of responses isn't touched.
+    """
+    size = F.coalesce(F.octet_length("html"), F.lit(0))
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    for lo, hi, n in size_classes(largest):
+        of_class = pages.where((size > lo) & (size <= hi)) if largest > SMALL else pages
+        writer = records(of_class).write.mode("error" if lo < 0 else "append")
+        writer.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", n).text(path)
+
+
+def records(pages: DataFrame) -> DataFrame:
+    """The three records of each page as rows of a column value."""
     rows = plan_records(pages)
     page = F.col("page_id").cast("string")
     common = lambda kind, id_: [
@@ -100,31 +127,25 @@ def write(pages: DataFrame, path: str) -> None:
         [*common(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("salt"))), partner, ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("fetchTimeMs: 0"), F.lit(CRLF), F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(CRLF)),
     )
-    records = rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
-    (
-        records.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    )
+    return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record of an archive."""
-    at = 0
-    while True:
-        while data[at : at + 2] == b"\r\n":
-            at += 2
-        if at >= len(data):
-            return
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of an archive, held one at a time."""
+    while line := archive.readline():
+        if line == b"\r\n":
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at {line[:40]!r}")
         fields = {}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
+        while (line := archive.readline()) not in (b"\r\n", b""):
+            name, _, value = line.decode("utf-8").partition(":")
             fields[name.strip().lower()] = value.strip()
         size = int(fields["content-length"])
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        block = archive.read(size)
+        if len(block) < size:
+            raise ValueError(f"archive ends inside record {fields.get('warc-record-id')}")
+        yield fields, block
 
 
 _FIELDS = {"type": "warc-type", "record_id": "warc-record-id", "concurrent_to": "warc-concurrent-to", "refers_to": "warc-refers-to", "url": "warc-target-uri", "date": "warc-date", "digest": "warc-payload-digest"}
@@ -135,21 +156,29 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
 
+    types = [pa.string()] * len(_FIELDS) + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+    names = [*_FIELDS, "page_id", "found_bytes", "found_sha1", "payload"]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                data = content.as_py()
-                rows = []
-                for fields, block in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                data = content.as_buffer()
+                archive = io.BytesIO(data)
+                rows, held = [], 0
+                for fields, block in parse(gzip.GzipFile(fileobj=archive) if archive.getbuffer()[:2] == b"\x1f\x8b" else archive):
                     row = [fields.get(name) for name in _FIELDS.values()]
                     page = fields.get("x-page-id")
                     payload = block.partition(b"\r\n\r\n")[2] if row[0] in ("response", "revisit") else block
                     rows.append((*row, int(page) if page else None, len(payload), hashlib.sha1(payload).hexdigest(), payload if with_payload else None))
+                    held += len(payload) if with_payload else 0
+                    if held >= BATCH_BYTES or len(rows) >= FILE_RECORDS:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    cols = list(zip(*rows, strict=True))
-                    types = [pa.string()] * len(_FIELDS) + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                    names = [*_FIELDS, "page_id", "found_bytes", "found_sha1", "payload"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+                    yield batch_of(rows)
 
     schema = ", ".join(f"{x} string" for x in _FIELDS) + ", page_id long, found_bytes long, found_sha1 string, payload binary"
     return files.mapInArrow(task, schema)
