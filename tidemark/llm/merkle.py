@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import next_ids
+from .spans import bound
 
 PARAGRAPH = r"(?<=\n)"
 LEAF = r"(?<=[.!?;:#ywz]\s)"
@@ -73,16 +74,26 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def changed_branches(a: Column, b: Column, level: int = 2) -> Column:
-    """Positions in a of the nodes of a level (1 sections, 2 paragraphs, 3 leaves) that b doesn't have."""
-    x, y = _level(a, level), _level(b, level)
-    at = F.transform(x, lambda d, i: F.when(~F.array_contains(y, d), i))
+    """Positions in a of the nodes of a level (1 sections, 2 paragraphs, 3 leaves) that b doesn't have; repeated nodes count once, at the first.
+
+    A node that b lacks lies below nodes that b lacks, so these are what a descent into
+    differing branches alone would reach. Both sides are sorted together: a node of a is b's
+    too if it doesn't begin its digest's run. So a long text takes no pair of nodes.
+    """
+    theirs = F.transform(F.array_distinct(_level(b, level)), lambda d: F.struct(d.alias("d"), F.lit(-1).alias("i")))
+    mine = F.transform(_level(a, level), lambda d, i: F.struct(d.alias("d"), i.alias("i")))
+    lacking = bound(
+        F.array_sort(F.concat(theirs, mine)),
+        lambda z: F.transform(z, lambda x, k: F.when((x["i"] >= 0) & ((k == 0) | (F.get(z, k - 1)["d"] != x["d"])), x["i"])),
+    )
     return F.when(F.substring_index(a, "|", 1) == F.substring_index(b, "|", 1), F.array().cast("array<int>")).otherwise(
-        F.filter(at, lambda i: i.isNotNull())
+        F.array_sort(F.array_compact(lacking))
     )
 
 
 def edit_probe(documents: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of the text with its last half replaced by the next one's start, and their likeness.
+    """Fingerprints of each text, of the text with its last half replaced by the next one's start, their likeness,
+    and the sections, paragraphs and leaves of the edited text (numbers from 0, joined by commas) that the text doesn't have.
 
     The texts are shuffled once, by doc_id. A second exchange takes to each document only as
     much of the next one's start as its edit needs, and that one's fingerprint.
@@ -125,4 +136,8 @@ def edit_probe(documents: DataFrame) -> DataFrame:
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
+        *(
+            F.array_join(changed_branches(F.col("edited_fingerprint"), F.col("fingerprint"), level), ",").alias(f"changed_{name}")
+            for level, name in ((1, "sections"), (2, "paragraphs"), (3, "leaves"))
+        ),
     )
