@@ -114,6 +114,22 @@ def test_warc_edges_and_round_trip(spark, tmp_path):
     for r in captures.collect():
         assert r["request"]["found_bytes"] > 0 and r["metadata"]["record_id"] != r["response"]["record_id"]
         assert r["record_type"] == "revisit" or hashlib.sha1(bytes(r["response"]["payload"])).hexdigest() == r["response"]["found_sha1"]
+    assert len(warc.size_classes(0)) == 1 and warc.size_classes(1 << 21)[-1][1:] == (1 << 24, 11)
+    # payloads of several classes, a page without id, files of few records
+    long = [(i, "u", "é" * (40_000 * (1 + i % 3 * 20)) + str(i % 7)) for i in range(40)] + [(None, "u", "y" * 70_000), (None, "u", "y" * 70_000)]
+    warc.write(spark.createDataFrame(long, "page_id long, url string, html string").coalesce(1), f"{tmp_path}/l")
+    back = warc.read(spark, f"{tmp_path}/l")
+    assert back.count() == 3 * len(long)
+    want = {}
+    for i, _, html in long:
+        want[html] = max(want.get(html, -1), -1 if i is None else i)
+    for page, size, sha, kind, refers in (tuple(r) for r in warc.digest(warc.assemble(back)).collect()):
+        if page is not None:
+            html = long[page][2]
+            assert (size, sha) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
+            assert (kind, refers) == (("response", None) if want[html] == page else ("revisit", want[html]))
+        else:
+            assert size == 70_000
     warc.write(pages.limit(0), f"{tmp_path}/none")
     assert warc.digest(warc.assemble(warc.read(spark, f"{tmp_path}/none"))).count() == 0
 
@@ -433,6 +449,26 @@ def test_merkle_locates_edits(spark):
     assert r["c"] == [1] and r["same"] == []
 
 
+def test_merkle_lists_changed_branches_of_every_level(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choice(["alpha;", "beta.", "gamma", "delta", "way", "saw"]) for _ in range(rng.randint(0, 9))) + "\n"
+    rows = [("", ""), ("", "x"), ("x", ""), ("one.\n" * 9, "one.\n" * 8), ("one.\ntwo.\none.\n", "two.\n"), ("long y " * 30_000, "long w " * 30_000)]
+    for _ in range(60):
+        a = [line() for _ in range(rng.randint(0, 40))]
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            b.insert(rng.randint(0, len(b)), line())
+            b.pop(rng.randrange(len(b)))
+        rows.append(("".join(a), "".join(b)))
+    df = merkle.add_fingerprint(merkle.add_fingerprint(spark.createDataFrame(rows, "a string, b string"), "a", "x"), "b", "y")
+    levels = [merkle.changed_branches(F.col("x"), F.col("y"), k).alias(f"l{k}") for k in (1, 2, 3)]
+    for r in df.select("x", "y", *levels).collect():
+        x, y = ([part.split(".") for part in fp.split("|")] for fp in (r["x"], r["y"]))
+        for k in (1, 2, 3):
+            want = sorted({x[k].index(d) for d in x[k] if d not in y[k]}) if x[0] != y[0] else []
+            assert r[f"l{k}"] == want
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 
@@ -494,7 +530,14 @@ def test_licenses_equal_brute_force(spark, edges, empty):
 
 
 def test_license_rules_rank_and_suppress(spark):
-    assert len(licenses.rules()) > 200
+    assert len(licenses.rules()) > 300
+    headers = {
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
+        "Neither the name of the Müller GmbH nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
+        "GPL-2.0 WITH Classpath-exception-2.0": "classpath-exception",
+    }
+    found = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(headers)), "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(headers.values()))
     df = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "SPDX-License-Identifier: GPL-3"), (3, "clean text")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in licenses.digest(licenses.scan(df)).collect()}
     assert "apache" in got[1]["labels"].split(",") and "gpl" in got[2]["labels"].split(",") and got[3]["labels"] == "" and got[3]["score"] == 0

@@ -32,12 +32,17 @@ def fresh_name(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
+    """The folder in spark.checkpoint.dir, or that of setCheckpointDir, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only in a local session that names none (tests) a temporary folder is set; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.local.dir", None)
     if not folder:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if named.isDefined():
+            return named.get()
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.local.dir", folder)
     return folder
