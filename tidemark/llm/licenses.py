@@ -197,8 +197,8 @@ NOTICES = (
     ("warranty", "warrant", 0.7, "(?:provided )?as is without warrant(?:y|ies)"),
     ("public-domain", "domain", 0.7, "(?:in|into|to) the public domain"),
 )
-#: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first.
-GATE = "(?i)" + "|".join(["licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES)])
+#: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first. All begin a word.
+GATE = "(?i)(?:^| )(?:" + "|".join(["licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES)]) + ")"
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
