@@ -131,8 +131,8 @@ HEADERS = (
     ("apache-2.0", "licensed to the apache software foundation", 0.97, "licensed to the apache software foundation asf under one or more contributor license agreements"),
     ("gpl-2.0", "either version 2 of the license", 0.97, f"{GNU} general public license as published by the free software foundation either version 2 {LATER}"),
     ("gpl-3.0", "either version 3 of the license", 0.97, f"{GNU} general public license as published by the free software foundation either version 3 {LATER}"),
-    ("gpl-2.0", "version 2 as published by", 0.95, f"{GNU} general public license version 2 (?:only )?as published by the free software foundation"),
-    ("gpl-3.0", "version 3 as published by", 0.95, f"{GNU} general public license version 3 (?:only )?as published by the free software foundation"),
+    ("gpl-2.0", "as published by the free software foundation", 0.95, f"{GNU} general public license version 2 (?:only )?as published by the free software foundation"),
+    ("gpl-3.0", "as published by the free software foundation", 0.95, f"{GNU} general public license version 3 (?:only )?as published by the free software foundation"),
     ("gpl", "general public license along with this program", 0.85, "you should have received a copy of the gnu general public license along with this program"),
     ("lgpl-2.0", "either version 2 of the license", 0.97, f"{GNU} (?:lesser|library) general public license as published by the free software foundation either version 2 {LATER}"),
     ("lgpl-2.1", "either version 2 1 of the license", 0.97, f"{GNU} lesser general public license as published by the free software foundation either version 2 1 {LATER}"),
@@ -170,7 +170,7 @@ HEADERS = (
     ("python", "psf is making python", 0.95, "psf is making python available to licensee on an as is basis"),
     ("ms-pl", "if you use the software you accept this license", 0.8, "this license governs use of the accompanying software if you use the software you accept this license"),
     ("public-domain", "dedicate any and all copyright interest", 0.9, "dedicate any and all copyright interest in the software to the public domain"),
-    ("public-domain", "the author disclaims copyright", 0.9, "the authors? disclaims? copyright to this source code"),
+    ("public-domain", "copyright to this source code", 0.9, "the authors? disclaims? copyright to this source code"),
     ("public-domain", "has been put in the public domain", 0.85, "has been put in the public domain"),
     ("proprietary", "unauthorized copying of this file", 0.9, "unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", "proprietary and confidential", 0.8, "proprietary and confidential"),
