@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name
-from .spans import match_spans
+from .spans import bound, in_runs, match_spans
 
 # Phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -199,6 +199,8 @@ NOTICES = (
 )
 #: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first. All begin a word.
 GATE = "(?i)(?:^| )(?:" + "|".join(["licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES)]) + ")"
+#: characters of a piece of text in which blanks are counted at once.
+PIECE = 16384
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -229,13 +231,28 @@ def _blanks(part: Column) -> Column:
     return F.length(part) - F.length(F.replace(part, F.lit(" "), F.lit("")))
 
 
+def _cuts(norm: Column) -> Column:
+    """array<struct<t, n>>: the text in pieces of PIECE characters, each with the number of blanks before it."""
+    return bound(
+        F.regexp_extract_all(norm, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)),
+        lambda t: bound(
+            F.transform(t, _blanks),
+            lambda n: F.zip_with(
+                t,
+                F.transform(n, lambda _, i: F.aggregate(F.slice(n, 1, i), F.lit(0), lambda acc, x: acc + x)),
+                lambda piece, before: F.struct(piece.alias("t"), before.alias("n")),
+            ),
+        ),
+    )
+
+
 def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_words, base (places of each base phrase) and detections (label, word_start, word_end, score, priority)."""
-    norm_name, found_name = fresh_name(df, "_norm"), fresh_name(df, "_found")
+    norm_name, found_name, cuts_name = fresh_name(df, "_norm"), fresh_name(df, "_found"), fresh_name(df, "_cuts")
     words = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SEPARATOR, " ")
     df = df.withColumn(norm_name, words)
     gate = F.col(norm_name).rlike(GATE)
@@ -243,7 +260,12 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     # beyond the gate only; others carry no text further
     df = df.withColumn(norm_name, F.when(gate, F.concat(F.lit(" "), F.trim(_lower(F.col(norm_name))), F.lit(" "))))
     norm = F.col(norm_name)
-    at = lambda upto: _blanks(F.substring(norm, F.lit(1), upto)) - 1
+
+    def at(upto: Column) -> Column:
+        """The number of the word that begins after so many characters."""
+        i = F.floor((upto - 1) / PIECE).cast("int")
+        cut = F.get(F.col(cuts_name), i)
+        return cut["n"] + _blanks(F.substring(cut["t"], F.lit(1), upto - i * PIECE)) - 1
 
     places = []
     for phrase, label in BASE:
@@ -268,17 +290,26 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             lambda r: F.transform(
                 match_spans(norm, r["rx"]),
                 lambda x: F.struct(
-                    r["p"].alias("p"), x["s"].alias("s"), x["e"].alias("e"), r["label"].alias("label"), r["w"].alias("w")
+                    x["s"].alias("s"), x["e"].alias("e"), r["p"].alias("p"), r["label"].alias("label"), r["w"].alias("w")
                 ),
             ),
         )
     )
-    df = df.withColumn(found_name, F.when(norm.isNotNull(), found))
+    # in runs by start, each with its first start and its last end: only runs that reach over a detection are searched
+    runs = F.transform(
+        in_runs(F.array_sort(found)),
+        lambda run: F.struct(F.get(run, F.lit(0))["s"].alias("lo"), F.array_max(F.transform(run, lambda x: x["e"])).alias("hi"), run.alias("run")),
+    )
+    df = df.withColumn(found_name, F.when(norm.isNotNull(), runs))
+    df = df.withColumn(cuts_name, F.when(F.exists(found_name, lambda r: F.size(r["run"]) > 0), _cuts(norm)))
     inside = lambda x, y: (
         (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & ((y["p"] < x["p"]) | ((y["p"] == x["p"]) & (y["e"] - y["s"] > x["e"] - x["s"])))
     )
     # a longer span of a later rule wins over a shorter one inside it only where the rule ranks higher
-    kept = F.filter(found_name, lambda x: ~F.exists(found_name, lambda y: inside(x, y)))
+    covered = lambda x: F.exists(
+        found_name, lambda r: (r["lo"] <= x["s"]) & (r["hi"] >= x["e"]) & F.exists(r["run"], lambda y: inside(x, y))
+    )
+    kept = F.flatten(F.transform(found_name, lambda r: F.filter(r["run"], lambda x: ~covered(x))))
     df = df.withColumn(
         "detections",
         F.transform(
@@ -292,7 +323,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
             ),
         ),
     )
-    return df.drop(norm_name, found_name)
+    return df.drop(norm_name, found_name, cuts_name)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
