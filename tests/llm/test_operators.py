@@ -389,8 +389,8 @@ def test_forward_backward_equals_enumeration():
 
 
 def test_mtree_edges(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "SHARD", 50)
-    monkeypatch.setattr(mtree, "QUERIES", 4)
+    monkeypatch.setattr(mtree, "SHARD", 50 * 6)
+    monkeypatch.setattr(mtree, "QUERIES", 4 * 6)
     rng = np.random.default_rng(8)
     vecs = {i: [float(x) for x in rng.normal(size=6)] for i in range(150)}
     for i in range(100, 140):
@@ -417,6 +417,7 @@ def test_mtree_prunes_and_stays_exact(monkeypatch):
         s = x @ x[q]
         want = sorted((-v, i) for i, v in enumerate(s) if i != q)[:20]
         assert [(-v, i) for v, i in tree.search(x[q], 20, q)] == want
+    assert tree.computed < 0.5 * 600 * len(range(0, 600, 37))
 
 
 # 7 ---------------------------------------------------------------------------------------------
@@ -586,6 +587,33 @@ def test_license_gate_lets_pass_what_the_rules_find(spark):
         assert label in got[i]["labels"].split(",") and got[i]["score"] > 0, text
 
 
+def test_license_detections_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "PIECE", 64)
+    rules = licenses.rules()
+    rng = random.Random(11)
+    bits = [_example(re._parser.parse(r["rx"]), k) for r in rng.sample(rules, 60) for k in (0, 1)] + ["the", "é", "with", "licensed under", "2 0", "GPL-2.0", "exception"]
+    texts = [rng.choice([" ", "\n", "-"]).join(rng.choice(bits) for _ in range(rng.choice((3, 12, 60)))) for _ in range(60)]
+    texts.append("MIT License, GPL v2 or later. " * 700)  # over one run of detections
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = 0
+    for row in licenses.scan(df).select("doc_id", "detections").collect():
+        norm = " " + re.sub(licenses.SEPARATOR, " ", texts[row["doc_id"]].translate(low)).strip(" ") + " "
+        found = [(m.start(), m.end(), r["p"], r["label"], r["w"]) for r in rules if r["kw"] in norm for m in re.finditer(r["rx"], norm)]
+        ends = {}
+        for s, e, p, *_ in found:
+            ends.setdefault(p, []).append((s, e))
+        want = []
+        for s, e, p, label, w in found:
+            covered = any(a <= s and b >= e and (q < p or (q == p and b - a > e - s)) for q, spans in ends.items() if q <= p for a, b in spans)
+            if not covered:
+                want.append((norm[:s].count(" ") - 1, norm[: e + 1].count(" ") - 1, p, label, w))
+        got = [(d["word_start"], d["word_end"], d["priority"], d["label"], d["score"]) for d in row["detections"] or []]
+        assert sorted(got) == sorted(want)
+        n += len(got)
+    assert n > 1500
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 

@@ -4,15 +4,17 @@ The metric. With M the largest norm in a tree, a vector x gets one more componen
 sqrt(M^2 - |x|^2), and a query q gets 0 there. Then d(q, x)^2 = |q|^2 + M^2 - 2 q.x, so the
 nearest vectors are those of the largest inner product, and d obeys the triangle inequality.
 
-The tree. Rows are dealt by hash into shards of about SHARD rows, each a tree of paged nodes: a
+The tree. Rows are dealt by hash into shards of SHARD components (65,536 rows of 64), each a tree of paged nodes: a
 node has a pivot, a covering radius and the distance to its parent's pivot; a leaf's page of up
 to PAGE vectors keeps each one's distance to the pivot. The search opens nodes in the order of
 their lower bounds d(q, pivot) - radius and stops at the first above the k-th best distance. Where
 |d(q, parent) - parent distance| - radius is already above it, d isn't computed at all.
 
 Scores are integers and exact; bounds are compared with a margin far above rounding errors, so
-ties at the k-th score aren't lost. Queries go in blocks of QUERIES to every shard; each pair of
-a block and a shard gives k rows a query, merged in the end. Neither side is broadcast.
+ties at the k-th score aren't lost. Queries go in blocks of QUERIES components to every shard; each pair of
+a block and a shard gives k rows a query, merged in the end. Neither side is broadcast. A vector is
+moved once for each block and a query once for each shard, so that a pair of N rows and M queries costs
+1/shard + 1/block vectors moved; both are as large as a task's memory allows, whatever the dimension.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without
 id, take no part; exact repeats of a row count once; where rows share an id but not the vector,
@@ -32,9 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-SHARD = 4096
-QUERIES = 1024
-PAGE = 1024
+#: components of the vectors in a shard and in a block of queries at most.
+SHARD = 1 << 22
+QUERIES = 1 << 20
+#: components a shard should hold where the table is too small to give every core a full one.
+LEAST = 1 << 17
+PAGE = 512
 FANOUT = 8
 
 
@@ -60,6 +65,7 @@ class MTree:
         self.top = float(self.norm2.max()) if len(x) else 0.0
         self.lift = np.sqrt(np.maximum(self.top - self.norm2, 0.0))
         self.rng = np.random.default_rng(5)
+        self.computed = 0  # distances and scores computed by searches
         self.root = self._build(np.arange(len(x)), int(self.norm2.argmin()), 0.0) if len(x) else None
 
     def _distances(self, rows: np.ndarray, pivot: int) -> np.ndarray:
@@ -103,6 +109,7 @@ class MTree:
         d0 = max(base - 2 * float(self.x[self.root.pivot] @ q), 0.0) ** 0.5
         heap = [(max(0.0, d0 - self.root.radius), 0, d0, self.root)]
         pushed = 1
+        self.computed += 1
         while heap:
             bound, _, d, node = heapq.heappop(heap)
             if bound > tau + slack:
@@ -111,6 +118,7 @@ class MTree:
                 rows = node.page if tau == np.inf else node.page[np.abs(d - node.to_pivot) <= tau + slack]
                 if not len(rows):
                     continue
+                self.computed += len(rows)
                 s, ids = self.x[rows] @ q, self.ids[rows]
                 if len(best_s) == k:
                     keep = s >= best_s[-1]
@@ -124,6 +132,7 @@ class MTree:
                 continue
             live = np.flatnonzero(np.abs(d - node.parents) - node.radii <= tau + slack)
             if len(live):
+                self.computed += len(live)
                 e = np.sqrt(np.maximum(base - 2 * (self.x[node.pivots[live]] @ q), 0.0))
                 lower = np.maximum(0.0, e - node.radii[live])
                 for j in np.flatnonzero(lower <= tau + slack):
@@ -146,8 +155,10 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     ship(spark)
     rows = quantized(embeddings).dropDuplicates(["vec_id", "v"])
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n, m = embeddings.agg(F.count("*"), F.count(F.when(F.col("vec_id") % every == 0, 1))).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERIES))
+    n, m = embeddings.agg(F.sum(F.size("embedding")), F.sum(F.when(F.col("vec_id") % every == 0, F.size("embedding")))).first()
+    n, m = n or 0, m or 0
+    shards = max(1, -(-n // SHARD), min(spark.sparkContext.defaultParallelism, n // LEAST))
+    blocks = max(1, -(-m // QUERIES))
     deal = lambda seed, into: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(into)).cast("int")
     left = rows.select("vec_id", "v", F.size("v").alias("dim"), deal(1, shards).alias("shard"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
