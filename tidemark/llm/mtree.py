@@ -39,7 +39,7 @@ SHARD = 1 << 22
 QUERIES = 1 << 20
 #: components a shard should hold where the table is too small to give every core a full one.
 LEAST = 1 << 17
-PAGE = 512
+PAGE = 1024
 FANOUT = 8
 
 
@@ -49,9 +49,10 @@ class Node:
     radius: float
     to_parent: float
     children: list[Node] = field(default_factory=list)
-    page: np.ndarray | None = None  # rows
+    page: np.ndarray | None = None  # a leaf's vectors, side by side in memory
+    ids: np.ndarray | None = None
     to_pivot: np.ndarray | None = None
-    pivots: np.ndarray | None = None  # of the children
+    pivots: np.ndarray | None = None  # the children's, as vectors
     radii: np.ndarray | None = None
     parents: np.ndarray | None = None
 
@@ -67,6 +68,8 @@ class MTree:
         self.rng = np.random.default_rng(5)
         self.computed = 0  # distances and scores computed by searches
         self.root = self._build(np.arange(len(x)), int(self.norm2.argmin()), 0.0) if len(x) else None
+        self.top_pivot = x[self.root.pivot] if self.root else None
+        del self.x  # the pages hold it
 
     def _distances(self, rows: np.ndarray, pivot: int) -> np.ndarray:
         d = self.norm2[rows] + self.norm2[pivot] - 2 * (self.x[rows] @ self.x[pivot]) + (self.lift[rows] - self.lift[pivot]) ** 2
@@ -76,7 +79,7 @@ class MTree:
         d = self._distances(rows, pivot)
         node = Node(pivot, float(d.max()), to_parent)
         if len(rows) <= PAGE:
-            node.page, node.to_pivot = rows, d
+            node.page, node.ids, node.to_pivot = self.x[rows], self.ids[rows], d
             return node
         # pivots far from one another; then each row to its nearest
         picked = [int(rows[d.argmax()])]
@@ -94,7 +97,7 @@ class MTree:
             mine = rows[owner == i]
             if len(mine):
                 node.children.append(self._build(mine, p, float(self._distances(np.array([p]), pivot)[0])))
-        node.pivots = np.array([c.pivot for c in node.children])
+        node.pivots = self.x[[c.pivot for c in node.children]]
         node.radii = np.array([c.radius for c in node.children])
         node.parents = np.array([c.to_parent for c in node.children])
         return node
@@ -106,7 +109,7 @@ class MTree:
         base = float(q @ q) + self.top
         slack = 1e-6 * (1.0 + base**0.5)
         best_s, best_i, tau = np.zeros(0), np.zeros(0, self.ids.dtype), np.inf
-        d0 = max(base - 2 * float(self.x[self.root.pivot] @ q), 0.0) ** 0.5
+        d0 = max(base - 2 * float(self.top_pivot @ q), 0.0) ** 0.5
         heap = [(max(0.0, d0 - self.root.radius), 0, d0, self.root)]
         pushed = 1
         self.computed += 1
@@ -115,15 +118,21 @@ class MTree:
             if bound > tau + slack:
                 break
             if node.page is not None:
-                rows = node.page if tau == np.inf else node.page[np.abs(d - node.to_pivot) <= tau + slack]
-                if not len(rows):
-                    continue
-                self.computed += len(rows)
-                s, ids = self.x[rows] @ q, self.ids[rows]
-                if len(best_s) == k:
-                    keep = s >= best_s[-1]
-                    s, ids = s[keep], ids[keep]
+                page, ids = node.page, node.ids
+                if tau < np.inf:
+                    near = np.abs(d - node.to_pivot) <= tau + slack
+                    n = np.count_nonzero(near)
+                    if not n:
+                        continue
+                    if 2 * n < len(ids):  # picking rows copies them, so a page of which most are near is taken whole
+                        page, ids = page[near], ids[near]
+                self.computed += len(ids)
+                s = page @ q
                 keep = ids != own
+                if len(best_s) == k:
+                    keep &= s >= best_s[-1]
+                    if not keep.any():
+                        continue
                 s, ids = np.concatenate([best_s, s[keep]]), np.concatenate([best_i, ids[keep]])
                 order = np.lexsort((ids, -s))[:k]
                 best_s, best_i = s[order], ids[order]
@@ -133,7 +142,7 @@ class MTree:
             live = np.flatnonzero(np.abs(d - node.parents) - node.radii <= tau + slack)
             if len(live):
                 self.computed += len(live)
-                e = np.sqrt(np.maximum(base - 2 * (self.x[node.pivots[live]] @ q), 0.0))
+                e = np.sqrt(np.maximum(base - 2 * (node.pivots[live] @ q), 0.0))
                 lower = np.maximum(0.0, e - node.radii[live])
                 for j in np.flatnonzero(lower <= tau + slack):
                     heapq.heappush(heap, (float(lower[j]), pushed, float(e[j]), node.children[live[j]]))
