@@ -1 +1 @@
-"""Training-data operators: ten operators over text, vectors and web pages."""
+"""Training-data operators: thirteen operators over text, vectors and web pages."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licenses, merkle, mixing, mtree, packing, pii, shards, warc
+from . import fim, hosts, jaccard, kmeans, langid, licenses, merkle, mixing, mtree, packing, pii, shards, warc
 from .common import fresh_path, table
 
 
@@ -90,5 +90,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_jaccard": op1_jaccard, "op2_warc": op2_warc, "op3_packing": op3_packing, "op4_pii": op4_pii, "op5_langid": op5_langid, "op6_mtree": op6_mtree, "op7_merkle": op7_merkle, "op8_shards": op8_shards, "op9_licenses": op9_licenses, "op10_mixing": op10_mixing}
-SQL: dict[str, str] = {"op2_warc": SQL_WARC, "op6_mtree": SQL_MTREE, "op8_shards": SQL_SHARDS, "op10_mixing": mixing.sql()}
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.with_inertia(*kmeans.sort_means(table(spark, sf_dir, "embeddings")))
+
+
+def op13_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_jaccard, op2_warc, op3_packing, op4_pii, op5_langid, op6_mtree, op7_merkle, op8_shards, op9_licenses, op10_mixing, op11_fim, op12_kmeans, op13_hosts)
+}
+SQL: dict[str, str] = {
+    "op2_warc": SQL_WARC, "op6_mtree": SQL_MTREE, "op8_shards": SQL_SHARDS, "op10_mixing": mixing.sql(), "op11_fim": fim.SQL, "op12_kmeans": kmeans.sql(), "op13_hosts": hosts.sql(),
+}
