@@ -5,10 +5,12 @@ import json
 import random
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
-from tidemark.operators import markov, match, windows
+from tidemark.operators import markov, match, names, windows
+from tidemark.plans import registry
 from tidemark.sources import readers, sinks
 
 
@@ -69,6 +71,81 @@ def test_aliases_and_timestamps(spark):
 NAMES = ["arsenal", "arsenal london", "chelsea", "chelsey", "leeds", "leicester", "real madrid", "real betis", "ajax", "psv"]
 
 
+def best_pairings(fixtures, markets, least=0.65):
+    """Each fixture's (score, first market) by all pairs of team names."""
+    groups = {}
+    for j, a, b, *_ in sorted(markets):
+        groups.setdefault((a.lower(), b.lower()), j)
+    sims, best, want = {}, {}, {}
+
+    def sim(x, y):
+        if (x, y) not in sims:
+            sims[x, y] = ratio(x, y)
+        return sims[x, y]
+
+    for i, home, away, _ in fixtures:
+        h, w = home.lower(), away.lower()
+        if (h, w) not in best:
+            scores = [(-(sim(h, a) + sim(w, b)) / 2, j) for (a, b), j in groups.items() if sim(h, a) >= least and sim(w, b) >= least]
+            best[h, w] = min(scores) if scores else None
+        if best[h, w]:
+            want[i] = (round(-best[h, w][0], 3), best[h, w][1])
+    return want
+
+
+def test_fixture_matchups_equal_difflib_on_whole_tables(spark, sf):
+    f, m = registry._fixtures(spark, sf), registry._markets(spark, sf)
+    got = {r["fixture_id"]: (r["match_score"], r["market_ids"][0]) for r in registry.QUERIES["fuzzy_fixture_matchups"](spark, sf).collect()}
+    want = best_pairings([tuple(r) for r in f.collect()], [(r["market_id"], r["team_a"], r["team_b"]) for r in m.collect()])
+    assert len(got) > 500 and got == want
+
+
+def test_market_matches_equal_difflib_on_whole_tables(spark, sf):
+    """By date, with neighbours only where a date has no fixture."""
+    f, m = [tuple(r) for r in registry._fixtures(spark, sf).collect()], [tuple(r) for r in registry._markets(spark, sf).select("market_id", "team_a", "team_b", "date").collect()]
+    got = {r["market_id"]: (r["fixture_id"], r["score"]) for r in match.match_by_date(registry._markets(spark, sf), registry._fixtures(spark, sf)).collect()}
+    by, want = {}, {}
+    for x in f:
+        by.setdefault(x[3], []).append(x)
+    for i, a, b, day in m:
+        held = by.get(day) or by.get(day - dt.timedelta(1), []) + by.get(day + dt.timedelta(1), [])
+        best = None
+        for j, home, away, _ in held:
+            s = ratio(a, home), ratio(b, away), ratio(a, away), ratio(b, home)
+            score = max(s[0] + s[1], s[2] + s[3]) / 2
+            if (min(s[:2]) > 0.35 or min(s[2:]) > 0.35) and score >= 0.5 and (best is None or (-score, j) < best):
+                best = (-score, j)
+        if best:
+            want[i] = (best[1], round(-best[0], 4))
+    assert len(got) > 300 and got == want
+
+
+@pytest.mark.parametrize("least", [0.35, 0.5, 0.65, 0.8])
+def test_similar_names_lose_no_pair(spark, least):
+    rng = random.Random(8)
+    some = ["", "a", "b", "ab", "ba", "abc", "éa", "日本", "日本人", "aa", "aaa", "  ", "a b", "11", "1 1", "ajax", "psv", None]
+    some += ["".join(rng.choice("abcdeé 1") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    left, right = some[:50] + some[:5], some[5:] + [""]
+    a, b = (spark.createDataFrame([(x,) for x in v], f"{c} string") for v, c in ((left, "a"), (right, "b")))
+    got = {(r["a"], r["b"]): r["score"] for r in names.similar_names(a, b, "a", "b", least).collect()}
+    want = {(x, y): ratio(x, y) for x in left for y in right if x is not None and y is not None and ratio(x, y) >= least}
+    assert got == want
+
+
+def test_scored_names_grow_with_matches_not_with_pairs(spark, monkeypatch):
+    monkeypatch.setattr(names, "BUCKET", 20)
+    rng = random.Random(9)
+    counts = []
+    for n in (300, 600):
+        clubs = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(14)) for _ in range(n)]
+        a = spark.createDataFrame([(c,) for c in clubs], "a string")
+        b = spark.createDataFrame([(c[:9] + "x" + c[9:],) for c in clubs], "b string")
+        scored = names.candidate_names(a, b, "a", "b", 0.65)
+        counts.append(scored.count())
+        assert scored.distinct().count() == counts[-1] and n <= counts[-1] <= 1.2 * n
+    assert counts[1] < 2.3 * counts[0]
+
+
 def test_matching_equals_difflib(spark):
     rng = random.Random(4)
     day = dt.date(2026, 5, 1)
@@ -92,15 +169,10 @@ def test_matching_equals_difflib(spark):
             want[i] = (best[1], round(best[0], 3))
     assert got == want
 
-    groups = match.matchups(m).withColumn("block", F.lit(1))
+    groups = match.pairings(m)
     assert sum(len(r["market_ids"]) for r in groups.collect()) == len(markets)
-    got = {r["fixture_id"]: r["match_score"] for r in match.fixture_matchups(f.withColumn("block", F.lit(1)), groups, "block").collect()}
-    want = {}
-    for i, home, away, _ in fixtures:
-        scores = [(ratio(home, a) + ratio(away, b)) / 2 for _, a, b, _, _ in markets if ratio(home, a) >= 0.65 and ratio(away, b) >= 0.65]
-        if scores:
-            want[i] = round(max(scores), 3)
-    assert got == want
+    got = {r["fixture_id"]: (r["match_score"], r["market_ids"][0]) for r in match.fixture_matchups(f, groups).collect()}
+    assert got == best_pairings(fixtures, markets)
 
     alone = {r["market_id"]: (r["fixture_id"], r["score"]) for r in match.match_by_date(m, f).collect()}
     fanned = {r["market_id"]: (r["fixture_id"], r["score"]) for r in match.match_matchups(m, f).collect()}

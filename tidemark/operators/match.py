@@ -1,37 +1,31 @@
-"""Fuzzy matching of fixtures and markets. The one Python expression is Ratcliff-Obershelp similarity."""
+"""Fuzzy matching of fixtures and markets.
 
-from __future__ import annotations
+Candidates come from an index over distinct names (names.py), not from blocks: rows of both sides meet only where a name of one is
+like a name of the other, and similarity is computed once for each pair of names.
+"""
 
-from difflib import SequenceMatcher
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..shipping import ship
+from .names import containing, ratio_bound, similar_names, similarity
 
+__all__ = ["best_match", "best_question", "fixture_matchups", "match_by_date", "match_matchups", "matchups", "pairings", "ratio_bound", "similarity"]
 
-@F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    cache: dict = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if (x, y) not in cache:
-            cache[x, y] = None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-        out.append(cache[x, y])
-    return pd.Series(out, dtype="float64")
 
+def _long(df: DataFrame, ids: list[str], names: list[str], into: str) -> DataFrame:
+    """A row for each of the named columns: ids, and the name."""
+    return df.select(*ids, F.explode(F.array(*names)).alias(into)).where(F.col(into).isNotNull())
 
-def similarity(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp ratio; the order of arguments matters."""
-    ship(SparkSession.active())
-    return _ratio(a, b)
 
-
-def ratio_bound(a: Column, b: Column) -> Column:
-    """Never below the ratio: lets a filter on lengths go first."""
-    return F.coalesce(F.try_divide(2.0 * F.least(F.length(a), F.length(b)), F.length(a) + F.length(b)), F.lit(1.0))
+def _scored(pairs: DataFrame, ids: list[str], slots: dict[str, tuple[str, str]], score=similarity) -> DataFrame:
+    """ids and, for each slot, the score of two columns of the pairs; computed once for each distinct pair of values."""
+    entries = [F.struct(F.lit(s).alias("slot"), F.col(a).alias("_a"), F.col(b).alias("_b")) for s, (a, b) in slots.items()]
+    rows = pairs.select(*ids, F.inline(F.array(*entries)))
+    once = rows.select("_a", "_b").distinct().withColumn("_s", score(F.col("_a"), F.col("_b")))
+    rows = rows.join(once, ["_a", "_b"])
+    return rows.groupBy(*ids).agg(*(F.max(F.when(F.col("slot") == s, F.col("_s"))).alias(s) for s in slots))
 
 
 def match_by_date(markets: DataFrame, fixtures: DataFrame, floor: float = 0.35, least: float = 0.5) -> DataFrame:
@@ -39,38 +33,55 @@ def match_by_date(markets: DataFrame, fixtures: DataFrame, floor: float = 0.35,
 
     markets(market_id, team_a, team_b, date), fixtures(fixture_id, home, away, date). The score is
     the larger mean similarity of both orientations, of which one must have both sides above floor.
-    The date is the join key; the length bound prunes before similarity is computed.
+    A mean of `least` takes one side of it at least, so a market meets the fixtures of its dates that have a name so like one of its own.
     """
-    near = markets.withColumn("_shift", F.explode(F.array(*(F.lit(i) for i in (0, -1, 1))))).withColumn("_d", F.expr("date_add(date, _shift)"))
-    rows = near.join(fixtures.withColumnRenamed("date", "_d"), "_d")
-    same = F.max(F.when(F.col("_shift") == 0, 1).otherwise(0)).over(Window.partitionBy("market_id"))
-    rows = rows.withColumn("_same", same).where("_shift = 0 or _same = 0")
-    able = lambda x, y: ratio_bound(F.col(x), F.col(y)) > floor
-    rows = rows.where((able("team_a", "home") & able("team_b", "away")) | (able("team_a", "away") & able("team_b", "home")))
-    rows = rows.withColumns({
-        "_ah": similarity(F.col("team_a"), F.col("home")), "_ba": similarity(F.col("team_b"), F.col("away")),
-        "_aa": similarity(F.col("team_a"), F.col("away")), "_bh": similarity(F.col("team_b"), F.col("home")),
-    })
-    gate = (F.least("_ah", "_ba") > floor) | (F.least("_aa", "_bh") > floor)
-    score = F.greatest((F.col("_ah") + F.col("_ba")) / 2, (F.col("_aa") + F.col("_bh")) / 2)
+    held = fixtures.where("date is not null").select("date").distinct().select(F.col("date").alias("_d"), F.lit(True).alias("_held"))
+    same = markets.join(held, F.col("date") == F.col("_d"), "left").drop("_d")
+    days = F.when(F.col("_held"), F.array(F.col("date"))).otherwise(F.array(F.date_sub("date", 1), F.date_add("date", 1)))
+    near = same.withColumn("_d", F.explode(days)).select("market_id", "team_a", "team_b", "_d").distinct()
+    theirs = fixtures.select("fixture_id", "home", "away", F.col("date").alias("_d")).distinct()
+    like = similar_names(_long(near, [], ["team_a", "team_b"], "a"), _long(theirs, [], ["home", "away"], "b"), "a", "b", least)
+    met = _long(near, ["market_id", "team_a", "team_b", "_d"], ["team_a", "team_b"], "a").join(like.select("a", "b"), "a")
+    met = met.join(_long(theirs, ["fixture_id", "home", "away", "_d"], ["home", "away"], "b"), ["_d", "b"])
+    pairs = met.select("market_id", "fixture_id", "team_a", "team_b", "home", "away").distinct()
+    rows = _scored(pairs, ["market_id", "fixture_id", "team_a", "team_b", "home", "away"], {"ah": ("team_a", "home"), "ba": ("team_b", "away"), "aa": ("team_a", "away"), "bh": ("team_b", "home")})
+    gate = (F.least("ah", "ba") > floor) | (F.least("aa", "bh") > floor)
+    score = F.greatest((F.col("ah") + F.col("ba")) / 2, (F.col("aa") + F.col("bh")) / 2)
     rows = rows.where(gate).withColumn("score", score).where(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy("market_id").orderBy(F.desc("score"), "fixture_id"))
-    return rows.withColumn("_r", best).where("_r = 1").select("market_id", "fixture_id", F.round("score", 4).alias("score"))
+    return _best(rows, "market_id", "fixture_id", 4)
+
 
+def _best(rows: DataFrame, key: str, other: str, digits: int, *more: str) -> DataFrame:
+    """By key the other id of the highest score, the smaller one at ties, by an aggregate that combines before the shuffle."""
+    top = rows.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("_n"), other, *more)).alias("_b"))
+    return top.select(key, f"_b.{other}", *(f"_b.{c}" for c in more), F.round(-F.col("_b._n"), digits).alias("score"))
 
-def best_match(names: DataFrame, candidates: DataFrame, block: str, least: float = 0.6) -> DataFrame:
-    """Each name's most similar candidate within a block: (id, name) against (cand_id, cand_name)."""
-    rows = names.join(candidates, block).where(ratio_bound(F.col("name"), F.col("cand_name")) >= least)
-    rows = rows.withColumn("score", similarity(F.col("name"), F.col("cand_name"))).where(F.col("score") >= least)
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "cand_id"))
-    return rows.withColumn("_r", best).where("_r = 1").select("id", "cand_id", F.round("score", 4).alias("score"))
+
+def best_match(names: DataFrame, candidates: DataFrame, block: str | None = None, least: float = 0.6) -> DataFrame:
+    """Each name's most similar candidate, within a block if one is named: (id, name) against (cand_id, cand_name)."""
+    if block is None:
+        like = similar_names(names, candidates, "name", "cand_name", least)
+        rows = names.join(like, "name").join(candidates, "cand_name")
+    else:
+        rows = names.join(candidates, block).where(ratio_bound(F.col("name"), F.col("cand_name")) >= least)
+        rows = rows.withColumn("score", similarity(F.col("name"), F.col("cand_name"))).where(F.col("score") >= least)
+    return _best(rows, "id", "cand_id", 4)
+
+
+def _held_markets(group) -> DataFrame:
+    held = group.agg(F.array_sort(F.collect_list(F.struct("market_id", "question"))).alias("held"))
+    keys = [c for c in held.columns if c != "held"]
+    return held.select(F.xxhash64(*keys).alias("matchup_id"), *keys, F.transform("held", lambda x: x["market_id"]).alias("market_ids"), F.transform("held", lambda x: x["question"]).alias("questions"))
 
 
 def matchups(markets: DataFrame) -> DataFrame:
     """One row a pair of teams and date: matchup_id, team_a, team_b, date, and its markets' ids and questions in order of id."""
-    group = markets.groupBy("team_a", "team_b", "date").agg(F.array_sort(F.collect_list(F.struct("market_id", "question"))).alias("held"))
-    key = F.xxhash64("team_a", "team_b", "date")
-    return group.select(key.alias("matchup_id"), "team_a", "team_b", "date", F.transform("held", lambda x: x["market_id"]).alias("market_ids"), F.transform("held", lambda x: x["question"]).alias("questions"))
+    return _held_markets(markets.groupBy("team_a", "team_b", "date"))
+
+
+def pairings(markets: DataFrame) -> DataFrame:
+    """One row a pair of teams, in lower case and whatever the date: matchup_id, team_a, team_b, and its markets' ids and questions in order of id."""
+    return _held_markets(markets.where("team_a is not null and team_b is not null").groupBy(F.lower("team_a").alias("team_a"), F.lower("team_b").alias("team_b")))
 
 
 def match_matchups(markets: DataFrame, fixtures: DataFrame, floor: float = 0.35, least: float = 0.5) -> DataFrame:
@@ -81,37 +92,45 @@ def match_matchups(markets: DataFrame, fixtures: DataFrame, floor: float = 0.35,
     return held.join(found.withColumnRenamed("market_id", "matchup_id"), "matchup_id").select(F.col("m.market_ids").alias("market_id"), F.col("m.questions").alias("question"), "fixture_id", "score")
 
 
-def _scored_pairs(pairs: DataFrame, a: str, b: str, into: str) -> DataFrame:
-    """pairs with the similarity of two columns, computed once for equal pairs."""
-    once = pairs.select(a, b).distinct().withColumn(into, similarity(F.col(a), F.col(b)))
-    return pairs.join(once, [a, b])
-
+def fixture_matchups(fixtures: DataFrame, groups: DataFrame, least: float = 0.65) -> DataFrame:
+    """Each fixture's best pairing of any date: both sides at least `least`, the highest mean, then the one whose first market is smallest; with ids and questions.
 
-def fixture_matchups(fixtures: DataFrame, groups: DataFrame, block: str, least: float = 0.65) -> DataFrame:
-    """Each fixture's best matchup of its block: both sides at least `least`, the highest mean, then the smaller matchup_id; with ids and questions.
-
-    The length bound goes before similarity, and similarity is computed once for each pair of names.
+    Names are compared in lower case. The best pairing is sought once for each distinct pair of home and away.
     """
-    able = lambda x, y: ratio_bound(F.col(x), F.col(y)) >= least
-    rows = fixtures.join(groups.drop("date"), block).where(able("home", "team_a") & able("away", "team_b"))
-    rows = _scored_pairs(rows, "home", "team_a", "_h").where(F.col("_h") >= least)
-    rows = _scored_pairs(rows, "away", "team_b", "_a").where(F.col("_a") >= least).withColumn("score", (F.col("_h") + F.col("_a")) / 2)
-    best = F.row_number().over(Window.partitionBy("fixture_id").orderBy(F.desc("score"), "matchup_id"))
-    return rows.withColumn("_r", best).where("_r = 1").select("fixture_id", "home", "away", "team_a", "team_b", F.round("score", 3).alias("match_score"), "market_ids", "questions")
+    pairs = fixtures.select(F.lower("home").alias("_h"), F.lower("away").alias("_w")).where("_h is not null and _w is not null").distinct()
+    known = groups.select("team_a", "team_b", F.get("market_ids", F.lit(0)).alias("first"))
+    home = similar_names(pairs, known, "_h", "team_a", least).withColumnRenamed("score", "_sh")
+    away = similar_names(pairs, known, "_w", "team_b", least).withColumnRenamed("score", "_sw")
+    rows = pairs.join(home, "_h").join(known, "team_a").join(away, ["_w", "team_b"])
+    mean = (F.col("_sh") + F.col("_sw")) / 2
+    top = rows.groupBy("_h", "_w").agg(F.min(F.struct((-mean).alias("_n"), "first", "team_a", "team_b")).alias("_b"))
+    top = top.select("_h", "_w", "_b.team_a", "_b.team_b", F.round(-F.col("_b._n"), 3).alias("match_score"))
+    top = top.join(groups.select("team_a", "team_b", "market_ids", "questions"), ["team_a", "team_b"])
+    found = fixtures.join(top, (F.lower("home") == F.col("_h")) & (F.lower("away") == F.col("_w")))
+    return found.select("fixture_id", "home", "away", "team_a", "team_b", "match_score", "market_ids", "questions")
+
+
+def question_score(name: Column, question: Column) -> Column:
+    """The larger of the similarity to a question and 0.6 for a word of the name in it."""
+    from ..functions.scalars import word_in_text
+
+    return F.greatest(similarity(name, question), F.when(word_in_text(name, question), 0.6).otherwise(0.0))
 
 
 def best_question(fixtures: DataFrame, markets: DataFrame, days: int = 2, least: float = 0.4) -> DataFrame:
-    """Each fixture's best market within some days: mean over both teams of the larger of similarity to the question and 0.6 for a word in it.
+    """Each fixture's best market within some days: mean over both teams of question_score.
 
-    fixtures(fixture_id, home, away, date), markets(market_id, question, date); a null date meets nothing. A
-    fixture is taken to each day of its window, so that the join is on dates.
+    fixtures(fixture_id, home, away, date), markets(market_id, question, date); a null date meets nothing. A mean above
+    `least` takes a side above it, so a fixture meets the questions that hold a word of one of its teams or are that similar to one. It is
+    taken to each day of its window, so that the join is on question and date.
     """
-    from ..functions.scalars import word_in_text
-
-    near = fixtures.withColumn("_d", F.explode(F.expr(f"sequence(date_sub(date, {days}), date_add(date, {days}))"))).drop("date")
-    rows = near.join(markets.withColumnRenamed("date", "_d"), "_d").drop("_d")
-    side = lambda x: F.greatest(similarity(F.col(x), F.col("question")), F.when(word_in_text(F.col(x), F.col("question")), 0.6).otherwise(0.0))
-    bound = lambda x: F.greatest(ratio_bound(F.col(x), F.col("question")), F.when(word_in_text(F.col(x), F.col("question")), 0.6).otherwise(0.0))
-    rows = rows.where((bound("home") + bound("away")) / 2 > least).withColumn("score", (side("home") + side("away")) / 2).where(F.col("score") > least)
-    best = F.row_number().over(Window.partitionBy("fixture_id").orderBy(F.desc("score"), "market_id"))
-    return rows.withColumn("_r", best).where("_r = 1").select("fixture_id", "market_id", "question", F.round("score", 3).alias("match_score"))
+    near = fixtures.withColumn("_d", F.explode(F.expr(f"sequence(date_sub(date, {days}), date_add(date, {days}))")))
+    near = near.select("fixture_id", "home", "away", "_d").distinct()
+    theirs = markets.select("market_id", "question", F.col("date").alias("_d")).where("question is not null").distinct()
+    names = _long(fixtures, [], ["home", "away"], "a").distinct()
+    like = similar_names(names, theirs, "a", "question", least).select("a", "question").unionByName(containing(names, theirs, "a", "question")).distinct()
+    met = _long(near, ["fixture_id", "home", "away", "_d"], ["home", "away"], "a").join(like, "a").join(theirs, ["question", "_d"])
+    ids = ["fixture_id", "market_id", "question", "home", "away"]
+    rows = _scored(met.select(*ids).distinct(), ids, {"h": ("home", "question"), "w": ("away", "question")}, question_score)
+    rows = rows.withColumn("score", (F.coalesce("h", F.lit(0.0)) + F.coalesce("w", F.lit(0.0))) / 2).where(F.col("score") > least)
+    return _best(rows, "fixture_id", "market_id", 3, "question").withColumnRenamed("score", "match_score")

@@ -765,9 +765,7 @@ def fuzzy_match_matchups(spark, sf):
 
 @query()
 def fuzzy_fixture_matchups(spark, sf):
-    day = F.date_trunc("month", "date").alias("month")
-    groups = match.matchups(_markets(spark, sf)).select("*", day)
-    return match.fixture_matchups(_fixtures(spark, sf).select("*", day), groups, "month")
+    return match.fixture_matchups(_fixtures(spark, sf), match.pairings(_markets(spark, sf)))
 
 
 @query()
