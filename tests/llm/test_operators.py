@@ -5,6 +5,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -18,7 +19,7 @@ sys.path[:0] = [str(Path(__file__).parent), str(Path(__file__).parents[1])]
 from helpers import SCHEMA, components, edge_rows, words  # noqa: E402
 from oracle import check  # noqa: E402
 
-from tidemark.llm import jaccard, langid, licenses, merkle, mixing, mtree, packing, pii, registry, shards, warc  # noqa: E402
+from tidemark.llm import common, jaccard, langid, licenses, merkle, mixing, mtree, packing, pii, registry, shards, warc  # noqa: E402
 from tidemark.llm.tokens import Encoder  # noqa: E402
 from tidemark.llm.words import shingle_sets  # noqa: E402
 
@@ -662,3 +663,27 @@ def test_mixing_edges(edges, empty):
     assert {r["copy"] for r in out.collect()} >= {0}
     assert mixing.mix(empty).count() == 0
     assert mixing.with_counts(edges, {"s0": 1.0}).where("source is null and repeats > 0").count() == 0
+
+
+def test_pii_many_entities_in_one_text(spark):
+    """Thousands of addresses in two texts: their terms are found by classes of entities, in seconds; shares and places are right."""
+    text = " ".join(f"person{i} p{i}@ex.org" for i in range(4000))
+    rows = [(1, text), (2, text + " more"), (3, " ".join(f"q{i}@ex.org" for i in range(20_000)))] + [(10 + i, f"filler number{i} without") for i in range(300)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 240
+    spans = [x.split(":") for x in got[1]["spans"].split(",")]
+    assert {text[int(a) : int(b)] for k, a, b in spans if k == "term"} == {f"person{i}" for i in range(4000)}
+    assert got[1]["n_email"] == 4000 and got[3]["n_email"] == 20_000 and got[10]["spans"] == ""
+
+
+def test_jaccard_repeated_rows_cost_no_more_than_their_number(spark):
+    """A thousand repeats of two linked rows: each set is verified once."""
+    a, b = words(60, "a"), words(60, "a").replace("wax30", "other")
+    rows = [(i, t, None, None, 0) for i, t in ((1, a), (2, b), (3, words(50, "c"))) for _ in range(1000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r["doc_id"], r["component_id"]): r["count"] for r in jaccard.jaccard_components(df).groupBy("doc_id", "component_id").count().collect()}
+    assert got == {(1, 1): 1000, (2, 1): 1000, (3, 3): 1000}
+    scratch = common.Scratch(spark)
+    sets = jaccard._sets_of(df.select("doc_id", "text"), df.select("doc_id"), scratch)
+    assert sets.count() == 3

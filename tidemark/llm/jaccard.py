@@ -172,14 +172,16 @@ def _chosen(bitmap) -> object:
     """Sets of the rows whose doc_id is in a bitmap of hashed ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        bits, seen = np.frombuffer(bitmap.value, np.uint8), set()
         for batch in batches:
             place = batch.column(0).to_numpy(zero_copy_only=False)
             chosen = np.flatnonzero(bits[place >> 3] >> (place & 7).astype(np.uint8) & 1)
             rows, held = [], 0
             for _, u in shingle_sets(batch.column(1).take(pa.array(chosen))):
-                if len(u):
-                    rows.append((_key(u), u.view(np.int64)))
+                key = _key(u) if len(u) else None
+                if len(u) and key not in seen:  # repeated rows give one set a task
+                    seen.add(key)
+                    rows.append((key, u.view(np.int64)))
                     held += len(u)
                 if held > FLUSH:
                     yield _set_batch(rows)
@@ -196,7 +198,7 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, members) of the texts of some ids, and of a few others.
+    """(key, members, n) of the texts of some ids, and of a few others; each set once.
 
     The ids' hashes go into a bitmap of 2^FILTER_BITS places (4 MB, whatever the corpus), which is
     broadcast, so that other texts are neither shuffled nor hashed. A full bitmap only lets more through.
@@ -209,9 +211,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
     held = spark.sparkContext.broadcast(bitmap.tobytes())
     rows = docs.where("doc_id is not null").select(place(F.col("doc_id")).alias("p"), "text")
-    sets = scratch(rows.mapInArrow(_chosen(held), "key long, members array<bigint>").withColumn("n", F.size("members")), "sets")
+    found = rows.mapInArrow(_chosen(held), "key long, members array<bigint>")
+    sets = scratch(found.withColumns({"n": F.size("members"), "at": F.monotonically_increasing_id()}), "sets")
     held.unpersist()
-    return sets
+    # rows that several tasks hold: of equal sets the first stays
+    first = sets.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
+    first = scratch(first, "keys")
+    if not first.isEmpty():
+        sets = sets.join(first, "key", "left").where("first is null or at = first").drop("first")
+    return sets.drop("at")
 
 
 def _part_labels(spark, parts: int) -> list[int]:

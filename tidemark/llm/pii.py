@@ -14,7 +14,7 @@ number, id or word), wherever the term stands in a text that holds the entity. E
 
 Base entities are looked for once; the rows, with what was found, are written to the shared
 folder. Texts are shuffled once, to count terms over distinct ones; all later steps touch only
-the rows that hold entities.
+the rows that hold entities. Entities that the same texts hold are counted as one class.
 
 Patterns differ from the plain ones in possessive repeats and in starting only where a run of
 the class starts or the last match ended (\G): the matches are the same, but no input makes the
@@ -27,7 +27,7 @@ table gives an empty result; other columns are kept by sanitise() and ignored by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -154,44 +154,78 @@ def _neighbourhoods(found: DataFrame) -> DataFrame:
     return rows.select("entity", F.xxhash64("b", "a").alias("context"), F.explode(_terms_outside(near)).alias("term"))
 
 
-def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """(entity, term, share) of the pairs whose disclosed share of information reaches GENERALISE.
+def _entity_classes(held: DataFrame) -> DataFrame:
+    """(entity, df_e, class): entities that the same texts hold are one class, as they have all counts of texts in common.
 
-    All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all
-    (those of `texts`, if `found` holds only some).
+    A class is named by a 64-bit hash of the set of its texts' hashes.
+    """
+    mixed = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "h"))
+    by = held.select("h", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"), mixed(1).alias("x"), mixed(2).alias("y"))
+    return by.select("entity", "df_e", F.xxhash64("df_e", "x", "y").alias("class"))
+
+
+def _disclosing(found: DataFrame, mentions: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(class, term, share) as in disclosing_terms, by classes of entities; the entities' classes; and (h, classes) of the texts.
+
+    A text's terms are paired with its classes, not with its entities, so that a text of thousands of addresses has few pairs.
     """
     # texts are told apart by 64-bit hashes, and only their terms are moved
     text = F.coalesce("text", F.lit(""))
     texts = (found if texts is None else texts).select(F.xxhash64(text).alias("h"), F.array_join(_terms(text), " ").alias("terms")).distinct()
     held = _held(found).select("h", "entities", "terms").distinct()
-    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
+    known = _entity_classes(held)
     near = mentions.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
-    # an entity of fewer texts and no such neighbourhoods has no pair to count
-    live = entities.join(near.select("entity").distinct().withColumn("near", F.lit(True)), "entity", "left").where(f"df_e >= {MIN_CONTEXTS} or near").select("entity")
-    pairs = held.select(F.explode("entities").alias("entity"), "terms").join(live, "entity")
-    seen = pairs.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("df_te"))
-    together = seen.join(near, ["entity", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or contexts is not null").drop("contexts")
+    near = near.join(known, "entity").select("class", "term", F.lit(True).alias("near")).distinct()
+    # a class of fewer texts and no such neighbourhoods has no pair to count
+    classes = known.select("class", "df_e").distinct()
+    live = classes.join(near.select("class", "near").distinct(), "class", "left").where(f"df_e >= {MIN_CONTEXTS} or near").select("class")
+    live = known.select("entity", "class").join(live, "class")
+    by_text = held.select("h", F.explode("entities").alias("entity")).join(live, "entity").groupBy("h").agg(F.collect_set("class").alias("classes"))
+    pairs = held.select("h", "terms").join(by_text, "h").select(F.explode("classes").alias("class"), "terms")
+    seen = pairs.select("class", F.explode("terms").alias("term")).groupBy("class", "term").agg(F.count("*").alias("df_te"))
+    together = seen.join(near, ["class", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or near").drop("near")
     terms = texts.select(F.explode(F.split("terms", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
     total = texts.agg(F.greatest(F.count("*"), F.lit(2)).alias("n"))
-    share = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(total))
+    share = together.join(classes, "class").join(terms, "term").crossJoin(F.broadcast(total))
     given = F.least(F.col("df_te") / F.col("df_t"), F.lit(1.0))
     rarity = F.log(F.greatest(F.col("n") / F.col("df_e"), F.lit(1.0001)))
-    return share.select("entity", "term", (1 + F.log(given) / rarity).alias("share")).where(f"share >= {GENERALISE}")
+    risky = share.select("class", "term", (1 + F.log(given) / rarity).alias("share")).where(f"share >= {GENERALISE}")
+    return risky, known, by_text
+
+
+def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(entity, term, share) of the pairs whose disclosed share of information reaches GENERALISE.
+
+    All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all
+    (those of `texts`, if `found` holds only some). Entities that the same texts hold have the same terms.
+    """
+    risky, known, _ = _disclosing(found, mentions, texts)
+    return risky.join(known, "class").select("entity", "term", "share")
 
 
 def term_spans(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """(doc_id, h, terms): spans of disclosing terms by document; h is the text's hash, as rows may share a doc_id."""
-    risky = disclosing_terms(found, _neighbourhoods(found), texts)
-    held = _held(found)
-    # a document's own pairs meet the disclosing ones, so that an entity of many documents isn't paired with all its terms in each
-    named = held.select("doc_id", "h", F.explode("entities").alias("entity"), "terms").join(risky.select("entity").distinct(), "entity", "left_semi")
-    named = named.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "entity", F.explode("terms").alias("term")).join(risky, ["entity", "term"])
-    named = named.groupBy("_id", "_h").agg(F.collect_set("term").alias("risky"), F.collect_set(F.when(F.col("share") >= REMOVE, F.col("term"))).alias("gone"))
-    rows = held.select("doc_id", "h", "text", "m").join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
-    hits = F.filter(match_spans(F.col("text"), F.lit(TERM)), lambda t: F.array_contains("risky", F.lower(t["v"])))
-    hits = F.filter(hits, lambda t: ~F.exists("m", lambda x: (t["s"] < x["e"]) & (t["e"] > x["s"])))
-    places = F.transform(hits, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["v"].alias("v"), F.array_contains("gone", F.lower(t["v"])).alias("remove")))
-    return rows.select("doc_id", "h", places.alias("places")).dropDuplicates(["doc_id", "h"])
+    """(h, places): spans of disclosing terms by the text's hash, in order.
+
+    Every step takes a text's terms, mentions and places as rows: no array is searched for each element of another.
+    """
+    risky, _, by_text = _disclosing(found, _neighbourhoods(found), texts)
+    held = _held(found).select("h", "text", "m", "terms").dropDuplicates(["h"])
+    # how many pairs disclose is known when they are there, so none of these joins may broadcast by an estimate
+    named = held.select("h", "terms").join(by_text, "h").select("h", F.explode("classes").alias("class"), "terms")
+    named = named.join(risky.select("class").distinct().hint("merge"), "class", "left_semi")
+    named = named.select("h", "class", F.explode("terms").alias("term")).join(risky.hint("merge"), ["class", "term"])
+    named = named.groupBy("h", "term").agg((F.max("share") >= REMOVE).alias("remove"))
+    rows = held.select("h", "text", "m").join(named.select("h").distinct().hint("merge"), "h", "left_semi")
+    hits = rows.select("h", F.explode(match_spans(F.col("text"), F.lit(TERM))).alias("t")).select("h", F.lower("t.v").alias("term"), "t.s", "t.e", "t.v")
+    hits = hits.join(named.hint("merge"), ["h", "term"]).drop("term")
+    mentions = rows.select("h", F.explode("m").alias("x")).select("h", "x.s", "x.e")
+    both = hits.unionByName(mentions, allowMissingColumns=True)
+    # a hit may overlap no mention: none that begins before it may end beyond its start, none may begin inside it
+    by_start = Window.partitionBy("h").orderBy("s")
+    held_end = F.max(F.when(F.col("v").isNull(), F.col("e"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    next_start = F.min(F.when(F.col("v").isNull(), F.col("s"))).over(Window.partitionBy("h").orderBy(F.desc("s")).rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumns({"held": held_end, "next": next_start}).where("v is not null and (held is null or held <= s) and (next is null or next >= e)")
+    return both.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("s", "e", "v", "remove"))).alias("places"))
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -200,9 +234,7 @@ def digest(df: DataFrame) -> DataFrame:
     listed = F.array_join(F.transform(_labelled(F.col("base")), lambda x: F.concat_ws(":", x["k"], x["s"], x["e"])), ",")
     counts = [F.size(F.col("base")[k]).cast("long").alias(f"n_{k}") for k in KINDS]
     found = Scratch(df.sparkSession)(_with_terms(found).select("*", *counts, listed.alias("listed")), "pii")
-    key = term_spans(found, df).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "places")
-    lean = found.select("doc_id", "h", *(f"n_{k}" for k in KINDS), "listed")
-    joined = lean.join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    joined = found.select("doc_id", "h", *(f"n_{k}" for k in KINDS), "listed").join(term_spans(found, df), "h", "left")
     extra = F.transform(F.coalesce("places", F.array().cast(MARKS)), lambda x: F.concat_ws(":", F.lit("term"), x["s"], x["e"]))
     return joined.select(
         "doc_id",
@@ -224,11 +256,11 @@ def sanitise(df: DataFrame) -> DataFrame:
     """df with text replaced by its sanitised form: entities by [KIND], removed terms by [...], generalised ones by their class."""
     row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
     found = Scratch(df.sparkSession)(_with_terms(find_base(df.select("doc_id", "text", row))), "pii")
-    key = term_spans(found, df.select("text")).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "places")
+    key = term_spans(found, df.select("text"))
     # rows without entities stay as they are and aren't moved
     holds = F.coalesce(F.size("terms") >= 0, F.lit(False))
     rest = found.where(~holds).select(*(F.col("row").getField(c).alias(c) for c in df.columns))
-    held = found.where(holds).join(key, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    held = found.where(holds).join(key, "h", "left")
     mark = lambda x, r: F.struct(x["s"].alias("s"), x["e"].alias("e"), r.alias("r"))
     entities = F.transform(_labelled(F.col("base")), lambda x: mark(x, F.concat(F.lit("["), F.upper(x["k"]), F.lit("]"))))
     terms = F.transform(F.coalesce("places", F.array().cast(MARKS)), lambda x: mark(x, F.when(x["remove"], F.lit("[...]")).otherwise(_class(x["v"]))))
