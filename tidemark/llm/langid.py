@@ -272,8 +272,8 @@ def _runs(best: np.ndarray, languages: list[str]) -> list[dict]:
     return [{"first": int(a), "last": int(b), "lang": languages[best[a]]} for a, b in zip(edge, last, strict=True)]
 
 
-def _label(m: Model | None, texts: pa.Array, parts: list | None = None) -> tuple[list[str], np.ndarray]:
-    """Language and score of each text; parts, if given, gets the runs of words of one language."""
+def _label(m: Model | None, texts: pa.Array, parts: list | None = None, sure: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; parts, if given, gets the runs of words of one language, sure the mean of each word's largest probability."""
     lang, score = [UNDETERMINED] * len(texts), np.zeros(len(texts))
     for lo, _, data, off in chunks(texts, CHUNK):
         if m is None:
@@ -290,6 +290,8 @@ def _label(m: Model | None, texts: pa.Array, parts: list | None = None) -> tuple
                 continue
             k = int(row.argmax())
             lang[lo + r], score[lo + r] = m.languages[k], min(1.0, float(row[k]))
+            if sure is not None:
+                sure[lo + r] = prob[at[r] : at[r + 1]].max(axis=1).mean()
             if parts is not None:
                 parts[lo + r] = _runs(prob[at[r] : at[r + 1]].argmax(axis=1), m.languages)
     return lang, score
@@ -321,9 +323,9 @@ def identify(documents: DataFrame) -> DataFrame:
 
 
 def filter_known(documents: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows whose language is known with at least a score, with the predicted language as lang.
+    """The rows whose words are known with at least a mean probability, each in its own language, with the text's most probable one as lang.
 
-    Rows pass whole through the Arrow tasks, so no join by doc_id and no shuffle is needed.
+    So a text that switches between languages stays, however many they are. Rows pass whole through the Arrow tasks, so no join by doc_id and no shuffle is needed.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -332,8 +334,9 @@ def filter_known(documents: DataFrame, model: Model | None, least: float) -> Dat
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = _label(held.value, batch.column(at[0]))
-            keep = pa.array([g != UNDETERMINED and s >= least for g, s in zip(lang, score, strict=True)])
+            sure = np.zeros(batch.num_rows)
+            lang, _ = _label(held.value, batch.column(at[0]), sure=sure)
+            keep = pa.array([g != UNDETERMINED and s >= least for g, s in zip(lang, sure, strict=True)])
             columns = [pa.array(lang, pa.string()) if i == at[1] else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
             pa.default_memory_pool().release_unused()
