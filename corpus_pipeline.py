@@ -3,8 +3,8 @@
 Each stage takes the documents that its predecessor kept and gives their columns back; the last
 gives the pieces of the packed sequences.
 
-1. language: texts whose language can't be told (no letters, or a mean probability below
-   MIN_SCORE) go; the others carry the predicted language.
+1. language: texts whose words can't be told (no letters, or a mean below MIN_SCORE of each word's largest
+   probability) go; the others, code-switched ones included, carry the most probable language.
 2. near_duplicates: of each group of linked texts the row of the smallest doc_id stays, whole. Of rows that share
    that id, the one of the smallest text stays; of linked rows without any id, one for each set of shingles.
 3. personal_data: texts are sanitised; n_chars follows.
