@@ -6,9 +6,14 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def largest_move(low: Column, high: Column, now: Column) -> Column:
+    """Largest distance of a frame's prices from the price now, by its extremes; none: 0."""
+    return F.coalesce(F.greatest(F.abs(high - now), F.abs(low - now)), F.lit(0.0))
+
+
 def max_move(price: str, now: Column, frame: WindowSpec) -> Column:
     """Largest distance of the frame's prices from the price now; none: 0."""
-    return F.coalesce(F.greatest(F.abs(F.max(price).over(frame) - now), F.abs(F.min(price).over(frame) - now)), F.lit(0.0))
+    return largest_move(F.min(price).over(frame), F.max(price).over(frame), now)
 
 
 def absolute_label(move: Column, threshold: float = 0.03) -> Column:

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as S
 from ..operators import analytics as A
-from ..operators import asof, labels, markov, match, ml
+from ..operators import asof, frames, labels, markov, match, ml
 from ..operators import windows as W
-from ..operators.features import feature_row, game_state
+from ..operators.features import feature_row, forward_std, game_state, rolling_block
 from ..sources import readers, sinks, synthetic
 
 SCALE = 720
@@ -89,8 +89,12 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _past(seconds: float, closed: str = "both"):
-    return W.past("fixture_id", "us", seconds * SCALE, closed)
+def _frame(seconds: float, closed: str = "both") -> tuple[int, int]:
+    return frames.between(seconds * SCALE, closed)
+
+
+def _summed(df: DataFrame, values: dict, asked: dict) -> DataFrame:
+    return frames.with_sums(df, "fixture_id", "us", values, asked).select("event_id", *asked)
 
 
 def _sql_past(seconds: int, closed: str = "both") -> str:
@@ -108,30 +112,54 @@ def _sql_future(seconds: int) -> str:
 
 @query(f"WITH {M} SELECT event_id, " + ", ".join(f"count(*) OVER {_sql_past(s)} AS density_{s}s, count(*) OVER {_sql_past(s, 'left')} AS before_{s}s" for s in (30, 60, 120, 300)) + " FROM m")
 def event_density_range(spark, sf):
-    both = {f"density_{s}s": F.count("*").over(_past(s)) for s in (30, 60, 120, 300)} | {f"before_{s}s": F.count("*").over(_past(s, "left")) for s in (30, 60, 120, 300)}
-    return _messages(spark, sf).withColumns(both).select("event_id", *both)
+    both = {f"density_{s}s": ("n", *_frame(s)) for s in (30, 60, 120, 300)} | {f"before_{s}s": ("n", *_frame(s, "left")) for s in (30, 60, 120, 300)}
+    return _summed(_messages(spark, sf), {"n": F.lit(1)}, both)
 
 
 @query(f"WITH {M} SELECT event_id, CAST(sum(risk) OVER {_sql_past(30)} AS BIGINT) AS risk_30s, CAST(coalesce(sum(risk) OVER {_sql_past(60, 'left')}, 0) AS BIGINT) AS risk_60s FROM m")
 def risk_count_range(spark, sf):
-    return _messages(spark, sf).select("event_id", F.sum("risk").over(_past(30)).alias("risk_30s"), F.coalesce(F.sum("risk").over(_past(60, "left")), F.lit(0)).alias("risk_60s"))
+    return _summed(_messages(spark, sf), {"risk": F.col("risk")}, {"risk_30s": ("risk", *_frame(30)), "risk_60s": ("risk", *_frame(60, "left"))})
 
 
 @query(f"WITH {M} SELECT event_id, CAST(sum(impact) OVER {_sql_past(60)} AS BIGINT) AS impact_60s, CAST(sum(impact) OVER {_sql_past(300)} AS BIGINT) AS impact_300s FROM m")
 def high_impact_range(spark, sf):
-    return _messages(spark, sf).select("event_id", F.sum("impact").over(_past(60)).alias("impact_60s"), F.sum("impact").over(_past(300)).alias("impact_300s"))
+    return _summed(_messages(spark, sf), {"impact": F.col("impact")}, {f"impact_{s}s": ("impact", *_frame(s)) for s in (60, 300)})
 
 
 @query(f"WITH {M} SELECT event_id, round(sum(weight) OVER {_sql_past(60)}, 6) AS xt_60s, round(sum(weight) OVER {_sql_past(300)}, 6) AS xt_300s FROM m")
 def xt_sum_range(spark, sf):
-    df = _messages(spark, sf).select("event_id", F.sum("weight").over(_past(60)).alias("xt_60s"), F.sum("weight").over(_past(300)).alias("xt_300s"))
+    df = _summed(_messages(spark, sf), {"weight": F.col("weight")}, {f"xt_{s}s": ("weight", *_frame(s)) for s in (60, 300)})
     return _r(df, "xt_60s", "xt_300s")
 
 
 @query(f"WITH {M} SELECT event_id, round(coalesce(avg(conf) OVER {_sql_past(60, 'right')}, 0.5), 6) AS conf_mean, coalesce(min(conf) OVER {_sql_past(60, 'right')}, 1.0) AS conf_min FROM m")
 def conf_mean_min(spark, sf):
-    w = _past(60, "right")
-    return _r(_messages(spark, sf).select("event_id", F.coalesce(F.avg("conf").over(w), F.lit(0.5)).alias("conf_mean"), F.coalesce(F.min("conf").over(w), F.lit(1.0)).alias("conf_min")), "conf_mean")
+    return _r(rolling_block(_messages(spark, sf), {"conf": "conf"}, (60,), SCALE).select("event_id", F.col("conf_mean_60s").alias("conf_mean"), F.col("conf_min_60s").alias("conf_min")), "conf_mean")
+
+
+def _sql_block() -> str:
+    part = lambda w: f"(PARTITION BY fixture_id ORDER BY us RANGE BETWEEN {w * SCALE * 1_000_000 - 1} PRECEDING AND CURRENT ROW)"
+    columns = [
+        f"""count(*) OVER {part(w)} AS event_density_{w}s, round(sum(weight) OVER {part(w)}, 6) AS weight_sum_{w}s, round(coalesce(avg(conf) OVER {part(w)}, 0.5), 6) AS conf_mean_{w}s,
+  coalesce(min(conf) OVER {part(w)}, 1.0) AS conf_min_{w}s, CAST(sum(CASE WHEN incident = 'purchase' THEN 1 ELSE 0 END) OVER {part(w)} AS BIGINT) AS shot_on_target_{w}s,
+  CAST(sum(CASE WHEN incident = 'error' THEN 1 ELSE 0 END) OVER {part(w)} AS BIGINT) AS dangerous_attack_{w}s"""
+        for w in (30, 60, 120)
+    ]
+    return f"WITH {M} SELECT event_id, {', '.join(columns)} FROM m"
+
+
+@query(_sql_block())
+def rolling_features(spark, sf):
+    flags = {"shot_on_target": F.col("incident") == "purchase", "dangerous_attack": F.col("incident") == "error"}
+    df = rolling_block(_messages(spark, sf), {"conf": "conf", "weight": "weight"}, (30, 60, 120), SCALE, flags)
+    names = [f"{n}_{w}s" for w in (30, 60, 120) for n in ("event_density", "weight_sum", "conf_mean", "conf_min", *flags)]
+    return _r(df.select("event_id", *names), *(n for n in names if n.startswith(("weight", "conf_mean"))))
+
+
+@query(f"""WITH {M}, {P}, u AS (SELECT event_id, fixture_id, us, NULL AS price FROM m UNION ALL SELECT NULL, fixture_id, us, price FROM p),
+w AS (SELECT *, stddev_pop(price) OVER {_sql_future(120)} AS sd FROM u) SELECT event_id, round(coalesce(sd, 0), 6) AS price_std FROM w WHERE event_id IS NOT NULL""")
+def forward_price_std(spark, sf):
+    return _r(forward_std(_messages(spark, sf), _prices(spark, sf), 120 * SCALE).select("event_id", "price_std"), "price_std")
 
 
 @query(f"""WITH {M}, l AS (SELECT event_id, list_sort(list(struct_pack(us := us, id := event_id, c := conf)) OVER {_sql_past(60)}) AS l FROM m),
@@ -247,9 +275,9 @@ def forward_relative_label(spark, sf):
 @query(f"""WITH {P}, d AS (SELECT *, coalesce(price - lag(price) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.0) AS change FROM p)
 SELECT event_id, round(change, 6) + 0::DOUBLE AS change, CAST(max(abs(change)) OVER (PARTITION BY fixture_id ORDER BY us RANGE BETWEEN CURRENT ROW AND {120 * SCALE * 1000000} FOLLOWING) > 0.03 AS INTEGER) AS tick_label FROM d""")
 def tick_diff_label(spark, sf):
-    p = _prices(spark, sf).withColumn("change", labels.tick_change("price", "fixture_id", "us", "event_id"))
-    w = W.future("fixture_id", "us", 120 * SCALE, "both")
-    return _r(p.select("event_id", "change", labels.tick_label("change", w).alias("tick_label")), "change")
+    p = _prices(spark, sf).withColumn("change", labels.tick_change("price", "fixture_id", "us", "event_id")).withColumn("size", F.abs("change"))
+    p = frames.with_extremes(p, "fixture_id", "us", "size", *frames.between(120 * SCALE, "both", ahead=True), "low", "high")
+    return _r(p.select("event_id", "change", F.coalesce((F.col("high") > 0.03).cast("int"), F.lit(0)).alias("tick_label")), "change")
 
 
 @query(f"WITH {P} SELECT event_id, coalesce(lag(price, 3) OVER (PARTITION BY fixture_id ORDER BY us, event_id), 0.5) AS lag3 FROM p")
