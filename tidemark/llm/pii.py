@@ -164,23 +164,25 @@ def _entity_classes(held: DataFrame) -> DataFrame:
     return by.select("entity", "df_e", F.xxhash64("df_e", "x", "y").alias("class"))
 
 
-def _disclosing(found: DataFrame, mentions: DataFrame, texts: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _disclosing(found: DataFrame, mentions: DataFrame, texts: DataFrame | None, keep: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(class, term, share) as in disclosing_terms, by classes of entities; the entities' classes; and (h, classes) of the texts.
 
     A text's terms are paired with its classes, not with its entities, so that a text of thousands of addresses has few pairs.
+    All three are written tables, which keeps the plans small.
     """
     # texts are told apart by 64-bit hashes, and only their terms are moved
     text = F.coalesce("text", F.lit(""))
     texts = (found if texts is None else texts).select(F.xxhash64(text).alias("h"), F.array_join(_terms(text), " ").alias("terms")).distinct()
     held = _held(found).select("h", "entities", "terms").distinct()
-    known = _entity_classes(held)
+    known = keep(_entity_classes(held), "classes")
     near = mentions.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).where(f"contexts >= {MIN_CONTEXTS}")
-    near = near.join(known, "entity").select("class", "term", F.lit(True).alias("near")).distinct()
+    near = keep(near.join(known, "entity").select("class", "term", F.lit(True).alias("near")).distinct(), "near")
     # a class of fewer texts and no such neighbourhoods has no pair to count
     classes = known.select("class", "df_e").distinct()
     live = classes.join(near.select("class", "near").distinct(), "class", "left").where(f"df_e >= {MIN_CONTEXTS} or near").select("class")
     live = known.select("entity", "class").join(live, "class")
     by_text = held.select("h", F.explode("entities").alias("entity")).join(live, "entity").groupBy("h").agg(F.collect_set("class").alias("classes"))
+    by_text = keep(by_text, "by_text")
     pairs = held.select("h", "terms").join(by_text, "h").select(F.explode("classes").alias("class"), "terms")
     seen = pairs.select("class", F.explode("terms").alias("term")).groupBy("class", "term").agg(F.count("*").alias("df_te"))
     together = seen.join(near, ["class", "term"], "left").where(f"df_te >= {MIN_CONTEXTS} or near").drop("near")
@@ -190,7 +192,7 @@ def _disclosing(found: DataFrame, mentions: DataFrame, texts: DataFrame | None)
     given = F.least(F.col("df_te") / F.col("df_t"), F.lit(1.0))
     rarity = F.log(F.greatest(F.col("n") / F.col("df_e"), F.lit(1.0001)))
     risky = share.select("class", "term", (1 + F.log(given) / rarity).alias("share")).where(f"share >= {GENERALISE}")
-    return risky, known, by_text
+    return keep(risky, "risky"), known, by_text
 
 
 def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
@@ -199,7 +201,7 @@ def disclosing_terms(found: DataFrame, mentions: DataFrame, texts: DataFrame | N
     All four counts are of distinct texts: texts with the pair, with the entity, with the term, and all
     (those of `texts`, if `found` holds only some). Entities that the same texts hold have the same terms.
     """
-    risky, known, _ = _disclosing(found, mentions, texts)
+    risky, known, _ = _disclosing(found, mentions, texts, Scratch(found.sparkSession))
     return risky.join(known, "class").select("entity", "term", "share")
 
 
@@ -208,13 +210,15 @@ def term_spans(found: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
     Every step takes a text's terms, mentions and places as rows: no array is searched for each element of another.
     """
-    risky, _, by_text = _disclosing(found, _neighbourhoods(found), texts)
+    keep = Scratch(found.sparkSession)
+    risky, _, by_text = _disclosing(found, _neighbourhoods(found), texts, keep)
     held = _held(found).select("h", "text", "m", "terms").dropDuplicates(["h"])
     # how many pairs disclose is known when they are there, so none of these joins may broadcast by an estimate
     named = held.select("h", "terms").join(by_text, "h").select("h", F.explode("classes").alias("class"), "terms")
     named = named.join(risky.select("class").distinct().hint("merge"), "class", "left_semi")
     named = named.select("h", "class", F.explode("terms").alias("term")).join(risky.hint("merge"), ["class", "term"])
-    named = named.groupBy("h", "term").agg((F.max("share") >= REMOVE).alias("remove"))
+    named = keep(named.groupBy("h", "term").agg((F.max("share") >= REMOVE).alias("remove")), "named")
+    keep.drop("classes", "near", "by_text", "risky")
     rows = held.select("h", "text", "m").join(named.select("h").distinct().hint("merge"), "h", "left_semi")
     hits = rows.select("h", F.explode(match_spans(F.col("text"), F.lit(TERM))).alias("t")).select("h", F.lower("t.v").alias("term"), "t.s", "t.e", "t.v")
     hits = hits.join(named.hint("merge"), ["h", "term"]).drop("term")
