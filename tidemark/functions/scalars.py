@@ -47,6 +47,23 @@ def event_weight(event_type: Column) -> Column:
     return looked_up(F.upper(event_type), C.EVENT_WEIGHT, C.EVENT_WEIGHT_DEFAULT)
 
 
+def _among(x: Column, names) -> Column:
+    return F.coalesce(x.isin(*names), F.lit(False))
+
+
+def high_risk(incident: Column) -> Column:
+    return _among(incident, C.HIGH_RISK)
+
+
+def high_impact(incident: Column) -> Column:
+    return _among(incident, C.HIGH_IMPACT)
+
+
+def high_risk_event(event_type: Column) -> Column:
+    """By the upper-cased event type."""
+    return _among(F.upper(event_type), C.HIGH_RISK_EVENTS)
+
+
 def canonical_incident(incident: Column) -> Column:
     return looked_up(incident, C.CANONICAL, "other")
 
@@ -129,13 +146,26 @@ def game_intensity(goals: Column, minutes: Column) -> Column:
     return goals * (minutes / 90 + 0.01)
 
 
+def intensity_per_minute(goals: Column, minutes: Column) -> Column:
+    """Goals over minutes played, from the first one on."""
+    return goals / (minutes + 1)
+
+
+def intensity_of_match(goals: Column, minutes: Column) -> Column:
+    """Goals weighted by the played share of 90 minutes."""
+    return goals * minutes / 90
+
+
 def win_probability(diff: Column, minutes_left: Column) -> Column:
     """Closed form from score difference and time."""
     factor = F.sqrt(F.greatest(minutes_left, F.lit(0.0)) / 90)
     return clip(0.5 + 0.12 * diff * (1 - factor * 0.3), 0.02, 0.98)
 
 
-def mid_and_spread(bid: Column, ask: Column) -> tuple[Column, Column]:
+def mid_and_spread(bid: Column, ask: Column, no_bid: float | None = None, no_ask: float | None = None) -> tuple[Column, Column]:
+    """Mid price and spread; defaults for a missing side are (0, 0), (0, 1) or none, by the data set's version."""
+    bid = bid if no_bid is None else F.coalesce(bid, F.lit(no_bid))
+    ask = ask if no_ask is None else F.coalesce(ask, F.lit(no_ask))
     return (bid + ask) / 2, ask - bid
 
 

@@ -2,25 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import binned
+from .frames import framed, joined
+from .quantiles import quantiles
 from .windows import SECOND, past, sessions
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"), F.countDistinct("fixture_id").alias("fixtures"), F.avg("label").alias("label_rate"))
+def dataset_summary(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """Rows, fixtures and rate of the label; with metrics(model, f1) also the best model and its F1 (the smaller name wins ties)."""
+    out = df.agg(F.count("*").alias("n"), F.countDistinct("fixture_id").alias("fixtures"), F.avg("label").alias("label_rate"))
+    if metrics is None:
+        return out
+    best = metrics.agg(F.min(F.struct((-F.col("f1")).alias("_f"), "model")).alias("b"))
+    return out.crossJoin(F.broadcast(best.select(F.col("b.model").alias("best_model"), (-F.col("b._f")).alias("best_f1"))))
 
 
-def fixture_list(df: DataFrame) -> DataFrame:
-    return df.groupBy("fixture_id").agg(
+def fixture_list(df: DataFrame, meta: DataFrame | None = None) -> DataFrame:
+    """One row a fixture; with meta(fixture_id, home, away, league) also those, "?" where they are unknown."""
+    out = df.groupBy("fixture_id").agg(
         F.count("*").alias("n"), F.avg("label").alias("vol_rate"), F.min("mid_price").alias("price_min"), F.max("mid_price").alias("price_max"),
         (F.max("mid_price") - F.min("mid_price")).alias("price_range"), F.max("prob").alias("max_prob"),
     )
+    if meta is None:
+        return out
+    known = [c for c in meta.columns if c != "fixture_id"]
+    return out.join(meta, "fixture_id", "left").withColumns({c: F.coalesce(c, F.lit("?")) for c in known})
 
 
-def minute_line(df: DataFrame, *keys: str) -> DataFrame:
+def minute_line(df: DataFrame, *keys: str, fixture: int | None = None) -> DataFrame:
+    """By minute (and keys); of one fixture only, if one is named."""
+    df = df if fixture is None else df.where(F.col("fixture_id") == fixture)
     return df.groupBy(*keys, F.date_trunc("minute", "ts").alias("minute")).agg(
         F.avg("mid_price").alias("price"), F.avg("prob").alias("mean_prob"), F.max("prob").alias("max_prob"), F.avg("label").alias("vol_rate"), F.count("*").alias("n")
     )
@@ -45,23 +59,25 @@ def calibration(df: DataFrame, bins: int = 10) -> DataFrame:
 def lead_means(df: DataFrame, leads: tuple[int, ...], move: float = 0.08, scale: float = 1.0, half: bool = False) -> DataFrame:
     """For each big move and lead: mean probability of its fixture's rows in [t - lead, t), or with half in [t - lead, t - lead // 2).
 
-    One window a lead over the same partitions and order, so there is one shuffle and no self-join.
+    All leads are frames of the same running sums, asked for by the big moves alone: no self-join.
     """
-    means = {}
+    frames = {}
     for lead in leads:
-        lo = -int(lead * scale * SECOND)
-        hi = -int((lead // 2) * scale * SECOND) - 1 if half else -1
-        frame = Window.partitionBy("fixture_id").orderBy("us").rangeBetween(lo, hi)
-        means[f"m{lead}"] = F.avg("prob").over(frame)
-    rows = df.withColumns(means).where(F.col("move") > move)
-    pairs = F.array(*(F.struct(F.lit(lead).alias("lead"), F.col(f"m{lead}").alias("mean_prob")) for lead in leads))
+        ends = -int(lead * scale * SECOND) - 1, (-int((lead // 2) * scale * SECOND) if half else 0) - 1
+        frames |= {f"s{lead}": ("prob", *ends), f"n{lead}": ("known", *ends)}
+    big = df.where(F.col("move") > move).select("fixture_id", "event_id", "us")
+    found = framed(big, df, "fixture_id", "us", {"prob": F.col("prob"), "known": F.col("prob").isNotNull().cast("int")}, frames)
+    rows = joined(big, found, "fixture_id", "us")
+    mean = lambda lead: F.when(F.col(f"n{lead}") > 0, F.col(f"s{lead}") / F.col(f"n{lead}"))
+    pairs = F.array(*(F.struct(F.lit(lead).alias("lead"), mean(lead).alias("mean_prob")) for lead in leads))
     return rows.select("fixture_id", "event_id", F.inline(pairs)).where("mean_prob is not null")
 
 
 def advance_warning(df: DataFrame, leads: tuple[int, ...], **how) -> DataFrame:
-    return lead_means(df, leads, **how).groupBy("lead").agg(
-        F.avg("mean_prob").alias("mean"), F.median("mean_prob").alias("median"), F.count("*").alias("n")
-    )
+    """By lead: mean, exact median and number of the moves' means."""
+    means = lead_means(df, leads, **how)
+    middle = quantiles(means, "mean_prob", {"median": 0.5}, "lead", splits=[i / 256 for i in range(1, 256)])
+    return means.groupBy("lead").agg(F.avg("mean_prob").alias("mean"), F.count("*").alias("n")).join(middle, "lead").select("lead", "mean", "median", "n")
 
 
 def warning_by_fixture(df: DataFrame, leads: tuple[int, ...], **how) -> DataFrame:
@@ -86,10 +102,29 @@ def hit_or_miss(df: DataFrame, threshold: float = 0.52) -> DataFrame:
 
 
 def markers(df: DataFrame, noise: tuple[str, ...], sample: int = 100, seed: int = 42) -> DataFrame:
-    """Events that aren't noise: all of weight 2 or more, and a seeded sample of the rest."""
-    kept = df.where(~F.col("incident").isin(*noise))
-    rest = kept.where("weight < 2").orderBy(F.xxhash64("event_id", F.lit(seed))).limit(sample)
-    return kept.where("weight >= 2").unionByName(rest)
+    """Events that aren't noise: of each fixture all of weight 2 or more, and a seeded sample of the rest (the first `sample` in order of hash and id).
+
+    Hashes are counted by fixture and their first 10 bits; running counts tell in which of those parts a fixture's sample ends, and only that
+    part (a thousandth of the fixture) is ranked. Repeats of a row are all in or out. A null weight is below 2; null incidents aren't noise.
+    """
+    kept = df.where(F.col("incident").isNull() | ~F.col("incident").isin(*noise)).withColumn("_h", id_hash("event_id", seed))
+    light = F.coalesce(F.col("weight") < 2, F.lit(True))
+    rest = kept.where(light).select("fixture_id", "event_id", "_h", F.shiftright("_h", 50).alias("_part"))
+    upto = Window.partitionBy("fixture_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rest.groupBy("fixture_id", "_part").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+    ends = counts.where((F.col("_upto") >= sample) & (F.col("_upto") - F.col("_n") < sample))
+    ends = ends.select(F.col("fixture_id").alias("_f"), F.col("_part").alias("_p"), (sample - F.col("_upto") + F.col("_n")).alias("_left"))
+    last = rest.join(ends, F.col("fixture_id").eqNullSafe(F.col("_f")) & (F.col("_part") == F.col("_p")))
+    ranked = last.withColumn("_r", F.row_number().over(Window.partitionBy("_f", "_p").orderBy("_h", "event_id"))).where("_r = _left")
+    bounds = ranked.select("_f", F.struct("_h", "event_id").alias("_end"))
+    # a fixture of fewer rows has no bound
+    rows = kept.join(bounds, F.col("fixture_id").eqNullSafe(F.col("_f")), "left")
+    return rows.where(~light | F.col("_end").isNull() | (F.struct("_h", "event_id") <= F.col("_end"))).select(*df.columns)
+
+
+def id_hash(column: str, seed: int) -> Column:
+    """60 bits of the MD5 of seed and id."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(column).cast("string"))), 1, 15), 16, 10).cast("long")
 
 
 def threshold_sweep(df: DataFrame, low: float = 0.1, step: float = 0.02, n: int = 40) -> DataFrame:
@@ -149,11 +184,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def described(df: DataFrame, column: str) -> DataFrame:
     """count, mean, std (of a sample), min, quartiles and max of a column, as one row."""
-    q = lambda x: F.percentile(column, F.lit(x))
-    return df.agg(
-        F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"),
-        q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(column).alias("max"),
-    )
+    plain = df.agg(F.count(column).alias("count"), F.avg(column).alias("mean"), F.stddev(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    middle = quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    return plain.crossJoin(F.broadcast(middle)).select("count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def series_quality(prices: DataFrame, keys: list[str], series: str) -> DataFrame:

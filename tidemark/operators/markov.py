@@ -50,6 +50,12 @@ def features(rows: DataFrame, values: DataFrame, moves: DataFrame, key: str, ord
     return out.withColumn("d2", F.coalesce(F.col("d1") - F.lag("d1").over(w), F.lit(0.0)))
 
 
+def with_analytic(rows: DataFrame) -> DataFrame:
+    """rows(score, period, time) with win_prob by the closed form; a state that it doesn't know counts .5."""
+    table = analytic_table(rows.sparkSession)
+    return rows.join(F.broadcast(table), ["score", "period", "time"], "left").withColumn("win_prob", F.coalesce("win_prob", F.lit(0.5)))
+
+
 def analytic_table(spark) -> DataFrame:
     """Closed-form fallback: score 0..6, period 1..3, time 0..5."""
     grid = spark.range(7).select(F.col("id").cast("int").alias("score"))

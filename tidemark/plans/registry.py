@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions import scalars as S
 from ..operators import analytics as A
-from ..operators import asof, frames, labels, markov, match, ml
+from ..operators import asof, frames, labels, markov, match, ml, stores
 from ..operators import windows as W
 from ..operators.features import feature_row, forward_std, game_state, rolling_block
 from ..sources import readers, sinks, synthetic
 
 SCALE = 720
 LEADS = (15, 30, 60, 90, 120)
+SPLIT = {"train": 0.56, "middle": 0.14}
 WEIGHT = {"purchase": 5.0, "error": 4.0, "signup": 1.5, "click": 0.4, "view": 0.0}
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,6 +55,7 @@ M = """m AS (SELECT event_id, user_id % 50 AS fixture_id, epoch_us(ts) AS us, ts
   CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END AS impact
   FROM events WHERE event_type <> 'view')"""
 P = "p AS (SELECT event_id, user_id % 50 AS fixture_id, user_id AS token, epoch_us(ts) AS us, value / (value + 35) AS price FROM events WHERE event_type = 'view')"
+_H = "CAST(('0x' || substr(md5('42:' || {0}), 1, 15)) AS BIGINT)"
 #: scored events: a price-like value, a probability and a label that follow from the row alone
 G = """g AS (SELECT event_id, user_id % 50 AS fixture_id, ts, epoch_us(ts) AS us, event_type AS incident, value / (value + 35) AS mid_price,
   CAST(json_extract(props, '$.k') AS DOUBLE) / 100 AS prob, CASE WHEN value > 40 THEN 1 ELSE 0 END AS label,
@@ -543,9 +545,82 @@ def minute_hit_miss(spark, sf):
     return A.hit_or_miss(_scored(spark, sf))
 
 
-@query()
+@query(f"""WITH {G}, k AS (SELECT event_id, fixture_id, CASE incident WHEN 'click' THEN 'Player Passes' ELSE incident END AS incident, weight FROM g),
+r AS (SELECT *, rank() OVER (PARTITION BY fixture_id ORDER BY {_H.format("event_id")}, event_id) AS r FROM k WHERE incident <> 'Player Passes' AND weight < 2)
+SELECT event_id, fixture_id, incident, weight FROM k WHERE incident <> 'Player Passes' AND weight >= 2 UNION ALL SELECT event_id, fixture_id, incident, weight FROM r WHERE r <= 100""")
 def event_markers(spark, sf):
-    return A.markers(_scored(spark, sf), ("view", "Timer"))
+    rows = _scored(spark, sf).withColumn("incident", F.when(F.col("incident") == "click", C.MARKER_NOISE[3]).otherwise(F.col("incident")))
+    return A.markers(rows, C.MARKER_NOISE).select("event_id", "fixture_id", "incident", "weight")
+
+
+@query(f"""WITH {G}, f AS (SELECT fixture_id, count(*) AS n, round(max(mid_price) - min(mid_price), 6) AS price_range FROM g GROUP BY 1)
+SELECT fixture_id, n, price_range, coalesce(n_name, '?') AS home, coalesce(r_name, '?') AS league FROM f LEFT JOIN nation ON fixture_id = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
+def fixture_list_meta(spark, sf):
+    n = readers.table(spark, sf, "nation").join(readers.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    meta = n.select(F.col("n_nationkey").cast("long").alias("fixture_id"), F.col("n_name").alias("home"), F.col("r_name").alias("league"))
+    return _r(A.fixture_list(_scored(spark, sf), meta).select("fixture_id", "n", "price_range", "home", "league"), "price_range")
+
+
+@query(f"WITH {G}, m AS (SELECT incident AS model, avg(label) AS f1 FROM g GROUP BY 1), b AS (SELECT * FROM m ORDER BY f1 DESC, model LIMIT 1) SELECT (SELECT count(*) FROM g) AS n, (SELECT count(DISTINCT fixture_id) FROM g) AS fixtures, round((SELECT avg(label) FROM g), 6) AS label_rate, model AS best_model, round(f1, 6) AS best_f1 FROM b")
+def summary_with_best(spark, sf):
+    g = _scored(spark, sf)
+    return _r(A.dataset_summary(g, g.groupBy(F.col("incident").alias("model")).agg(F.avg("label").alias("f1"))), "label_rate", "best_f1")
+
+
+@query(f"WITH {G} SELECT strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%SZ') AS t, round(avg(mid_price), 6) AS price, count(*) AS n FROM g WHERE fixture_id = 7 GROUP BY 1")
+def fixture_minutes(spark, sf):
+    line = _r(A.minute_line(_scored(spark, sf), fixture=7), "price")
+    return line.select(F.date_format("minute", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("t"), "price", "n")
+
+
+@query("""SELECT event_id, i IN ('Score', 'RedCard', 'YellowCard') AS risk, i IN ('Score', 'RedCard') AS impact, upper(i) IN ('ATTACK') AS risky_type
+FROM (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'Score' WHEN 'error' THEN 'RedCard' WHEN 'signup' THEN 'YellowCard' WHEN 'click' THEN 'attack' ELSE event_type END AS i FROM events)""")
+def risk_flags(spark, sf):
+    names = {"purchase": "Score", "error": "RedCard", "signup": "YellowCard", "click": "attack"}
+    e = readers.table(spark, sf, "events")
+    i = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in names.items()), F.col("event_type"))
+    return e.select("event_id", S.high_risk(i).alias("risk"), S.high_impact(i).alias("impact"), S.high_risk_event(i).alias("risky_type"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_linenumber / (l_quantity + 1), 6) AS per_minute, round(l_linenumber * l_quantity / 90, 6) AS of_match,
+round((coalesce(b, 0) + coalesce(a, 0)) / 2, 6) AS mid_00, round((coalesce(b, 0) + coalesce(a, 1)) / 2, 6) AS mid_01, round((b + a) / 2, 6) AS mid_none, round(coalesce(a, 1) - coalesce(b, 0), 6) + 0::DOUBLE AS spread_01
+FROM (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_discount END AS b, CASE WHEN l_linenumber % 2 <> 0 THEN l_tax END AS a FROM lineitem)""")
+def intensity_and_mid_variants(spark, sf):
+    li = readers.table(spark, sf, "lineitem")
+    bid, ask = F.when(F.col("l_linenumber") % 3 != 0, F.col("l_discount")), F.when(F.col("l_linenumber") % 2 != 0, F.col("l_tax"))
+    df = li.select(
+        "l_orderkey", "l_linenumber", S.intensity_per_minute(F.col("l_linenumber"), F.col("l_quantity")).alias("per_minute"), S.intensity_of_match(F.col("l_linenumber"), F.col("l_quantity")).alias("of_match"),
+        S.mid_and_spread(bid, ask, 0.0, 0.0)[0].alias("mid_00"), S.mid_and_spread(bid, ask, 0.0, 1.0)[0].alias("mid_01"), S.mid_and_spread(bid, ask)[0].alias("mid_none"), S.mid_and_spread(bid, ask, 0.0, 1.0)[1].alias("spread_01"),
+    )
+    return _r(df, "per_minute", "of_match", "mid_00", "mid_01", "mid_none", "spread_01")
+
+
+# ---- hour store ----------------------------------------------------------------------------------
+
+
+def _wanted(spark, sf) -> DataFrame:
+    """A user stands for a market of fixture user_id % 50, wanted around the hour of its first event."""
+    first = readers.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("at"))
+    return stores.fan_out(first.select((F.col("user_id") % 50).alias("fixture_id"), F.col("user_id").alias("market"), "at"))
+
+
+_W = "wanted AS (SELECT user_id % 50 AS fixture_id, user_id AS market, strftime(unnest(generate_series(a - INTERVAL 1 HOUR, a + INTERVAL 2 HOUR, INTERVAL 1 HOUR)), '%Y-%m-%dT%H') AS hour FROM (SELECT user_id, min(ts) AS a FROM events GROUP BY 1))"
+
+
+@query(f"WITH {_W} SELECT w.fixture_id, w.market, w.hour, count(*) AS n, round(avg(value), 6) AS mean_value FROM wanted w JOIN events e ON e.user_id = w.market AND strftime(e.ts, '%Y-%m-%dT%H') = w.hour GROUP BY 1, 2, 3")
+def hour_store(spark, sf):
+    wanted = _wanted(spark, sf)
+    e = readers.table(spark, sf, "events").select(F.col("user_id").alias("market"), F.date_format("ts", "yyyy-MM-dd'T'HH").alias("hour"), "value")
+    store = stores.HourStore(spark, stores.fresh_root(spark, "hours"))
+    store.fill(wanted.where("market % 2 = 0"), lambda hours: e.where(F.col("hour").isin(hours)))
+    store.fill(wanted, lambda hours: e.where(F.col("hour").isin(hours)))
+    found = store.prices(wanted).groupBy("fixture_id", "market", "hour").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    return _r(found, "mean_value")
+
+
+@query(f"WITH {_W} SELECT hour, count(DISTINCT market) AS n_markets, min(market) AS first_market FROM wanted GROUP BY 1")
+def markets_by_hour(spark, sf):
+    return stores.ids_by_hour(_wanted(spark, sf)).select("hour", F.size("markets").cast("long").alias("n_markets"), F.get("markets", F.lit(0)).alias("first_market"))
 
 
 # ---- Markov ------------------------------------------------------------------------------------
@@ -600,9 +675,10 @@ def markov_features(spark, sf):
     return _r(markov.features(*_chain(spark, sf), "fixture_id", ["us", "event_id"]).select("event_id", *names), *names)
 
 
-@query("SELECT CAST(s AS INTEGER) AS score, CAST(p AS INTEGER) AS period, CAST(t AS INTEGER) AS time, round(0.5 + (s - 2) * 0.12, 6) AS win_prob FROM range(7) a(s), range(1, 4) b(p), range(6) c(t)")
+@query(f"WITH {_S} SELECT r.event_id, CASE WHEN st.score <= 6 AND st.period <= 3 AND st.time <= 5 THEN round(0.5 + (st.score - 2) * 0.12, 6) ELSE 0.5 END::DOUBLE AS win_prob FROM r")
 def markov_analytic(spark, sf):
-    return _r(markov.analytic_table(spark), "win_prob")
+    rows = _states(spark, sf).select("event_id", F.split("state", "-").alias("s")).select("event_id", *(F.get("s", F.lit(i)).cast("int").alias(n) for i, n in enumerate(("score", "period", "time"))))
+    return _r(markov.with_analytic(rows).select("event_id", "win_prob"), "win_prob")
 
 
 # ---- ML and splits -----------------------------------------------------------------------------
@@ -630,9 +706,29 @@ def time_split(spark, sf):
     return t.select("event_id", (F.col("n") <= F.floor(F.col("c") * 0.8)).alias("is_train"), F.least(F.floor((F.col("n") - 1) * 5 / F.col("c")), F.lit(4)).cast("int").alias("fold"))
 
 
-@query("SELECT event_id, ('0x' || substr(md5('42:' || user_id), 1, 8))::BIGINT < 3006477107 AS is_train FROM events")
+@query(f"""WITH k AS (SELECT user_id, row_number() OVER (ORDER BY {_H.format("user_id")}, CAST(user_id AS VARCHAR)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))
+SELECT event_id, r <= floor(0.7 * n + 1e-9) AS is_train FROM events JOIN k USING (user_id)""")
 def group_split(spark, sf):
-    return ml.hash_split(readers.table(spark, sf, "events"), "user_id").select("event_id", "is_train")
+    return ml.group_split(readers.table(spark, sf, "events"), "user_id").select("event_id", "is_train")
+
+
+@query(f"""WITH k AS (SELECT user_id, row_number() OVER (ORDER BY {_H.format("user_id")}, CAST(user_id AS VARCHAR)) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))
+SELECT event_id, CASE WHEN r <= floor(0.56 * n + 1e-9) THEN 'train' WHEN r <= floor(0.7 * n + 1e-9) THEN 'middle' END AS split FROM events JOIN k USING (user_id)""")
+def validation_split(spark, sf):
+    return ml.multi_split(readers.table(spark, sf, "events"), "user_id", SPLIT).select("event_id", "split")
+
+
+@query("""WITH k AS (SELECT least(greatest(count(DISTINCT user_id % 50) // 2, 2), 5) AS k, count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY epoch_us(ts), event_id) - 1 AS r FROM events)
+SELECT event_id, CAST(CASE WHEN r >= n - k * (n // (k + 1)) THEN (r - (n - k * (n // (k + 1)))) // (n // (k + 1)) + 1 ELSE 0 END AS INTEGER) AS fold FROM r, k""")
+def expanding_folds(spark, sf):
+    e = _events(spark, sf)
+    return ml.with_fold(e, "us", "event_id", ml.n_folds(e)).select("event_id", "fold")
+
+
+@query()
+def cross_validation(spark, sf):
+    rows = _features(spark, sf).withColumn("label", F.col("high_volatility"))
+    return ml.cross_validate(rows, list(FEATURES), trees=10, only=("logistic_regression",))
 
 
 @query(f"WITH {G} SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives, round(count(*) FILTER (WHERE label = 0) / count(*) FILTER (WHERE label = 1), 6) AS balance FROM g")
@@ -643,8 +739,9 @@ def class_balance(spark, sf):
 
 @query()
 def model_comparison(spark, sf):
-    rows = ml.hash_split(_features(spark, sf).withColumn("label", F.col("high_volatility")), "fixture_id").persist()
-    out = ml.train_and_evaluate(rows.where("is_train"), rows.where("not is_train"), list(FEATURES), trees=40)
+    rows = ml.complete(_features(spark, sf).withColumn("label", F.col("high_volatility")), list(FEATURES))
+    rows = ml.multi_split(rows.persist(), "fixture_id", SPLIT)
+    out = ml.train_and_evaluate(rows.where("split = 'train'"), rows.where("split is null and fixture_id is not null"), list(FEATURES), trees=40, middle=rows.where("split = 'middle'"))
     return ml.best_model(out)
 
 
@@ -667,7 +764,7 @@ def fuzzy_match_markets(spark, sf):
 
 @query()
 def synthetic_matches(spark, sf):
-    return synthetic.matches(spark)
+    return synthetic.matches(readers.table(spark, sf, "customer").select(F.col("c_custkey").alias("match_id")))
 
 
 # ---- state, scalars and filters ------------------------------------------------------------------

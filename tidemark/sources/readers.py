@@ -26,6 +26,18 @@ def messages(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumns({k: v for k, v in found.items() if k not in df.columns})
 
 
+def first_rows(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """One row a message file under path: file, event_date and fixture_id from the path, and the columns of the file's first row.
+
+    The first row is the one of the smallest row index that the reader gives, found by an aggregate; columns that no file has are null.
+    """
+    df = spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "true").parquet(path)
+    held = F.struct(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    by = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min_by(held, F.col("_metadata.row_index")).alias("r"))
+    day, fixture = F.regexp_extract("file", r"/(\d{4}-\d{2}-\d{2})/", 1), F.regexp_extract("file", r"/(\d+)/[^/]*$", 1).try_cast("long")
+    return by.select("file", day.alias("path_date"), fixture.alias("path_fixture"), *(F.col(f"r.{c}").alias(c) for c in columns))
+
+
 def candles(spark: SparkSession, path: str) -> DataFrame:
     """(file, timestamp, mid) from candle JSON files."""
     df = spark.read.schema(CANDLES).option("multiLine", "true").json(path).select(F.input_file_name().alias("file"), F.inline("history"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, win_probability
@@ -21,9 +21,9 @@ def _second(seed: int) -> Column:
     return F.array_sort(F.array(*(_u(seed, f"conf{i}") for i in range(9))))[1]
 
 
-def matches(spark: SparkSession, n_matches: int = 500, n_events: int = 300, seed: int = 42) -> DataFrame:
-    """match_id, step, elapsed_time, event_type, score_home, score_away, confidence, true_win_prob, price."""
-    rows = spark.range(n_matches).withColumnRenamed("id", "match_id").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_events - 1))))
+def matches(ids: DataFrame, n_events: int = 300, seed: int = 42) -> DataFrame:
+    """match_id, step, elapsed_time, event_type, score_home, score_away, confidence, true_win_prob, price of a match for each of ids(match_id)."""
+    rows = ids.select("match_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n_events - 1))))
     total, acc, kind = sum(WEIGHTS), 0.0, None
     pick = _u(seed, "kind")
     for name, weight in zip(KINDS[:-1], WEIGHTS[:-1], strict=True):
