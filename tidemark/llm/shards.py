@@ -15,7 +15,8 @@ Commits need a file system whose rename refuses an existing target (HDFS, local
 
 Manifests list files, not rows: a few hundred bytes for each TARGET bytes of data.
 
-Defined cases: all columns, nulls, repeated rows and empty texts are kept as they are; an empty
+Defined cases: all columns, nulls, repeated rows and empty texts are kept as they are; a version's columns are those of all its arrivals,
+null where a shard lacks one; an arrival whose column has another type or another case than before is refused; an empty
 arrival commits a version without new shards; a store without versions can't be read.
 """
 
@@ -26,6 +27,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 TARGET = 64 << 20
 FAN_IN = 4
@@ -34,6 +36,18 @@ WAVE = 64
 KEEP = 10
 
 
+def merged_schema(held: str | None, new: StructType) -> str:
+    """The columns held so far and those that are new, as JSON; all may be null."""
+    fields = {f.name: StructField(f.name, f.dataType) for f in StructType.fromJson(json.loads(held)).fields} if held else {}
+    cases = {name.lower(): name for name in fields}
+    for f in new.fields:
+        known = cases.setdefault(f.name.lower(), f.name)
+        if known != f.name or (f.name in fields and fields[f.name].dataType != f.dataType):
+            raise ValueError(f"column {f.name} {f.dataType.simpleString()} doesn't fit {known} {fields[known].dataType.simpleString()}")
+        fields.setdefault(f.name, StructField(f.name, f.dataType))
+    return StructType(list(fields.values())).json()
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, path: str, target: int = TARGET):
         self.spark, self.path, self.target = spark, path.rstrip("/"), target
@@ -87,10 +101,16 @@ class ShardStore:
 
     def append(self, arrivals: DataFrame) -> int:
         """Commit arrivals as small shards; the new version."""
-        new = self._write(arrivals, self._run_name("arrival"))
-        schema = arrivals.schema.json()
+        merged_schema(self.manifest()["schema"], arrivals.schema)  # refused before anything is written
+        run = self._run_name("arrival")
+        new = self._write(arrivals, run)
         while True:
             at = self.manifest()
+            try:
+                schema = merged_schema(at["schema"], arrivals.schema)
+            except ValueError:  # another writer's columns came first
+                self._fs.delete(self._path(f"{self.path}/data/{run}"), True)
+                raise
             if self._commit(at["version"], schema, at["shards"] + new):
                 return at["version"] + 1
 
@@ -122,8 +142,6 @@ class ShardStore:
 
     def compact(self) -> int:
         """Merge until no tier has a full run; the new version."""
-        from pyspark.sql.types import StructType
-
         while True:
             at = self.manifest()
             runs = self.plan(at["shards"])[:WAVE]
@@ -154,8 +172,6 @@ class ShardStore:
         return f"{self.path}/manifest/v{version:010d}.json"
 
     def read(self, version: int | None = None) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         at = self.manifest(version)
         if not at["schema"]:
             raise ValueError(f"{self.path} has no version")
