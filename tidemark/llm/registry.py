@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fim, hosts, jaccard, kmeans, langid, licenses, merkle, mixing, mtree, packing, pii, shards, warc
-from .common import fresh_path, table
+from .common import fresh_path, materialize, table
 
 
 def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    return warc.digest(warc.assemble(warc.read(spark, path, with_payload=False)))
+    # the archives are parsed once
+    records = materialize(warc.read(spark, path, with_payload=False), "records")
+    return warc.digest(warc.assemble(records))
 
 
 SQL_WARC = """

@@ -11,12 +11,12 @@ the response, the others are revisits that name it in WARC-Refers-To and carry n
 read() takes archives back by Content-Length, record by record, one task a file; so a file holds
 FILE_RECORDS records of payloads up to SMALL bytes, and fewer of larger ones (size classes of a
 sixteenth each), which keeps its payloads to 64 MB or one capture. assemble() joins request, response and metadata through their concurrent-to ids to one
-nested row a capture; revisits get payload size and digest from the response that they refer to.
+nested row a capture; revisits get payload size and digest from the response that they refer to. Which page a capture is of stands in its metadata record alone.
 
 Defined cases: null html is an empty payload; null url is an empty target; rows that share
 page_id and payload are captures of their own, and those of the largest page_id are all
 responses; a request or metadata without its response is left out of assembled rows, a response
-without them has nulls there; an empty table gives an empty archive and result; other columns
+without them has nulls there and no page_id; an empty table gives an empty archive and result; other columns
 are ignored.
 """
 
@@ -103,7 +103,7 @@ def records(pages: DataFrame) -> DataFrame:
     rows = plan_records(pages)
     page = F.col("page_id").cast("string")
     common = lambda kind, id_: [
-        ("WARC-Type", kind), ("WARC-Record-ID", id_), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url")), ("X-Page-ID", page),
+        ("WARC-Type", kind), ("WARC-Record-ID", id_), ("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url")),
     ]
     partner = ("WARC-Concurrent-To", F.col("id"))
     # ids of requests and metadata hang on the capture's own salt
@@ -124,7 +124,7 @@ def records(pages: DataFrame) -> DataFrame:
         F.concat(http, F.when(own, F.col("payload")).otherwise(F.lit(""))),
     )
     metadata = _record(
-        [*common(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("salt"))), partner, ("Content-Type", F.lit("application/warc-fields"))],
+        [*common(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("salt"))), partner, ("X-Page-ID", page), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("fetchTimeMs: 0"), F.lit(CRLF), F.lit("payloadBytes: "), F.col("bytes").cast("string"), F.lit(CRLF)),
     )
     return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
@@ -187,12 +187,13 @@ def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row a capture: page_id, record_type, response, request, metadata, and the response it refers to."""
     main = records.where("type in ('response', 'revisit')")
-    side = records.where("type in ('request', 'metadata')").select("concurrent_to", "type", F.struct("record_id", "url", "date", "found_bytes", "payload").alias("r"))
+    side = records.where("type in ('request', 'metadata')").select("concurrent_to", "type", "page_id", F.struct("record_id", "url", "date", "found_bytes", "payload").alias("r"))
     side = side.groupBy("concurrent_to").agg(
-        F.min(F.when(F.col("type") == "request", F.col("r"))).alias("request"), F.min(F.when(F.col("type") == "metadata", F.col("r"))).alias("metadata")
-    )
-    capture = main.join(side.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left")
-    owners = records.where("type = 'response' and digest is not null").select(
+        F.min(F.when(F.col("type") == "request", F.col("r"))).alias("request"), F.min(F.when(F.col("type") == "metadata", F.col("r"))).alias("metadata"),
+        F.min(F.when(F.col("type") == "metadata", F.col("page_id"))).alias("page_id"),
+    )
+    capture = main.drop("page_id").join(side.withColumnRenamed("concurrent_to", "record_id"), "record_id", "left")
+    owners = capture.where("type = 'response' and digest is not null").select(
         F.col("record_id").alias("owner_id"), F.struct(F.col("page_id"), F.col("found_bytes").alias("bytes"), F.col("found_sha1").alias("sha1")).alias("owner")
     )
     # written, so that the join below reads both sides alike and can split a response that many refer to
