@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import next_ids
+from .common import fresh_name, next_ids
 from .spans import bound
 
 PARAGRAPH = r"(?<=\n)"
@@ -36,28 +36,29 @@ def _short(digests: Column) -> Column:
 
 
 def add_fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
-    """df with the fingerprint of a text column. Each level is a projection of its own, so none is computed twice."""
+    """df with the fingerprint of a text column. Each level is a projection of its own, so none is computed twice; other columns are kept."""
+    leaves, paragraphs, sections = (fresh_name(df, x) for x in ("_l", "_p", "_s"))
     leaf_lists = F.transform(
         F.split(F.coalesce(F.col(text), F.lit("")), PARAGRAPH, -1),
         lambda p: F.transform(F.split(p, LEAF, -1), lambda x: F.sha2(x, 256)),
     )
     # a section ends with a paragraph whose digest falls in the lowest quarter
-    marked = F.transform("_p", lambda d: F.concat(d, F.when(d < "4", F.lit("|")).otherwise(F.lit(""))))
+    marked = F.transform(paragraphs, lambda d: F.concat(d, F.when(d < "4", F.lit("|")).otherwise(F.lit(""))))
     return (
-        df.withColumn("_l", leaf_lists)
-        .withColumn("_p", F.transform("_l", _digest))
-        .withColumn("_s", F.transform(F.split(F.array_join(marked, ""), r"\|"), lambda s: F.sha2(s, 256)))
+        df.withColumn(leaves, leaf_lists)
+        .withColumn(paragraphs, F.transform(leaves, _digest))
+        .withColumn(sections, F.transform(F.split(F.array_join(marked, ""), r"\|"), lambda s: F.sha2(s, 256)))
         .withColumn(
             into,
             F.concat_ws(
                 "|",
-                _digest(F.col("_s")),
-                F.array_join(_short(F.col("_s")), "."),
-                F.array_join(_short(F.col("_p")), "."),
-                F.array_join(_short(F.flatten("_l")), "."),
+                _digest(F.col(sections)),
+                F.array_join(_short(F.col(sections)), "."),
+                F.array_join(_short(F.col(paragraphs)), "."),
+                F.array_join(_short(F.flatten(leaves)), "."),
             ),
         )
-        .drop("_l", "_p", "_s")
+        .drop(leaves, paragraphs, sections)
     )
 
 
