@@ -17,8 +17,8 @@ moved once for each block and a query once for each shard, so that a pair of N r
 1/shard + 1/block vectors moved; both are as large as a task's memory allows, whatever the dimension.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows without
-id, take no part; exact repeats of a row count once; where rows share an id but not the vector,
-all are candidates and the smallest vector is the query; vectors of other lengths than the
+id, take no part; repeated rows are candidates as often as they stand; where rows share an id,
+all are candidates of other ids and the smallest vector is the query; vectors of other lengths than the
 query's aren't its candidates; ties go to the smaller id; an empty table gives an empty result.
 """
 
@@ -162,7 +162,7 @@ def top_k(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by `every`."""
     spark = embeddings.sparkSession
     ship(spark)
-    rows = quantized(embeddings).dropDuplicates(["vec_id", "v"])
+    rows = quantized(embeddings)
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = embeddings.agg(F.sum(F.size("embedding")), F.sum(F.when(F.col("vec_id") % every == 0, F.size("embedding")))).first()
     n, m = n or 0, m or 0
