@@ -38,9 +38,9 @@ FAMILIES = (
     ("apache", "apache", "(?:the )?apache(?: software)?"),
     ("bsd-0-clause", "bsd", "(?:zero clause bsd|bsd zero clause)"),
     ("bsd-0-clause", "0bsd", "0bsd"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause|2 clause bsd)"),
+    ("bsd-2-clause", "bsd", "(?:simplified bsd|bsd 2 clause(?: simplified)?|2 clause bsd)"),
     ("bsd-2-clause", "freebsd", "freebsd"),
-    ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd|bsd 3 clause|3 clause bsd)"),
+    ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd|bsd 3 clause(?: (?:new|modified|revised|new or revised))?|3 clause bsd)"),
     ("bsd-4-clause", "bsd", "(?:original bsd|bsd 4 clause|4 clause bsd)"),
     ("bsd", "bsd", "(?:the )?bsd(?: style)?"),
     ("gpl-1.0", "public", "(?:gnu )?general public license (?:v|version )?1(?: 0)?"),
@@ -99,13 +99,24 @@ FAMILIES = (
     ("proprietary", "proprietary", "proprietary"),
 )
 #: confidence and shape around a name; the order gives the priority within a family.
-GRANT = "(?:licen[sc]ed|released|distributed|available|provided) under"
+GRANT = "(?:licen[sc]ed|released|distributed|available|provided)(?: to you)? under"
 SHAPES = (
     (0.99, "spdx license identifier {}(?: or later| only)?"),
     (0.95, f"{GRANT} (?:the )?(?:terms of )?(?:the )?{{}}(?: licen[sc]e)?"),
-    (0.9, "{} licen[sc]e(?: (?:v|version )?[0-9](?: [0-9])?)?"),
+    (0.9, "{} licen[sc]ed?(?: (?:v|version )?[0-9](?: [0-9])?)?"),
     (0.8, "licen[sc]e {}"),
 )
+# Identifiers of licences as their registry writes them, with the versions they come in.
+IDENTIFIERS = {
+    "gpl": "1.0 2.0 3.0", "lgpl": "2.0 2.1 3.0", "agpl": "1.0 3.0", "gfdl": "1.1 1.2 1.3", "apache": "1.0 1.1 2.0", "mpl": "1.0 1.1 2.0",
+    "epl": "1.0 2.0", "cddl": "1.0 1.1", "cpl": "1.0", "cpal": "1.0", "eupl": "1.0 1.1 1.2", "ofl": "1.0 1.1", "bsl": "1.0", "busl": "1.1",
+    "afl": "1.1 1.2 2.0 2.1 3.0", "osl": "1.0 2.0 2.1 3.0", "artistic": "1.0 2.0", "ecl": "1.0 2.0", "zpl": "2.0 2.1", "sspl": "1.0",
+    "cc-by": "1.0 2.0 2.5 3.0 4.0", "cc-by-sa": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc": "1.0 2.0 2.5 3.0 4.0", "cc-by-nd": "1.0 2.0 2.5 3.0 4.0",
+    "cc-by-nc-sa": "1.0 2.0 2.5 3.0 4.0", "cc-by-nc-nd": "1.0 2.0 2.5 3.0 4.0", "odbl": "1.0", "mulanpsl": "1.0 2.0",
+}
+UNVERSIONED = ("ms-pl", "ms-rl")
+#: labels of identifiers that have another name elsewhere in the table.
+ALIASES = {"bsl-1.0": "boost", "busl-1.1": "bsl"}
 #: a word of a holder's or product's name.
 NAME = r"[0-9a-z\x80-\uffff]+"
 GNU = "you can redistribute it and or modify it under the terms of the gnu"
@@ -188,6 +199,7 @@ HEADERS = (
     ("gpl-exception", "as a special exception", 0.8, "as a special exception (?:to the gnu general public license|the copyright holders|the free software foundation|if you)"),
     ("commons-clause", "commons clause", 0.9, "commons clause(?: license)? condition"),
 )
+DUAL = "dual(?:ly)? (?:licen[sc]ed? )?(?:under )?(?:the )?"
 #: further signatures: label, keyword, confidence, regex.
 NOTICES = (
     ("notice", "reserved", 0.7, "all rights reserved"),
@@ -196,16 +208,45 @@ NOTICES = (
     ("redistribution", "redistribution", 0.75, "redistribution and use in source and binary forms"),
     ("warranty", "warrant", 0.7, "(?:provided )?as is without warrant(?:y|ies)"),
     ("public-domain", "domain", 0.7, "(?:in|into|to) the public domain"),
+    ("mit", "dual", 0.8, f"{DUAL}mit"),
+    ("apache-2.0", "dual", 0.8, f"{DUAL}(?:mit (?:or |and )?)?apache(?: 2 0)?"),
+    ("mit", "dual", 0.8, f"{DUAL}apache(?: 2 0)? (?:or |and )?mit"),
 )
+
+
+def _by_first_letter(words: list[str]) -> str:
+    """A pattern of any of the words that tells by the first letter which of them are tried."""
+    letters = {w[0]: sorted(x[1:] for x in words if x[0] == w[0]) for w in sorted(words)}
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in letters.items())
+
+
+_NUMBERED = _by_first_letter([name for name in IDENTIFIERS if not name.startswith("cc")])
 #: what every rule's match holds, in words of any case: the other shapes and the base phrases hold the first. All begin a word.
-GATE = "(?i)(?:^| )(?:" + "|".join(["licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES)]) + ")"
+GATE = "(?i)(?:^| )(?:" + "|".join([
+    "licen[sc]e", GRANT, *sorted({words for _, words, *_ in HEADERS if "license" not in words}), *(rx for *_, rx in NOTICES), f"(?:{_NUMBERED}) (?:v ?|version )?[0-9]", "cc by", *(x.replace("-", " ") for x in UNVERSIONED),
+]) + ")"
 #: characters of a piece of text in which blanks are counted at once.
 PIECE = 16384
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def identifiers() -> list[tuple[str, str, float, str]]:
+    """label, keyword, confidence and regex of each identifier and version: "gpl 2 0 only", "gpl version 2", "gpl v2"."""
+    out = []
+    for name, versions in IDENTIFIERS.items():
+        words = name.replace("-", " ")
+        for version in versions.split():
+            major, minor = version.split(".")
+            number = f"{major} {minor}" if minor != "0" else f"{major}(?: 0)?(?= (?:[^0-9]|$))"
+            if name.startswith("cc"):
+                number = f"{major} {minor}"
+            label = f"{name}-{version}"
+            out.append((ALIASES.get(label, label), words, 0.95, f"(?:gnu )?{words} (?:v ?|version )?{number}(?: only| or later| plus)?"))
+    return out + [(name, name.replace("-", " "), 0.95, f"{name.replace('-', ' ')}") for name in UNVERSIONED]
+
+
 def rules() -> list[dict]:
-    """The rule table: headers, every family in every shape, then the notices; the smaller p, the higher the priority."""
+    """The rule table: headers, identifiers, every family in every shape, then the notices; the smaller p, the higher the priority."""
     named = [
         (label, word, weight, shape.format(f"(?:{name})"))
         for label, word, name in FAMILIES
@@ -213,7 +254,7 @@ def rules() -> list[dict]:
     ]
     return [
         {"p": p, "label": label, "kw": f" {word}" if word != "unlicense" else word, "w": weight, "rx": f"(?<= ){rx}(?= )"}
-        for p, (label, word, weight, rx) in enumerate([*HEADERS, *named, *NOTICES])
+        for p, (label, word, weight, rx) in enumerate([*HEADERS, *identifiers(), *named, *NOTICES])
     ]
 
 
