@@ -404,7 +404,8 @@ def test_mtree_edges(spark, monkeypatch):
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     assert set(got) == set(range(0, 150, 20))
     for q, rows_ in got.items():
-        want = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:20]
+        # every row but the query's own is a candidate, a repeated one as often as it stands
+        want = sorted((-int(ints[q] @ ints[i]), i) for i, v in rows if i in ints and i != q)[:20]
         assert sorted(rows_) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
     assert mtree.top_k(df.limit(0)).count() == 0
 
@@ -536,7 +537,7 @@ def test_license_rules_rank_and_suppress(spark):
     headers = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl,gpl-3.0",
         "Neither the name of the Müller GmbH nor the names of its contributors may be used to endorse or promote products derived from this software": "bsd-3-clause",
-        "GPL-2.0 WITH Classpath-exception-2.0": "classpath-exception",
+        "GPL-2.0 WITH Classpath-exception-2.0": "classpath-exception,gpl-2.0",
     }
     found = licenses.digest(licenses.scan(spark.createDataFrame(list(enumerate(headers)), "doc_id long, text string"))).collect()
     assert {r["doc_id"]: r["labels"] for r in found} == dict(enumerate(headers.values()))
@@ -687,3 +688,73 @@ def test_jaccard_repeated_rows_cost_no_more_than_their_number(spark):
     scratch = common.Scratch(spark)
     sets = jaccard._sets_of(df.select("doc_id", "text"), df.select("doc_id"), scratch)
     assert sets.count() == 3
+
+
+def test_warc_result_comes_through_the_concurrent_to_join(spark, sf, tmp_path):
+    """The page of a capture stands in its metadata alone, so the query's plan joins side records; without metadata there is no page."""
+    q = registry.QUERIES["op2_warc"](spark, sf)
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "concurrent_to" in plan and plan.count("Join") >= 2
+    pages = spark.createDataFrame([(1, "u", "x" * 2000), (2, "u", "x" * 2000), (3, None, None)], "page_id long, url string, html string")
+    warc.write(pages, f"{tmp_path}/w")
+    records = warc.read(spark, f"{tmp_path}/w")
+    assert {(r["type"], r["page_id"] is None) for r in records.collect()} == {("request", True), ("response", True), ("revisit", True), ("metadata", False)}
+    got = sorted(map(tuple, warc.digest(warc.assemble(records)).select("page_id", "payload_bytes", "record_type", "refers_to").collect()))
+    assert got == [(1, 2000, "revisit", 2), (2, 2000, "response", None), (3, 0, "response", None)]
+    orphan = warc.assemble(records.where("type <> 'metadata'"))
+    assert orphan.count() == 3 and orphan.where("page_id is not null").isEmpty()
+
+
+def test_shards_of_other_schemas_lose_nothing(spark, tmp_path):
+    store = shards.ShardStore(spark, f"{tmp_path}/s")
+    store.append(spark.createDataFrame([(0, "kept")], "id long, x string").coalesce(1))
+    for i in range(1, 6):
+        store.append(spark.createDataFrame([(i,)], "id long").coalesce(1))
+    store.append(spark.createDataFrame([(6, 1.5)], "id long, y double").coalesce(1))
+    before = store.version()
+    after = store.compact()
+    assert after > before and len(store.manifest()["shards"]) < 7
+    want = [(0, "kept", None), *((i, None, None) for i in range(1, 6)), (6, None, 1.5)]
+    assert sorted(map(tuple, store.read().select("id", "x", "y").collect())) == want
+    store.vacuum(1)
+    assert sorted(map(tuple, store.read().select("id", "x", "y").collect())) == want
+    for wrong in ("id string", "ID long"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([("7",)] if "string" in wrong else [(7,)], wrong))
+    assert store.version() == after
+    store.append(spark.createDataFrame([], "id long, z int"))
+    assert store.read().columns == ["id", "x", "y", "z"] and store.read().count() == 7
+
+
+SPDX = {
+    "MPL-2.0": "mpl-2.0", "EPL-2.0": "epl-2.0", "CC-BY-4.0": "cc-by-4.0", "CC-BY-SA-4.0": "cc-by-sa-4.0", "CDDL-1.0": "cddl-1.0", "EUPL-1.2": "eupl-1.2", "OFL-1.1": "ofl-1.1",
+    "BSL-1.0": "boost", "MS-PL": "ms-pl", "AFL-3.0": "afl-3.0", "GPL-2.0-only": "gpl-2.0", "LGPL-2.1-or-later": "lgpl-2.1", "AGPL-3.0-only": "agpl-3.0", "MIT": "mit", "Apache-2.0": "apache-2.0",
+    "BSD-3-Clause": "bsd-3-clause", "BSD-2-Clause": "bsd-2-clause", "ISC": "isc", "0BSD": "bsd-0-clause", "Zlib": "zlib", "Unlicense": "unlicense", "CC0-1.0": "cc0", "GPL-3.0+": "gpl-3.0",
+}
+PHRASES = {
+    "Licensed to you under the terms of the GNU GPL, version 2": "gpl-2.0", 'under the BSD 3-Clause "New" License': "bsd-3-clause", "the MIT-licensed part": "mit",
+    "dual MIT/Apache-2.0": "mit", "it is dual MIT/Apache-2.0": "apache-2.0", "License: GPL v2": "gpl-2.0", "(MIT OR Apache-2.0) license": "apache-2.0", "GNU LGPL version 2.1 license": "lgpl-2.1",
+}
+
+
+def test_licence_identifiers_keep_their_versions(spark):
+    rows = [(i, f"// SPDX-License-Identifier: {x}\ncode") for i, x in enumerate(SPDX)] + [(100 + i, x) for i, x in enumerate(PHRASES)]
+    rows += [(200, "// SPDX-License-Identifier: (MPL-2.0 OR GPL-2.0-or-later) WITH Classpath-exception-2.0"), (201, "no licence: gpl is a word, 2 0 too"), (202, "license gpl 2 1")]
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.digest(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for i, (name, label) in enumerate(SPDX.items()):
+        assert label in got[i], (name, got[i])
+    for i, (phrase, label) in enumerate(PHRASES.items()):
+        assert label in got[100 + i], (phrase, got[100 + i])
+    assert {"mpl-2.0", "gpl-2.0", "classpath-exception"} <= got[200] and not {"gpl-2.0"} & got[201] and not {"gpl-2.0"} & got[202]
+
+
+def test_merkle_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b. c d", 5, 6, 7)], "doc_id long, text string, _l int, _p int, _s int")
+    r = merkle.add_fingerprint(df).first()
+    assert (r["_l"], r["_p"], r["_s"]) == (5, 6, 7) and r["fingerprint"] == merkle.add_fingerprint(df.select("text")).first()["fingerprint"]
+
+
+def test_mtree_counts_repeated_rows(spark):
+    rows = [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.25, 0.0])]
+    got = sorted(map(tuple, mtree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()))
+    assert got == [(0, 1, 1, 2048), (0, 2, 1, 2048), (0, 3, 2, 1024), (20, 1, 1, 2048), (20, 2, 1, 2048), (20, 3, 0, 0)]
