@@ -197,8 +197,8 @@ def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(members, pa.list_(pa.int64()))], names=["key", "members"])
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
-    """(key, members, n) of the texts of some ids, and of a few others; each set once.
+def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch, repeated: bool = True) -> DataFrame:
+    """(key, members, n) of the texts of some ids, and of a few others; each set once, if it is said that ids may be repeated.
 
     The ids' hashes go into a bitmap of 2^FILTER_BITS places (4 MB, whatever the corpus), which is
     broadcast, so that other texts are neither shuffled nor hashed. A full bitmap only lets more through.
@@ -214,6 +214,8 @@ def _sets_of(docs: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:
     found = rows.mapInArrow(_chosen(held), "key long, members array<bigint>")
     sets = scratch(found.withColumns({"n": F.size("members"), "at": F.monotonically_increasing_id()}), "sets")
     held.unpersist()
+    if not repeated:
+        return sets.drop("at")
     # rows that several tasks hold: of equal sets the first stays
     first = sets.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").select("key", "first")
     first = scratch(first, "keys")
@@ -357,10 +359,10 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, repeated: bool) -> DataFrame:
     """The pairs (a, b) whose sets link; pairs is a written table."""
     keys = scratch(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "keys")
-    sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")), scratch)
+    sets = _sets_of(docs, sketches.join(keys, "key").select(F.col("rep").alias("doc_id")), scratch, repeated)
     # sets that stand on one side only need not be moved for the other
     on = lambda side: sets.join(scratch(pairs.select(F.col(side).alias("key")).distinct(), "keys"), "key", "left_semi")
     left = on("a").select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("members").alias("ma"))
@@ -515,6 +517,7 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text")
     made = scratch(docs.mapInArrow(_digests, f"{_id(docs)}, n long, key long, sketch array<bigint>, piece int, counts binary"), "digest")
     digest = made.where("piece is null").select("doc_id", "n", "key", "sketch")
+    repeated = not digest.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").isEmpty()
     levels = spark.sparkContext.broadcast(_levels(made))
     packed = docs.select("text").mapInArrow(_packed(labels, levels), _PACKED)
     meet = scratch(packed.repartition(len(labels), "part").mapInArrow(_meetings, _MEET), "meet")
@@ -528,13 +531,13 @@ def jaccard_components(documents: DataFrame) -> DataFrame:
 
     pairs = meet.where("kind < 2").groupBy("a", "b").agg(F.min("kind").alias("kind"))
     close = scratch(_near(pairs, sketches), "near")
-    roots = components(_verified(close.where("kind = 0").select("a", "b"), docs, sketches, scratch), scratch)
+    roots = components(_verified(close.where("kind = 0").select("a", "b"), docs, sketches, scratch, repeated), scratch)
 
     def joined(candidates: DataFrame) -> DataFrame:
         """The components after the links among some written candidates."""
         if candidates.isEmpty():
             return roots
-        found = _verified(candidates, docs, sketches, scratch)
+        found = _verified(candidates, docs, sketches, scratch, repeated)
         return roots if found.isEmpty() else components(_contracted(roots, found), scratch)
 
     # the fewer blocks of its own stand before the first shared one, the more central a set is in its family
