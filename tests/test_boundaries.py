@@ -1,5 +1,6 @@
 """Edges of frames, joins, labels and buckets on hand-made rows."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -162,3 +163,19 @@ def test_sliding_and_session_streams_equal_batch(spark, tmp_path):
         q = of(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"))
         q.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
         assert sorted(map(str, spark.table(name).collect())) == sorted(map(str, of(rows).collect()))
+
+
+def test_rolling_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(f, i, i // 2 * 7 * US, i % 3 > 0, rng.random() if i % 3 == 0 else None, rng.choice([None, rng.random()]) if i % 3 else None) for i in range(120) for f in (1, 2)]
+    df = spark.createDataFrame(rows, "fixture_id long, event_id long, us long, is_event boolean, price double, conf double")
+    for part, (lo, hi) in enumerate(((0, 40), (40, 80), (80, 120))):
+        df.where(f"event_id >= {lo} and event_id < {hi}").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+    events = df.where("is_event").drop("price", "is_event")
+    want = windows.with_trend(events, "fixture_id", "us", "event_id", "conf", 60, "conf_trend")
+    want = asof.backward(want, df.where("not is_event").select("fixture_id", "event_id", "us", "price"), "fixture_id", "us", "price", "event_id")
+    incoming = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    # a file a batch, in the order in which they were written
+    streams.rolling_stream(incoming).writeStream.format("memory").queryName("rolled").trigger(availableNow=True).start().awaitTermination()
+    round_ = lambda d: sorted((r["fixture_id"], r["event_id"], round(r["price"], 9) if r["price"] is not None else None, round(r["conf_trend"], 9)) for r in d.collect())
+    assert round_(spark.table("rolled")) == round_(want)

@@ -72,14 +72,24 @@ MAJOR_LEAGUES = (
     "UEFA Champions League", "UEFA Europa League", "UEFA Conference League", "Premier League", "La Liga", "Serie A", "Bundesliga",
     "Ligue 1", "Copa Libertadores", "Copa Sudamericana", "MLS", "Liga MX", "Champions League", "Europa League",
 )
-# patterns of a market's question: other sports, general football terms, a club's win on a date
+# Patterns of a market's question that tell another sport or subject
 OTHER_SPORTS = (
-    r"\bLoL\b", r"\bCS2\b", r"\bDota\b", r"\bValorant\b", r"\bEsport", r"Map \d+ Winner", r"Game \d+ Winner", r"\bBO3\b", r"\bBO5\b",
-    r"\bMLB\b", r"\bNBA\b", r"\bITF\b", r"\bATP\b", r"\bWTA\b", r"Set \d+ Winner", r"\bNFL\b", r"\bUFC\b", r"\bMMA\b", r"\bNHL\b",
-    r"O/U \d{3}\.", r"presidential", r"gubernatorial", r"senatorial",
+    r"\bLoL\b", r"\bCS2\b", r"\bCSGO\b", r"Counter.Strike", r"\bDota\b", r"\bValorant\b", r"\bEsport", r"Map \d+ Winner", r"Map Handicap", r"Game \d+ Winner",
+    r"Game Handicap", r"\bKill Handicap\b", r"\bBO3\b", r"\bBO5\b", r"LCS\b", r"\bLEC\b", r"\bLCK\b", r"\bLPL\b", r"\bLES\b", r"League of Legends", r"Teamfight Tactics",
+    r"\bMLB\b", r"\bMets\b", r"\bYankees\b", r"\bRed Sox\b", r"\bWhite Sox\b", r"\bBlue Jays\b", r"\bRays\b", r"\bBrewers\b", r"\bCardinals\b", r"\bCubs\b", r"\bRockies\b",
+    r"\bDodgers\b", r"\bGiants vs\.", r"\bDiamondbacks\b", r"\bMariners\b", r"\bRangers vs\.", r"\bAstros\b", r"\bPhillies\b", r"\bBraves\b", r"\bNationals\b", r"\bOrioles\b",
+    r"\bPirates\b", r"\bPadres\b", r"\bAngels\b", r"\bAthletics\b", r"\bTigers\b", r"\bTwins\b", r"\bRoyals\b", r"\bGuardians\b", r"run scored in the first inning",
+    r"\bNBA\b", r"\bCavaliers\b", r"\bThunder\b", r"\bSpurs\b", r"\bKnicks\b", r"\bCeltics\b", r"\bWarriors\b", r"\bLakers\b", r"\bNuggets\b", r"\bSuns\b", r"\bMavericks\b",
+    r"\bHeat\b", r"\bBucks\b", r"\bNets\b", r"\b76ers\b", r"\bPacers\b", r"\bHawks\b", r"\bHornets\b", r"\bWizards\b", r"\bPistons\b", r"O/U \d{3}\.", r"Odd/Even Score",
+    r"Pallacanestro", r"KK Crvena Zvezda", r"Partizan", r"\bITF\b", r"Roland Garros", r"Internazionali BNL", r"\bATP\b", r"\bWTA\b", r"Open ATP", r"Open WTA", r"Set \d+ Winner",
+    r"Game \d+, Set", r"\bNFL\b", r"\bPackers\b", r"\bChiefs\b", r"\bEagles\b", r"\bPatriots\b", r"\bSteelers\b", r"\b49ers\b", r"\bUFC\b", r"\bMMA\b", r"\bPound-for-Pound\b",
+    r"\bRodeo\b", r"presidential", r"gubernatorial", r"senatorial", r"\b2028\b.*win", r"win the.*2026.*election", r"\bNHL\b", r"\bStanley Cup\b", r"Ranked first",
 )
+# General football terms, as words
 FOOTBALL_TERMS = (
     "soccer", "football", "Both Teams to Score", "BTTS", "Clean Sheet", "Half[- ]Time", "Full[- ]Time", "HT/FT", "Exact Score", "Correct Score",
-    "First Goalscorer", "Last Goalscorer", "Anytime Goalscorer", "Total Goals",
+    "First Goalscorer", "Last Goalscorer", "Anytime Goalscorer", "Total Goals", r"O/U [0-9]\.[05] (?:Goals|\(Goals)",
+    "Will .* (?:win|draw|score) .* (?:match|game|league|cup|title)", "win .* Bundesliga", "win .* Premier League", "win .* Serie A", "promotion .* Bundesliga",
+    "score .* most goals .* (?:World Cup|Copa|Euro|Nations)", "win .* (?:World Cup|Copa America|Champions League|Europa League)",
 )
 WIN_ON_DATE = r"Will .+(?:FC|SC|CF|AC|AS|CD|CA|SD|UD|SSC|BFC|AFC|SV|VfB|VfL|TSG|FSV).+win on \d{4}-\d{2}-\d{2}"

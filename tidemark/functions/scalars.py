@@ -207,9 +207,17 @@ def include_exclude(text: Column, exclude: str, include: str) -> Column:
 
 
 def strict_market(question: Column, clubs=(), excluded=C.OTHER_SPORTS) -> Column:
-    """Whether a question is about a football match: no other sport's words, and a club, a general term, a win on a date, a low total or a draw."""
+    """Whether a question is about a football match: no other sport's words, and a club, a general term, a win on a date, a low total or a draw.
+
+    Clubs and competitions are a parameter; a null question is none.
+    """
+    return include_exclude(question, *market_patterns(clubs, excluded))
+
+
+def market_patterns(clubs=(), excluded=C.OTHER_SPORTS) -> tuple[str, str]:
+    """The patterns that exclude and include a question."""
     include = "|".join([*(rf"\b(?:{c})" for c in clubs), *(rf"\b(?:{t})\b" for t in C.FOOTBALL_TERMS), C.WIN_ON_DATE, r"O/U [0-5]\.[05]", r"end in a draw|win or draw|draw\?|draw\b"])
-    return include_exclude(question, "(?i)" + "|".join(excluded), "(?i)" + include)
+    return "(?i)" + "|".join(excluded), "(?i)" + include
 
 
 def major_league(name: Column, leagues=C.MAJOR_LEAGUES) -> Column:

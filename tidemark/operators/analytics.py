@@ -11,6 +11,9 @@ from .quantiles import quantiles
 from .windows import SECOND, past, sessions
 
 
+RANGES = 256
+
+
 def dataset_summary(df: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
     """Rows, fixtures and rate of the label; with metrics(model, f1) also the best model and its F1 (the smaller name wins ties)."""
     out = df.agg(F.count("*").alias("n"), F.countDistinct("fixture_id").alias("fixtures"), F.avg("label").alias("label_rate"))
@@ -155,12 +158,11 @@ def threshold_sweep(df: DataFrame, low: float = 0.1, step: float = 0.02, n: int
 def ranking_metrics(df: DataFrame) -> DataFrame:
     """roc_auc (average ranks for ties) and average_precision, from counts by distinct score.
 
-    Scores are dealt out by ranges; running sums go inside each range, and one row a range
-    (a count set by configuration) carries on the sums between them.
+    A score's range follows from its value (RANGES even parts of 0 to 1, what lies beyond in the outer ones); running sums go
+    inside each range, and one row a range carries on the sums between them.
     """
     by = df.groupBy(F.col("prob").alias("s")).agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by = by.repartitionByRange(parts, "s").withColumn("part", F.spark_partition_id())
+    by = by.withColumn("part", F.least(F.greatest(F.floor(F.col("s") * RANGES), F.lit(0)), F.lit(RANGES - 1)))
     rest = by.groupBy("part").agg(F.min("s").alias("at"), F.sum("p").alias("all_p"), F.sum("q").alias("all_q"))
     before, beyond = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0.0))

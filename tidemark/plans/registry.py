@@ -7,6 +7,7 @@ become 6 h), as the events table is sparse.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -820,15 +821,31 @@ def preferred_first(spark, sf):
     return A.preferred(readers.table(spark, sf, "part"), F.contains("p_type", F.lit("STEEL")), ["p_partkey"], 50).select("p_partkey")
 
 
-_Q = """q AS (SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Will Ajax FC win on 2026-05-01?' WHEN 1 THEN 'A vs. B: O/U 2.5' WHEN 2 THEN 'A vs. B: O/U 210.5' WHEN 3 THEN 'NBA: soccer draw?'
-  WHEN 4 THEN 'Both teams to score in A vs. B' WHEN 5 THEN 'Who wins the election' WHEN 6 THEN 'Blue Rovers title' ELSE 'Will A end in a draw' END AS question FROM customer)"""
+#: questions about a customer and a nation, in the forms that markets have; the words of other sports and terms take turns
+FORMS = ("Will {c} FC win on 2026-05-01?", "{c} vs. {n}: O/U 2.5", "{c} vs. {n}: O/U 210.5", "{s}: {c} soccer draw?", "{t} in {c} vs. {n}", "Who wins {n}", "Will {c} win the {n} cup", "{c} title", "Will {n} end in a draw", "{c} {s}", "{c} {t}")
+_SAID = [re.sub(r"\\b|[\\*?]", "", x.replace(r"\d{3}", "210").replace(r"\d+", "2").replace(".", " ")) for x in C.OTHER_SPORTS]
+_TERMS = [re.sub(r"\[- \]", " ", x) for x in C.FOOTBALL_TERMS if "(" not in x and ".*" not in x]
 
 
-@query(f"WITH {_Q} SELECT c_custkey, c_custkey % 8 IN (0, 1, 4, 6, 7) AS football FROM q")
+def _questions_sql() -> str:
+    text = lambda f: "'" + f.replace("'", "''").replace("{c}", "' || c_name || '").replace("{n}", "' || n_name || '").replace("{s}", "' || s || '").replace("{t}", "' || t || '") + "'"
+    listed = lambda x: "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in x) + "]"
+    forms = " ".join(f"WHEN {i} THEN {text(f)}" for i, f in enumerate(FORMS))
+    exclude, include = S.market_patterns(["Customer#00000007"])
+    return f"""WITH w AS (SELECT *, {listed(_SAID)}[c_custkey % {len(_SAID)} + 1] AS s, {listed(_TERMS)}[c_custkey % {len(_TERMS)} + 1] AS t FROM customer JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT c_custkey, CASE c_custkey % {len(FORMS)} {forms} END AS question FROM w)
+SELECT c_custkey, NOT regexp_matches(question, '{exclude}') AND regexp_matches(question, '{include}') AS football FROM q"""
+
+
+@query(_questions_sql())
 def market_classifier(spark, sf):
-    kinds = ["Will Ajax FC win on 2026-05-01?", "A vs. B: O/U 2.5", "A vs. B: O/U 210.5", "NBA: soccer draw?", "Both teams to score in A vs. B", "Who wins the election", "Blue Rovers title", "Will A end in a draw"]
-    q = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("c_custkey") % 8 + 1).cast("int"))
-    return readers.table(spark, sf, "customer").select("c_custkey", S.strict_market(q, ["Blue Rovers"]).alias("football"))
+    c = readers.table(spark, sf, "customer").join(readers.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    picked = lambda x: F.get(F.array(*(F.lit(v) for v in x)), (F.col("c_custkey") % len(x)).cast("int"))
+    c = c.withColumns({"s": picked(_SAID), "t": picked(_TERMS)})
+    named = {"{c}": "c_name", "{n}": "n_name", "{s}": "s", "{t}": "t"}
+    texts = [F.concat(*(F.col(named[p]) if p in named else F.lit(p) for p in re.split(r"(\{[cnst]\})", f) if p)) for f in FORMS]
+    question = F.get(F.array(*texts), (F.col("c_custkey") % len(FORMS)).cast("int"))
+    return c.select("c_custkey", S.strict_market(question, ["Customer#00000007"]).alias("football"))
 
 
 @query("SELECT event_type AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1")
