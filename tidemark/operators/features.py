@@ -102,7 +102,7 @@ def rolling_block(df: DataFrame, columns: dict[str, str], windows: tuple[int, ..
     out = with_sums(df, key, us, values, frames)
     for w in windows:
         out = with_extremes(out, key, us, conf, *between(w * scale, "right"), f"conf_min_{w}s", f"_high_{w}s")
-        out = out.withColumn(f"conf_mean_{w}s", F.when(F.col(f"_known_{w}s") > 0, F.col(f"_conf_{w}s") / F.col(f"_known_{w}s")).otherwise(F.lit(0.5)))
+        out = out.withColumn(f"conf_mean_{w}s", F.when(F.col(f"_known_{w}s") > 0, F.col(f"_conf_{w}s").cast("double") / F.col(f"_known_{w}s")).otherwise(F.lit(0.5)))
         out = out.withColumn(f"conf_min_{w}s", F.coalesce(f"conf_min_{w}s", F.lit(1.0))).drop(f"_high_{w}s", f"_known_{w}s", f"_conf_{w}s")
     return out
 

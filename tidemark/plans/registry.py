@@ -79,6 +79,11 @@ def _messages(spark: SparkSession, sf: str) -> DataFrame:
     })
 
 
+def _decimal_conf(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages whose confidences, of few digits, are summed as decimals, so that means halfway between two rounded numbers are right."""
+    return _messages(spark, sf).withColumn("conf", F.col("conf").cast("decimal(18,6)"))
+
+
 def _prices(spark: SparkSession, sf: str) -> DataFrame:
     p = _events(spark, sf).where("incident = 'view'")
     return p.select("event_id", "fixture_id", F.col("user_id").alias("token"), "us", (F.col("value") / (F.col("value") + 35)).alias("price"))
@@ -137,13 +142,14 @@ def xt_sum_range(spark, sf):
 
 @query(f"WITH {M} SELECT event_id, round(coalesce(avg(conf) OVER {_sql_past(60, 'right')}, 0.5), 6) AS conf_mean, coalesce(min(conf) OVER {_sql_past(60, 'right')}, 1.0) AS conf_min FROM m")
 def conf_mean_min(spark, sf):
-    return _r(rolling_block(_messages(spark, sf), {"conf": "conf"}, (60,), SCALE).select("event_id", F.col("conf_mean_60s").alias("conf_mean"), F.col("conf_min_60s").alias("conf_min")), "conf_mean")
+    df = rolling_block(_decimal_conf(spark, sf), {"conf": "conf"}, (60,), SCALE)
+    return _r(df.select("event_id", F.col("conf_mean_60s").alias("conf_mean"), F.col("conf_min_60s").cast("double").alias("conf_min")), "conf_mean")
 
 
 def _sql_block() -> str:
     part = lambda w: f"(PARTITION BY fixture_id ORDER BY us RANGE BETWEEN {w * SCALE * 1_000_000 - 1} PRECEDING AND CURRENT ROW)"
     columns = [
-        f"""count(*) OVER {part(w)} AS event_density_{w}s, round(sum(weight) OVER {part(w)}, 6) AS weight_sum_{w}s, round(coalesce(avg(conf) OVER {part(w)}, 0.5), 6) AS conf_mean_{w}s,
+        f"""count(*) OVER {part(w)} AS event_density_{w}s, round(sum(weight) OVER {part(w)}, 6) AS weight_sum_{w}s, round(coalesce(CAST(sum(CAST(conf AS DECIMAL(18, 6))) OVER {part(w)} AS DOUBLE) / count(conf) OVER {part(w)}, 0.5), 6) AS conf_mean_{w}s,
   coalesce(min(conf) OVER {part(w)}, 1.0) AS conf_min_{w}s, CAST(sum(CASE WHEN incident = 'purchase' THEN 1 ELSE 0 END) OVER {part(w)} AS BIGINT) AS shot_on_target_{w}s,
   CAST(sum(CASE WHEN incident = 'error' THEN 1 ELSE 0 END) OVER {part(w)} AS BIGINT) AS dangerous_attack_{w}s"""
         for w in (30, 60, 120)
@@ -154,7 +160,8 @@ def _sql_block() -> str:
 @query(_sql_block())
 def rolling_features(spark, sf):
     flags = {"shot_on_target": F.col("incident") == "purchase", "dangerous_attack": F.col("incident") == "error"}
-    df = rolling_block(_messages(spark, sf), {"conf": "conf", "weight": "weight"}, (30, 60, 120), SCALE, flags)
+    df = rolling_block(_decimal_conf(spark, sf), {"conf": "conf", "weight": "weight"}, (30, 60, 120), SCALE, flags)
+    df = df.withColumns({f"conf_min_{w}s": F.col(f"conf_min_{w}s").cast("double") for w in (30, 60, 120)})
     names = [f"{n}_{w}s" for w in (30, 60, 120) for n in ("event_density", "weight_sum", "conf_mean", "conf_min", *flags)]
     return _r(df.select("event_id", *names), *(n for n in names if n.startswith(("weight", "conf_mean"))))
 
