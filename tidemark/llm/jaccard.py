@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship, shuffle_partitions
+from .common import Scratch, give_back, ship, shuffle_partitions
 from .words import mix, shingle_sets
 
 SMALL = 6
@@ -283,7 +283,7 @@ def _packed(labels: list[int], levels):
                     found, held, seen = [], 0, set()
         if found:
             yield flush(found)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
@@ -357,6 +357,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x) for x in (a, b, sig, n, rank)), pa.array(band.astype(np.int32))],
                     names=["kind", "a", "b", "sig", "n", "rank", "band"],
                 )
+    give_back()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, repeated: bool) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import give_back, ship
 from .words import chunks, forget_powers, word_spans
 
 TRAIN_DOCS = 400
@@ -340,5 +340,6 @@ def filter_known(documents: DataFrame, model: Model | None, least: float) -> Dat
             columns = [pa.array(lang, pa.string()) if i == at[1] else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(keep)
             pa.default_memory_pool().release_unused()
+        give_back()
 
     return documents.mapInArrow(task, documents.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import give_back, ship
 from .tokens import Encoder
 
 WINDOW = 4096
@@ -151,6 +151,7 @@ def pack(documents: DataFrame, tokenizer_path: str) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder = Encoder(tokenizer_path)
         packer = Packer(TaskContext.get().partitionId() << 33)
         ids_type = None
@@ -177,5 +178,7 @@ def pack(documents: DataFrame, tokenizer_path: str) -> DataFrame:
         packer.finish()
         if packer.out:
             yield rows()
+        del encoder, packer, doc_ids, docs
+        give_back()
 
     return documents.select("doc_id", "text").mapInArrow(task, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in _FIELDS))
