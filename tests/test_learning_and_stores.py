@@ -84,6 +84,19 @@ def test_cross_validation_scores_later_rows_only(labelled):
     assert all(r["roc_auc"] > 0.8 and r["f1"] > 0.6 for r in out)
 
 
+def test_cross_validation_keeps_folds_of_one_class(labelled):
+    """Folds before which there is one class only, and folds of one class, have their rows."""
+    only = ("logistic_regression",)
+    one = ml.cross_validate(labelled.withColumn("label", F.lit(1)), ["x", "y"], only=only).collect()
+    assert sorted((r["fold"], r["n_train"], r["n_test"], r["f1"], r["roc_auc"]) for r in one) == [(i, 100 * i, 100, None, None) for i in range(1, 6)]
+    late = labelled.withColumn("label", F.when(F.col("us") < 250_000, 1).when(F.col("us") < 400_000, 0).otherwise(1))
+    got = {r["fold"]: r for r in ml.cross_validate(late, ["x", "y"], only=only).collect()}
+    assert [got[i]["f1"] is None for i in range(1, 6)] == [True, True, False, False, False]
+    assert got[3]["roc_auc"] == got[3]["average_precision"] == 0.0 and got[4]["roc_auc"] == 0.0 and got[4]["average_precision"] == 1.0
+    nothing = ml.cross_validate(labelled.where("false"), ["x", "y"], only=only).collect()
+    assert [(r["n_test"], r["f1"]) for r in nothing] == [(0, None)] * 2
+
+
 def test_registry_gives_equal_probabilities_and_the_best_run(labelled, spark, tmp_path):
     rows = ml.multi_split(ml.complete(labelled, ["x", "y"]), "fixture_id", {"train": 0.5, "middle": 0.25})
     assert rows.count() == 588

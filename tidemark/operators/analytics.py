@@ -156,7 +156,7 @@ def threshold_sweep(df: DataFrame, low: float = 0.1, step: float = 0.02, n: int
 
 
 def ranking_metrics(df: DataFrame) -> DataFrame:
-    """roc_auc (average ranks for ties) and average_precision, from counts by distinct score.
+    """roc_auc (average ranks for ties; null without both classes) and average_precision (null without positives), from counts by distinct score.
 
     A score's range follows from its value (RANGES even parts of 0 to 1, what lies beyond in the outer ones); running sums go
     inside each range, and one row a range carries on the sums between them.
@@ -172,8 +172,8 @@ def ranking_metrics(df: DataFrame) -> DataFrame:
     t = by.withColumns({"below": zero(F.sum("q").over(up)), "tp": F.sum("p").over(down), "fp": F.sum("q").over(down)}).join(F.broadcast(rest), "part")
     below, tp, fp = F.col("below") + F.col("q0"), F.col("tp") + F.col("p1"), F.col("fp") + F.col("q1")
     return t.agg(
-        (F.sum(F.col("p") * (below + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("roc_auc"),
-        (F.sum(F.col("p") * tp / (tp + fp)) / F.sum("p")).alias("average_precision"),
+        F.try_divide(F.sum(F.col("p") * (below + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("roc_auc"),
+        F.try_divide(F.sum(F.col("p") * tp / (tp + fp)), F.sum("p")).alias("average_precision"),
     )
 
 

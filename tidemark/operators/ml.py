@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .analytics import id_hash, ranking_metrics, threshold_sweep
+from .stores import written
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42) -> DataFrame:
@@ -168,23 +169,28 @@ def starts_of(df: DataFrame, order: str, tie: str, ranks: list[int]) -> list[tup
 def cross_validate(df: DataFrame, features: list[str], order: str = "us", tie: str = "event_id", key: str = "fixture_id", trees: int = 20, only: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each model and fold, with rows, and metrics of the threshold 0.5 and of ranking; each fold is scored by a model of all rows before it.
 
-    Folds without both classes before them are left out; missing features count as 0.
+    Where the rows before a fold don't hold both classes, or the fold has no rows, there is nothing to learn or to score: its metrics are
+    null. A fold of one class has a roc_auc of 0. Missing features count as 0. The rows are written once, so what they come from isn't computed for each fold.
     """
-    k = n_folds(df, key)
-    rows = with_fold(df.na.fill(0, features), order, tie, k).persist()
-    have = {r["fold"]: (r["pos"], r["n"]) for r in rows.groupBy("fold").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()}
+    rows = written(df.na.fill(0, features).select(*dict.fromkeys([*features, "label", order, tie, key])), "folds")
+    k = n_folds(rows, key)
+    rows = with_fold(rows, order, tie, k)
+    have = {r["fold"]: (r["pos"] or 0, r["n"]) for r in rows.groupBy("fold").agg(F.sum("label").alias("pos"), F.count("*").alias("n")).collect()}
+    names = ("precision", "recall", "f1", "roc_auc", "average_precision")
     out = None
     for fold in range(1, k + 1):
         pos, n = (sum(have.get(f, (0, 0))[i] for f in range(fold)) for i in (0, 1))
-        if not 0 < pos < n or fold not in have:
-            continue
-        train, test = class_weight(rows.where(F.col("fold") < fold)), rows.where(F.col("fold") == fold)
+        known = 0 < pos < n and fold in have
+        train, test = class_weight(rows.where(F.col("fold") < fold)) if known else None, rows.where(F.col("fold") == fold)
         for name, pipe in models(features, trees).items():
             if only and name not in only:
                 continue
-            scored = score(pipe.fit(train), test, 0.5)
-            row = at_threshold(scored, 0.5).crossJoin(F.broadcast(ranking_metrics(scored)))
-            row = row.withColumns({"model": F.lit(name), "fold": F.lit(fold), "folds": F.lit(k), "n_train": F.lit(n), "n_test": F.lit(have[fold][1])})
+            if known:
+                scored = written(score(pipe.fit(train), test, 0.5).select("prob", "label"), "scored")
+                row = at_threshold(scored, 0.5).crossJoin(F.broadcast(ranking_metrics(scored))).na.fill(0.0, ["roc_auc", "average_precision"]).select(*names)
+            else:
+                row = df.sparkSession.range(1).select(*(F.lit(None).cast("double").alias(c) for c in names))
+            row = row.withColumns({"model": F.lit(name), "fold": F.lit(fold), "folds": F.lit(k), "n_train": F.lit(n), "n_test": F.lit(have.get(fold, (0, 0))[1])})
             out = row if out is None else out.unionByName(row)
     return out
 

@@ -27,6 +27,13 @@ def fresh_root(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written below fresh_root() and read back: what follows doesn't compute it again."""
+    path = fresh_root(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fan_out(markets: DataFrame, before: int = 1, after: int = 2) -> DataFrame:
     """(fixture_id, market, hour) of markets(fixture_id, market, at): the hours from `before` ahead of each market's time to `after` past it."""
     return markets.where("at is not null").select("fixture_id", "market", F.explode(hour_range(F.col("at").cast("timestamp"), before, after)).alias("hour")).distinct()
