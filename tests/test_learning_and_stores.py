@@ -120,6 +120,16 @@ def test_registry_gives_equal_probabilities_and_the_best_run(labelled, spark, tm
     assert a == b and len(a) > 50
 
 
+def test_metrics_of_models_compute_nothing_again(labelled, monkeypatch):
+    """Rows of metrics are read back: choosing the best one doesn't score the test rows again."""
+    rows = ml.multi_split(ml.complete(labelled, ["x", "y"]), "fixture_id", {"train": 0.5, "middle": 0.25})
+    only = {k: v for k, v in ml.models(["x", "y"], 5).items() if k == "logistic_regression"}
+    monkeypatch.setattr(ml, "models", lambda *_: only)
+    out = ml.best_model(ml.train_and_evaluate(rows.where("split = 'train'"), rows.where("split is null"), ["x", "y"], 5, middle=rows.where("split = 'middle'")))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "Window" not in plan and out.first()["is_best"]
+
+
 def test_hour_store_reads_no_hour_twice(spark, tmp_path):
     day = dt.datetime(2026, 5, 1, 10, 30)
     markets = spark.createDataFrame([(1, "m1", day), (1, "m2", day), (2, "m3", day + dt.timedelta(hours=20)), (2, "quiet", day), (3, "m1", None)], "fixture_id int, market string, at timestamp")

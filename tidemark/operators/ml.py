@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -109,10 +113,11 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], t
     recall_chosen are what it gives on the test rows: f1 alone is too good, as its threshold has seen them. With a registry each model is saved.
     """
     weighted = class_weight(train).persist()
-    out = None
-    for name, pipe in models(features, trees).items():
+
+    def row_of(name: str, pipe: Pipeline) -> DataFrame:
         fitted = pipe.fit(weighted)
-        scored = score(fitted, test, 0.5)
+        # scores are written, as several metrics read them
+        scored = written(score(fitted, test, 0.5).select("prob", "label"), "scored")
         row = evaluate(scored).withColumn("model", F.lit(name))
         if middle is not None:
             best = threshold_sweep(score(fitted, middle, 0.5)).orderBy(F.desc("f1"), "threshold").first()["threshold"]
@@ -120,9 +125,13 @@ def train_and_evaluate(train: DataFrame, test: DataFrame, features: list[str], t
             row = row.crossJoin(F.broadcast(chosen)).withColumn("threshold_chosen", F.lit(best))
         if into is not None:
             into.save(name, fitted)
-        out = row if out is None else out.unionByName(row)
+        return written(row, "metrics")
+
+    # the steps of one model are many short jobs, so the models go side by side
+    with ThreadPoolExecutor(4) as pool:
+        rows = list(pool.map(inheritable_thread_target(train.sparkSession)(lambda m: row_of(*m)), models(features, trees).items()))
     weighted.unpersist()
-    return out
+    return reduce(DataFrame.unionByName, rows)
 
 
 def n_folds(df: DataFrame, key: str = "fixture_id") -> int:

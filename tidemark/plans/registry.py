@@ -748,7 +748,8 @@ def class_balance(spark, sf):
 @query()
 def model_comparison(spark, sf):
     rows = ml.complete(_features(spark, sf).withColumn("label", F.col("high_volatility")), list(FEATURES))
-    rows = ml.multi_split(rows.persist(), "fixture_id", SPLIT)
+    rows = stores.written(rows.select("fixture_id", "label", *FEATURES), "rows")
+    rows = ml.multi_split(rows, "fixture_id", SPLIT)
     out = ml.train_and_evaluate(rows.where("split = 'train'"), rows.where("split is null and fixture_id is not null"), list(FEATURES), trees=40, middle=rows.where("split = 'middle'"))
     return ml.best_model(out)
 
