@@ -120,6 +120,22 @@ def test_registry_gives_equal_probabilities_and_the_best_run(labelled, spark, tm
     assert a == b and len(a) > 50
 
 
+def test_minutes_add_in_order_of_events(spark):
+    """A mean that lies at the threshold is the one of a sum from the first event to the last, wherever the rows lie."""
+    rows = [(i % 3, i, dt.datetime(2024, 1, 1, 0, i // 180), (52 + (i // 3) % 2 * (i // 180 - 20) - (i // 3 % 2 == 0) * (i // 180 - 20)) / 100, 1) for i in range(180 * 40)]
+    want = {f: [0, 0] for f in range(3)}
+    for f in range(3):
+        for minute in range(40):
+            probs = [p for g, _, t, p, _ in rows if g == f and t.minute == minute]
+            total = 0.0
+            for p in probs:
+                total += p
+            want[f][total / len(probs) < 0.52] += 1
+    df = spark.createDataFrame(rows, "fixture_id int, event_id long, ts timestamp, prob double, label int").repartition(7).withColumn("mid_price", F.col("prob"))
+    got = {r["fixture_id"]: [r["hits"], r["misses"]] for r in analytics.hit_or_miss(df).collect()}
+    assert got == want and all(min(v) > 0 for v in want.values())
+
+
 def test_metrics_of_models_compute_nothing_again(labelled, monkeypatch):
     """Rows of metrics are read back: choosing the best one doesn't score the test rows again."""
     rows = ml.multi_split(ml.complete(labelled, ["x", "y"]), "fixture_id", {"train": 0.5, "middle": 0.25})

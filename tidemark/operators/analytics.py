@@ -96,8 +96,15 @@ def move_sessions(df: DataFrame, gap_seconds: float = 120, move: float = 0.08) -
 
 
 def hit_or_miss(df: DataFrame, threshold: float = 0.52) -> DataFrame:
-    """Per fixture: minutes that were warned of and moved, missed, or were false alarms."""
-    m = minute_line(df, "fixture_id")
+    """Per fixture: minutes that were warned of and moved, missed, or were false alarms.
+
+    A minute's probabilities are added one after the other in order of event_id: floating sums depend on the order, and a mean can lie at the threshold.
+    """
+    upto = Window.partitionBy("fixture_id", "minute").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.select("fixture_id", F.date_trunc("minute", "ts").alias("minute"), "event_id", "prob", "label")
+    rows = rows.withColumns({"_sum": F.sum("prob").over(upto), "_at": F.count("*").over(upto)})
+    mean = F.try_divide(F.max_by("_sum", "_at"), F.count("prob"))
+    m = rows.groupBy("fixture_id", "minute").agg(mean.alias("mean_prob"), F.avg("label").alias("vol_rate"))
     warned, moved = F.col("mean_prob") >= threshold, F.col("vol_rate") > 0.5
     return m.groupBy("fixture_id").agg(
         F.count_if(warned & moved).alias("hits"), F.count_if(~warned & moved).alias("misses"), F.count_if(warned & ~moved).alias("false_alarms")
