@@ -100,6 +100,27 @@ def test_fixture_matchups_equal_difflib_on_whole_tables(spark, sf):
     assert len(got) > 500 and got == want
 
 
+def test_fixture_matchups_list_each_market_once_and_expand_to_all(spark, tmp_path, sf):
+    orders = spark.range(400).select(F.col("id").alias("o_orderkey"), (F.col("id") % 3).alias("o_custkey"), F.lit(dt.date(2026, 5, 1)).alias("o_orderdate"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    for at in (str(tmp_path), sf):
+        f, m = registry._fixtures(spark, at), registry._markets(spark, at)
+        got = registry.QUERIES["fuzzy_fixture_matchups"](spark, at)
+        held = got.agg(F.sum(F.size("market_ids")), F.sum(F.size("questions"))).first()
+        assert max(held) <= m.count() + f.count()
+        whole = match.fixture_matchups(f, match.pairings(m)).collect()
+        assert sorted(map(repr, match.expanded(got).collect())) == sorted(map(repr, whole))
+        assert {r["fixture_id"]: r["n_markets"] for r in got.collect()} == {r["fixture_id"]: len(r["market_ids"]) for r in whole} and len(whole) > 150
+
+
+def test_fixture_classes_of_odd_rows(spark):
+    """Repeated and null ids, names in other cases, null names and questions."""
+    f = spark.createDataFrame([(1, "Ajax", "PSV"), (1, "AJAX", "psv"), (None, "ajax", "psv"), (2, "ajaxx", "psv"), (None, "leeds", "chelsea"), (None, "Leeds", "chelsea"), (3, None, "psv"), (4, "xyz", "q")], "fixture_id long, home string, away string")
+    m = spark.createDataFrame([(7, "ajax", "psv", None), (5, "AJAX", "PSV", "b"), (None, "ajax", "psv", "c"), (8, "leeds", "chelsea", "d"), (9, None, "psv", "e")], "market_id long, team_a string, team_b string, question string")
+    got, whole = match.expanded(match.fixture_classes(f, m)).collect(), match.fixture_matchups(f, match.pairings(m)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, whole)) and len(got) == 6
+
+
 def test_market_matches_equal_difflib_on_whole_tables(spark, sf):
     """By date, with neighbours only where a date has no fixture."""
     f, m = [tuple(r) for r in registry._fixtures(spark, sf).collect()], [tuple(r) for r in registry._markets(spark, sf).select("market_id", "team_a", "team_b", "date").collect()]

@@ -915,7 +915,7 @@ def fuzzy_match_matchups(spark, sf):
 
 @query()
 def fuzzy_fixture_matchups(spark, sf):
-    return match.fixture_matchups(_fixtures(spark, sf), match.pairings(_markets(spark, sf)))
+    return match.fixture_classes(_fixtures(spark, sf), _markets(spark, sf))
 
 
 @query()
