@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import analytics, markov, ml, quantiles, stores
@@ -204,5 +205,20 @@ def test_analytic_states_and_synthetic_matches(spark):
     assert abs(noise[0]) < 4 * 0.02 / 5000**0.5 and abs(noise[1] - 0.02) < 0.001
 
 
+def test_synthetic_sums_follow_the_steps_without_a_sort(spark):
+    """Running sums of 1 to 40 steps against the windows that they stand for; no plan sorts, and few ids still make several tasks."""
+    ids = spark.createDataFrame([(5,), (9,), (None,), (5,)], "match_id long")
+    for n in (1, 2, 3, 4, 5, 16, 17, 40):
+        got = synthetic.matches(ids, n)
+        w = Window.partitionBy("match_id").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        goal = lambda side: F.sum(((F.col("event_type") == "GOAL") & side).cast("int")).over(w)
+        home = synthetic._u(42, "side") < 0.55
+        want = got.select("match_id", "step", F.sum(-18.0 * F.log(synthetic._u(42, "gap"))).over(w).alias("elapsed_time"), goal(home).alias("score_home"), goal(~home).alias("score_away"))
+        assert sorted(map(repr, got.select(want.columns).collect())) == sorted(map(repr, want.collect())) and got.count() == 3 * n
+    plan = synthetic.matches(ids)._jdf.queryExecution().sparkPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan
+    assert synthetic.matches(spark.range(500).select(F.col("id").alias("match_id"))).rdd.getNumPartitions() == 4
+
+
 def test_frames_ends():
     assert fr.between(1) == (-1_000_001, 0) and fr.between(1, "left") == (-1_000_001, -1) and fr.between(1, "right", ahead=True) == (0, 1_000_000)
